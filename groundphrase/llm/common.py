@@ -35,18 +35,18 @@ def free_name(df: DataFrame, stem: str) -> str:
     return name
 
 
-def map_text(df: DataFrame, text: str, fields: str, make: Callable[[], Callable[[list], list]], keep: list[str] | None = None) -> DataFrame:
+def map_text(df: DataFrame, text: str, fields: str, make: Callable[[], Callable[[list], list]], keep: list[str] | None = None, raw: bool = False) -> DataFrame:
     """Add the columns `fields` (DDL) to df with one Arrow pass over the column `text`.
 
     make() runs once for each task and returns a function of a list of bytes (UTF-8; None for null) that
-    returns one list or Arrow array for each field. Columns of df that clash with a field give way to it.
+    returns one list or Arrow array for each field. raw: the column is binary already. Columns of df that clash with a field give way to it.
     """
     small_batches(df.sparkSession)
     out = T.StructType.fromDDL(fields)
     new = {f.name.lower() for f in out}
     keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
     names = [f"c{i}" for i in range(len(keep))]
-    source = df.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)), F.col(f"`{text}`").cast("string").cast("binary").alias("t"))
+    source = df.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)), (F.col(f"`{text}`") if raw else F.col(f"`{text}`").cast("string").cast("binary")).alias("t"))
     schema = T.StructType([*(T.StructField(n, df.schema[c].dataType) for c, n in zip(keep, names, strict=True)), *out])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
