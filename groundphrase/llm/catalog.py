@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("simhash",)
+MODULES = ("sentencepiece_codec", "quality", "simhash", "media", "warc")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
