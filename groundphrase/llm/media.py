@@ -36,6 +36,7 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 MARK = b"GPM1"
 HEADER = struct.Struct("<4sBqqqI")
 SCHEMA = "id long, n_bytes long, media binary, archive string, offset long"
+ARROW = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("archive", pa.string()), ("offset", pa.int64())])
 
 
 def pad(raw: bytes) -> bytes:
@@ -147,6 +148,10 @@ class ArchiveWriter(DataSourceArrowWriter):
                 fs.delete_file(f"{root}/{name}")
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows, strict=True), ARROW, strict=True)], schema=ARROW)
+
+
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.split = options["path"], int(options.get("splitbytes", 16 << 20))
@@ -184,12 +189,8 @@ class ArchiveReader(DataSourceReader):
         raise OSError(f"{name} at {start}: no try was allowed")
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import StructType
-
         if not partition.archive:
             return
-        schema = to_arrow_schema(StructType.fromDDL(SCHEMA))
         fs, root = _fs(self.path)
         with fs.open_input_file(f"{root}/{partition.archive}.index") as f:
             starts = np.frombuffer(f.read(), "<i8")
@@ -199,10 +200,10 @@ class ArchiveReader(DataSourceReader):
             rows.append(self._member(partition.archive, start))
             size += len(rows[-1][2])
             if len(rows) >= BATCH_ROWS or size >= BATCH_BYTES // 2:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                yield _batch(rows)
                 rows, size = [], 0
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            yield _batch(rows)
 
 
 class ArchiveSource(DataSource):

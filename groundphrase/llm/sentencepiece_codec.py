@@ -13,6 +13,7 @@ that come again are taken from a bounded memory.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 from array import array
 from collections.abc import Iterator
@@ -62,7 +63,7 @@ class Codec:
     """One model. encode(text) gives ids as an array of ints, decode(ids) the text."""
 
     #: Units and neighbour checks that are remembered, in each of two generations.
-    MEMORY = 150_000
+    MEMORY = 300_000
 
     def __init__(self, path: str):
         self.pieces, self.kinds, scores, self.end = [], [], [], None
@@ -88,10 +89,15 @@ class Codec:
         self.id = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == NORMAL}
         self.byte_id = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == BYTE}
         pairs = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
-        starts, ends = {x[0] for x in pairs}, {x[1] for x in pairs}
-        # Pieces never go from another character to a space, nor through one that is in no longer piece.
-        self._splits_spaces = not any(x[1] == SPACE != x[0] for x in pairs)
-        self._inside = starts | ends
+        inside = set("".join(pairs))
+        # Where no piece holds a pair of neighbours, texts can be cut between them: before a space, around
+        # a character that is in no longer piece, and between a word and punctuation.
+        alone = "".join(c for c in "\n\t" if c not in inside)
+        after = "".join(re.escape(c) for c in ".,;:|!?%&#*" if not any(x[1] == c and x[0].isalnum() for x in pairs))
+        rest = f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+"
+        if any(x[1] == SPACE != x[0] for x in pairs):
+            rest = ".+"
+        self._unit = re.compile((f"[{alone}]|" if alone and rest != ".+" else "") + (f"{SPACE}*[^\\W_]+(?=[{after}])|" if after and rest != ".+" else "") + rest, re.S)
         self.automaton = ahocorasick.Automaton()
         for p in self.id:
             if len(p) > 1 and self.merge(p) == [p]:
@@ -120,43 +126,50 @@ class Codec:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def _fits(self, a: str, b: str) -> bool:
-        key, new = (a, b), self._fit[0]
-        ok = new.get(key)
+    def _fits(self, key: tuple[str, str]) -> bool:
+        """Whether two neighbours, merged anew, stay as they are (where the memory's first part has no answer)."""
+        new, old = self._fit
+        ok = old.get(key)
         if ok is None:
-            ok = self._fit[1].get(key)
-            if ok is None:
-                ok = self.merge(a + b) == [a, b]
-            if len(new) >= self.MEMORY:
-                self._fit[:] = [{}, new]
-                new = self._fit[0]
-            new[key] = ok
+            ok = self.merge(key[0] + key[1]) == [*key]
+        if len(new) >= self.MEMORY:
+            self._fit[:] = [{}, new]
+            new = self._fit[0]
+        new[key] = ok
         return ok
 
     def backtrack(self, unit: str) -> list[str]:
         """The pieces of a unit; single characters may be outside the vocabulary."""
         n = len(unit)
-        lengths: list[list[int]] = [[] for _ in range(n)]
+        lengths: list = [None] * n
         for last, k in self.automaton.iter(unit):
-            lengths[last - k + 1].append(k)  # in order of their ends, so rising
-        fits, failed, out, pos = self._fits, 0, [], 0
-        tries = [*lengths[0]] if n else []
+            at = last - k + 1
+            if lengths[at] is None:
+                lengths[at] = [1, k]  # a single character can always be tried
+            else:
+                lengths[at].append(k)  # in order of their ends, so rising
+        known, fits, failed, out, pos, prev, most = self._fit[0].get, self._fits, 0, [], 0, None, n
         while pos < n:
-            while True:
-                k = tries.pop() if tries else 1 if tries is not None else 0
-                if k == 0:  # nothing is left here: step back, and never come here again
-                    failed |= 1 << pos
-                    k = len(out.pop())
-                    pos -= k
-                    tries = [x for x in lengths[pos] if x < k] if k > 1 else None
+            for k in reversed(lengths[pos] or (1,)):
+                if k > most:
+                    continue
+                end = pos + k
+                if failed and failed >> end & 1:
                     continue
-                if not failed >> (pos + k) & 1 and (not out or fits(out[-1], unit[pos : pos + k])):
-                    break
-                if k == 1:
-                    tries = None
-            out.append(unit[pos : pos + k])
-            pos += k
-            tries = [*lengths[pos]] if pos < n else []
+                piece = unit[pos:end]
+                if prev is not None:
+                    key = (prev, piece)
+                    ok = known(key)
+                    if not (fits(key) if ok is None else ok):
+                        continue
+                out.append(piece)
+                prev, pos, most = piece, end, n
+                break
+            else:  # nothing is left here: step back, and never come here again
+                failed |= 1 << pos
+                most = len(out.pop()) - 1
+                pos -= most + 1
+                prev = out[-1] if out else None
         return out
 
     def _ids(self, unit: str) -> bytes:
@@ -171,15 +184,7 @@ class Codec:
 
     def units(self, text: str) -> list[str]:
         """text in parts that no piece crosses."""
-        text = SPACE + text.replace(" ", SPACE)
-        return self._unit_pattern().findall(text) if self._splits_spaces else [text]
-
-    @lru_cache(1)  # noqa: B019  one codec for each process
-    def _unit_pattern(self):
-        import re
-
-        alone = "\n\r\t" if not self._inside & set("\n\r\t") else ""
-        return re.compile(f"[{alone}]|{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        return self._unit.findall(SPACE + text.replace(" ", SPACE))
 
     def encode(self, text: str, end: bool = True) -> np.ndarray:
         """Ids of a whole text, with the end id if asked for."""

@@ -29,6 +29,7 @@ DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 RECORD = "record_id string, record_type string, page_id long, refers_to long, payload_digest string, origin string, segment int, total long, block binary, payload binary"
+ARROW = pa.schema([*((c, pa.string()) for c in ("record_id", "record_type")), ("page_id", pa.int64()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("block", pa.binary()), ("payload", pa.binary())])
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -140,13 +141,8 @@ def _page(name: str | None) -> int | None:
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    schema = to_arrow_schema(StructType.fromDDL(RECORD))
-
     def packed(rows: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ARROW, strict=True)], schema=ARROW)
 
     for b in batches:
         for content in b.column(0):
