@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("sentencepiece_codec", "quality", "simhash", "media", "warc", "secret_scan")
+MODULES = ("sentencepiece_codec", "quality", "simhash", "media", "warc", "secret_scan", "html_text")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
