@@ -21,66 +21,73 @@ from pyspark.sql import functions as F
 
 from groundphrase.llm.common import join_counted, new_path, small_batches, stored, table
 
-#: Characters in a segment and in a chunk at least; a text has at most MOST of either.
-SEGMENT, CHUNK, MOST = 1 << 16, 1 << 14, 64
+#: Bytes in a segment and in a chunk, about: cuts are between characters.
+SEGMENT, CHUNK = 1 << 16, 1 << 14
 #: Records in one archive file at most.
 RECORDS_PER_FILE = 4000
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
+HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 RECORD = "record_id string, record_type string, page_id long, refers_to long, payload_digest string, origin string, segment int, total long, block binary, payload binary"
 ARROW = pa.schema([*((c, pa.string()) for c in ("record_id", "record_type")), ("page_id", pa.int64()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("block", pa.binary()), ("payload", pa.binary())])
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Bare upper-case base32 SHA-1 of a binary or string column: 20 bits, 5 hex or 4 base32 digits, at a time."""
-    digest = F.sha1(payload)
+def base32_of(digest: Column | str) -> Column:
+    """Hex as bare upper-case base32: 20 bits, 5 hex or 4 base32 digits, at a time (160 bits)."""
     parts = [F.lpad(F.conv(F.substring(digest, 5 * i + 1, 5), 16, 32), 4, "0") for i in range(8)]
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def _cut(text: str, least: int) -> str:
-    """SQL for text as an array of parts of `least` characters or more, MOST parts at most (none if empty)."""
-    width = f"greatest({least}, ceil(length({text}) / {MOST}))"
-    return f"transform(filter(sequence(0, {MOST}), i -> i * {width} < length({text})), i -> substring({text}, cast(i * {width} + 1 as int), cast({width} as int)))"
+def cut(raw: bytes, width: int) -> Iterator[bytes]:
+    """UTF-8 text in parts of width bytes or up to three more, none inside a character; none if it is empty."""
+    at = 0
+    while at < len(raw):
+        end = at + width
+        while end < len(raw) and raw[end] & 0xC0 == 0x80:
+            end += 1
+        yield raw[at:end]
+        at = end
+
+
+def record(page: int | None, url: str | None, body: bytes, digest: str, revisit: bool, response: int | None) -> Iterator[bytes]:
+    """The record of a page, with its continuations, each without the two line ends that follow it."""
+    name = lambda i: f"urn:page:{'null' if i is None else i}:{digest}"
+    block = b"" if revisit else b"".join([HTTP, *(b"%X\r\n%b\r\n" % (len(x), x) for x in cut(body, CHUNK)), b"0\r\n\r\n"])
+    parts = [*cut(block, SEGMENT)] or [b""]
+    uri = [] if url is None else [f"WARC-Target-URI: {re.sub('[\\x00-\\x20\\x7f]', '%20', url)}"]
+    for k, part in enumerate(parts, 1):
+        head = ["WARC/1.1", f"WARC-Type: {'continuation' if k > 1 else 'revisit' if revisit else 'response'}", f"WARC-Record-ID: <{name(page)}{f':{k}' * (k > 1)}>", f"WARC-Date: {DATE}", *uri]
+        if k == 1:
+            head.append(f"WARC-Payload-Digest: sha1:{digest}")
+        else:
+            head.append(f"WARC-Segment-Origin-ID: <{name(page)}>")
+        if revisit:
+            head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{name(response)}>"]
+        if len(parts) > 1:
+            head.append(f"WARC-Segment-Number: {k}")
+            if k == len(parts):
+                head.append(f"WARC-Segment-Total-Length: {len(block)}")
+        head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(part)}", "", ""]
+        yield "\r\n".join(head).encode() + part
+
+
+def _recorded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        values = [v for row in zip(*(c.to_pylist() for c in b.columns), strict=True) for v in record(*row)]
+        yield pa.RecordBatch.from_arrays([pa.array(values, pa.binary()).cast(pa.string())], names=["value"])
 
 
 def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0) -> DataFrame:
     """One row `value` for each WARC record. See write_warc."""
-    p = pages.select(F.col(page_id).cast("long").alias("id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload).cast("string"), F.lit("")).alias("body"))
-    p = p.withColumn("digest", base32_sha1(F.col("body")))
+    small_batches(pages.sparkSession)
+    p = pages.select(F.col(page_id).cast("long").alias("id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload).cast("string"), F.lit("")).cast("binary").alias("body"))
+    p = p.withColumn("digest", F.sha1("body"))
     groups = p.where(F.octet_length("body") >= min_bytes).groupBy("digest").agg(F.max("id").alias("response"), F.count(F.lit(1)).alias("n"))
     # Only payloads that come again are joined; their pages find the response among few rows.
-    p = join_counted(p, groups.where("n > 1"), "digest", "n")
-    p = p.withColumn("revisit", F.col("response").isNotNull() & ~F.col("id").eqNullSafe(F.col("response")) & (F.octet_length("body") >= min_bytes))
-    name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(":"), F.col("digest"), F.lit(">"))
-    p = p.withColumn("name", name(F.col("id"))).withColumn("target", name(F.col("response")))
-    chunks = f"concat(array_join(transform({_cut('body', CHUNK)}, x -> concat(hex(octet_length(x)), '\\r\\n', x, '\\r\\n')), ''), '0\\r\\n\\r\\n')"
-    p = p.withColumn("block", F.when(F.col("revisit"), F.lit("")).otherwise(F.concat(F.lit(HTTP), F.expr(chunks)))).drop("body")
-    p = p.withColumn("total", F.octet_length("block")).withColumn("parts", F.expr(f"if(block = '', array(''), {_cut('block', SEGMENT)})")).drop("block")
-    p = p.withColumn("of", F.size("parts")).select("*", F.posexplode("parts").alias("at", "part")).drop("parts")
-    uri = F.regexp_replace("url", r"[\x00-\x20\x7f]", "%20")
-    line = lambda key, value: F.concat(F.lit(f"{key}: "), value.cast("string"), F.lit("\r\n"))
-    when = lambda cond, key, value: F.when(cond & value.isNotNull(), line(key, value)).otherwise("")
-    first, last = F.col("at") == 0, F.col("at") + 1 == F.col("of")
-    value = F.concat(
-        F.lit("WARC/1.1\r\n"),
-        line("WARC-Type", F.when(~first, "continuation").when(F.col("revisit"), "revisit").otherwise("response")),
-        line("WARC-Record-ID", F.when(first, F.col("name")).otherwise(F.concat(F.expr("left(name, length(name) - 1)"), F.lit(":"), (F.col("at") + 1).cast("string"), F.lit(">")))),
-        line("WARC-Date", F.lit(DATE)),
-        when(F.lit(True), "WARC-Target-URI", uri),
-        when(first, "WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")),
-        when(F.col("revisit"), "WARC-Profile", F.lit(PROFILE)),
-        when(F.col("revisit"), "WARC-Refers-To", F.col("target")),
-        when(F.col("of") > 1, "WARC-Segment-Number", F.col("at") + 1),
-        when(~first, "WARC-Segment-Origin-ID", F.col("name")),
-        when(~first & last, "WARC-Segment-Total-Length", F.col("total")),
-        line("Content-Type", F.lit("application/http; msgtype=response")),
-        line("Content-Length", F.octet_length("part")),
-        F.lit("\r\n"),
-        F.col("part"),
-    )
-    return p.select(value.alias("value"))
+    again, _ = stored(groups.where("n > 1"), "payloads")
+    p = join_counted(p, again, "digest", "n")
+    revisit = F.col("response").isNotNull() & ~F.col("id").eqNullSafe(F.col("response")) & (F.octet_length("body") >= min_bytes)
+    return p.select("id", "url", "body", base32_of("digest").alias("digest"), revisit.alias("revisit"), "response").mapInArrow(_recorded, "value string")
 
 
 def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0) -> None:
@@ -204,8 +211,8 @@ def digests(read: DataFrame) -> DataFrame:
 
     A revisit takes them from the response that it names. A digest that differs from its header's fails.
     """
-    own = base32_sha1(F.col("payload"))
-    checked = F.when(F.col("record_type") == "revisit", F.col("payload_digest")).when(own == F.col("payload_digest"), own).otherwise(F.raise_error(F.concat(F.lit("digest differs: "), "record_id")))
+    read = read.withColumn("own", base32_of(F.sha1("payload")))
+    checked = F.when(F.col("record_type") == "revisit", F.col("payload_digest")).when(F.col("own") == F.col("payload_digest"), F.col("own")).otherwise(F.raise_error(F.concat(F.lit("digest differs: "), "record_id")))
     rows, _ = stored(read.select("page_id", "record_type", "refers_to", F.octet_length("payload").cast("long").alias("payload_bytes"), checked.alias("payload_digest")), "warc")
     responses = rows.where("record_type = 'response'")
     size = responses.groupBy("payload_digest").agg(F.max("payload_bytes").alias("size"))
