@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from groundphrase.plans import evaluation, retrieval, states, texts
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+for _m in (texts, retrieval, states, evaluation):
+    QUERIES |= _m.QUERIES
+    ORACLE_SQL |= _m.ORACLE_SQL
