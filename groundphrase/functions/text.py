@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Letters that count as one (fixed values), and spaces that count as a blank.
 DISPLAY_FROM, DISPLAY_TO = "يك", "یک"
@@ -16,7 +17,7 @@ TATWEEL = "ـ"
 EXOTIC_SPACES = r"[   　 -​]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """Canonical composition, which Spark has no function for."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))

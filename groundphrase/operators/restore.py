@@ -2,22 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from groundphrase.functions import stems
 from groundphrase.functions import text as tx
 
-ACCEPT, MARGIN = 0.88, 0.12
+ACCEPT, MARGIN, ANCHOR = 0.88, 0.12, 0.94
+#: A prefix completion has so many tokens, and its continuation so many more.
+LEAST_PREFIX, LEAST_MORE = 4, 3
 
 
-def base_restore(requests: DataFrame, variants: DataFrame, accept: float = ACCEPT, margin: float = MARGIN) -> DataFrame:
-    """(query_id, family_id, score, accepted): the best family by shared tokens, 0.55 of the request's and 0.45
-    of the variant's; accepted if good enough and far enough before the next."""
-    toks = F.array_distinct(F.filter(tx.tokens(tx.retrieval(F.col("text"))), lambda t: F.length(t) > 1))
-    q = requests.select("query_id", toks.alias("t")).select("query_id", F.size("t").alias("nq"), F.explode("t").alias("k"))
-    v = variants.select("doc_id", "family_id", toks.alias("t")).select("doc_id", "family_id", F.size("t").alias("nv"), F.explode("t").alias("k"))
-    hits = q.join(v, "k").groupBy("query_id", "doc_id", "family_id", "nq", "nv").agg(F.count(F.lit(1)).alias("n"))
-    s = hits.groupBy("query_id", "family_id").agg(F.max(0.55 * F.col("n") / F.col("nq") + 0.45 * F.col("n") / F.col("nv")).alias("score"))
+def long_tokens(text: Column) -> Column:
+    return F.filter(tx.tokens(tx.retrieval(text)), lambda t: F.length(t) > 1)
+
+
+def base_restore(requests: DataFrame, variants: DataFrame, accept: float = ACCEPT, margin: float = MARGIN, items=stems.signature) -> DataFrame:
+    """(query_id, family_id, score, accepted): the best family by shared items, 0.55 of the request's and 0.45
+    of the variant's; accepted if good enough and far enough before the next.
+
+    A request of one item that only one family holds scores ANCHOR at least.
+    """
+    q = requests.select("query_id", F.array_distinct(items(F.col("text"))).alias("t")).select("query_id", F.size("t").alias("nq"), F.explode("t").alias("k"))
+    v = variants.select("doc_id", "family_id", F.array_distinct(items(F.col("text"))).alias("t")).select("doc_id", "family_id", F.size("t").alias("nv"), F.explode("t").alias("k"))
+    lone = v.groupBy("k").agg(F.count_distinct("family_id").alias("families"))
+    hits = q.join(v.join(lone, "k"), "k").groupBy("query_id", "doc_id", "family_id", "nq", "nv").agg(F.count(F.lit(1)).alias("n"), F.min("families").alias("families"))
+    part = 0.55 * F.col("n") / F.col("nq") + 0.45 * F.col("n") / F.col("nv")
+    s = hits.groupBy("query_id", "family_id").agg(F.max(F.when((F.col("nq") == 1) & (F.col("families") == 1), F.greatest(part, F.lit(ANCHOR))).otherwise(part)).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "family_id")
     s = s.withColumn("rank", F.row_number().over(w)).withColumn("next", F.coalesce(F.lead("score").over(w), F.lit(0.0))).where("rank = 1")
     return s.select("query_id", "family_id", "score", ((F.col("score") >= accept) & (F.col("score") - F.col("next") >= margin)).alias("accepted"))
+
+
+def complete_prefix(requests: DataFrame, variants: DataFrame, items=stems.signature) -> DataFrame:
+    """(query_id, family_id, extension, reason): the family with the longest continuation of a request that is
+    the beginning of one of its variants; none if two are equally long."""
+    q = requests.select("query_id", items(F.col("text")).alias("q")).where(F.size("q") >= LEAST_PREFIX).withColumn("k", F.get("q", F.lit(0)))
+    v = variants.select("family_id", items(F.col("text")).alias("v")).withColumn("k", F.get("v", F.lit(0)))
+    longer = q.join(v, "k").where(F.expr(f"size(v) >= size(q) + {LEAST_MORE} AND slice(v, 1, size(q)) = q"))
+    best = longer.groupBy("query_id", "family_id").agg(F.max(F.size("v") - F.size("q")).alias("extension"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("extension"), "family_id")
+    r = best.withColumn("rank", F.row_number().over(w)).withColumn("next", F.lead("extension").over(w)).where("rank = 1")
+    tie = F.coalesce(F.col("next") == F.col("extension"), F.lit(False))
+    return r.select("query_id", F.when(~tie, F.col("family_id")).alias("family_id"), "extension", F.when(tie, "ambiguous-long-prefix-completion").otherwise("explicit-long-prefix-completion").alias("reason"))

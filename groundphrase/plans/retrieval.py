@@ -167,15 +167,16 @@ def gloss_search(spark, sf):
 
 @query(
     f"WITH {VIEWS}, vs AS (SELECT doc_id, family_id, list_distinct(list_filter(string_split({norm('text')}, ' '), lambda x: length(x) > 1)) AS t FROM variants), qs AS (SELECT query_id, list_distinct(list_filter(string_split({norm('text')}, ' '), lambda x: length(x) > 1)) AS t FROM requests),"
-    " hits AS (SELECT query_id, doc_id, count(*) AS n FROM (SELECT query_id, unnest(t) AS k FROM qs) JOIN (SELECT doc_id, unnest(t) AS k FROM vs) USING (k) GROUP BY 1, 2),"
-    " s AS (SELECT query_id, family_id, max(0.55 * n / len(qs.t) + 0.45 * n / len(vs.t)) AS score FROM hits JOIN qs USING (query_id) JOIN vs USING (doc_id) GROUP BY 1, 2),"
+    " vk AS (SELECT doc_id, family_id, unnest(t) AS k FROM vs), lone AS (SELECT k, count(DISTINCT family_id) AS families FROM vk GROUP BY 1),"
+    " hits AS (SELECT query_id, doc_id, count(*) AS n, min(families) AS families FROM (SELECT query_id, unnest(t) AS k FROM qs) JOIN vk USING (k) JOIN lone USING (k) GROUP BY 1, 2),"
+    " s AS (SELECT query_id, family_id, max(CASE WHEN len(qs.t) = 1 AND families = 1 THEN greatest(0.94, 0.55 * n / len(qs.t) + 0.45 * n / len(vs.t)) ELSE 0.55 * n / len(qs.t) + 0.45 * n / len(vs.t) END) AS score FROM hits JOIN qs USING (query_id) JOIN vs USING (doc_id) GROUP BY 1, 2),"
     " r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, family_id) AS rank, lead(score) OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, family_id) AS nxt FROM s)"
     " SELECT query_id, family_id, round(score, 6) AS score, (score >= 0.88 AND score - coalesce(nxt, 0) >= 0.12) AS accepted FROM r WHERE rank = 1"
 )
 def restore_base(spark, sf):
-    from groundphrase.operators.restore import base_restore
+    from groundphrase.operators.restore import base_restore, long_tokens
 
-    return base_restore(b.requests(spark, sf), b.variants(spark, sf)).withColumn("score", F.round("score", 6))
+    return base_restore(b.requests(spark, sf), b.variants(spark, sf), items=long_tokens).withColumn("score", F.round("score", 6))
 
 
 # Dense: the first vectors of the table are queries against the rest; labels are families.
