@@ -1,0 +1,19 @@
+"""Queries of this subpackage that SQL can express, against DuckDB."""
+
+import duckdb
+import pytest
+
+from groundphrase.llm import catalog
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
+def test_query(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "labels", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df = catalog.QUERIES[name](spark, SF)
+    rel = con.execute(catalog.ORACLE_SQL[name])
+    names = [c[0] for c in rel.description]
+    assert sorted(map(str, (tuple(r[c] for c in names) for r in df.collect()))) == sorted(map(str, rel.fetchall()))
