@@ -50,9 +50,14 @@ def tokens(normalized: Column) -> Column:
 
 
 def char_ngrams(c: Column, n: int = 3) -> Column:
-    """All n-grams, with repeats; a shorter text is its own only one, an empty one has none."""
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
-    return F.when(F.length(c) == 0, F.array().cast("array<string>")).otherwise(grams)
+    """All n-grams, with repeats; a shorter text is its own only one, an empty one has none.
+
+    Shifted copies of the characters are zipped: substring() would walk from the text's start for each gram.
+    """
+    chars = F.filter(F.split(c, ""), lambda x: x != "")
+    shifted = F.arrays_zip(*(F.slice(chars, i + 1, F.greatest(F.size(chars), F.lit(1))) for i in range(n)))
+    grams = F.filter(F.transform(shifted, lambda t: F.concat(*(t[str(i)] for i in range(n)))), lambda g: g.isNotNull())
+    return F.when(F.length(c) == 0, F.array().cast("array<string>")).when(F.length(c) < n, F.array(c)).otherwise(grams)
 
 
 def bigram_set(compacted: Column) -> Column:

@@ -16,10 +16,12 @@ WINDOW = "array<struct<start:int,end:int,text:string,cheap:double>>"
 
 def fuzzy_rerank(ranked: DataFrame, queries: DataFrame, docs: DataFrame, top: int = 4) -> DataFrame:
     """Rankings of fused evidence (query_id, doc_id, tfidf, coverage, bm25, n_compact, n_tokens, score, rank) with
-    fuzzy evidence for the first `top` of each query, scored and ranked anew.
+    fuzzy evidence for the first `top` of each query before consensus, scored and ranked anew.
 
     A clear first result, and results above fz.SKIP_BASE, are left as they are.
     """
+    before = lexical.noisy_or(tfidf=F.col("tfidf"), coverage=F.col("coverage"), bm25=F.col("bm25"))
+    ranked = index.ranked(ranked.drop("rank").withColumn("score", before))  # consensus comes last
     two = lexical.top_two(ranked).select("query_id", ((F.col("top") >= fz.CLEAR_SCORE) & (F.col("margin") >= fz.CLEAR_GAP)).alias("clear"))
     q = queries.select("query_id", tx.retrieval(F.col("text")).alias("q"))
     d = docs.select("doc_id", tx.retrieval(F.col("text")).alias("d"))

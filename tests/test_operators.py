@@ -1,3 +1,4 @@
+import hashlib
 from itertools import product
 
 import numpy as np
@@ -34,18 +35,18 @@ def test_golden_numbers(spark):
 
 
 def test_fuzzy_rerank_and_alignment(spark, variants):
-    q = ask(spark, "the erly bird catches the wrm", "he said: a stich in time saves nine, you know")
+    q = ask(spark, "th erly brd catchs the wrm", "he said: a stich in time saves nine, you know")
     ranked = index.ranked(lexical.fused(q, variants))
     best = {r.query_id: r for r in local.fuzzy_rerank(ranked, q, variants).where("rank = 1").collect()}
     assert best["q0"].doc_id == 0 and best["q0"].fuzzy > 0.8
     top = {(r.query_id, r.doc_id): r for r in local.align(ranked, q, variants).collect()}
-    assert top["q1", 2].text.startswith("a stich in time") and top["q1", 2].score > 0.72
+    assert "stich in time saves nine" in top["q1", 2].text and top["q1", 2].score > 0.6
 
 
 def test_mentions_are_bound_one_after_another(spark, variants, tmp_path):
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(str(tmp_path))
-    got = local.bind_mentions(ask(spark, "compare a stitch in time saves nine with all that glitters please"), variants, 4).collect()
+    got = local.bind_mentions(ask(spark, "compare a stitch in time saves nine with all that glitters please"), variants, 2).collect()
     assert {r.family_id for r in got} >= {"f2", "f4"} and len({(r.query_id, r.round) for r in got}) == len(got)
 
 
@@ -118,7 +119,7 @@ def test_corpus_files(spark, tmp_path):
     files.write_one_json(src, str(tmp_path / "one.json"))
     with pytest.raises(ValueError):
         files.write_one_json(good, str(tmp_path / "two.json"))
-    assert files.file_hashes(spark, str(tmp_path / "x.jsonl")).first().length == 33
+    assert files.file_hashes(spark, str(tmp_path / "x.jsonl")).first().sha256 == hashlib.sha256((tmp_path / "x.jsonl").read_bytes()).hexdigest()
 
 
 def test_streamed_requests_go_on_after_a_restart(spark, variants, tmp_path):
