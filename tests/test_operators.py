@@ -40,7 +40,7 @@ def test_fuzzy_rerank_and_alignment(spark, variants):
     best = {r.query_id: r for r in local.fuzzy_rerank(ranked, q, variants).where("rank = 1").collect()}
     assert best["q0"].doc_id == 0 and best["q0"].fuzzy > 0.8
     top = {(r.query_id, r.doc_id): r for r in local.align(ranked, q, variants).collect()}
-    assert "stich in time saves nine" in top["q1", 2].text and top["q1", 2].score > 0.6
+    assert top["q1", 2].text == "in time saves nine" and top["q1", 2].score > 0.72  # the longest window without a slip
 
 
 def test_mentions_are_bound_one_after_another(spark, variants, tmp_path):
