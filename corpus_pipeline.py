@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from groundphrase.llm import packing, quality, secret_scan, simhash, toxicity
+from groundphrase.llm import near_copies, packing, quality, secret_scan, toxicity
 from groundphrase.llm.common import stored, table
 
 
@@ -34,17 +34,18 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group: that with the smallest id. Documents that share an id count as one.
+    """Keep one row of each group of texts linked by five-word similarities of 0.8 or more.
 
-    Documents without an id go if their group has one; else one of each text stays.
+    That is the row with the smallest id, null last, then the smallest text. Ids link nothing: different texts
+    under one id, or under none, are different documents.
     """
-    groups, _ = stored(simhash.near_duplicates(docs), "groups")
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(first, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).where("_nth = 1").select(docs.columns)
-    nameless = _held(docs.where("doc_id is null"))
-    alone = groups.where("component_id is null").select("fp").distinct()
-    nameless = simhash.with_fingerprint(nameless).join(alone, "fp", "left_semi").dropDuplicates(["text"])
-    return named.unionByName(_released(nameless, docs.columns))
+    groups, _ = stored(near_copies.groups(docs), "groups")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "node")).alias("best")
+    best, _ = stored(groups.groupBy("component").agg(best).select("best.doc_id", "best.node"), "kept")
+    rows = near_copies.with_node(_held(docs)).withColumn("doc_id", F.col("_row.doc_id"))
+    rows = rows.alias("r").join(best.alias("k"), F.expr("r.node = k.node and r.doc_id <=> k.doc_id"), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("node", "doc_id").orderBy("text", F.xxhash64("_row")))
+    return _released(rows.withColumn("_nth", nth).where("_nth = 1"), docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
