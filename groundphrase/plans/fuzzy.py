@@ -8,26 +8,21 @@ from groundphrase.operators import index, lexical, local
 from groundphrase.plans import bindings as b
 
 
-def _few(spark, sf):
-    """The requests made from the corpus (with wrong words, cut short, run together), not the users' turns."""
-    return b.requests(spark, sf).where("query_id not like 'u%'")
-
-
 def _ranked(spark, sf):
-    return index.ranked(lexical.fused(_few(spark, sf), b.variants(spark, sf)))
+    return index.ranked(lexical.fused(b.requests(spark, sf), b.variants(spark, sf)))
 
 
 def fuzzy_rerank(spark, sf):
-    got = local.fuzzy_rerank(_ranked(spark, sf), _few(spark, sf), b.variants(spark, sf))
+    got = local.fuzzy_rerank(_ranked(spark, sf), b.requests(spark, sf), b.variants(spark, sf))
     return got.where("rank <= 5").select("query_id", "doc_id", F.round("fuzzy", 6).alias("fuzzy"), F.round("score", 6).alias("score"), "rank")
 
 
 def local_alignment(spark, sf):
-    return local.align(_ranked(spark, sf), _few(spark, sf), b.variants(spark, sf), 3).withColumn("score", F.round("score", 6))
+    return local.align(_ranked(spark, sf), b.requests(spark, sf), b.variants(spark, sf)).withColumn("score", F.round("score", 6))
 
 
 def restore_ordered(spark, sf):
-    return local.ordered_restore(_few(spark, sf), b.variants(spark, sf)).withColumn("ratio", F.round("ratio", 6))
+    return local.ordered_restore(b.requests(spark, sf), b.variants(spark, sf)).withColumn("ratio", F.round("ratio", 6))
 
 
 QUERIES = {f.__name__: f for f in (fuzzy_rerank, local_alignment, restore_ordered)}
