@@ -51,3 +51,12 @@ def test_jaccard_brute_force(spark):
     df = spark.createDataFrame([rows[i] for i in order], SCHEMA).repartition(3)
     got = sorted((r.doc_id for r in pipeline.near_duplicates(spark, df, "").collect()), key=str)
     assert got == brute(rows) and len(got) < len(rows) - 80
+
+
+def test_shared_and_null_ids(spark):
+    rng = np.random.default_rng(6)
+    a, b, c, d = (" ".join(f"w{x}" for x in rng.integers(0, 5000, 120)) for _ in range(4))
+    rows = [(1, a), (1, b), (2, c), (None, changed(rng, c, 1)), (None, d), (None, changed(rng, d, 1)), (1, a)]
+    got = pipeline.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert sorted(r.text for r in got if r.doc_id is not None) == sorted([a, b, c])
+    assert [r.text in (d, rows[5][1]) for r in got if r.doc_id is None] == [True]
