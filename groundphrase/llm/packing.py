@@ -1,72 +1,151 @@
 """Best-fit packing with several permitted sequence lengths.
 
 Documents are cut into pieces no longer than the largest length; pieces go, longest first, into the open bin
-that they fill best. Where none fits, a bin of the least-cost length is opened: the one whose cost for each
-token, given how far the pieces still to come can fill it, is least. At the end each bin shrinks to the smallest
-length that holds its contents. Packing runs in shards of bounded size, dealt by a hash of the row's number, so
-that no key can be hot and no task sees much more than a shard whatever the data.
+that they fill best. Where none fits, a bin of the least-cost length is opened: for each length that holds the
+piece, the histogram of the sizes that are still to come tells how full such a bin can get (the largest that fit,
+one after the other), and the length whose cost for each token is least wins. A sequence costs its length, a fixed
+overhead and attention, which grows with the square; so long bins pay only where short ones would stay emptier.
+At the end each bin shrinks to the smallest length that holds its contents. Packing runs in shards of bounded
+size, dealt by a hash of the piece and, for repeated rows, of their number, so that no key can be hot, no task
+sees much more than a shard whatever the data, and the result does not depend on how the table is laid out.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-from collections.abc import Iterator, Sequence
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter
+from collections.abc import Callable, Sequence
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundphrase.llm.common import stored, table
+from groundphrase.llm.common import map_text, stored, table
 
 LENGTHS = (512, 1024, 2048, 4096, 8192)
-#: What a bin costs besides its length, in tokens: short sequences cost attention masks, padding and rows.
-OVERHEAD = 16
+#: What a bin costs besides its length, in tokens (masks, rows), and the length at which attention costs as
+#: much as everything else (six times the width of a model that is 4,096 wide).
+OVERHEAD, ATTENTION = 16, 24_576
 #: Pieces in a shard, about.
 SHARD = 20_000
-
-
-def word_count(text: Column) -> Column:
-    """Words of a text, and one for the end mark."""
-    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != "")).cast("long") + 1
-
-
-def pack(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS, overhead: int = OVERHEAD) -> list[tuple[int, int, int]]:
-    """(bin, its length, place in it) of each piece; sizes are 1 to max(lengths). Bins are numbered from 0 as
-    they are opened; pieces of one size go in their given order."""
-    lengths = sorted(lengths)
+#: Characters that are encoded at once when tokens are counted.
+STRIDE = 1 << 20
+
+
+def bin_cost(length: int, overhead: float = OVERHEAD, attention: float = ATTENTION) -> float:
+    """The cost of a sequence of that length, in tokens."""
+    return overhead + length + length * length / attention
+
+
+class _Left:
+    """The sizes still to come: how much of a room their largest ones can fill."""
+
+    def __init__(self, sizes: Sequence[int]):
+        n = Counter(sizes)
+        self.values = sorted(n)
+        self.counts = [n[v] for v in self.values]
+        self.at = {v: i for i, v in enumerate(self.values)}
+        self.below = [*range(-1, len(self.values))]  # i + 1: the next place at or under i that has any, plus 1
+
+    def take(self, size: int) -> None:
+        i = self.at[size]
+        self.counts[i] -= 1
+        if not self.counts[i]:
+            self.below[i + 1] = i - 1
+
+    def _find(self, i: int) -> int:
+        path = []
+        while i >= 0 and self.below[i + 1] != i:
+            path.append(i)
+            i = self.below[i + 1]
+        for j in path:
+            self.below[j + 1] = i
+        return i
+
+    def fill(self, room: int) -> int:
+        total, i = 0, bisect_right(self.values, room) - 1
+        while (i := self._find(i)) >= 0:
+            v = self.values[i]
+            k = min(self.counts[i], room // v)
+            total, room = total + k * v, room - k * v
+            i = min(i - 1, bisect_right(self.values, room) - 1)
+        return total
+
+
+def opened(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS, overhead: float = OVERHEAD, attention: float = ATTENTION) -> tuple[list[tuple[int, int]], list[int], list[int]]:
+    """(bin, place in it) of each piece, and of each bin the length it was opened with and what it holds."""
+    lengths = sorted(set(lengths))
     order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
-    left = sum(sizes)
+    left, small = _Left(sizes), sizes[order[-1]] if order else 0
+    price = {c: bin_cost(c, overhead, attention) for c in lengths}
     free: list[tuple[int, int]] = []  # (room, bin), sorted
-    bins: list[list[int]] = []
+    caps: list[int] = []
     fill: list[int] = []
+    count: list[int] = []
     place = [(0, 0)] * len(sizes)
-    small = sizes[order[-1]] if order else 0
     for i in order:
         size = sizes[i]
+        left.take(size)
         at = bisect_left(free, (size, -1))
         if at < len(free):
             room, b = free.pop(at)
         else:
-            # What can go in beside this piece is what is left, if the smallest piece fits at all.
-            def cost(c: int, size: int = size, left: int = left) -> float:
-                rest = c - size
-                more = min(rest, left - size) if rest >= small else 0
-                return (c + overhead) / (size + more)
-
-            cap = min((c for c in lengths if c >= size), key=lambda c: (cost(c), c))
-            room, b = cap, len(bins)
-            bins.append([])
+            room = min((c for c in lengths if c >= size), key=lambda c: (price[c] / (size + left.fill(c - size)), c))
+            b = len(caps)
+            caps.append(room)
             fill.append(0)
-        place[i] = (b, len(bins[b]))
-        bins[b].append(i)
+            count.append(0)
+        place[i] = (b, count[b])
+        count[b] += 1
         fill[b] += size
-        left -= size
         if room - size >= small:
             insort(free, (room - size, b))
-    final = [next(c for c in lengths if c >= n) for n in fill]
+    return place, caps, fill
+
+
+def pack(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS, overhead: float = OVERHEAD, attention: float = ATTENTION) -> list[tuple[int, int, int]]:
+    """(bin, its length, place in it) of each piece; sizes are 1 to max(lengths), others raise ValueError. Bins are
+    numbered from 0 as they are opened; pieces of one size go in their given order. No sizes give no bins."""
+    place, _, fill = opened(sizes, lengths, overhead, attention)
+    final = [next(c for c in sorted(lengths) if c >= n) for n in fill]
     return [(b, final[b], k) for b, k in place]
 
 
+@lru_cache(2)
+def counter(model: str) -> Callable[[str], int]:
+    """The number of tokens of a text, an end id included, by the sentencepiece library. Long texts are encoded in
+    parts that end before a single space: no piece of a vocabulary holds one between other characters."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=model)
+    whole = any("▁" in sp.id_to_piece(i).lstrip("▁") for i in range(sp.get_piece_size()))
+
+    def count(text: str) -> int:
+        at, n = 0, 1
+        while not whole and len(text) - at > STRIDE:
+            cut = text.find(" ", at + STRIDE)
+            while cut >= 0 and (text[cut - 1].isspace() or text[cut + 1 : cut + 2].strip() == ""):
+                cut = text.find(" ", cut + 1)
+            if cut < 0:
+                break
+            n += len(sp.encode(text[at:cut]))
+            at = cut + 1
+        return n + len(sp.encode(text[at:]))
+
+    return count
+
+
+def with_tokens(df: DataFrame, model: str, text: str = "text", out: str = "n_tokens", keep: list[str] | None = None) -> DataFrame:
+    """Add the number of tokens of whole texts, an end id included. Null counts as empty."""
+
+    def make():
+        count = counter(model)
+        return lambda texts: [[count((t or b"").decode(errors="replace")) for t in texts]]
+
+    return map_text(df, text, f"`{out}` long", make, keep)
+
+
 def pieces(df: DataFrame, doc_id: str, size: Column, longest: int) -> DataFrame:
     """(doc_id, piece, start, n): each document in pieces of at most `longest`; sizes under 1 give no piece."""
     d = df.select(F.col(doc_id).alias("doc_id"), size.cast("long").alias("size")).where("size > 0")
@@ -78,31 +157,37 @@ def pieces(df: DataFrame, doc_id: str, size: Column, longest: int) -> DataFrame:
 OUT = "shard long, bin long, capacity int, place int, doc_id long, piece long, start long, n long"
 
 
-def pack_documents(df: DataFrame, doc_id: str = "doc_id", size: Column | None = None, lengths: Sequence[int] = LENGTHS, overhead: int = OVERHEAD, shard: int = SHARD) -> DataFrame:
+def pack_documents(df: DataFrame, doc_id: str = "doc_id", size: Column | None = None, lengths: Sequence[int] = LENGTHS, overhead: float = OVERHEAD, attention: float = ATTENTION, shard: int = SHARD, text: str = "text", model: str | None = None) -> DataFrame:
     """A row for each piece: shard and bin (both name the sequence), capacity, place, doc_id, piece, start and n.
 
-    size: tokens of a document (by default words of `text` and an end mark). Every document is there whole;
-    null texts are an end mark alone, null sizes and sizes under 1 give nothing. Repeated rows and null ids are packed like
-    any other; other columns aren't carried. An empty table gives an empty result.
+    size: tokens of a document (by default those of `text` under the sentencepiece model, and an end mark). Every
+    document is there whole; null and empty texts are an end mark alone, null sizes and sizes under 1 give
+    nothing. Repeated rows and null ids are packed like any other; rows that are alike in all of this may change
+    places, nothing else depends on the table's layout. Other columns aren't carried. An empty table gives an
+    empty result.
     """
-    longest = max(lengths)
-    p, _ = stored(pieces(df, doc_id, word_count(F.col("text")) if size is None else size, longest), "pieces")
-    full = F.col("n") == longest  # needs no company
-    rest = p.where(~full)
-    shards = max(1, -(-rest.count() // shard))
+    if size is None:
+        if model is None:
+            import public_tokenizers
+
+            model = str(public_tokenizers.path("piece_bpe_32k.model"))
+        df, size = with_tokens(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")), model, "t", keep=["doc_id"]), F.col("n_tokens")
+        doc_id = "doc_id"
+    p = pieces(df, doc_id, size, max(lengths)).groupBy("doc_id", "piece", "start", "n").agg(F.count(F.lit(1)).alias("copies"))
+    p, _ = stored(p, "pieces")
+    shards = max(1, -(-(p.agg(F.sum("copies")).first()[0] or 0) // shard))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "piece", "n"], kind="stable", na_position="first")
-        got = pack(pdf["n"].tolist(), lengths, overhead)
-        b, c, k = zip(*got, strict=True)
+        pdf = pdf.sort_values(["doc_id", "piece", "n", "copy"], kind="stable", na_position="first")
+        b, c, k = zip(*pack(pdf["n"].tolist(), lengths, overhead, attention), strict=True)
         return pdf.assign(bin=b, capacity=c, place=k)[["shard", "bin", "capacity", "place", "doc_id", "piece", "start", "n"]]
 
-    dealt = rest.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
-    alone = p.where(full).select(F.lit(-1).cast("long").alias("shard"), F.monotonically_increasing_id().alias("bin"), F.lit(longest).alias("capacity"), F.lit(0).alias("place"), "doc_id", "piece", "start", "n")
-    return dealt.groupBy("shard").applyInPandas(run, OUT).unionByName(alone)
+    each = p.select("doc_id", "piece", "start", "n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    return each.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "n", "copy"), F.lit(shards))).groupBy("shard").applyInPandas(run, OUT)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed, by the tokens of the same model as op1's; see pack_documents for nulls, ties and repeats."""
     return pack_documents(table(spark, sf_dir, "documents"))
 
 

@@ -1,9 +1,13 @@
 """The pipeline's stages by brute force over the small tables, one stage's input at a time."""
 
+import re
+
+import public_tokenizers
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
-from groundphrase.llm import secret_scan, simhash
+from groundphrase.llm import secret_scan
 
 pipeline = pytest.importorskip("corpus_pipeline")
 SF = "/root/testdata/sf0.001"
@@ -29,19 +33,21 @@ def test_stages_in_order(spark):
     assert len(ids(q1) & set(good)) > 0.9 * len(good) and None not in {r.text for r in q1}
     gone = ids(t0) - ids(t1)
     assert all(labels[i].toxic for i in gone if i in labels) and gone
-    fps, texts = {}, {}
-    for r in n0:
-        fps.setdefault(simhash.fingerprint((r.text or "").encode()), []).append(r.doc_id)
-    keys = [*fps]
-    group = {f: {f} for f in keys}
+    # Texts are linked by the Jaccard similarity of their five-word shingles.
+    plain = [tuple(re.sub("[A-Z]+", lambda m: m[0].lower(), r.text or "").encode().split()) for r in n0]
+    keys = [*dict.fromkeys(plain)]
+    sets = {w: {w[i : i + 5] for i in range(max(1, len(w) - 4))} if w else set() for w in keys}
+    group = {w: {w} for w in keys}
     for i, a in enumerate(keys):
         for b in keys[:i]:
-            if ((a ^ b) & (1 << 64) - 1).bit_count() <= 2:
+            if sets[a] and sets[b] and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
                 group[a] |= group[b]
-                for f in group[a]:
-                    group[f] = group[a]
-    want = {min((x for f in g for x in fps[f] if x is not None), default=None) for g in map(group.get, keys)}
-    assert ids(n1) == want and len(n1) == len({id(g) for g in map(group.get, keys)})
+                for w in group[a]:
+                    group[w] = group[a]
+    by = {}
+    for r, w in zip(n0, plain, strict=True):
+        by.setdefault(id(group[w]), []).append(r.doc_id)
+    assert ids(n1) == {min((x for x in v if x is not None), default=None) for v in by.values()} and len(n1) == len(by) < len(keys)
     texts = {r.doc_id: r.text for r in s0}
     for r in s1:
         spans = secret_scan.scanner().scan(texts[r.doc_id] or "")
@@ -50,7 +56,8 @@ def test_stages_in_order(spark):
     n = {}
     for r in p1:
         n[r.doc_id] = n.get(r.doc_id, 0) + r.n
-    assert n == {r.doc_id: len(r.text.split()) + 1 for r in p0}
+    sp = sentencepiece.SentencePieceProcessor(model_file=str(public_tokenizers.path("piece_bpe_32k.model")))
+    assert n == {r.doc_id: len(sp.encode(r.text)) + 1 for r in p0}
 
 
 def test_empty(spark):
