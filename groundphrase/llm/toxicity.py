@@ -1,14 +1,16 @@
 """Toxicity by weak supervision.
 
 Word beginnings that go with toxic labels are mined from a bounded sample of labelled rows and dealt into
-lexicons. Many voters, one for each lexicon and pattern and one for the annotator, vote toxic or clean or
-abstain. A generative model estimates their accuracies and how far they are correlated (correlated voters
-share one vote's weight) and gives each sampled text a posterior label; a linear classifier is trained on these
-and scores all texts from their words alone.
+lexicons. Many voters, one for each lexicon and pattern, vote toxic or clean or abstain; labels don't vote. A
+generative model, in which every voter's vote depends on the class and on the vote of the one voter that it
+goes with most (a tree, found from the votes), estimates accuracies and correlations together by
+expectation-maximisation and gives each sampled text a posterior label; a linear classifier is trained on these and scores all
+texts from their words alone.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -17,6 +19,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from groundphrase.llm.common import map_text, table
 
@@ -28,6 +31,11 @@ SAMPLE, FEATURES, LEXICONS = 12_000, 1_500, 16
 #: A mined feature is in so many toxic texts of the sample, in that share of them, and its mean value is so many
 #: times that in clean ones.
 LEAST_TEXTS, LEAST_SHARE, LEAST_RATIO = 4, 0.02, 3.0
+#: A mined lexicon votes toxic on texts that have more of it than this share of the clean ones.
+QUIET = 0.97
+#: Pseudo-counts of a voter's votes on a toxic text (abstain, clean, toxic), what its own rates weigh against those
+#: given its parent's vote, and the information (nats) below which voters count as independent.
+PRIOR, PARENT_WEIGHT, LEAST_INFORMATION = np.array([2.0, 1.0, 4.0]), 5.0, 0.005
 #: A lexicon of the author's own (fixed values): insults that are plain in any text.
 INSULTS = frozenset(
     "idiot idiots moron morons stupid dumb loser losers scum trash worthless pathetic disgusting clown imbecile fool jerk bastard bitch asshole shit fuck fucking crap vermin filth retard retarded whore slut cunt"
@@ -62,59 +70,124 @@ def _patterns(text: str, n: int) -> list[int]:
 
 
 def sample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", n: int = SAMPLE) -> DataFrame:
-    """(doc_id, y, n_words, feats, insults, patterns) of at most n labelled rows that aren't held out.
+    """(row, y, n_words, feats, insults, patterns) of at most n rows: labelled texts that aren't held out.
 
-    They come in order of a hash of the id; both classes alike as they are. Only ids of this bounded sample
-    are sent to the documents, never their texts to a shuffle.
+    An id's label is the largest of its labels. Ids come in order of a hash, as many as have n documents at most
+    together; repeated ids and texts count as rows, and an id with more rows than are left ends the sample. Only
+    the ids of this bounded sample are sent to the documents, never their texts to a shuffle. Null ids and labels other than 0 and 1
+    teach nothing; null texts count as empty.
     """
     ids = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & ~is_held_out(F.col(doc_id))).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).cast("int").alias("y"))
-    ids = ids.orderBy(F.xxhash64("id"), "id").limit(n)
+    ids = ids.orderBy(F.xxhash64("id"), "id").limit(n)  # one row at least for each id that counts
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(ids), "id")
+    counts = rows.groupBy("id").agg(F.first("y").alias("y"), F.count(F.lit(1)).alias("rows"))
+    taken, total = [], 0
+    for r in counts.orderBy(F.xxhash64("id"), "id").collect():  # n at most
+        total += r.rows
+        if total > n:
+            break
+        taken.append((r.id, r.y))
+    ids = docs.sparkSession.createDataFrame(taken, T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("y", T.IntegerType())]))
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(ids), "id")
 
     def make():
         def run(texts: list) -> list:
-            out = [[], [], [], []]
+            out = [[], [], [], [], []]
             for t in texts:
                 w, s = words(t), (t or b"").decode(errors="replace")
                 c = Counter(f for x in w for f in beginnings(x))
-                out[0].append(len(w))
-                out[1].append([{"f": f, "c": k} for f, k in c.items()])
-                out[2].append(sum(x in INSULTS for x in w))
-                out[3].append(_patterns(s, len(w)))
+                out[0].append(int.from_bytes(hashlib.blake2b(t or b"", digest_size=8).digest(), "big", signed=True))
+                out[1].append(len(w))
+                out[2].append([{"f": f, "c": k} for f, k in c.items()])
+                out[3].append(sum(x in INSULTS for x in w))
+                out[4].append(_patterns(s, len(w)))
             return out
 
         return run
 
-    joined = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(ids), "id")
-    return map_text(joined, "text", "n_words int, feats array<struct<f:string,c:int>>, insults int, patterns array<int>", make, ["id", "y"])
+    # Rows that are alike teach alike, so (id, text) names them and a count stands for the rest.
+    return map_text(rows, "text", "hash long, n_words int, feats array<struct<f:string,c:int>>, insults int, patterns array<int>", make, ["id", "y"])
+
+
+def _mutual(votes: np.ndarray, p: np.ndarray, a: int, b: int) -> float:
+    """Information that two voters' votes hold on each other, given the class."""
+    out = 0.0
+    for w in (p, 1 - p):
+        joint = np.bincount(votes[:, a] * 3 + votes[:, b], weights=w, minlength=9).reshape(3, 3) + 0.1
+        share, joint = w.sum() / len(p), joint / joint.sum()
+        out += share * float((joint * np.log(joint / np.outer(joint.sum(1), joint.sum(0)))).sum())
+    return out
+
+
+def _tree(votes: np.ndarray, p: np.ndarray) -> list[int]:
+    """For each voter the one that it depends on (-1: none): the spanning tree with the most information."""
+    k = votes.shape[1]
+    parent, best = [-1] * k, {j: (_mutual(votes, p, 0, j), 0) for j in range(1, k)}
+    while best:
+        j = max(best, key=lambda x: (best[x][0], -x))
+        gain, at = best.pop(j)
+        parent[j] = at if gain > LEAST_INFORMATION else -1
+        for i in best:
+            g = _mutual(votes, p, j, i)
+            if g > best[i][0]:
+                best[i] = (g, j)
+    return parent
+
+
+@dataclass
+class Voters:
+    """What the label model has estimated: each voter's parent and, by class and the parent's vote, the
+    probabilities of its votes (abstain, clean, toxic), and the share of the toxic class."""
+
+    parent: list[int]
+    tables: list[np.ndarray]
+    share: float
+
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        odds = np.full(len(votes), math.log(self.share / (1 - self.share)))
+        for j, (at, t) in enumerate(zip(self.parent, self.tables, strict=True)):
+            given = votes[:, at] if at >= 0 else 0
+            odds += np.log(t[1, given, votes[:, j]] / t[0, given, votes[:, j]])
+        return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
+    def accuracy(self, votes: np.ndarray, p: np.ndarray) -> list[tuple[float, float]]:
+        """Of each voter: how often it votes toxic on toxic texts and clean on clean ones, where it votes."""
+        hits = [[(w @ (votes[:, j] == v)) / max(1e-9, w @ (votes[:, j] > 0)) for v, w in ((2, p), (1, 1 - p))] for j in range(votes.shape[1])]
+        return [(float(a), float(b)) for a, b in hits]
 
-def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of the toxic class, the voters' weights (shares of a vote that correlations leave them), and
-    their accuracies (rows: toxic voted on toxic, toxic voted on clean), by expectation-maximisation.
 
-    votes: rows by voters, 1, 0 or -1 (abstain); start: first posteriors. Voters whose agreement within the
-    classes goes beyond what their accuracies explain share their weight.
+def label_model(votes: np.ndarray, balance: float | None = None, rounds: int = 60) -> tuple[np.ndarray, Voters]:
+    """Posteriors of the toxic class, and the voters' accuracies and correlations, by expectation-maximisation.
+
+    votes: rows by voters, 1 (toxic), 0 (clean) or -1 (abstain); balance: the toxic class's share, if it is known. The
+    first posteriors are the shares of toxic votes. A class keeps its name because each voter's prior is to vote right where it votes.
     """
-    n, k = votes.shape
-    pos, neg, p = (votes == 1).astype(float), (votes == 0).astype(float), start.astype(float)
-    weight, share, acc = np.ones(k), 0.5, np.zeros((2, k))
+    v = np.where(votes < 0, 0, votes + 1).astype(np.int64)
+    n, k = v.shape
+    toxic, clean = (v == 2).sum(1), (v == 1).sum(1)
+    p = np.clip((toxic + 0.1) / (toxic + clean + 0.4), 0.02, 0.98)
+    model = Voters([-1] * k, [], 0.5)
     for step in range(rounds):
-        share = (p.sum() + 1) / (n + 2)
-        acc[0] = (p @ pos + 1.5) / (p @ (pos + neg) + 2)
-        acc[1] = ((1 - p) @ pos + 0.5) / ((1 - p) @ (pos + neg) + 2)
-        if step % 10 == 1:
-            dev = (pos + neg) * (pos - np.outer(p, acc[0]) - np.outer(1 - p, acc[1]))
-            cov = dev.T @ dev
-            scale = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-            corr = cov / np.outer(scale, scale)
-            weight = 1 / np.maximum(1.0, np.where(corr > 0.2, corr, 0).sum(1))
-        odds = math.log(share / (1 - share)) + pos @ (weight * np.log(acc[0] / acc[1])) + neg @ (weight * np.log((1 - acc[0]) / (1 - acc[1])))
-        new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        if np.abs(new - p).max() < 1e-5 and step > 10:
-            p = new
-            break
+        if step in (1, 5, 15):
+            model.parent = _tree(v, p)
+        tables = []
+        for j in range(k):
+            at = model.parent[j]
+            t = np.zeros((2, 3, 3))
+            for c, w in enumerate((1 - p, p)):
+                alone = np.bincount(v[:, j], weights=w, minlength=3) + (PRIOR if c else PRIOR[[0, 2, 1]])
+                t[c] = alone / alone.sum()
+                if at >= 0:  # towards the voter's own rates where a parent's vote is rare
+                    joint = np.bincount(v[:, at] * 3 + v[:, j], weights=w, minlength=9).reshape(3, 3) + PARENT_WEIGHT * t[c]
+                    t[c] = joint / joint.sum(1, keepdims=True)
+            tables.append(t)
+        model = Voters(model.parent, tables, float((p.sum() + 1) / (n + 2)) if balance is None else balance)
+        new = model.posterior(v)
+        done = np.abs(new - p).max() < 1e-5 and step > 16
         p = new
-    return p, weight, acc
+        if done:
+            break
+    return p, model
 
 
 @dataclass
@@ -157,33 +230,39 @@ def fit(rows: DataFrame) -> Model:
         least, ratio = max(LEAST_TEXTS, LEAST_SHARE * n1), F.col("a") / n1 >= LEAST_RATIO * F.col("b") / n0
         best = stats.where((F.col("na") >= least) & ratio).withColumn("gain", F.round(gain, 9)).where("gain > 0").orderBy(F.desc("gain"), "f").limit(FEATURES).collect()
         names = rows.sparkSession.createDataFrame([(r.f, i) for i, r in enumerate(best)], "f string, i int")
-        hits = rows.select("id", F.explode("feats").alias("x")).select("id", F.col("x.f").alias("f"), F.col("x.c").alias("c")).join(F.broadcast(names), "f")
-        hits = hits.groupBy("id").agg(F.collect_list(F.struct("i", "c")).alias("hits"))
-        docs = rows.select("id", "y", "n_words", "insults", "patterns").join(hits, "id", "left").orderBy("id").collect()
+        key = ["id", "hash"]
+        each = rows.groupBy(*key).agg(*(F.first(c).alias(c) for c in ("y", "n_words", "insults", "patterns", "feats")), F.count(F.lit(1)).alias("copies"))
+        hits = each.select(*key, F.explode("feats").alias("x")).select(*key, F.col("x.f").alias("f"), F.col("x.c").alias("c")).join(F.broadcast(names), "f")
+        hits = hits.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("i", "c"))).alias("hits"))
+        each = each.drop("feats").join(hits, key, "left").orderBy(*key).collect()  # SAMPLE at most
+        docs = [r for r in each for _ in range(r.copies)]
     finally:
         rows.unpersist()
     return _train(docs, [r.f for r in best])
 
 
+def _votes(docs: list, names: list[str], row: np.ndarray, col: np.ndarray, val: np.ndarray, insult: np.ndarray) -> np.ndarray:
+    """Votes of the author's lexicon, of the mined ones and of the patterns. Lexicons take features in turn, so that
+    each has strong ones; a lexicon votes toxic above what QUIET of the texts labelled clean reach."""
+    n, size, clean = len(docs), np.array([r.n_words for r in docs], float), np.array([r.y == 0 for r in docs])
+    votes = [np.where(insult > 0, 1, np.where(size >= 30, 0, -1))]
+    m = max(1, min(LEXICONS, len(names)))
+    for j in range(m if names else 0):
+        total = np.bincount(row[col % m == j], weights=val[col % m == j], minlength=n)
+        high = float(np.sort(total[clean])[int(QUIET * clean.sum())]) if clean.any() else 0.0
+        votes.append(np.where(total > high, 1, np.where((total <= high / 2) & (size >= 30), 0, -1)))
+    return np.stack(votes + [np.array([r.patterns[j] for r in docs]) for j in range(3)], 1)
+
+
 def _train(docs: list, names: list[str]) -> Model:
     n, k = len(docs), len(names)
-    y = np.array([r.y for r in docs], float)
     size = np.array([r.n_words for r in docs], float)
     row = np.array([i for i, r in enumerate(docs) for _ in r.hits or ()], np.int64)
     col = np.array([h.i for r in docs for h in r.hits or ()], np.int64)
     val = np.log1p(200.0 * np.array([h.c for r in docs for h in r.hits or ()], float) / (size[row] + 30)) if len(row) else np.zeros(0)
     insult = np.log1p(200.0 * np.array([r.insults for r in docs], float) / (size + 30))
-    # Voters. Lexicons take features in turn, so that each has strong ones.
-    m = max(1, min(LEXICONS, k))
-    votes = [np.where(insult > 0, 1, np.where(size >= 30, 0, -1))]
-    for j in range(m if k else 0):
-        mine = col % m == j
-        total = np.bincount(row[mine], weights=val[mine], minlength=n)
-        high = np.sort(total[y == 0])[int(0.97 * (y == 0).sum())] if (y == 0).any() else 0.0
-        votes.append(np.where(total > high, 1, np.where((total <= high / 2) & (size >= 30), 0, -1)))
-    votes += [np.array([r.patterns[j] for r in docs]) for j in range(3)]
-    votes.append(y.astype(int))  # the annotator
-    p, _, _ = label_model(np.stack(votes, 1), np.where(y == 1, 0.95, 0.05))
+    # Labels vote on no text: they chose the lexicons, and give the classes' balance.
+    p, _ = label_model(_votes(docs, names, row, col, val, insult), (sum(r.y for r in docs) + 1) / (n + 2))
     # The linear classifier, on posterior labels: logistic regression with a quadratic penalty, by Adam.
     w, insults, bias = np.zeros(k), 0.0, math.log((p.sum() + 0.5) / (n - p.sum() + 0.5))
     mom, sec, lr, penalty = np.zeros(k + 2), np.zeros(k + 2), 0.05, 0.1 / n

@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import numpy as np
@@ -11,10 +12,51 @@ def test_label_model_finds_posteriors_and_correlations():
     y = (rng.random(n) < 0.2).astype(int)
     flip = lambda a: np.where(rng.random(n) < a, y, 1 - y)
     one = flip(0.75)
-    votes = np.stack([flip(0.9), flip(0.85), flip(0.8), one, one, one, np.where(rng.random(n) < 0.5, flip(0.9), -1)], 1)
-    p, weight, _ = T.label_model(votes, np.where(votes[:, 0] == 1, 0.8, 0.2))
+    copy = lambda: np.where(rng.random(n) < 0.95, one, 1 - one)
+    votes = np.stack([flip(0.9), flip(0.85), flip(0.8), one, copy(), copy(), np.where(rng.random(n) < 0.5, flip(0.9), -1)], 1)
+    p, model = T.label_model(votes)
     assert ((p > 0.5) == y).mean() > 0.93
-    assert weight[3] < 0.5 < weight[0]
+    # Copies hang on each other; left as if they were independent, they count too much.
+    assert sum(model.parent[j] in (3, 4, 5) for j in (3, 4, 5)) == 2
+    apart = T.Voters([-1] * 7, [np.broadcast_to(t[:, :1], (2, 3, 3)) for t in T.label_model(votes, rounds=1)[1].tables], model.share)
+    lone = np.array([[1, 1, 1, 2, 2, 2, 0]])  # three copies against three voters
+    assert model.posterior(lone)[0] < apart.posterior(lone)[0]
+    got = model.accuracy(np.where(votes < 0, 0, votes + 1), p)
+    assert all(abs(a - b) < 0.08 for (a, _), b in zip(got, (0.9, 0.85, 0.8, 0.75, 0.75, 0.75, 0.9), strict=True))
+
+
+def test_balance_is_kept():
+    votes = np.array([[1, 1], [1, 0], [0, 0], [-1, -1]] * 50)
+    assert T.label_model(votes, 0.1)[1].share == 0.1
+
+
+def brute(model, text):
+    """The score of a text, one feature after the other."""
+    w = re.findall(r"[^\W\d_]+", text.lower())
+    z = model.bias + model.insults * np.log1p(200 * sum(x in T.INSULTS and len(x) > 3 for x in w) / (len(w) + 30))
+    for f, weight in model.weights.items():
+        n = sum(len(x) > 3 and (x == f or f.endswith("*") and len(x) >= len(f) and x.startswith(f[:-1])) for x in w)
+        z += weight * np.log1p(200 * n / (len(w) + 30))
+    return 1 / (1 + np.exp(-z))
+
+
+def test_against_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = T.learned(spark, "/root/testdata/sf0.01")
+    got = T.score(docs, model).collect()
+    assert model.weights and all(abs(r.score - brute(model, r.text)) < 1e-9 for r in got)
+
+
+def test_a_repeated_id_does_not_break_the_bound(spark):
+    free = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    docs = spark.createDataFrame([(free[0], f"text number {k % 3}") for k in range(50)] + [(i, "other text") for i in free[1:]], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in free], "doc_id long, toxic int")
+    for n in (1, 5, 20, 200):
+        got = T.sample(docs, labels, n=n).collect()
+        assert len(got) <= n
+    assert len(got) == 50 + len(free) - 1 and len({r.hash for r in got if r.id == free[0]}) == 3
+    assert T.fit(T.sample(docs, labels)).bias
 
 
 def test_held_out_is_by_crc32(spark):
