@@ -81,9 +81,16 @@ def new_path(spark: SparkSession, what: str) -> str:
     return path
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its scheme: one without is on the cluster's default file system, not on a machine's own disk."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return str(p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString())
+
+
 def remove(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _made[:] = [x for x in _made if x[1] != path]
 
 
 @atexit.register
@@ -119,11 +126,16 @@ def join_counted(left: DataFrame, right: DataFrame, key: str, n: str) -> DataFra
     return left.join(hot, key).unionByName(rest)
 
 
+def _least(edges: DataFrame) -> tuple[DataFrame, str]:
+    """(u, m, n): the smallest neighbour of each node, and how many edges it has."""
+    return stored(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected edges between longs: (node, component), the smallest node of each.
 
-    Alternating large-star and small-star steps; each ends in a table of the shared folder. Nodes without an
-    edge do not appear. Edges with a null end and loops are left out.
+    Alternating large-star and small-star steps; each ends in a table of the shared folder. A centre with very many
+    neighbours is joined apart, so no task gets all of them. Nodes without an edge do not appear. Edges with a null end and loops are left out.
     """
     spark = edges.sparkSession
     e = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct()
@@ -134,12 +146,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("centre").alias("centre")).where("up > 1 or (up = 1 and centre = 1)").isEmpty():
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        least, path_0 = _least(both)
+        large = join_counted(both, least, "u", "n").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u != v")
+        large, path_1 = stored(large, "edges")
+        least, path_2 = _least(large)
+        small = join_counted(large, least, "u", "n").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         new, new_path_ = stored(small, "edges")
-        remove(spark, path)
+        for x in (path, path_0, path_1, path_2):
+            remove(spark, x)
         e, path = new, new_path_
     stars = e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())

@@ -1,6 +1,8 @@
-"""Near copies by the Jaccard similarity of word shingles: hash blocks propose, the shingles themselves decide.
+"""Near copies by the Jaccard similarity of word shingles: ball hashing and hash blocks propose, the shingles decide.
 
-Minima of permuted shingle hashes, ROWS in a block, bring two texts of similarity s together with probability
+SimHash fingerprints of the same shingles propose by ball hashing, as everywhere in `simhash`. That alone can't give
+right results here: at a similarity of 0.8 two fingerprints differ in 9.7 of 64 bits on average, so a
+radius with 0.99 of such pairs is 17, and half of it has billions of variants. So blocks of minima propose too. Minima of permuted shingle hashes, ROWS in a block, bring two texts of similarity s together with probability
 1 - (1 - s ** ROWS) ** BLOCKS: 0.99994 at 0.8. A block's texts are first compared with its smallest node; what that
 links is one component, and only texts of different components that share a block are compared after it. So
 every pair of a block is either compared or connected already, and a large group of copies costs no square.
@@ -15,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundphrase.llm.common import components, join_counted, map_text, stored
+from groundphrase.llm import simhash
 from groundphrase.llm.simhash import BLOCK
 
 WORDS, SIMILARITY_10 = 5, 8  # shingles of five words; tenths
@@ -65,9 +68,17 @@ def _sketched(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     def sketch(texts):
         each = [words(t) for t in texts]
         sets = [shingles(w) for w in each]
-        return [[node(w) for w in each], [len(s) for s in sets], [blocks(s) for s in sets]]
+        return [[node(w) for w in each], [len(s) for s in sets], [simhash.of_hashes(s) for s in sets], [blocks(s) for s in sets]]
 
-    return map_text(df, text, "node long, n int, blocks array<long>", lambda: sketch, keep)
+    return map_text(df, text, "node long, n int, fp long, blocks array<long>", lambda: sketch, keep)
+
+
+def _balls(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) that ball hashing proposes: each node with the first of its fingerprint, and linked fingerprints."""
+    some = nodes.where("n > 0")
+    firsts, _ = stored(some.groupBy("fp").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("rows")), "fingerprints")
+    same = join_counted(some.select("fp", F.col("node").alias("b")), firsts.withColumnRenamed("node", "a"), "fp", "rows").where("a != b").select("a", "b")
+    return same.unionByName(simhash.links(firsts.select("fp", "node")))
 
 
 def _shingled(df: DataFrame) -> DataFrame:
@@ -85,6 +96,10 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").where(both * 10 >= (F.size("s_a") + F.size("s_b") - both) * SIMILARITY_10).select("a", "b")
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def _lengths_allow(n, m):
     return F.least(n, m) * 10 >= F.greatest(n, m) * SIMILARITY_10
 
@@ -93,21 +108,25 @@ def groups(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     """(id, node, component) for every row of df: texts of one component are linked by five-word similarities
     of 0.8 or more. Ids play no part; null texts count as empty, and all wordless texts are alike."""
     rows, _ = stored(_sketched(df.select(F.col(id_col).alias("id"), F.col(text).alias("text")), "text", ["id"]), "sketches")
-    nodes, _ = stored(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("blocks").alias("blocks"), F.count(F.lit(1)).alias("copies")), "nodes")
+    nodes, _ = stored(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("blocks").alias("blocks"), F.count(F.lit(1)).alias("copies")), "nodes")
     each = nodes.select("node", "n", F.explode("blocks").alias("block"))
     heads, _ = stored(each.groupBy("block").agg(F.min(F.struct("node", "n")).alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1"), "heads")
     shared, _ = stored(join_counted(each, heads, "block", "members").where("head is not null"), "blocks")
-    texts = with_node(df.select(F.col(text).alias("text"))).join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    balls, _ = stored(_ordered(_balls(nodes)), "balls")
+    wanted = shared.select("node").unionByName(balls.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    texts = with_node(df.select(F.col(text).alias("text"))).join(wanted, "node", "left_semi").dropDuplicates(["node"])
     sets, _ = stored(_shingled(texts), "shingles")
-    first = shared.where((F.col("node") != F.col("head.node")) & _lengths_allow(F.col("n"), F.col("head.n"))).select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct()
+    first = shared.where((F.col("node") != F.col("head.node")) & _lengths_allow(F.col("n"), F.col("head.n"))).select(F.col("head.node").alias("a"), F.col("node").alias("b"))
+    first, _ = stored(_ordered(first).unionByName(balls).distinct(), "pairs")
     links, _ = stored(_alike(first, sets), "links")
     part = shared.join(components(links), "node", "left").select("block", "node", "n", F.coalesce("component", "node").alias("part"))
-    parts = part.groupBy("block", "part").agg(F.collect_list(F.struct("node", "n")).alias("members"))
-    parts, _ = stored(parts, "parts")
-    other = parts.select("block", F.col("part").alias("part_b"), F.col("members").alias("members_b"))
-    rest = parts.join(other, "block").where("part < part_b").select(F.explode("members").alias("a"), "members_b").select("a", F.explode("members_b").alias("b"))
-    rest = rest.where(_lengths_allow(F.col("a.n"), F.col("b.n"))).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
-    rest = rest.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    part, _ = stored(part, "parts")
+    # What is not connected yet is compared across the parts of a block; blocks of one part are done.
+    mixed = part.groupBy("block").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x != y").select("block")
+    part = part.join(mixed, "block", "left_semi")
+    other = part.select("block", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("part").alias("part_b"))
+    rest = part.withColumnRenamed("node", "a").join(other, "block").where((F.col("part") < F.col("part_b")) & _lengths_allow(F.col("n"), F.col("n_b"))).select("a", "b")
+    rest = _ordered(rest).distinct().join(first, ["a", "b"], "left_anti")
     more, _ = stored(_alike(rest, sets), "links")
     found = components(links.unionByName(more))
     named = nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "copies")

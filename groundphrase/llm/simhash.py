@@ -35,6 +35,15 @@ def fingerprint(text: bytes | None, words: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big", signed=True)
 
 
+def of_hashes(hashes: np.ndarray) -> int:
+    """The SimHash of a set of 64-bit hashes as a signed number; none: 0."""
+    counts, n = np.zeros(64, np.int64), len(hashes)
+    raw = hashes.astype(">i8").view(np.uint8).reshape(-1, 8)
+    for at in range(0, n, BLOCK):
+        counts += np.unpackbits(raw[at : at + BLOCK], axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big", signed=True) if n else 0
+
+
 def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fp", words: int = 3, seed: int = 42, keep: list[str] | None = None) -> DataFrame:
     """Add the SimHash of whole texts as a long."""
     return map_text(df, text, f"`{out}` long", lambda: lambda texts: [[fingerprint(t, words, seed) for t in texts]], keep)
