@@ -194,7 +194,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """
     small_batches(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    rows = files.mapInArrow(_parsed, RECORD)
+    rows, _ = stored(files.mapInArrow(_parsed, RECORD), "records")  # each archive is parsed once
     plain = ["record_id", "record_type", "page_id", "refers_to", "payload_digest", "payload"]
     parts = rows.where("segment is not null").groupBy("origin", "segment").agg(F.first("total", ignorenulls=True).alias("total"), F.first("block").alias("block"), F.max("payload_digest").alias("payload_digest"), F.count(F.lit(1)).alias("copies"))
     heads = F.max(F.when(F.col("segment") == 1, F.col("copies"))).alias("copies"), F.max("payload_digest").alias("payload_digest")
