@@ -127,7 +127,7 @@ def judge(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> D
     """
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     rows, _ = stored(with_votes(with_features(df, text, keep)).withColumn("base_failed", base), "quality")
-    seen = rows.where("n_words > 0").groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()
+    seen = rows.where(~F.col("base_failed")).groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()
     start, weights = label_model([(r.votes, r.n) for r in sorted(seen, key=lambda r: r.votes)])
     odds = F.lit(start)
     for i, (g, b) in enumerate(weights):

@@ -148,13 +148,13 @@ class Codec:
                 lengths[at] = [1, k]  # a single character can always be tried
             else:
                 lengths[at].append(k)  # in order of their ends, so rising
-        known, fits, failed, out, pos, prev, most = self._fit[0].get, self._fits, 0, [], 0, None, n
+        known, fits, failed, out, pos, prev, most = self._fit[0].get, self._fits, bytearray((n >> 3) + 1), [], 0, None, n
         while pos < n:
             for k in reversed(lengths[pos] or (1,)):
                 if k > most:
                     continue
                 end = pos + k
-                if failed and failed >> end & 1:
+                if failed[end >> 3] >> (end & 7) & 1:
                     continue
                 piece = unit[pos:end]
                 if prev is not None:
@@ -166,7 +166,7 @@ class Codec:
                 prev, pos, most = piece, end, n
                 break
             else:  # nothing is left here: step back, and never come here again
-                failed |= 1 << pos
+                failed[pos >> 3] |= 1 << (pos & 7)
                 most = len(out.pop()) - 1
                 pos -= most + 1
                 prev = out[-1] if out else None
