@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import html
 import re
-from dataclasses import dataclass, field
+from bisect import bisect_left
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -17,13 +18,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from groundphrase.llm.common import map_text, table
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+STOPS = re.compile("[>\"']")
 HINTS = re.compile(r"\b(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements without text of the page.
 UNSEEN = frozenset("script style noscript template title svg math iframe object canvas audio video select textarea button datalist form input head".split())
+#: Of these, those that hold text only, up to their own end.
 RAW = frozenset("script style textarea title iframe noscript template".split())
+RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
+#: Starts and ends of the others, and of what may hold such by chance; what a form may not hide.
+REGION = re.compile(rf"<(/?)({'|'.join(sorted(UNSEEN - RAW - VOID))}|script|style)(?=[\s/>])", re.I)
+HEAD = re.compile(r"<(article|main|h1)\b", re.I)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An element in the first set ends an open one in the second, up to the nearest other block.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -47,12 +54,97 @@ class Block:
     side: bool
 
 
-@dataclass
-class _State:
-    stack: list = field(default_factory=list)  # (tag, main, side)
-    parts: list = field(default_factory=list)
-    linked: int = 0
-    blocks: list = field(default_factory=list)
+class _Scan:
+    """One pass over a page's markup. Nothing is looked for twice: what is known to be missing is remembered."""
+
+    def __init__(self, page: str):
+        self.page, self.n = page, len(page)
+        self.none: dict[str, int] = {}  # a string isn't there from this place on
+        self.quoted = True  # until a tag is found whose quotes don't end
+        self._regions: dict | None = None
+
+    def find(self, what: str, at: int) -> int:
+        """str.find; a second search for what is missing costs nothing."""
+        if self.none.get(what, self.n + 1) <= at:
+            return -1
+        k = self.page.find(what, at)
+        if k < 0:
+            self.none[what] = min(at, self.none.get(what, at))
+        return k
+
+    def tag_end(self, at: int) -> int:
+        """The place of the > that ends a tag, past quoted values; -1 if there is none."""
+        if self.quoted:
+            k = at
+            while (m := STOPS.search(self.page, k)) is not None:
+                if m[0] == ">":
+                    return m.start()
+                k = self.find(m[0], m.end()) + 1
+                if k == 0:
+                    break
+            self.quoted = False  # from here on quotes mean nothing, so this is the only search in vain
+        return self.find(">", at)
+
+    def token(self, at: int) -> tuple[str, int, str, str]:
+        """(kind, end, text or tag, attributes): kinds are text, open, close and none (comments and the like)."""
+        page = self.page
+        if page[at] != "<":
+            end = self.find("<", at)
+            end = self.n if end < 0 else end
+            return "text", end, page[at:end], ""
+        if page.startswith("<!--", at):
+            end = self.find("-->", at + 4)
+            return "none", self.n if end < 0 else end + 3, "", ""
+        if page.startswith("<![CDATA[", at):
+            end = self.find("]]>", at + 9)
+            return "raw", self.n if end < 0 else end + 3, page[at + 9 : self.n if end < 0 else end], ""
+        if page.startswith(("<!", "<?"), at):
+            end = self.find(">", at + 2)
+            return "none", self.n if end < 0 else end + 1, "", ""
+        m = NAME.match(page, at + 1)
+        end = self.tag_end(m.end()) if m else -1
+        if end < 0:
+            return "text", at + 1, "<", ""
+        return "close" if m[1] else "open", end + 1, m[2].lower(), page[m.end() : end]
+
+    def region_end(self, start: int, tag: str) -> int:
+        """The end of the element that is open since `start` (the place after its name), -1 if it is never closed."""
+        if self._regions is None:
+            self._regions, stacks, at = {}, {}, 0
+            while (m := REGION.search(self.page, at)) is not None:
+                at, name = m.end(), m[2].lower()
+                if name in ("script", "style"):
+                    if not m[1]:
+                        at = self.raw_end(at, name) if self.raw_end(at, name) >= 0 else at
+                elif not m[1]:
+                    stacks.setdefault(name, []).append(at)
+                elif stacks.get(name):
+                    end = self.find(">", at)
+                    self._regions[stacks[name].pop()] = self.n if end < 0 else end + 1
+            self._heads = [m.start() for m in HEAD.finditer(self.page)]
+        return self._regions.get(start, -1)
+
+    def raw_end(self, at: int, tag: str) -> int:
+        """The end of raw text: after </tag>, -1 if it is missing."""
+        key = "</" + tag
+        if self.none.get(key, self.n + 1) <= at:
+            return -1
+        m = RAW_END[tag].search(self.page, at)
+        if m is None:
+            self.none[key] = min(at, self.none.get(key, at))
+            return -1
+        return m.end()
+
+    def skip(self, start: int, at: int, tag: str) -> int:
+        """Where an element without text ends. One that is never closed ends at once, but raw text at the page's
+        end. A form around an article or a first heading is not skipped."""
+        if tag in RAW:
+            end = self.raw_end(at, tag)
+            return self.n if end < 0 else end
+        end = self.region_end(start, tag)
+        if end < 0 or tag == "form" and bisect_left(self._heads, at) < bisect_left(self._heads, end):
+            return at
+        return end
 
 
 def _names(attrs: str) -> set[str]:
@@ -63,95 +155,83 @@ def _names(attrs: str) -> set[str]:
 
 
 def blocks(page: str) -> list[Block]:
-    """The text blocks of a page in order. References are decoded, white space in a block is one space."""
-    s = _State()
-    links = heading = 0
+    """The text blocks of a page in order. References are decoded, white space in a block is one space. Time is
+    linear in the page, whatever is broken in it."""
+    scan, out = _Scan(page), []
+    stack: list[tuple[str, bool, bool]] = []  # tag, main, side
+    opened: dict[str, list[int]] = {}  # places of each open tag in the stack
+    walls: list[int] = []  # places of the open blocks
+    parts: list[str] = []
+    linked = links = heading = mains = sides = 0
 
     def end_block() -> None:
-        text = " ".join("".join(s.parts).split())
+        nonlocal linked
+        text = " ".join("".join(parts).split())
         if text:
-            main, side = any(x[1] for x in s.stack), any(x[2] for x in s.stack)
-            s.blocks.append(Block(text, len(text.split()), s.linked, heading > 0, main, side))
-        s.parts, s.linked = [], 0
+            out.append(Block(text, len(text.split()), linked, heading > 0, mains > 0, sides > 0))
+        parts.clear()
+        linked = 0
 
     def pop(k: int) -> None:
         """Close all open elements from the k-th on."""
-        nonlocal links, heading
-        for tag, *_ in s.stack[k:]:
+        nonlocal links, heading, mains, sides
+        while len(stack) > k:
+            tag, main, side = stack.pop()
+            opened[tag].pop()
+            if tag in BLOCK:
+                walls.pop()
             links -= tag == "a"
             heading -= tag in HEADINGS
-        del s.stack[k:]
-
-    at, n = 0, len(page)
-    while at < n:
-        m = TOKEN.match(page, at)
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            if not page.startswith("<", m.start()) or m[0] == "<":
-                text = html.unescape(m[0])
-                s.parts.append(text)
-                if links:
-                    s.linked += len(text.split())
-            elif m[0].startswith("<![CDATA["):
-                s.parts.append(m[0][9:].removesuffix("]]>"))
-            continue
-        tag = tag.lower()
-        if tag == "br":
-            s.parts.append(" ")
-            continue
-        if m[1]:
-            depth = next((k for k in range(len(s.stack) - 1, -1, -1) if s.stack[k][0] == tag), None)
+            mains -= main
+            sides -= side
+
+    at = 0
+    while at < scan.n:
+        start = at
+        kind, at, tag, attrs = scan.token(at)
+        if kind in ("text", "raw"):
+            text = html.unescape(tag) if kind == "text" else tag
+            parts.append(text)
+            if links and kind == "text":
+                linked += len(text.split())
+        elif kind == "open" and tag == "br":
+            parts.append(" ")
+        elif kind == "close":
+            if tag == "br":
+                parts.append(" ")
+                continue
             if tag in BLOCK:
                 end_block()
-            if depth is not None:
-                if any(x[0] in BLOCK for x in s.stack[depth + 1 :]) and tag not in BLOCK:
-                    continue  # a stray end of an inline element doesn't close blocks
-                pop(depth)
-            continue
-        if tag in UNSEEN:
+            if opened.get(tag):
+                depth = opened[tag][-1]
+                if tag in BLOCK or not walls or walls[-1] <= depth:  # a stray end of an inline element doesn't close blocks
+                    pop(depth)
+        elif kind == "open" and tag in UNSEEN:
             if tag not in VOID:
                 if tag in BLOCK or tag == "head":
                     end_block()
-                at = _skip(page, at, tag)
-            continue
-        if tag in BLOCK:
-            end_block()
-            for k in range(len(s.stack) - 1, -1, -1):
-                if s.stack[k][0] in CLOSES.get(tag, {"p"} if tag not in ("body", "html") else ()):
-                    pop(k)
-                    break
-                if s.stack[k][0] in BLOCK:
-                    break
-        if tag in VOID or m[3].rstrip().endswith("/") and tag not in BLOCK:
-            continue
-        names = _names(m[3]) if m[3] else set()
-        page_header = tag == "header" and not any(x[1] for x in s.stack)
-        s.stack.append((tag, tag in MAIN_TAGS or tag not in ("body", "html") and bool(names & MAIN_NAMES), tag in SIDE_TAGS or page_header or tag not in ("body", "html") and bool(names & SIDE_NAMES)))
-        links += tag == "a"
-        heading += tag in HEADINGS
+                at = scan.skip(start + 1 + len(tag), at, tag)
+        elif kind == "open":
+            if tag in BLOCK:
+                end_block()
+                if walls and stack[walls[-1]][0] in CLOSES.get(tag, {"p"} if tag not in ("body", "html") else ()):
+                    pop(walls[-1])
+            if tag in VOID or attrs.rstrip().endswith("/") and tag not in BLOCK:
+                continue
+            names = _names(attrs) if attrs else set()
+            inner = tag not in ("body", "html")
+            main = tag in MAIN_TAGS or inner and bool(names & MAIN_NAMES)
+            side = tag in SIDE_TAGS or tag == "header" and not mains or inner and bool(names & SIDE_NAMES)
+            opened.setdefault(tag, []).append(len(stack))
+            if tag in BLOCK:
+                walls.append(len(stack))
+            stack.append((tag, main, side))
+            links += tag == "a"
+            heading += tag in HEADINGS
+            mains += main
+            sides += side
     end_block()
-    return s.blocks
-
-
-@lru_cache(64)
-def _ends(tag: str) -> re.Pattern:
-    return re.compile(rf"</{tag}\s*>" if tag in RAW else rf"<(/?){tag}(?=[\s/>])[^>]*>|<(script|style)\b.*?</\2\s*>", re.I | re.S)
-
-
-def _skip(page: str, at: int, tag: str) -> int:
-    """Where an element without text ends. One that is never closed ends at once, but raw text at the page's
-    end. A form around an article or a first heading is not skipped."""
-    if tag in RAW:
-        m = _ends(tag).search(page, at)
-        return m.end() if m else len(page)
-    depth = 1
-    for m in _ends(tag).finditer(page, at):
-        if not m[2]:
-            depth += -1 if m[1] else 1
-            if depth == 0:
-                return at if tag == "form" and re.search(r"<(article|main|h1)\b", page[at : m.end()], re.I) else m.end()
-    return at
+    return out
 
 
 def described(bs: list[Block]) -> np.ndarray:
@@ -197,7 +277,7 @@ class Tree:
         if depth == 0 or len(y) < 2 * least or y.min() == y.max():
             return
         best = None
-        for f in (8, 7, *range(7)):  # what containers say comes first where gains are equal
+        for f in range(9):  # words, links and neighbours come first where gains are equal
             order = np.argsort(x[:, f], kind="stable")
             v, c = x[order, f], np.cumsum(y[order])
             n = np.arange(1, len(y))

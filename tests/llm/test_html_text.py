@@ -1,5 +1,9 @@
 import html
 import re
+import time
+from html.parser import HTMLParser
+
+import pytest
 
 from groundphrase.llm import html_text as H
 
@@ -22,14 +26,70 @@ def test_page_without_named_containers():
 
 
 def test_broken_pages():
-    assert H.main_text("") == "" and H.main_text("<<<>>") != None  # noqa: E711
+    assert H.main_text("") == "" and H.main_text("<article><<<>>") == "<<<>>"
     assert H.main_text("<article>plain text") == "plain text"
     assert H.main_text("<article><p>a</b></i></p><script>never closed <p>x") == "a"
     assert H.main_text("<article><p>x<select><option>y<p>z") .startswith("x")
-    assert H.main_text("<p " * 2000 + ">") == H.main_text("<p " * 2000 + ">")
+    assert H.main_text("<p " * 2000 + ">") == "" and H.main_text("<article>" + "<b " * 3) == "<b <b <b"
+    assert H.main_text('<article title="never closed><p>a</p>') == "a"
     assert H.main_text("<main>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "</main>") == "deep"
 
 
+@pytest.mark.parametrize("part", ["<svg>x", "<p ", '<p "', "<form><h1>", "<div>", "<script>", "<svg><script>", "</b>", "<!--", "<div></b>", "<b><p></p>", '<a class="', "<table><td>", "<textarea>", "&#", "<![CDATA["])
+def test_a_megabyte_of_anything_takes_seconds(part):
+    began = time.time()
+    H.main_text(part * (1_000_000 // len(part)))
+    assert time.time() - began < 10
+
+
+class Plain(HTMLParser):
+    """Blocks by the standard library's parser, for pages that are well formed."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.stack, self.parts, self.out, self.linked = [], [], [], 0
+
+    def end(self):
+        text = " ".join("".join(self.parts).split())
+        if text:
+            tags = [t for t, *_ in self.stack]
+            self.out.append((text, self.linked, bool(set(tags) & H.HEADINGS), any(m for _, m, _ in self.stack), any(s for *_, s in self.stack)))
+        self.parts, self.linked = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.parts.append(" ")
+        if tag in H.BLOCK:
+            self.end()
+        if tag in H.VOID:
+            return
+        names = set(re.split("[^a-z0-9]+", " ".join(v or "" for k, v in attrs if k in ("class", "id", "role", "aria-label")).lower()))
+        inner = tag not in ("body", "html")
+        header = tag == "header" and not any(m for _, m, _ in self.stack)
+        self.stack.append((tag, tag in H.MAIN_TAGS or inner and bool(names & H.MAIN_NAMES), tag in H.SIDE_TAGS or header or inner and bool(names & H.SIDE_NAMES)))
+
+    def handle_endtag(self, tag):
+        if tag in H.BLOCK:
+            self.end()
+        if any(t == tag for t, *_ in self.stack):
+            while self.stack.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        if not any(t in H.UNSEEN for t, *_ in self.stack):
+            self.parts.append(data)
+            self.linked += len(data.split()) * any(t == "a" for t, *_ in self.stack)
+
+
+def test_blocks_against_another_parser(spark):
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        p = Plain()
+        p.feed(r.html)
+        p.close()
+        p.end()
+        assert [(b.text, b.linked, b.heading, b.main, b.side) for b in H.blocks(r.html)] == p.out
+
+
 def test_tree_fits_its_table():
     x, y = H.labelled_rows()
     assert sum(H.tree().predict(r) == label for r, label in zip(x, y, strict=True)) >= 0.97 * len(y)
