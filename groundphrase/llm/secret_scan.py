@@ -25,10 +25,9 @@ ASSIGN = re.compile(r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # a run that is too short holds no match that is long enough
 HEX = re.compile(r"[0-9a-f]{16,}")
 KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-#: Candidates: whole tokens of so many characters that hold a digit.
+#: Candidates: whole tokens of so many characters.
 LEAST = 16
 CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{{{LEAST},}}+")
-DIGIT = re.compile("[0-9]")
 
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 ALNUM = UPPER + LOWER + DIGITS
@@ -53,11 +52,19 @@ def labelled_credentials(per_family: int = 300, seed: int = 7) -> dict[str, list
     return {k: [f() for _ in range(per_family)] for k, f in forms.items()}
 
 
-def ordinary_tokens(n: int = 4000, seed: int = 8) -> list[str]:
-    """Tokens with digits that are no credentials: addresses, dates, versions, names, numbers, paths."""
+def ordinary_tokens(n: int = 12_000, seed: int = 8) -> list[str]:
+    """Tokens that are no credentials: words and compounds, names in code, addresses, dates, versions, numbers, paths, rules."""
     rng = random.Random(seed)
     syllables = "the and ing ion tion er re on at en ed th ou le la de el un ver ge ich ung ado que os ar ment eau mail host example com org net www page item data test user file main list node".split()
+    morphemes = (
+        "anti auto bi co con counter de dis electro ex extra hyper in inter intra macro mega micro mis multi non over para photo poly post pre pro pseudo re semi sub super tele trans ultra un under"
+        " able al ance ation dom ence er ery ess est ful hood ible ic ical ies ing ion ise ish ism ist ity ive ize less ly ment ness or ous ship ty ure ward wise straight forward stand build work light water house play thing time"
+        " ab an auf aus be bei durch ein ent er fort ge her hin mit nach um unter ver vor weg wieder zer zu bar chen haft heit ig in isch keit lein lich los nis sal sam schaft tum ung bahn berg blatt buch burg dampf donau fahrt feld freund geld gesell haus hof jahr kraft land leben markt mensch rat recht schiff schule schutz spiel sprache stadt stein tag tor verein versicherung wasser weg werk wort zeit sch ch pf tz sp st ei au eu"
+        " age aille ais ateur ation ement ence esse ette eur euse ien ier ille ique isme iste ité oir tion ure constitu nel le aux eaux ador aje ante ario ción dad dero encia ez ía ismo ista mente miento or oso ura graf electr fica"
+        " get set add make is has to from by of on factory bean proxy abstract base manager handler listener event element class name value index builder service request response context config state string array map list size max min count per connection session cache buffer stream reader writer source target settings profile template resource concurrent lock util"
+    ).split()
     word = lambda: "".join(rng.choices(syllables, k=rng.randint(1, 4)))
+    compound = lambda: "".join(rng.choices(morphemes, k=rng.randint(3, 8)))
     num = lambda a, b: str(rng.randint(10**a, 10**b))
     forms = [
         lambda: f"{word()}.{num(0, 3)}.{word()}.com", lambda: f"{word()}{num(0, 2)}.{word()}.{rng.choice(['com', 'org', 'net'])}",
@@ -65,6 +72,8 @@ def ordinary_tokens(n: int = 4000, seed: int = 8) -> list[str]:
         lambda: f"{word()}_{word()}_{num(0, 4)}", lambda: f"{word()}-{word()}-{num(0, 4)}", lambda: f"/{word()}/{word()}/{num(0, 5)}.html",
         lambda: num(8, 20), lambda: word().capitalize() + word().capitalize() + num(0, 3), lambda: f"{word()}{word()}{word()}{num(0, 2)}",
         lambda: f"v{num(0, 1)}.{num(0, 2)}.{num(0, 2)}-{word()}{num(0, 1)}", lambda: f"{num(2, 3)}-{num(2, 3)}-{num(3, 4)}", lambda: word().upper() + "_" + word().upper() + num(0, 2),
+        compound, compound, lambda: compound().capitalize(), lambda: compound().upper() + rng.choice(["", "."]), lambda: rng.choice("-_./").join(rng.choices(morphemes, k=rng.randint(3, 6))),
+        lambda: rng.choice(["", "get", "is"]) + "".join(x.capitalize() for x in rng.choices(morphemes, k=rng.randint(2, 6))), lambda: rng.choice(LOWER + UPPER + "-_./=+") * rng.randint(16, 40),
     ]
     return [rng.choice(forms)() for _ in range(n)]
 
@@ -214,7 +223,7 @@ class Scanner:
         for m in CANDIDATE.finditer(text):
             token = m[0].rstrip(".=-") if m[0][-1] in ".-" else m[0]
             start, end = m.start(), m.start() + len(token)
-            if len(token) < LEAST or not DIGIT.search(token) or any(s < end and start < e for s, e, _ in base):
+            if len(token) < LEAST or any(s < end and start < e for s, e, _ in base):
                 continue
             score, name = self.score(token)
             if score >= self.THRESHOLD + self.PER_CHARACTER * len(token):

@@ -1,3 +1,4 @@
+import random
 import hashlib
 
 from groundphrase.llm import secret_scan as scan
@@ -85,3 +86,22 @@ def test_redaction_and_query(spark):
         base = brute(r.text or "")
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(b[2] == k for b in base) for k in scan.KINDS[:3])
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in base).encode()).hexdigest()
+
+
+def test_letters_alone_are_scored_too():
+    s, rng = scan.scanner(), random.Random(99)
+    found = lambda w: any(k == "format" for _, _, k, *_ in s.scan(f"see {w} here"))
+    for alphabet, n in ((scan.UPPER + scan.LOWER, 24), (scan.UPPER + scan.LOWER, 40)):
+        assert sum(found("".join(rng.choices(alphabet, k=n))) for _ in range(200)) > 190
+    assert sum(found("ASIA" + "".join(rng.choices(scan.UPPER, k=16))) for _ in range(200)) > 190
+    words = "internationalization Donaudampfschifffahrtsgesellschaft anticonstitutionnellement electroencefalografista straightforwardness UNCHARACTERISTICALLY getElementsByClassName java.util.concurrent.locks this-is-a-long-hyphenated-slug MAX_CONNECTIONS_PER_HOST aaaaaaaaaaaaaaaaaaaa --------------------"
+    assert not any(map(found, words.split()))
+
+
+def test_credentials_of_formats_that_were_not_learned():
+    """Recall outside the labelled forms; figures are in the README."""
+    s, rng = scan.scanner(), random.Random(5)
+    some = lambda k, a=scan.ALNUM: "".join(rng.choices(a, k=k))
+    forms = (lambda: "npm_" + some(36), lambda: "SG." + some(22) + "." + some(43), lambda: "hf_" + some(34), lambda: "dop_v1_" + some(64, "0123456789abcdef"), lambda: "EAAC" + some(80))
+    got = [sum(bool(s.scan(f"use {f()} now")) for _ in range(100)) for f in forms]
+    assert min(got) >= 90
