@@ -18,7 +18,7 @@ import struct
 import time
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -28,12 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from groundphrase.llm.common import BATCH_BYTES, BATCH_ROWS, free_name, map_text, new_path, small_batches, table
+from groundphrase.llm.common import BATCH_BYTES, BATCH_ROWS, free_name, map_text, new_path, qualified, small_batches, table
 
 #: Samples in a row of an image, and the unit to which payloads are padded.
 WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 MARK = b"GPM1"
+#: Ranges that the driver plans for a directory, about at most.
+MOST_RANGES = 50_000
 HEADER = struct.Struct("<4sBqqqI")
 SCHEMA = "id long, n_bytes long, media binary, archive string, offset long"
 ARROW = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("archive", pa.string()), ("offset", pa.int64())])
@@ -84,7 +86,12 @@ def _fs(path: str):
     """The file system of a path, and the path in it."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path if "://" in path or not path.startswith("file:") else path.replace("file:", "file://", 1)) if ":" in path else (fs.LocalFileSystem(), path)
+    scheme, mark, rest = path.partition(":")
+    if not mark:
+        return fs.LocalFileSystem(), path
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri("s3:" + rest if scheme in ("s3a", "s3n") else path)
 
 
 @dataclass
@@ -152,36 +159,56 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows, strict=True), ARROW, strict=True)], schema=ARROW)
 
 
+class _Window:
+    """Reads of a file, `ahead` bytes or more at a time: members that follow each other take one request for many."""
+
+    def __init__(self, f, ahead: int = 4 << 20):
+        self.f, self.ahead, self.at, self.held = f, ahead, 0, b""
+
+    def read(self, at: int, n: int) -> bytes:
+        if not self.at <= at <= at + n <= self.at + len(self.held):
+            self.f.seek(at)
+            self.at, self.held = at, self.f.read(max(n, self.ahead))
+        return self.held[at - self.at : at - self.at + n]
+
+
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.split = options["path"], int(options.get("splitbytes", 16 << 20))
         self.tries, self.wait = int(options.get("tries", 4)), float(options.get("waitseconds", 0.2))
 
     def partitions(self) -> list[Range]:
+        """Ranges of splitbytes, or of more where that would make over MOST_RANGES of them."""
         from pyarrow.fs import FileSelector
 
         fs, root = _fs(self.path)
-        out = []
+        archives = []
         for x in fs.get_file_info(FileSelector(root, allow_not_found=True)):
             if x.base_name.startswith("manifest-"):
                 with fs.open_input_stream(x.path) as f:
-                    for name, size in json.loads(f.read()):
-                        out += [Range(name, s, min(s + self.split, size)) for s in range(0, size, self.split)]
-        return out or [Range("", 0, 0)]
+                    archives += json.loads(f.read())
+        split = max(self.split, sum(size for _, size in archives) // MOST_RANGES + 1)
+        return [Range(name, s, min(s + split, size)) for name, size in archives for s in range(0, size, split)] or [Range("", 0, 0)]
+
+    @staticmethod
+    def _read_one(read: Callable[[int, int], bytes], name: str, start: int) -> tuple:
+        """The member at a place, by read(place, bytes)."""
+        head = read(start, HEADER.size)
+        mark, null, i, n, size, crc = HEADER.unpack(head)
+        if mark != MARK or size < 0:
+            raise ValueError("damaged member")
+        media = read(start + HEADER.size, size)
+        if len(media) != size or zlib.crc32(media, zlib.crc32(head[:-4])) != crc:
+            raise ValueError("damaged member")
+        return None if null else i, n, media, name, start
 
     def _member(self, name: str, start: int) -> tuple:
-        """One member, read and checked; tried again by its offset alone."""
+        """One member by its offset alone, tried several times."""
         fs, root = _fs(self.path)
         for k in range(self.tries):
             try:
                 with fs.open_input_file(f"{root}/{name}") as f:
-                    f.seek(start)
-                    head = f.read(HEADER.size)
-                    mark, null, i, n, size, crc = HEADER.unpack(head)
-                    media = f.read(size)
-                if mark != MARK or len(media) != size or zlib.crc32(media, zlib.crc32(head[:-4])) != crc:
-                    raise ValueError("damaged member")
-                return None if null else i, n, media, name, start
+                    return self._read_one(_Window(f, 0).read, name, start)
             except (OSError, ValueError, struct.error) as e:
                 if k + 1 == self.tries:
                     raise OSError(f"{name} at {start}: {e}") from e
@@ -195,13 +222,26 @@ class ArchiveReader(DataSourceReader):
         with fs.open_input_file(f"{root}/{partition.archive}.index") as f:
             starts = np.frombuffer(f.read(), "<i8")
         starts = starts[np.searchsorted(starts, partition.start) : np.searchsorted(starts, partition.stop)]
-        rows, size = [], 0
-        for start in starts.tolist():
-            rows.append(self._member(partition.archive, start))
-            size += len(rows[-1][2])
-            if len(rows) >= BATCH_ROWS or size >= BATCH_BYTES // 2:
-                yield _batch(rows)
-                rows, size = [], 0
+        rows, size, f, window = [], 0, None, None
+        try:
+            for start in starts.tolist():
+                # The range is one stream; a member that fails is read again by its offset, and the stream taken up after it.
+                try:
+                    if window is None:
+                        f = fs.open_input_file(f"{root}/{partition.archive}")
+                        window = _Window(f)
+                    got = self._read_one(window.read, partition.archive, start)
+                except (OSError, ValueError, struct.error):
+                    window = None
+                    got = self._member(partition.archive, start)
+                rows.append(got)
+                size += len(got[2])
+                if len(rows) >= BATCH_ROWS or size >= BATCH_BYTES // 2:
+                    yield _batch(rows)
+                    rows, size = [], 0
+        finally:
+            if f is not None:
+                f.close()
         if rows:
             yield _batch(rows)
 
@@ -234,14 +274,14 @@ def write_archives(df: DataFrame, path: str, id_col: str = "doc_id", text: str =
         return lambda texts: [[len(t or b"") for t in texts], [to_png(pad(t or b"")) for t in texts]]
 
     source = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    map_text(source, "text", "n_bytes long, media binary", make, ["id"]).write.format("member_archive").options(**options).mode("append").save(path)
+    map_text(source, "text", "n_bytes long, media binary", make, ["id"]).write.format("member_archive").options(**options).mode("append").save(qualified(spark, path))
 
 
 def read_archives(spark: SparkSession, path: str, **options: str) -> DataFrame:
     """The members of all archives of a directory: SCHEMA."""
     spark.dataSource.register(ArchiveSource)
     small_batches(spark)
-    return spark.read.format("member_archive").options(**options).load(path)
+    return spark.read.format("member_archive").options(**options).load(qualified(spark, path))
 
 
 def features(samples: bytes) -> str:
