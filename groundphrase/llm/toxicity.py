@@ -231,10 +231,10 @@ def fit(rows: DataFrame) -> Model:
         best = stats.where((F.col("na") >= least) & ratio).withColumn("gain", F.round(gain, 9)).where("gain > 0").orderBy(F.desc("gain"), "f").limit(FEATURES).collect()
         names = rows.sparkSession.createDataFrame([(r.f, i) for i, r in enumerate(best)], "f string, i int")
         key = ["id", "hash"]
-        each = rows.groupBy(*key).agg(*(F.first(c).alias(c) for c in ("y", "n_words", "insults", "patterns", "feats")), F.count(F.lit(1)).alias("copies"))
-        hits = each.select(*key, F.explode("feats").alias("x")).select(*key, F.col("x.f").alias("f"), F.col("x.c").alias("c")).join(F.broadcast(names), "f")
-        hits = hits.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("i", "c"))).alias("hits"))
-        each = each.drop("feats").join(hits, key, "left").orderBy(*key).collect()  # SAMPLE at most
+        each = rows.groupBy(*key).agg(*(F.first(c).alias(c) for c in ("y", "n_words", "insults", "patterns")), F.count(F.lit(1)).alias("copies"))
+        hits = rows.select(*key, F.explode("feats").alias("x")).select(*key, F.col("x.f").alias("f"), F.col("x.c").alias("c")).join(F.broadcast(names), "f")
+        hits = hits.distinct().groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("i", "c"))).alias("hits"))
+        each = each.join(hits, key, "left").orderBy(*key).collect()  # SAMPLE at most
         docs = [r for r in each for _ in range(r.copies)]
     finally:
         rows.unpersist()
