@@ -2,22 +2,26 @@
 
 SimHash fingerprints of the same shingles propose by ball hashing, as everywhere in `simhash`. That alone can't give
 right results here: at a similarity of 0.8 two fingerprints differ in 9.7 of 64 bits on average, so a
-radius with 0.99 of such pairs is 17, and half of it has billions of variants. So blocks of minima propose too. Minima of permuted shingle hashes, ROWS in a block, bring two texts of similarity s together with probability
-1 - (1 - s ** ROWS) ** BLOCKS: 0.99994 at 0.8. A block's texts are first compared with its smallest node; what that
-links is one component, and only texts of different components that share a block are compared after it. So
-every pair of a block is either compared or connected already, and a large group of copies costs no square.
+radius with 0.99 of such pairs is 17, and half of it has billions of variants. So blocks of minima propose too:
+minima of permuted shingle hashes, ROWS in a block, bring two texts of similarity s together with probability
+1 - (1 - s ** ROWS) ** BLOCKS: 0.99994 at 0.8. A block's texts are first compared with one of them, another one in each
+block; what that links is one part, and only texts of different parts that share a block are compared after it,
+inside tasks, in tiles of bounded size. So every pair of a block is compared or connected already, and only
+links become rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundphrase.llm.common import components, join_counted, map_text, stored
 from groundphrase.llm import simhash
+from groundphrase.llm.common import components, join_counted, map_text, stored
 from groundphrase.llm.simhash import BLOCK
 
 WORDS, SIMILARITY_10 = 5, 8  # shingles of five words; tenths
@@ -25,6 +29,8 @@ ROWS, BLOCKS = 6, 32
 _rng = np.random.default_rng(42)
 _FLIP, _TIMES = _rng.integers(0, 1 << 32, (2, ROWS * BLOCKS, 1), np.uint32)
 _TIMES |= 1
+#: Shingles of a tile, about.
+TILE = 1 << 18
 #: Shingles permuted at once.
 STRIDE = 256
 
@@ -104,30 +110,89 @@ def _lengths_allow(n, m):
     return F.least(n, m) * 10 >= F.greatest(n, m) * SIMILARITY_10
 
 
+class _Tile:
+    """Nodes, their parts and their shingles: one row of a list column of structs."""
+
+    def __init__(self, col: pa.ListArray, i: int):
+        from_, to = col.offsets[i].as_py(), col.offsets[i + 1].as_py()
+        rows = col.values.slice(from_, to - from_)
+        self.node, self.part = (rows.field(k).to_numpy() for k in (0, 1))
+        sets = rows.field(2)
+        ends = sets.offsets.to_numpy()
+        self.starts, self.sizes = ends[:-1] - ends[0], np.diff(ends)
+        self.values = sets.values.slice(ends[0], ends[-1] - ends[0]).to_numpy()
+
+
+def joined(a: _Tile, b: _Tile, same: bool) -> list[tuple[int, int]]:
+    """Links between nodes of different parts, as many as connect what is alike: every pair is compared, unless
+    parts have come together before it."""
+    _, ids = np.unique(np.concatenate([a.values, b.values]), return_inverse=True)
+    ids_a, ids_b = ids[: len(a.values)], ids[len(a.values) :]
+    has, out = np.zeros(len(ids), np.int64), []
+    part_a, part_b = a.part.copy(), b.part.copy()
+    for i in range(len(a.node)):
+        n = a.sizes[i]
+        open_ = (part_b != part_a[i]) & (np.minimum(b.sizes, n) * 10 >= np.maximum(b.sizes, n) * SIMILARITY_10)
+        if same:
+            open_[: i + 1] = False
+        if not open_.any():
+            continue
+        mine = ids_a[a.starts[i] : a.starts[i] + n]
+        has[mine] = 1
+        both = np.add.reduceat(has[ids_b], b.starts)
+        has[mine] = 0
+        for j in np.flatnonzero(open_ & (both * 10 >= (n + b.sizes - both) * SIMILARITY_10)):
+            x, y = part_a[i], part_b[j]
+            if x != y:
+                out.append((int(a.node[i]), int(b.node[j])))
+                part_a[part_a == y] = x
+                part_b[part_b == y] = x
+    return out
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        one, two = batch.columns
+        got = []
+        for i in range(batch.num_rows):
+            t = _Tile(one, i)
+            got += joined(t, _Tile(two, i), False) if two[i].is_valid else joined(t, t, True)
+        a, b = zip(*got, strict=True) if got else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _across(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between the parts of blocks: (block, node, part, tiles). A block's nodes are dealt into tiles of
+    about TILE shingles, and tiles are compared two by two inside a task: what is no link never becomes a row."""
+    rows = open_.withColumn("tile", F.pmod(F.xxhash64("node"), "tiles")).join(sets, "node")
+    tile, _ = stored(rows.groupBy("block", "tile", "tiles").agg(F.collect_list(F.struct("node", "part", "s")).alias("one")), "tiles")
+    none = F.lit(None).cast(tile.schema["one"].dataType).alias("two")
+    other = tile.where("tiles > 1").select("block", F.col("tile").alias("tile_b"), F.col("one").alias("two"))
+    pairs = tile.where("tiles > 1").join(other, "block").where("tile < tile_b").select("one", "two").unionByName(tile.select("one", none))
+    return pairs.mapInArrow(_compared, "a long, b long")
+
+
 def groups(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, node, component) for every row of df: texts of one component are linked by five-word similarities
     of 0.8 or more. Ids play no part; null texts count as empty, and all wordless texts are alike."""
     rows, _ = stored(_sketched(df.select(F.col(id_col).alias("id"), F.col(text).alias("text")), "text", ["id"]), "sketches")
     nodes, _ = stored(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("blocks").alias("blocks"), F.count(F.lit(1)).alias("copies")), "nodes")
     each = nodes.select("node", "n", F.explode("blocks").alias("block"))
-    heads, _ = stored(each.groupBy("block").agg(F.min(F.struct("node", "n")).alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1"), "heads")
-    shared, _ = stored(join_counted(each, heads, "block", "members").where("head is not null"), "blocks")
+    heads = each.groupBy("block").agg(F.min_by(F.struct("node", "n"), F.xxhash64("node", "block")).alias("head"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("size"))
+    heads, _ = stored(heads.where("members > 1"), "heads")
+    shared, _ = stored(join_counted(each, heads.drop("size"), "block", "members").where("head is not null"), "blocks")
     balls, _ = stored(_ordered(_balls(nodes)), "balls")
     wanted = shared.select("node").unionByName(balls.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
     texts = with_node(df.select(F.col(text).alias("text"))).join(wanted, "node", "left_semi").dropDuplicates(["node"])
     sets, _ = stored(_shingled(texts), "shingles")
-    first = shared.where((F.col("node") != F.col("head.node")) & _lengths_allow(F.col("n"), F.col("head.n"))).select(F.col("head.node").alias("a"), F.col("node").alias("b"))
-    first, _ = stored(_ordered(first).unionByName(balls).distinct(), "pairs")
-    links, _ = stored(_alike(first, sets), "links")
-    part = shared.join(components(links), "node", "left").select("block", "node", "n", F.coalesce("component", "node").alias("part"))
-    part, _ = stored(part, "parts")
-    # What is not connected yet is compared across the parts of a block; blocks of one part are done.
+    near = shared.where((F.col("node") != F.col("head.node")) & _lengths_allow(F.col("n"), F.col("head.n"))).select(F.col("head.node").alias("a"), F.col("node").alias("b"))
+    links, _ = stored(_alike(_ordered(near).unionByName(balls).distinct(), sets), "links")
+    part, _ = stored(shared.join(components(links), "node", "left").select("block", "node", F.coalesce("component", "node").alias("part")), "parts")
+    # What is connected needs no more comparing, and blocks of one part are done.
     mixed = part.groupBy("block").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x != y").select("block")
-    part = part.join(mixed, "block", "left_semi")
-    other = part.select("block", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("part").alias("part_b"))
-    rest = part.withColumnRenamed("node", "a").join(other, "block").where((F.col("part") < F.col("part_b")) & _lengths_allow(F.col("n"), F.col("n_b"))).select("a", "b")
-    rest = _ordered(rest).distinct().join(first, ["a", "b"], "left_anti")
-    more, _ = stored(_alike(rest, sets), "links")
+    tiles = F.ceil(F.col("size") / TILE).cast("int").alias("tiles")
+    mixed, _ = stored(heads.join(mixed, "block").select("block", "members", tiles), "mixed")
+    more, _ = stored(_across(join_counted(part, mixed, "block", "members").where("tiles is not null"), sets), "links")
     found = components(links.unionByName(more))
     named = nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "copies")
     return join_counted(rows.select("id", "node"), named, "node", "copies").select(F.col("id").alias(id_col), "node", "component")

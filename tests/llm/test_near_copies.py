@@ -1,8 +1,10 @@
 """The near-duplicate stage of the pipeline against the Jaccard similarity of all pairs."""
 
 import numpy as np
+import pytest
 
 import corpus_pipeline as pipeline
+from groundphrase.llm import near_copies
 
 SCHEMA = "doc_id long, text string"
 
@@ -37,7 +39,9 @@ def changed(rng, base, n):
     return " ".join(w)
 
 
-def test_jaccard_brute_force(spark):
+@pytest.mark.parametrize("tile", [1 << 18, 300])  # in one tile, and in many
+def test_jaccard_brute_force(spark, monkeypatch, tile):
+    monkeypatch.setattr(near_copies, "TILE", tile)
     rng = np.random.default_rng(5)
     word = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 5000, n))
     rows = []
