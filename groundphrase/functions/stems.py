@@ -13,6 +13,7 @@ COLLOQUIAL = {
 ROOTS = {"زد": "زدن", "شد": "شدن", "کرد": "کردن", "گفت": "گفتن", "برد": "بردن", "داد": "دادن", "گرفت": "گرفتن"}
 STOP = ("را", "رو", "به", "از", "در", "تو", "توی", "برای", "یک", "یه", "و", "که", "کسی", "خود")
 LIGHT = ("کردن", "شدن", "زدن", "گفتن", "بودن", "داشتن", "دادن", "گرفتن", "بردن", "آوردن")
+#: Endings, the first that fits goes (fixed values).
 POSSESSIVE = ("شان", "شون", "مون", "تون", "اش", "ش")
 VERBAL = ("یدن", "اند", "ید", "یم", "ین", "ند", "م", "ی", "ه")
 
@@ -36,3 +37,37 @@ def signature(text: Column) -> Column:
     plain = F.lower(F.translate(F.replace(text, F.lit("‌"), F.lit(" ")), "يك", "یک"))
     stems = F.transform(F.regexp_extract_all(plain, F.lit("[؀-ۿ]+"), F.lit(0)), stem)
     return F.filter(stems, lambda s: (F.length(s) > 1) & ~s.isin(*STOP, *LIGHT))
+
+
+#: The extended stemmer's letters, forms and stop words (fixed values).
+WIDE_LETTERS = "[ءآأإؤئابتثجچحخدذرزژسشصضطظعغفقکكگلمنوهةۀهیيى]+"
+WIDE_COLLOQUIAL = {
+    "زبون": "زبان", "دهن": "دهان", "ناخون": "ناخن", "شونه": "شانه", "خودشو": "خود", "خودش": "خود", "نمیشه": "شدن", "میشه": "شدن", "شه": "شدن", "بشه": "شدن", "بشود": "شدن",
+    "میکنه": "کردن", "میکنند": "کردن", "میگه": "گفتن", "میگن": "گفتن",
+}
+WIDE_STOP = ("را", "رو", "به", "از", "در", "تو", "توی", "برا", "برای", "یک", "یه", "و", "که", "کسی", "خود", "این", "اون", "آن")
+
+
+def _wide_stem(token: Column) -> Column:
+    t = _mapped(_first_ending(_mapped(token, WIDE_COLLOQUIAL), POSSESSIVE), WIDE_COLLOQUIAL)
+    return _mapped(_first_ending(F.regexp_replace(t, "^(?:نمی|می|ن)", ""), VERBAL), ROOTS)
+
+
+def _first_ending(c: Column, endings: tuple[str, ...]) -> Column:
+    """c without the first of the endings that it has, if more than two letters stay."""
+    out = None
+    for e in endings:
+        fits = c.endswith(e) & (F.length(c) > len(e) + 2)
+        cut = F.substring(c, F.lit(1), F.length(c) - len(e))
+        out = F.when(fits, cut) if out is None else out.when(fits, cut)
+    return out.otherwise(c)
+
+
+def wide_signature(text: Column) -> Column:
+    """The stems of a text's words in order, for restoring: a final object marker counts as none where that leaves a
+    stem; no stop words, light verbs and single letters."""
+    folded = F.lower(F.translate(F.coalesce(text, F.lit("")), "‌يىكۀة", " ییکهه"))
+    bare = lambda t: F.when((F.length(t) >= 5) & t.endswith("و") & ~t.endswith("او") & ~t.endswith("یو"), F.substring(t, F.lit(1), F.length(t) - 1))
+    keep = lambda s: F.when((F.length(s) >= 2) & ~s.isin(*WIDE_STOP, *LIGHT), s)
+    forms = F.transform(F.regexp_extract_all(folded, F.lit(WIDE_LETTERS), F.lit(0)), lambda t: F.coalesce(keep(_wide_stem(bare(t))), keep(_wide_stem(t))))
+    return F.filter(forms, lambda s: s.isNotNull())

@@ -85,3 +85,31 @@ def single_quoted(c: Column, cue: str, least: int) -> Column:
     """The only quoted span, if a cue stands in the text and the span has enough letters; else null."""
     spans = quoted_spans(c)
     return F.when(c.rlike(cue) & (F.size(spans) == 1) & (F.length(compact(retrieval(F.get(spans, F.lit(0))))) >= least), F.get(spans, F.lit(0)))
+
+
+def html_escape(c: Column) -> Column:
+    """Text that may stand in HTML, quotes included."""
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+def utc_stamp(ts: Column) -> Column:
+    """An instant as ISO 8601 in UTC."""
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+#: Words of requests that describe no meaning (fixed values); some can't match normalized tokens and stay for parity.
+NON_CONTENT = (
+    "آیا اگر اما از است استفاده اصطلاح اصطلاحی الان امروز این آن با باشد برای به بود تا تقریبا تقریباً چرا چطور چقدر چیست چه چیزی حالتی حالا در دیروز را رو روی شد شدن"
+    " ضرب ضربالمثل ضرب‌المثل فردا کرد کرده کردن کدام که کسی گفته مناسب مناسبی معنا معنای معنی مورد می میشه میشود میگن میگوید می‌شود می‌گوید هیچ هست هستند و وقتی یک یا شود کند کار هم"
+).split()
+
+
+def meaning_evidence(query: Column, gloss: Column, stop: list[str] | None = None) -> Column:
+    """Content tokens that a request and a gloss share, and the share of either that they are; 0 without any."""
+    stop = NON_CONTENT if stop is None else stop
+    q, g = (content_tokens(tokens(retrieval(c)), stop) for c in (query, gloss))
+    shared = F.array_sort(F.array_intersect(q, g))
+    part = lambda x: F.when(F.size(x) > 0, F.size(shared) / F.size(x)).otherwise(0.0)
+    return F.struct(shared.alias("shared"), (F.size(shared) > 0).alias("anchored"), part(q).alias("query_support"), part(g).alias("gloss_support"))
