@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 RRF_K, CHANNEL_K = 60, 20
 #: Query vectors in a block: a block of them meets all documents in one matrix product.
-BLOCK = 1024
+BLOCK = 256
 
 
 def unit(vector: Column) -> Column:
@@ -21,51 +21,81 @@ def unit(vector: Column) -> Column:
     return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(F.raise_error(F.lit("zero vector"))))
 
 
+def _blocks(df: DataFrame, key: str, group: str | None = None, rows: int = BLOCK) -> DataFrame:
+    """Rows of unit vectors in blocks: (ids, groups, n, m), m being a matrix of doubles in bytes. Null vectors are out."""
+    cols = [F.col(key), (F.lit(None) if group is None else F.col(group)).cast("string")]
+    source = df.where(F.col("v").isNotNull() & F.col(key).isNotNull()).select(cols[0].cast("long").alias("i"), cols[1].alias("g"), unit(F.col("v")).alias("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, rows):
+                c = b.slice(at, rows)
+                m = np.ascontiguousarray(c.column(2).flatten().to_numpy(zero_copy_only=False), np.float64)
+                one = [pa.array([c.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([c.column(1).to_pylist()], pa.list_(pa.string())), pa.array([c.num_rows], pa.int32()), pa.array([m.tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(one, names=["ids", "groups", "n", "m"])
+
+    return source.mapInArrow(run, "ids array<long>, groups array<string>, n int, m binary")
+
+
+def _met(queries: DataFrame, docs: DataFrame, group: str | None, rows: int) -> DataFrame:
+    """Every block of queries beside every block of documents: a stated query set against all rows, in blocks. Neither
+    side comes to the driver."""
+    q = _blocks(queries, "query_id", rows=rows).select(*(F.col(c).alias(f"q_{c}") for c in ("ids", "n", "m")))
+    return _blocks(docs, "doc_id", group).crossJoin(q).select("q_ids", "q_n", "q_m", "ids", "groups", "n", "m")
+
+
+def _similarities(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list, np.ndarray]]:
+    for b in batches:
+        q_ids, q_n, q_m, ids, groups, n, m = (b.column(i) for i in range(7))
+        for i in range(b.num_rows):
+            left = np.frombuffer(q_m[i].as_py()).reshape(q_n[i].as_py(), -1)
+            right = np.frombuffer(m[i].as_py()).reshape(n[i].as_py(), -1)
+            yield np.array(q_ids[i].as_py(), np.int64), np.array(ids[i].as_py(), np.int64), groups[i].as_py(), left @ right.T
+
+
 def cosine_topk(queries: DataFrame, docs: DataFrame, k: int, n_queries_block: int = BLOCK) -> DataFrame:
     """(query_id, doc_id, sim, rank) of the k nearest documents of each query; ties go to the smaller id.
 
-    queries (query_id, v) and docs (doc_id, v) hold vectors of one length. Queries come to the driver in blocks of
-    bounded size; each block passes over the documents once, where every Arrow batch keeps only its best k
-    (by a matrix product), and the best of all batches are merged by key.
+    queries (query_id, v) and docs (doc_id, v) hold vectors of one length; rows without an id or a vector are left
+    out, zero vectors fail. Each block of queries meets each block of documents in one matrix product that keeps
+    its best k; the best of all blocks are merged by key.
     """
     if k < 1:
         return queries.sparkSession.createDataFrame([], "query_id long, doc_id long, sim double, rank long")
-    q = queries.select("query_id", unit(F.col("v")).alias("v"))
-    d = docs.select("doc_id", unit(F.col("v")).alias("v"))
-    out, block = None, []
-
-    def near(ids: np.ndarray, m: np.ndarray) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                doc = np.array(b.column(0).to_pylist(), np.int64)
-                vec = np.array(b.column(1).flatten(), np.float64).reshape(b.num_rows, -1)
-                sims = m @ vec.T
-                order = np.lexsort((np.broadcast_to(doc, sims.shape), -np.round(sims, 9)), axis=1)[:, :k]
-                rows = np.repeat(np.arange(len(ids)), order.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(doc[order.ravel()]), pa.array(sims[rows, order.ravel()])], names=["query_id", "doc_id", "sim"])
-
-        return d.mapInArrow(run, "query_id long, doc_id long, sim double")
-
-    def flush() -> None:
-        nonlocal out
-        if block:
-            part = near(np.array([r.query_id for r in block], np.int64), np.array([r.v for r in block], np.float64))
-            out = part if out is None else out.unionByName(part)
-            block.clear()
-
-    for r in q.toLocalIterator():
-        block.append(r)
-        if len(block) >= n_queries_block:
-            flush()
-    flush()
-    if out is None:
-        return cosine_topk(queries, docs, 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for q, doc, _, sims in _similarities(batches):
+            order = np.lexsort((np.broadcast_to(doc, sims.shape), -np.round(sims, 9)), axis=1)[:, :k]
+            rows = np.repeat(np.arange(len(q)), order.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(q[rows]), pa.array(doc[order.ravel()]), pa.array(sims[rows, order.ravel()])], names=["query_id", "doc_id", "sim"])
+
+    out = _met(queries, docs, None, n_queries_block).mapInArrow(run, "query_id long, doc_id long, sim double")
     w = Window.partitionBy("query_id").orderBy(F.round("sim", 9).desc(), "doc_id")
     return out.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
+def cosine_families(queries: DataFrame, docs: DataFrame, family: str = "family_id", n_queries_block: int = BLOCK) -> DataFrame:
+    """(query_id, family, sim, view): each family's best document for each query, the smallest id on ties. A block
+    keeps one row for each query and family, so no pair of a query and a document is ever a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for q, doc, groups, sims in _similarities(batches):
+            names, at = np.unique(np.array([g if g is not None else "" for g in groups], object).astype(str), return_inverse=True)
+            out = [[], [], [], []]
+            for j, name in enumerate(names):
+                mine = np.flatnonzero(at == j)
+                mine = mine[np.argsort(doc[mine], kind="stable")]
+                best = np.argmax(np.round(sims[:, mine], 9), axis=1)  # the first, so the smallest id
+                for x, v in zip(out, (q, [str(name)] * len(q), sims[np.arange(len(q)), mine[best]], doc[mine[best]]), strict=True):
+                    x.append(v)
+            cols = [np.concatenate(out[0]), [v for x in out[1] for v in x], np.concatenate(out[2]), np.concatenate(out[3])]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], names=["query_id", family, "sim", "view"])
+
+    rows = _met(queries, docs.where(F.col(family).isNotNull()), family, n_queries_block).mapInArrow(run, f"query_id long, `{family}` string, sim double, view long")
+    best = F.max_by(F.struct("sim", "view"), F.struct(F.round("sim", 9), -F.col("view"))).alias("b")
+    return rows.groupBy("query_id", family).agg(best).select("query_id", family, "b.sim", "b.view")
+
+
 def cosine_pairs(pairs: DataFrame, a: str = "qv", b: str = "dv") -> DataFrame:
     """Add sim to rows that hold both vectors."""
     dot = F.aggregate(F.zip_with(unit(F.col(a)), unit(F.col(b)), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from groundphrase.operators import store
+
 PERCENTS = (0.75, 0.90, 0.95, 0.99)
 
 
@@ -67,30 +69,139 @@ def balanced_subset(df: DataFrame, category: str, order: Column, n: int, id_col:
     return r.orderBy("turn", category, id_col).limit(n)
 
 
-def bootstrap_ci(df: DataFrame, by: str, value: str, statistic: Callable = statistics.median, iterations: int = 5000, seed: int = 42, level: float = 0.95) -> DataFrame:
-    """Percentile interval of a statistic by seeded resampling within each group, whose values must fit a task."""
+def percentile(xs: list[float], q: float) -> float | None:
+    """The interpolated percentile of values, null of none."""
+    if not xs:
+        return None
+    ys = sorted(xs)
+    at = (len(ys) - 1) * q
+    low, high = math.floor(at), math.ceil(at)
+    return ys[low] if low == high else ys[low] * (high - at) + ys[high] * (at - low)
+
+
+def bootstrap(values: list[float], statistic: Callable = statistics.median, iterations: int = 5000, seed: int = 42, level: float = 0.95) -> dict:
+    """n, estimate and percentile interval of a statistic of finite values, by seeded resampling in their order."""
+    xs = [float(x) for x in values if x is not None and math.isfinite(x)]
+    if not xs:
+        return {"n": 0, "estimate": None, "low": None, "high": None}
+    rng, n = random.Random(seed), len(xs)
+    got = [float(statistic([xs[rng.randrange(n)] for _ in range(n)])) for _ in range(iterations)]
+    return {"n": n, "estimate": float(statistic(xs)), "low": percentile(got, (1 - level) / 2), "high": percentile(got, (1 + level) / 2)}
+
+
+def bootstrap_groups(df: DataFrame, by: str, value: str, order: str, statistic: Callable = statistics.median, iterations: int = 5000, seed: int = 42, level: float = 0.95) -> DataFrame:
+    """(by, n, estimate, low, high) of any statistic: for sets of cases that a task holds (hundreds to some
+    thousands). The median of tables of any size is bootstrap_ci's."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rng, xs = random.Random(seed), sorted(pdf[value])
-        got = sorted(statistic(rng.choices(xs, k=len(xs))) for _ in range(iterations))
-        at = lambda p: got[min(len(got) - 1, max(0, math.floor(p * (len(got) - 1))))]
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "low": [float(at((1 - level) / 2))], "high": [float(at((1 + level) / 2))]})
+        got = bootstrap(pdf.sort_values("_o", kind="stable")["_v"].tolist(), statistic, iterations, seed, level)
+        return pd.DataFrame({by: [pdf[by].iloc[0]], **{k: [v] for k, v in got.items()}})
+
+    rows = df.select(by, F.col(value).cast("double").alias("_v"), F.col(order).alias("_o")).where(F.col("_v").isNotNull())
+    return rows.groupBy(by).applyInPandas(run, f"`{by}` {dict(df.dtypes)[by]}, n long, estimate double, low double, high double")
 
-    kind = dict(df.dtypes)[by]
-    return df.select(by, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull()).groupBy(by).applyInPandas(run, f"`{by}` {kind}, low double, high double")
+
+def bootstrap_ci(df: DataFrame, by: str, value: str, z: float = 1.959963984540054) -> DataFrame:
+    """(by, n, estimate, low, high): the median and the interval that resampling without end would give.
+
+    A resample's median is at most the k-th smallest value if half of it falls there: a binomial event, by
+    its normal approximation the bounds are the values z standard deviations (half the root of n) around the
+    middle. Only order statistics are needed, so groups may have any size. Nulls don't count.
+    """
+    half = lambda n: z * F.sqrt(n.cast("double")) / 2
+    ranks = [lambda n: F.floor((n - 1) / 2), lambda n: F.ceil((n - 1) / 2), lambda n: F.floor((n - 1) / 2 - half(n)), lambda n: F.ceil((n - 1) / 2 + half(n))]
+    got = store.order_statistics(df.select(by, F.col(value).cast("double").alias("v")), "v", ranks, [by])
+    return got.select(by, "n", ((F.col("s0") + F.col("s1")) / 2).alias("estimate"), F.col("s2").alias("low"), F.col("s3").alias("high"))
 
 
 def wilcoxon(df: DataFrame, diff: str) -> DataFrame:
     """Signed-rank statistic of differences (zeros left out, ties share ranks) with its normal approximation."""
     d = df.select(F.col(diff).alias("d")).where("d <> 0").withColumn("a", F.abs("d"))
     per = d.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("d") > 0).alias("plus"))
-    w = Window.orderBy("a").rowsBetween(Window.unboundedPreceding, -1)  # one row for each distinct size
-    per = per.withColumn("rank", F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") + 1) / 2)
+    per = store.before(per, "a").withColumn("rank", F.col("before") + (F.col("n") + 1) / 2)
     t = per.agg(F.sum(F.col("rank") * F.col("plus")).alias("w_plus"), F.sum(F.col("rank") * (F.col("n") - F.col("plus"))).alias("w_minus"), F.sum("n").alias("n"))
     n = F.col("n").cast("double")
     return t.withColumn("z", (F.least("w_plus", "w_minus") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24))
 
 
+def latency_groups(pairs: DataFrame, by: str) -> DataFrame:
+    """For each group (null: UNKNOWN) of paired runs: n, medians of base, system, overhead and ratio, and the
+    95th percentiles of base and system, interpolated."""
+    p = lambda c, q: F.percentile(c, F.lit(q))
+    g = pairs.groupBy(F.coalesce(F.col(by).cast("string"), F.lit("UNKNOWN")).alias(by))
+    return g.agg(
+        F.count(F.lit(1)).alias("n"), p("base_value", 0.5).alias("base_median"), p("system_value", 0.5).alias("system_median"), p("overhead", 0.5).alias("overhead_median"), p("ratio", 0.5).alias("ratio_median"),
+        p("base_value", 0.95).alias("base_p95"), p("system_value", 0.95).alias("system_p95"),
+    )
+
+
+def gold_rates(runs: DataFrame, category: str = "category") -> DataFrame:
+    """Route, action, decision and family counts and rates against gold, for each category and for all (null).
+
+    runs: route, actions, decision, families beside expected_route, expected_actions_any,
+    expected_response_decision, expected_runtime_decision, target_family_ids. What gold leaves open isn't counted.
+    """
+    c = F.col
+    wanted = F.coalesce("expected_response_decision", "expected_runtime_decision")
+    marks = {
+        "route": F.when(c("expected_route").isNotNull(), c("route").eqNullSafe(c("expected_route"))),
+        "action": F.when(F.size("expected_actions_any") > 0, F.coalesce(F.arrays_overlap("actions", "expected_actions_any"), F.lit(False))),
+        "decision": F.when(wanted.isNotNull(), F.coalesce((c("decision") == wanted) | (c("decision") == c("expected_runtime_decision")), F.lit(False))),
+        "family": F.when(F.size("target_family_ids") > 0, F.coalesce(F.arrays_overlap("families", "target_family_ids"), F.lit(False))),
+    }
+    return metric_block(runs.select(category, *(v.alias(k) for k, v in marks.items())), category, list(marks))
+
+
+def stage_profile(records: DataFrame) -> DataFrame:
+    """(kind, name, n, mean, ...): the distribution of every timing and count in the maps timing_ms and counts of
+    records with status PASS."""
+    ok = records.where("status = 'PASS'")
+    long = ok.select(F.explode("timing_ms").alias("name", "v")).withColumn("kind", F.lit("timing_ms")).unionByName(ok.select(F.explode("counts").alias("name", "v")).withColumn("kind", F.lit("counts")))
+    return distribution(long, "v", ["kind", "name"])
+
+
+def blind_sides(cases: DataFrame, id_col: str, order: str, seed: int = 42) -> DataFrame:
+    """Add system_is_a: sides dealt by a seeded sequence over the cases in order. The sequence is the feature, so the
+    set of cases is one that people review: their ids alone come to the driver."""
+    rng = random.Random(seed)
+    ids = [r[0] for r in cases.select(id_col, order).orderBy(order, id_col).collect()]
+    kind = dict(cases.dtypes)[id_col]
+    sides = cases.sparkSession.createDataFrame([(i, rng.random() < 0.5) for i in ids], f"`{id_col}` {kind}, system_is_a boolean")
+    return cases.join(sides, id_col)
+
+
+def blind_sheet(cases: DataFrame, id_col: str, order: str, base: str, system: str, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """The reviewers' sheet (responses a and b, empty answers), and the key that says whose they are."""
+    s = blind_sides(cases, id_col, order, seed)
+    a, text = F.col("system_is_a"), lambda c: F.coalesce(F.col(c), F.lit(""))
+    side = lambda yes, no: F.when(a, yes).otherwise(no)
+    asked = [F.lit("").alias(f"{q}_{x}") for x in "ab" for q in ("task_fulfilled", "authentic", "appropriate", "fabricated")]
+    sheet = s.select(id_col, *(c for c in ("category", "prompt") if c in cases.columns), side(text(system), text(base)).alias("response_a"), side(text(base), text(system)).alias("response_b"), *asked, F.lit("").alias("better_response"), F.lit("").alias("notes"))
+    return sheet, s.select(id_col, side(F.lit("SYSTEM"), F.lit("BASE")).alias("A"), side(F.lit("BASE"), F.lit("SYSTEM")).alias("B"))
+
+
+def unblinded(sheet: DataFrame, key: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """(system, metric, answer) of a filled sheet, and the winner of each case (SYSTEM, BASE, TIE or null if it
+    was left open). A case without a key and a side that isn't one fail."""
+    both = sheet.join(key, id_col, "left").withColumn("A", F.coalesce("A", F.raise_error(F.concat(F.lit("no key for "), F.col(id_col).cast("string")))))
+    long = None
+    for side in "ab":
+        for q in ("task_fulfilled", "authentic", "appropriate", "fabricated"):
+            part = both.select(F.col(side.upper()).alias("system"), F.lit(q).alias("metric"), review(F.col(f"{q}_{side}")).alias("answer"))
+            long = part if long is None else long.unionByName(part)
+    better = F.upper(F.trim(F.coalesce("better_response", F.lit(""))))
+    winner = F.when(better == "A", F.col("A")).when(better == "B", F.col("B")).when(better.isin("TIE", "T", "="), "TIE").when(better == "", F.lit(None)).otherwise(F.raise_error(F.concat(F.lit("not a side: "), better)))
+    return long, both.select(id_col, winner.alias("winner"))
+
+
+def seal_violations(cases: DataFrame, id_col: str, n: int) -> DataFrame:
+    """(violation, n) of what breaks a sealed set of cases: a missing id, a repeated one, another number of cases."""
+    c = cases.select(F.col(id_col).cast("string").alias("id"))
+    per = c.groupBy("id").agg(F.count(F.lit(1)).alias("k"))
+    bad = per.agg(F.sum(F.when(F.coalesce("id", F.lit("")) == "", F.col("k")).otherwise(0)).alias("missing-id"), F.sum(F.when((F.col("id") != "") & (F.col("k") > 1), F.col("k") - 1).otherwise(0)).alias("repeated-id"), F.abs(F.coalesce(F.sum("k"), F.lit(0)) - n).alias("wrong-number"))
+    return bad.unpivot([], ["missing-id", "repeated-id", "wrong-number"], "violation", "n").where("n > 0")
+
+
 def binomial_p(wins: int, losses: int) -> float:
     """Exact two-sided probability of a split at least so uneven under even odds."""
     n, k = wins + losses, min(wins, losses)

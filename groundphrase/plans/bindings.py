@@ -43,7 +43,7 @@ def variants(spark: SparkSession, sf: str) -> DataFrame:
 
 def glosses(spark: SparkSession, sf: str) -> DataFrame:
     """doc_id (the item), family_id, text: the words after the eighth."""
-    return _items(spark, sf).select(F.col("item_id").alias("doc_id"), _id("f").alias("family_id"), F.array_join(F.slice("t", 9, 1000), " ").alias("text"))
+    return _items(spark, sf).select(F.col("item_id").alias("doc_id"), _id("f").alias("family_id"), F.array_join(F.expr("slice(t, 9, greatest(size(t), 1))"), " ").alias("text"))
 
 
 def requests(spark: SparkSession, sf: str) -> DataFrame:
@@ -72,7 +72,7 @@ variants AS (
     'p' || lpad(item_id::VARCHAR, 4, '0') || '-v' || (k + 1)::VARCHAR AS variant_id, item_id % 25 AS source_id, CASE WHEN item_id % 3 = 0 THEN '' ELSE 'r' || item_id::VARCHAR END AS source_ref,
     array_to_string(CASE WHEN k = 0 THEN t[1:8] ELSE t[1:5] END, ' ') AS text
   FROM items, (SELECT unnest([0, 1])::BIGINT AS k)),
-glosses AS (SELECT item_id AS doc_id, 'f' || lpad(item_id::VARCHAR, 4, '0') AS family_id, array_to_string(t[9:1008], ' ') AS text FROM items),
+glosses AS (SELECT item_id AS doc_id, 'f' || lpad(item_id::VARCHAR, 4, '0') AS family_id, array_to_string(t[9:], ' ') AS text FROM items),
 requests AS (
   SELECT 'e' || item_id::VARCHAR AS query_id, translate(array_to_string(t[1:8], ' '), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') || '!' AS text FROM items
   UNION ALL SELECT 'c' || item_id::VARCHAR, array_to_string(t[1:8], '') FROM items

@@ -69,18 +69,27 @@ def latency_distribution(spark, sf):
     return rounded(ev.distribution(table(spark, sf, "events"), "value", ["event_type"]), 4)
 
 
-@query(f"WITH {PAIRED} SELECT o_orderpriority, count(*)::BIGINT AS n, round(median(ratio), 4) AS ratio_median, round(quantile_cont(ratio, 0.95), 4) AS ratio_p95, round(median(overhead), 2) AS overhead_median FROM (SELECT o_orderpriority, system_value / base_value AS ratio, system_value - base_value AS overhead FROM p) GROUP BY 1")
+@query(f"WITH {PAIRED} SELECT o_orderpriority, count(*)::BIGINT AS n, round(median(base_value), 3) AS base_median, round(median(system_value), 3) AS system_median, round(median(system_value - base_value), 3) AS overhead_median, round(median(system_value / base_value), 4) AS ratio_median, round(quantile_cont(base_value, 0.95), 3) AS base_p95, round(quantile_cont(system_value, 0.95), 3) AS system_p95 FROM p GROUP BY 1")
 def latency_by_group(spark, sf):
     p = _paired(spark, sf).join(table(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey")
-    g = p.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.percentile("ratio", F.array(F.lit(0.5), F.lit(0.95))).alias("r"), F.median("overhead").alias("o"))
-    return g.select("o_orderpriority", "n", F.round(F.col("r")[0], 4).alias("ratio_median"), F.round(F.col("r")[1], 4).alias("ratio_p95"), F.round("o", 2).alias("overhead_median"))
+    g = ev.latency_groups(p, "o_orderpriority")
+    return g.select("o_orderpriority", "n", *(F.round(c, 4 if c == "ratio_median" else 3).alias(c) for c in g.columns[2:]))
 
 
-@query(f"WITH {PAIRED} SELECT count(*) FILTER (system_value < base_value)::BIGINT AS faster, count(*) FILTER (o_orderpriority LIKE '1%' AND system_value < base_value)::BIGINT AS faster_urgent, count(*)::BIGINT AS n FROM p")
+GOLD = "gold AS (SELECT o_orderpriority AS category, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderstatus = 'F' END AS route, CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey % 3 = o_orderkey % 3 END AS action, CASE WHEN o_orderkey % 4 = 3 THEN NULL WHEN o_orderkey % 4 = 2 THEN o_custkey % 2 = 0 ELSE o_custkey % 2 = 1 OR o_orderkey % 4 = 1 AND o_custkey % 2 = 0 END AS decision, CASE WHEN o_custkey % 4 <> 0 THEN o_totalprice > 100000 END AS family FROM orders)"
+
+
+@query(f"WITH {GOLD} SELECT category, " + ", ".join(f"coalesce(sum({m}::INT), 0)::BIGINT AS {m}_correct, count({m})::BIGINT AS {m}_total, round(avg({m}::INT), 6) AS {m}_accuracy" for m in ("route", "action", "decision", "family")) + " FROM gold GROUP BY GROUPING SETS ((), (category))")
 def gold_metrics(spark, sf):
-    p = _paired(spark, sf).join(table(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey")
-    fast = F.col("system_value") < F.col("base_value")
-    return p.agg(F.count_if(fast).alias("faster"), F.count_if(fast & F.col("o_orderpriority").startswith("1")).alias("faster_urgent"), F.count(F.lit(1)).alias("n"))
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    none = F.array().cast("array<string>")
+    runs = table(spark, sf, "orders").select(
+        F.col("o_orderpriority").alias("category"), F.col("o_orderstatus").alias("route"), F.when(k % 7 != 0, "F").alias("expected_route"), F.array((c % 3).cast("string")).alias("actions"),
+        F.when(k % 5 != 0, F.array((k % 3).cast("string"))).otherwise(none).alias("expected_actions_any"), F.when(c % 2 == 0, "A").otherwise("B").alias("decision"),
+        F.when(k % 4 < 2, "B").alias("expected_response_decision"), F.when(k % 4 == 1, "A").when(k % 4 == 2, "A").alias("expected_runtime_decision"),
+        F.when(F.col("o_totalprice") > 100000, F.array(F.lit("f"))).otherwise(none).alias("families"), F.when(c % 4 != 0, F.array(F.lit("f"))).otherwise(none).alias("target_family_ids"),
+    )
+    return rounded(ev.gold_rates(runs))
 
 
 @query("SELECT o_orderstatus, count(*)::BIGINT AS n, round(median(o_totalprice), 4) AS median FROM orders GROUP BY 1")
@@ -104,6 +113,78 @@ def wilcoxon(spark, sf):
     return ev.wilcoxon(d, "d").select(F.round(F.col("w_plus").cast("double"), 1).alias("w_plus"), F.round(F.col("w_minus").cast("double"), 1).alias("w_minus"), "n")
 
 
-@query()
+@query(
+    "WITH o AS (SELECT o_orderstatus, o_totalprice AS v, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice) - 1 AS k, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders), c AS (SELECT *, 1.959963984540054::DOUBLE * sqrt(n) / 2 AS h FROM o)"
+    " SELECT o_orderstatus, any_value(n)::BIGINT AS n, round((max(v) FILTER (k = floor((n - 1) / 2)) + max(v) FILTER (k = ceil((n - 1) / 2))) / 2, 4) AS estimate, round(max(v) FILTER (k = greatest(0, floor((n - 1) / 2 - h))), 4) AS low, round(max(v) FILTER (k = least(n - 1, ceil((n - 1) / 2 + h))), 4) AS high FROM c GROUP BY 1"
+)
 def bootstrap_ci(spark, sf):
-    return ev.bootstrap_ci(table(spark, sf, "orders").where("o_orderkey < 4000"), "o_orderstatus", "o_totalprice", iterations=200)
+    return rounded(ev.bootstrap_ci(table(spark, sf, "orders"), "o_orderstatus", "o_totalprice"), 4)
+
+
+@query()
+def bootstrap_seeded(spark, sf):
+    """Mean length of the benchmark's items by kind of first letter, with all rounds."""
+    items = table(spark, sf, "benchmark").select("item_id", F.length("text").alias("n"), F.when(F.substring("text", 1, 1) < "m", "a-l").otherwise("m-z").alias("part"))
+    return ev.bootstrap_groups(items, "part", "n", "item_id")
+
+
+@query(
+    "WITH r AS (SELECT event_type, {'plan': value, 'search': value / 2} AS t, {'calls': event_id % 5} AS c FROM events WHERE event_id % 10 <> 0), l AS (SELECT 'timing_ms' AS kind, 'plan' AS name, t.plan AS v FROM r UNION ALL SELECT 'timing_ms', 'search', t.search FROM r UNION ALL SELECT 'counts', 'calls', c.calls FROM r)"
+    f" SELECT kind, name, count(v)::BIGINT AS n, round(avg(v), 4) AS mean, {DIST.format(v='v')}, round(min(v), 4) AS min, round(max(v), 4) AS max, round(coalesce(stddev_samp(v), 0), 4) AS stdev FROM l GROUP BY 1, 2"
+)
+def stage_profile(spark, sf):
+    v = F.col("value").cast("double")
+    r = table(spark, sf, "events").select(F.when(F.col("event_id") % 10 != 0, "PASS").otherwise("ERROR").alias("status"), F.create_map(F.lit("plan"), v, F.lit("search"), v / 2).alias("timing_ms"), F.create_map(F.lit("calls"), (F.col("event_id") % 5).cast("double")).alias("counts"))
+    return rounded(ev.stage_profile(r), 4)
+
+
+def _sides(n: int) -> list[bool]:
+    import random
+
+    rng = random.Random(42)
+    return [rng.random() < 0.5 for _ in range(n)]
+
+
+#: The first sides of the seeded sequence, as 1 (the system is a) and 0.
+SIDES = "".join("01"[x] for x in _sides(64))
+
+
+def _sheet(spark, sf):
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("prompt"), F.concat(F.lit("base "), "n_name").alias("base"), F.when(F.col("n_nationkey") % 6 != 0, F.concat(F.lit("system "), "n_name")).alias("system"))
+    return ev.blind_sheet(n, "id", "id", "base", "system")
+
+
+@query(f"WITH s AS (SELECT n_nationkey::BIGINT AS id, n_name AS prompt, 'base ' || n_name AS base, CASE WHEN n_nationkey % 6 <> 0 THEN 'system ' || n_name ELSE '' END AS system, substr('{SIDES}', n_nationkey + 1, 1) = '1' AS a FROM nation) SELECT id, prompt, CASE WHEN a THEN system ELSE base END AS response_a, CASE WHEN a THEN base ELSE system END AS response_b, CASE WHEN a THEN 'SYSTEM' ELSE 'BASE' END AS a FROM s")
+def blind_sheet(spark, sf):
+    sheet, key = _sheet(spark, sf)
+    return sheet.join(key, "id").select("id", "prompt", "response_a", "response_b", F.col("A").alias("a"))
+
+
+@query(f"WITH s AS (SELECT n_nationkey AS id, substr('{SIDES}', n_nationkey + 1, 1) = '1' AS a FROM nation), w AS (SELECT CASE id % 4 WHEN 0 THEN CASE WHEN a THEN 'SYSTEM' ELSE 'BASE' END WHEN 1 THEN CASE WHEN a THEN 'BASE' ELSE 'SYSTEM' END WHEN 2 THEN 'TIE' END AS winner FROM s) SELECT winner, count(*)::BIGINT AS n FROM w GROUP BY 1")
+def unblinded_wins(spark, sf):
+    sheet, key = _sheet(spark, sf)
+    filled = sheet.withColumn("better_response", F.when(F.col("id") % 4 == 0, " a").when(F.col("id") % 4 == 1, "B").when(F.col("id") % 4 == 2, "=").otherwise(""))
+    return ev.unblinded(filled, key, "id")[1].groupBy("winner").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH s AS (SELECT n_nationkey AS id, substr('{SIDES}', n_nationkey + 1, 1) = '1' AS a FROM nation), l AS (SELECT CASE WHEN a THEN 'SYSTEM' ELSE 'BASE' END AS system, CASE id % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 END AS x FROM s) SELECT system, 'authentic' AS metric, count(x)::BIGINT AS n, round(avg(x), 6) AS rate FROM l GROUP BY 1")
+def unblinded_rates(spark, sf):
+    sheet, key = _sheet(spark, sf)
+    filled = sheet.withColumn("authentic_a", F.when(F.col("id") % 3 == 0, "yes").when(F.col("id") % 3 == 1, "N").otherwise("n/a"))
+    long = ev.unblinded(filled, key, "id")[0]
+    sides = key.select(F.col("A").alias("system")).groupBy("system").count()
+    got = rounded(ev.positive_rates(long.where("metric = 'authentic'"), ["system", "metric"], "answer"))
+    return got.join(sides.select("system"), "system", "left_semi")
+
+
+@query("WITH p AS (SELECT p_name AS id, count(*) AS k FROM part GROUP BY 1) SELECT * FROM (SELECT 'repeated-id' AS violation, sum(k - 1)::BIGINT AS n FROM p WHERE k > 1 UNION ALL SELECT 'wrong-number', abs(sum(k) - 200)::BIGINT FROM p) WHERE n > 0")
+def sealed_cases(spark, sf):
+    return ev.seal_violations(table(spark, sf, "part"), "p_name", 200)
+
+
+@query("SELECT event_id, 'a=' || event_type || ';b=' || (CASE WHEN event_id % 2 = 0 THEN 'late' ELSE 'early' END) AS merged FROM events")
+def merged_maps(spark, sf):
+    """The later of two maps wins; keys come out in order."""
+    m = F.map_concat(F.map_filter(F.create_map(F.lit("a"), F.col("event_type"), F.lit("b"), F.lit("early")), lambda k, v: (k != "b") | (F.col("event_id") % 2 != 0)), F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("b"), F.lit("late"))).otherwise(F.create_map().cast("map<string,string>")))
+    text = F.array_join(F.transform(F.array_sort(F.map_keys(m)), lambda k: F.concat(k, F.lit("="), F.element_at(m, k))), ";")
+    return table(spark, sf, "events").select("event_id", text.alias("merged"))

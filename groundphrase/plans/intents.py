@@ -48,7 +48,7 @@ WISHES = (
 #: (id, phrase, its stems)
 PHRASES = (
     (1, "زبونش دراز است", "زبان دراز است"), (2, "کتابو خوندم", "کتاب خوند"), (3, "نمیشه که نشه", "شه"), (4, "آب از آب تکان نخورد", "آب آب تکان خورد"), (5, "گیره، گیرها", "گیر گیرها"),
-    (6, "دهنشون بسته‌اند", "دهان بسته اند"), (7, "میگن شونه خالی کرد", "شانه خال"), (8, "عمو جان", "عمو جان"), (9, "زندگیشان را دادند", "زندگ داد"), (10, "و از به", ""), (11, "جادو و کادو", "جادو کادو"), (12, "", ""),
+    (6, "دهنشون بسته‌اند", "دهان بست اند"), (7, "میگن شونه خالی کرد", "شان خال"), (8, "عمو جان", "عمو جان"), (9, "زندگیشان را دادند", "زندگ"), (10, "و از به", ""), (11, "جادو و کادو", "جادو کادو"), (12, "", ""),
 )
 
 

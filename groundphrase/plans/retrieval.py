@@ -179,8 +179,8 @@ def restore_base(spark, sf):
     return base_restore(b.requests(spark, sf), b.variants(spark, sf), items=long_tokens).withColumn("score", F.round("score", 6))
 
 
-# Dense: the first vectors of the table are queries against the rest; labels are families.
-VEC = """q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 20), d AS (SELECT vec_id AS doc_id, 'l' || label::VARCHAR AS family_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id >= 20),
+# Dense: vectors whose id is divisible by 50 are queries against all rows; labels are families.
+VEC = """q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0), d AS (SELECT vec_id AS doc_id, 'l' || label::VARCHAR AS family_id, embedding::DOUBLE[] AS v FROM embeddings),
 sims AS (SELECT query_id, doc_id, family_id, list_dot_product(q.v, d.v) / sqrt(list_dot_product(q.v, q.v) * list_dot_product(d.v, d.v)) AS sim FROM q, d),
 srank AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, doc_id) AS rank FROM sims)"""
 FAM = "fam AS (SELECT query_id, family_id, max(sim) AS sim FROM sims GROUP BY 1, 2), famrank AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, family_id) AS rank FROM fam)"
@@ -189,23 +189,18 @@ ALT = "alt AS (SELECT query_id, family_id, row_number() OVER (PARTITION BY query
 
 def _vectors(spark, sf):
     e = b.table(spark, sf, "embeddings")
-    q = e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
-    d = e.where("vec_id >= 20").select(F.col("vec_id").alias("doc_id"), F.concat(F.lit("l"), F.col("label").cast("string")).alias("family_id"), F.col("embedding").alias("v"))
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
+    d = e.select(F.col("vec_id").alias("doc_id"), F.concat(F.lit("l"), F.col("label").cast("string")).alias("family_id"), F.col("embedding").alias("v"))
     return q, d
 
 
-def _sims(spark, sf):
-    q, d = _vectors(spark, sf)
-    n = d.count()
-    return dense.cosine_topk(q, d, n).join(d.select("doc_id", "family_id"), "doc_id")
-
-
 def _families(spark, sf):
-    return index.ranked(dense.max_over_views(_sims(spark, sf)), "sim", tie="family_id")
+    return index.ranked(dense.cosine_families(*_vectors(spark, sf)), "sim", tie="family_id")
 
 
 def _counted(spark, sf):
-    n = _sims(spark, sf).where("rank <= 50").groupBy("query_id", "family_id").agg(F.count(F.lit(1)).alias("n"))
+    q, d = _vectors(spark, sf)
+    n = dense.cosine_topk(q, d, 50).join(d.select("doc_id", "family_id"), "doc_id").groupBy("query_id", "family_id").agg(F.count(F.lit(1)).alias("n"))
     return index.ranked(n, "n", tie="family_id").select("query_id", "family_id", "rank")
 
 

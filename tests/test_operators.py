@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from groundphrase.operators import decide, dense, evaluate, index, lexical, local
+from groundphrase.operators import decide, dense, evaluate, index, lexical, local, store
 from groundphrase.sources import files
 from groundphrase.streaming import requests as streaming
 
@@ -85,11 +85,54 @@ def test_distribution_and_bootstrap(spark):
     got = {r.g: r for r in evaluate.distribution(df, "v", ["g"]).collect()}
     assert (got["a"].n, got["a"].median, got["a"].min, got["a"].max) == (5, 3.0, 1.0, 5.0)
     assert (got["b"].n, got["b"].stdev) == (1, 0.0)
-    one, two = ([tuple(r) for r in evaluate.bootstrap_ci(df.where("g = 'a'"), "g", "v", iterations=100, seed=7).collect()] for _ in range(2))
-    assert one == two and one[0][1] <= 3 <= one[0][2]
+    cases = df.where("g = 'a'").withColumn("o", F.col("v"))
+    one, two = ([tuple(r) for r in evaluate.bootstrap_groups(cases, "g", "v", "o", iterations=100, seed=7).collect()] for _ in range(2))
+    assert one == two and one[0][1:3] == (5, 3.0) and one[0][3] <= 3 <= one[0][4]
+    assert one[0][1:] == tuple(evaluate.bootstrap([1, 2, 3, 4, 5], iterations=100, seed=7).values())
+    assert evaluate.bootstrap([]) == {"n": 0, "estimate": None, "low": None, "high": None}
     assert evaluate.binomial_p(9, 1) == pytest.approx(22 / 1024)
 
 
+def test_the_limit_of_resampling_medians(spark):
+    rng = np.random.default_rng(3)
+    values = rng.normal(size=900).round(4).tolist()
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", 1.0), ("b", 1.0), ("c", None)], "g string, v double")
+    got = {r.g: r for r in evaluate.bootstrap_ci(df, "g", "v").collect()}
+    seeded = evaluate.bootstrap(values, iterations=2000)
+    assert got["a"].estimate == pytest.approx(seeded["estimate"]) and (got["b"].n, got["b"].low, got["b"].high) == (2, 1.0, 1.0) and "c" not in got
+    assert abs(got["a"].low - seeded["low"]) < 0.03 and abs(got["a"].high - seeded["high"]) < 0.03
+
+
+def test_running_counts_cross_ranges(spark):
+    rows = [(g, v, int(n)) for g in ("a", None) for v, n in enumerate(np.random.default_rng(4).integers(1, 9, 500))]
+    df = spark.createDataFrame(rows, "g string, v int, n long")
+    for by in (["g"], None):
+        counts = df if by else df.groupBy("v").agg(F.sum("n").alias("n"))
+        got, total = {(r["g"] if by else 0, r.v): r.before for r in store.before(counts, "v", "n", by).collect()}, {}
+        for r in sorted(counts.collect(), key=lambda r: r.v):
+            key = r["g"] if by else 0
+            assert got[key, r.v] == total.get(key, 0)
+            total[key] = total.get(key, 0) + r.n
+
+
+def test_families_by_blocks(spark):
+    rng = np.random.default_rng(9)
+    m = rng.normal(size=(60, 4)).tolist()
+    docs = spark.createDataFrame([(i, f"f{i % 7}", v) for i, v in enumerate(m)] + [(100, "f0", None), (101, None, m[0]), (50, "f1", m[3])], "doc_id long, family_id string, v array<float>").repartition(3)
+    qs = spark.createDataFrame([(i, m[i]) for i in (3, 4)] + [(9, None)], "query_id long, v array<float>")
+    got = {(r.query_id, r.family_id): (r.view, round(r.sim, 6)) for r in dense.cosine_families(qs, docs, n_queries_block=2).collect()}
+    unit = np.array(m, np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    for q in (3, 4):
+        for f in range(7):
+            mine = [i for i in range(60) if i % 7 == f]
+            sims = [round(float(unit[q] @ unit[i]), 6) for i in mine]
+            if f == 1:
+                continue
+            assert got[q, f"f{f}"] == (mine[int(np.argmax(sims))], max(sims))
+    assert got[3, "f3"][0] == 3 and got[3, "f1"] == (50, 1.0) and len(got) == 14
+
+
 def test_review_values(spark):
     df = spark.createDataFrame([("yes ",), ("N",), (None,), ("n/a",)], "v string")
     assert [r.x for r in df.select(evaluate.review(F.col("v")).alias("x")).collect()] == ["YES", "NO", "NA", "NA"]
