@@ -48,26 +48,20 @@ WIDE_COLLOQUIAL = {
 WIDE_STOP = ("را", "رو", "به", "از", "در", "تو", "توی", "برا", "برای", "یک", "یه", "و", "که", "کسی", "خود", "این", "اون", "آن")
 
 
-def _wide_stem(token: Column) -> Column:
-    t = _mapped(_first_ending(_mapped(token, WIDE_COLLOQUIAL), POSSESSIVE), WIDE_COLLOQUIAL)
-    return _mapped(_first_ending(F.regexp_replace(t, "^(?:نمی|می|ن)", ""), VERBAL), ROOTS)
-
-
-def _first_ending(c: Column, endings: tuple[str, ...]) -> Column:
-    """c without the first of the endings that it has, if more than two letters stay."""
-    out = None
-    for e in endings:
-        fits = c.endswith(e) & (F.length(c) > len(e) + 2)
-        cut = F.substring(c, F.lit(1), F.length(c) - len(e))
-        out = F.when(fits, cut) if out is None else out.when(fits, cut)
-    return out.otherwise(c)
+def _wide_stems(tokens: Column) -> Column:
+    """The stems of an array of words, step by step, so that no step's expression is repeated in the next."""
+    out = F.transform(tokens, lambda t: _mapped(t, WIDE_COLLOQUIAL))
+    out = F.transform(out, lambda t: _without(t, POSSESSIVE))
+    out = F.transform(out, lambda t: _mapped(t, WIDE_COLLOQUIAL))
+    out = F.transform(out, lambda t: _without(F.regexp_replace(t, "^(?:نمی|می|ن)", ""), VERBAL))
+    return F.transform(out, lambda t: _mapped(t, ROOTS))
 
 
 def wide_signature(text: Column) -> Column:
     """The stems of a text's words in order, for restoring: a final object marker counts as none where that leaves a
     stem; no stop words, light verbs and single letters."""
     folded = F.lower(F.translate(F.coalesce(text, F.lit("")), "‌يىكۀة", " ییکهه"))
-    bare = lambda t: F.when((F.length(t) >= 5) & t.endswith("و") & ~t.endswith("او") & ~t.endswith("یو"), F.substring(t, F.lit(1), F.length(t) - 1))
+    words = F.regexp_extract_all(folded, F.lit(WIDE_LETTERS), F.lit(0))
+    bare = F.transform(words, lambda t: F.regexp_replace(t, "^(.{3,}[^ای])و$", "$1"))
     keep = lambda s: F.when((F.length(s) >= 2) & ~s.isin(*WIDE_STOP, *LIGHT), s)
-    forms = F.transform(F.regexp_extract_all(folded, F.lit(WIDE_LETTERS), F.lit(0)), lambda t: F.coalesce(keep(_wide_stem(bare(t))), keep(_wide_stem(t))))
-    return F.filter(forms, lambda s: s.isNotNull())
+    return F.filter(F.zip_with(_wide_stems(bare), _wide_stems(words), lambda x, y: F.coalesce(keep(x), keep(y))), lambda s: s.isNotNull())

@@ -31,12 +31,17 @@ def trigram_index(docs: DataFrame) -> DataFrame:
     return w.join(norm, "doc_id")
 
 
-def tfidf(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score): cosine; grams outside the corpus count for nothing."""
+def _met(q: DataFrame, index: DataFrame, key: str, pairs: DataFrame | None) -> DataFrame:
+    """Query items beside the index's rows of theirs; only of the documents in pairs (query_id, doc_id), if given."""
+    return q.join(index, key) if pairs is None else q.join(pairs.select("query_id", "doc_id"), "query_id").join(index, [key, "doc_id"])
+
+
+def tfidf(queries: DataFrame, index: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, score): cosine; grams outside the corpus count for nothing. pairs: the only ones wanted."""
     idf = index.select("gram", "idf").distinct()
     q = _counted(queries, "query_id", tx.char_ngrams(tx.retrieval(F.col("text"))), "gram").join(idf, "gram").withColumn("qw", F.col("tf") * F.col("idf")).select("query_id", "gram", "qw")
     q_norm = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("q_norm"))
-    dots = q.join(index.select("gram", "doc_id", "weight", "norm"), "gram").groupBy("query_id", "doc_id").agg(F.sum(F.col("qw") * F.col("weight")).alias("dot"), F.first("norm").alias("norm"))
+    dots = _met(q, index.select("gram", "doc_id", "weight", "norm"), "gram", pairs).groupBy("query_id", "doc_id").agg(F.sum(F.col("qw") * F.col("weight")).alias("dot"), F.first("norm").alias("norm"))
     return dots.join(q_norm, "query_id").select("query_id", "doc_id", (F.col("dot") / (F.col("q_norm") * F.col("norm"))).alias("score"))
 
 
@@ -48,14 +53,14 @@ def bigram_index(docs: DataFrame) -> DataFrame:
     return sets.join(df.select("gram", F.log(1 + F.col("n_docs") / (1 + F.col("df"))).alias("idf")), "gram")
 
 
-def coverage(queries: DataFrame, index: DataFrame, n_docs: int) -> DataFrame:
+def coverage(queries: DataFrame, index: DataFrame, n_docs: int, pairs: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, coverage): share of the query's bigram weight that a document holds; unknown bigrams
     weigh ln(1 + N). Only queries of LEAST_COMPACT letters and pairs that share a bigram have a row."""
     q = queries.select("query_id", tx.compact(tx.retrieval(F.col("text"))).alias("c")).where(F.length("c") >= LEAST_COMPACT)
     q = q.select("query_id", F.explode(tx.bigram_set(F.col("c"))).alias("gram"))
     weighed = q.join(index.select("gram", "idf").distinct(), "gram", "left").withColumn("idf", F.coalesce("idf", F.log(F.lit(1.0 + n_docs))))
     total = weighed.groupBy("query_id").agg(F.sum("idf").alias("total"))
-    got = q.join(index, "gram").groupBy("query_id", "doc_id").agg(F.sum("idf").alias("got"))
+    got = _met(q, index, "gram", pairs).groupBy("query_id", "doc_id").agg(F.sum("idf").alias("got"))
     return got.join(total, "query_id").select("query_id", "doc_id", (F.col("got") / F.col("total")).alias("coverage"))
 
 
@@ -68,13 +73,13 @@ def token_index(docs: DataFrame) -> DataFrame:
     return tf.join(df.select("token", "avgdl", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")), "token")
 
 
-def bm25(queries: DataFrame, index: DataFrame) -> DataFrame:
+def bm25(queries: DataFrame, index: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, raw, evidence): evidence is raw over the known terms' idf, 1 at most, and 0.15 at most
     where fewer than two terms match."""
     q = queries.select("query_id", F.explode(F.array_distinct(tx.tokens(tx.retrieval(F.col("text"))))).alias("token"))
     known = q.join(index.select("token", "idf").distinct(), "token").groupBy("query_id").agg(F.sum("idf").alias("total"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    got = q.join(index, "token").groupBy("query_id", "doc_id").agg(F.sum(part).alias("raw"), F.count(F.lit(1)).alias("terms"))
+    got = _met(q, index, "token", pairs).groupBy("query_id", "doc_id").agg(F.sum(part).alias("raw"), F.count(F.lit(1)).alias("terms"))
     e = F.least(F.lit(1.0), F.col("raw") / F.col("total"))
     return got.join(known, "query_id").select("query_id", "doc_id", "raw", F.when(F.col("terms") < 2, F.least(e, F.lit(0.15))).otherwise(e).alias("evidence"))
 

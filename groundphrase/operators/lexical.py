@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from groundphrase.functions import text as tx
 from groundphrase.operators import index as ix
+from groundphrase.operators import store
 
 EXACT, PARTIAL = 1.0, 0.99
 WEIGHTS = {"tfidf": 1.0, "coverage": 0.30, "bm25": 0.35, "fuzzy": 0.40}
@@ -44,21 +49,63 @@ def surface(queries: DataFrame, docs: DataFrame) -> DataFrame:
     return e.unionByName(partial(queries, docs).join(e.select("query_id").distinct(), "query_id", "left_anti"))
 
 
-def contained(texts: DataFrame, variants: DataFrame, key: str = "query_id") -> DataFrame:
+#: Letters of all variants together up to which every worker holds an automaton of them; beyond, texts meet variants
+#: by a join on their first letters.
+DICTIONARY = 8 << 20
+
+
+def contained(texts: DataFrame, variants: DataFrame, key: str = "query_id", dictionary: int = DICTIONARY) -> DataFrame:
     """(key, family_id, first_pos): families one of whose variants (LEAST_COMPACT letters or more) stands in a
     text, with the first place (from 1). A text that is a variant itself has only its own families.
 
-    Texts meet variants on the variants' first letters, never all with all.
+    Texts never meet variants all with all: one pass of an automaton finds them, or, where the variants' checked
+    size is over `dictionary` letters, a join on first letters does.
     """
     n = ix.LEAST_COMPACT
     t = _compact(texts, key)
-    v = variants.select("family_id", tx.compact(tx.retrieval(F.col("text"))).alias("v")).where(F.length("v") >= n).distinct().withColumn("head", F.substring("v", 1, n))
+    v = variants.select("family_id", tx.compact(tx.retrieval(F.col("text"))).alias("v")).where(F.length("v") >= n).distinct()
+    if (v.agg(F.sum(F.length("v"))).first()[0] or 0) <= dictionary:
+        return _found(t, v, key)
+    v = v.withColumn("head", F.substring("v", 1, n))
     own = t.join(v, t["c"] == v["v"]).select(key, "family_id", F.lit(1).alias("pos"))
     heads = t.join(own.select(key).distinct(), key, "left_anti").select(key, "c", F.posexplode(tx.char_ngrams(F.col("c"), n)).alias("at", "head"))
     inside = heads.join(v, "head").where(F.expr("substring(c, at + 1, length(v)) = v")).select(key, "family_id", (F.col("at") + 1).alias("pos"))
     return own.unionByName(inside).groupBy(key, "family_id").agg(F.min("pos").cast("long").alias("first_pos"))
 
 
+def _found(t: DataFrame, v: DataFrame, key: str) -> DataFrame:
+    families: dict[str, list[str]] = {}
+    for r in v.collect():  # checked: DICTIONARY letters at most
+        families.setdefault(r.v, []).append(r.family_id)
+    kind = t.schema[key].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for x, fs in families.items():
+            machine.add_word(x, (len(x), fs))
+        if families:
+            machine.make_automaton()
+        for b in batches:
+            rows, keys, fams, places = b.column(0), [], [], []
+            for i, c in enumerate(b.column(1).to_pylist()):
+                if not c or not families:
+                    continue
+                first: dict[str, int] = {f: 1 for f in families.get(c, ())}
+                if not first:
+                    for last, (n, fs) in machine.iter(c):
+                        for f in fs:
+                            first[f] = min(first.get(f, last - n + 2), last - n + 2)
+                keys += [i] * len(first)
+                fams += first
+                places += first.values()
+            yield pa.RecordBatch.from_arrays([rows.take(pa.array(keys, pa.int32())), pa.array(fams, pa.string()), pa.array(places, pa.int64())], names=[key, "family_id", "first_pos"])
+
+    schema = T.StructType([T.StructField(key, kind), T.StructField("family_id", T.StringType()), T.StructField("first_pos", T.LongType())])
+    return t.mapInArrow(run, schema).groupBy(key, "family_id").agg(F.min("first_pos").alias("first_pos"))
+
+
 def noisy_or(**evidence: Column) -> Column:
     out = F.lit(1.0)
     for name, e in evidence.items():
@@ -77,15 +124,17 @@ def consensus(score: Column, t: Column, c: Column, b: Column, f: Column, n_compa
     return F.when(n_compact >= ix.LEAST_COMPACT, F.greatest(score, *rules)).otherwise(score)
 
 
-def evidence(queries: DataFrame, docs: DataFrame, pool: int | None = POOL) -> DataFrame:
+def evidence(queries: DataFrame, docs: DataFrame, pool: int | None = POOL, pairs: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, tfidf, coverage, bm25): candidates are the best of TF-IDF and of BM25; coverage counts
-    only for documents that TF-IDF found."""
+    only for documents that TF-IDF found. pairs (query_id, doc_id): the only ones that are wanted. Each index is
+    built once."""
     n = docs.count()
-    t = ix.tfidf(queries, ix.trigram_index(docs)).withColumnRenamed("score", "tfidf")
-    b = ix.bm25(queries, ix.token_index(docs)).select("query_id", "doc_id", F.col("evidence").alias("bm25")).where("bm25 > 0")
+    tri, tok, bi = (store.stored(f(docs), "index") for f in (ix.trigram_index, ix.token_index, ix.bigram_index))
+    t = ix.tfidf(queries, tri, pairs).withColumnRenamed("score", "tfidf")
+    b = ix.bm25(queries, tok, pairs).select("query_id", "doc_id", F.col("evidence").alias("bm25")).where("bm25 > 0")
     if pool is not None:
         t, b = ix.ranked(t, "tfidf", pool).drop("rank"), ix.ranked(b, "bm25", pool).drop("rank")
-    c = ix.coverage(queries, ix.bigram_index(docs), n)
+    c = ix.coverage(queries, bi, n, pairs)
     both = t.join(b, ["query_id", "doc_id"], "full_outer").join(c, ["query_id", "doc_id"], "left")
     zero = lambda x: F.coalesce(x, F.lit(0.0)).alias(x)
     return both.select("query_id", "doc_id", zero("tfidf"), F.when(F.col("tfidf").isNull(), 0.0).otherwise(F.coalesce("coverage", F.lit(0.0))).alias("coverage"), zero("bm25"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from groundphrase.functions import fuzzy as fz
 from groundphrase.functions import text as tx
-from groundphrase.operators import index, lexical
+from groundphrase.operators import index, lexical, store
 
 CANDIDATES, ACCEPT, RESTORE_RATIO, RESTORE_MARGIN = 10, 0.72, 0.80, 0.18
 CHEAP, FULL = 0.45, 0.55
@@ -48,8 +48,9 @@ def align(ranked: DataFrame, queries: DataFrame, docs: DataFrame, candidates: in
     w = ranked.where(F.col("rank") <= candidates).select("query_id", "doc_id").join(texts, "query_id").join(d, "doc_id")
     w = w.select("query_id", "doc_id", "d", F.explode(windows("text", "d")).alias("w")).select("query_id", "doc_id", "d", "w.*")
     key = F.concat_ws(":", "query_id", "doc_id", "start", "end")
-    w = w.withColumn("key", key)
-    full = lexical.evidence(w.select(F.col("key").alias("query_id"), "text"), docs, None).withColumnRenamed("query_id", "key")
+    w = store.stored(w.withColumn("key", key), "windows")
+    wanted = w.select(F.col("key").alias("query_id"), "doc_id", "text")
+    full = lexical.evidence(wanted, docs, None, wanted).withColumnRenamed("query_id", "key")
     got = w.join(full, ["key", "doc_id"], "left").withColumn("fuzzy", fz.fuzzy_evidence(tx.retrieval(F.col("text")), F.col("d")))
     score = F.least(F.lit(1.0), CHEAP * F.col("cheap") + FULL * lexical.noisy_or(tfidf=F.col("tfidf"), coverage=F.col("coverage"), bm25=F.col("bm25"), fuzzy=F.col("fuzzy")))
     got = got.withColumn("score", score)
@@ -65,13 +66,16 @@ def bind_mentions(queries: DataFrame, docs: DataFrame, rounds: int = 10) -> Data
         ranked = index.ranked(lexical.fused(active, docs))
         w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc_id")
         top = align(ranked, active, docs).withColumn("nth", F.row_number().over(w)).where((F.col("nth") == 1) & (F.col("score") >= ACCEPT))
-        found = top.join(docs.select("doc_id", "family_id"), "doc_id").select("query_id", F.lit(k).alias("round"), "doc_id", "family_id", "start", "end", "score").checkpoint()
+        found = top.join(docs.select("doc_id", "family_id"), "doc_id").select("query_id", F.lit(k).alias("round"), "doc_id", "family_id", "start", "end", "score")
+        found = store.stored(found, "mentions")
         if found.isEmpty():
             break
         out = found if out is None else out.unionByName(found)
         span = F.concat(F.expr("substring(text, 1, start)"), F.repeat(F.lit(" "), F.col("end") - F.col("start")), F.expr("substring(text, end + 1)"))
-        active = active.join(found.select("query_id", "start", "end"), "query_id").select("query_id", span.alias("text")).checkpoint()
-    return out if out is not None else found
+        active = active.join(found.select("query_id", "start", "end"), "query_id").select("query_id", span.alias("text"))
+        active = store.stored(active, "requests")
+    empty = "query_id string, round int, doc_id long, family_id string, start int, end int, score double"
+    return out if out is not None else queries.sparkSession.createDataFrame([], empty)
 
 
 def ordered_restore(queries: DataFrame, docs: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from groundphrase.functions import text as tx
-from groundphrase.operators import decide, dense, index, lexical
+from groundphrase.operators import decide, dense, engine, index, lexical
+from groundphrase.operators.attest import attest
 from groundphrase.plans import bindings as b
 from groundphrase.plans import retrieval as r
 from groundphrase.plans.bindings import VIEWS, compact, norm
@@ -140,3 +143,38 @@ def state_violations(spark, sf):
     o, i = b.table(spark, sf, "orders"), F.col("o_orderkey")
     d = F.when(i % 3 == 0, "ACCEPT").when(i % 3 == 1, "CLARIFY").otherwise("ABSTAIN")
     return o.select("o_orderkey", decide.search_violation(d, F.col("o_orderstatus") == "F", F.col("o_custkey") % 3).alias("violation"))
+
+
+GM = re.sub(r"\b(ndocs|dtf|idf|dw|dn|qw|qn|tfidf|trank)\b", r"g_\1", f"{r.GLOSS}, {MEAN}")
+AUTO = r"""rt AS (SELECT q.query_id, CASE WHEN trim(q.text) = '' THEN 'CLARIFY:empty-query' WHEN regexp_matches(q.text, '(?i)\breal\b') THEN 'ATTESTATION:explicit-cue' WHEN s AND NOT m THEN 'SURFACE:explicit-cue' WHEN m AND NOT s THEN 'MEANING:explicit-cue' WHEN s AND m THEN 'CLARIFY:conflicting-explicit-task-cues' WHEN regexp_matches(q.text, '\d') THEN 'CLARIFY:technical-out-of-domain-guard' END AS explicit
+  FROM (SELECT *, regexp_matches(text, '(?i)\b(complete|finish)\b') AS s, regexp_matches(text, '(?i)\b(mean|about)\b') AS m FROM requests) q),
+pr AS (SELECT query_id, explicit, len(list_filter(string_split(sdec.r, ' '), lambda x: x <> '')) AS n, coalesce(sdec.score, 0) AS s, coalesce(mdec.score, 0) AS m, coalesce(margin, 0) AS sm, sdec.decision AS sd, mdec.decision AS md, status FROM rt JOIN sdec USING (query_id) JOIN mdec USING (query_id) JOIN attested USING (query_id)),
+ro AS (SELECT *, coalesce(explicit, CASE WHEN n <= 10 AND s >= 0.75 AND s >= m + 0.15 THEN 'SURFACE:surface-strong-probe' WHEN sd = 'ACCEPT' AND md <> 'ACCEPT' THEN 'SURFACE:surface-only-accept' WHEN md = 'ACCEPT' AND sd <> 'ACCEPT' THEN 'MEANING:meaning-only-accept' WHEN sd = 'ACCEPT' AND md = 'ACCEPT' AND n <= 10 AND s >= 0.6 THEN 'SURFACE:surface-phrase-both-accept' WHEN sd = 'ACCEPT' AND md = 'ACCEPT' THEN 'CLARIFY:both-tasks-accept'
+  WHEN sd = 'CLARIFY' AND md = 'ABSTAIN' THEN 'SURFACE:surface-only-clarify' WHEN md = 'CLARIFY' AND sd = 'ABSTAIN' AND m >= 0.5 AND m >= s + 0.15 THEN 'MEANING:meaning-clarify-probe' WHEN md = 'CLARIFY' AND sd = 'ABSTAIN' AND n <= 6 AND s >= 0.6 AND s >= m + 0.2 THEN 'SURFACE:surface-fragment-over-weak-meaning' WHEN md = 'CLARIFY' AND sd = 'ABSTAIN' THEN 'CLARIFY:weak-meaning-clarify'
+  WHEN n <= 6 AND s >= 0.55 AND s >= m + 0.15 AND (sm >= 0.08 OR s >= 0.7) THEN 'SURFACE:surface-fragment-probe' ELSE 'CLARIFY:insufficient-task-evidence' END) AS route FROM pr)
+SELECT query_id, string_split(route, ':')[1] AS task, string_split(route, ':')[2] AS reason, CASE string_split(route, ':')[1] WHEN 'ATTESTATION' THEN CASE status WHEN 'ATTESTED' THEN 'ACCEPT' WHEN 'NEEDS_CLARIFICATION' THEN 'CLARIFY' ELSE 'NOT_ATTESTED_IN_CURRENT_CORPUS' END WHEN 'SURFACE' THEN sd WHEN 'MEANING' THEN md ELSE 'CLARIFY' END AS decision FROM ro"""
+
+
+@query(f"WITH {SURF}, {GM}, {r.ATTEST.replace('rq AS', 'arq AS').replace('FROM rq', 'FROM arq')}, {AUTO}".replace("g_tfidf AS score", "g_tfidf AS score"))
+def auto_dispatch(spark, sf):
+    """Every request through explicit cues (of its own language), both probes, and attestation."""
+    t = F.col("text")
+    explicit = decide.explicit_route(F.trim(t) == "", t.rlike(r"(?i)\breal\b"), t.rlike(r"(?i)\b(complete|finish)\b"), t.rlike(r"(?i)\b(mean|about)\b"), t.rlike(r"\d"))
+    s, m = (df.withColumnRenamed("top", "score") for df in (surface_decisions(spark, sf), meaning_decisions(spark, sf)))
+    q, v = b.requests(spark, sf), b.variants(spark, sf)
+    return engine.auto(q, s, m, attest(q, v), explicit)
+
+
+@query()
+def surface_verified(spark, sf):
+    """All branches: exact, partial and fuzzy retrieval, fillers, and windows for what stays open."""
+    q, v = b.requests(spark, sf), b.variants(spark, sf)
+    return engine.Engine(v, b.glosses(spark, sf)).surface(q).select("query_id", "reason", "decision", "doc_id", F.round("score", 6).alias("score"))
+
+
+@query(
+    f"WITH {VIEWS}, {r.GLOSS}, {r.BM.replace('FROM variants', 'FROM glosses')}, u AS (SELECT query_id, doc_id, coalesce(tfidf, 0) AS t, coalesce(bm25, 0) AS b FROM tfidf FULL JOIN bme USING (query_id, doc_id)), s AS (SELECT *, least(1.0, t + 0.35 * b * (1 - t)) AS score FROM u), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s WHERE score > 0) SELECT query_id, doc_id, round(score, 6) AS score, rank FROM k WHERE rank <= 3"
+)
+def gloss_rescored(spark, sf):
+    k = engine.meaning_ranking(b.requests(spark, sf), b.glosses(spark, sf))
+    return k.where("rank <= 3").select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")

@@ -178,3 +178,54 @@ def test_streamed_requests_go_on_after_a_restart(spark, variants, tmp_path):
     assert run() == ({"a": ("ATTESTED", 4), "b": ("NEEDS_CLARIFICATION", None)}, 2)
     feed(2, ("a", "2024-01-01 00:02:00", "again"), ("c", "2024-01-01 00:03:00", "not in the corpus"))
     assert run() == ({"a": ("ATTESTED", 4), "b": ("NEEDS_CLARIFICATION", None), "c": ("NOT_ATTESTED", None)}, 3)
+
+
+def test_engine_end_to_end(spark):
+    from groundphrase.operators.engine import Engine, Policy, factory
+
+    variants = spark.createDataFrame(VARIANTS, "doc_id long, family_id string, text string")
+    glosses = spark.createDataFrame([(1, "f1", "سحرخیز باش تا کامروا شوی"), (2, "f2", "کار را زود درست کردن")], "doc_id long, family_id string, text string")
+    q = ask(spark, "The early bird catches the worm", "a stich in tme saves nine", "zzz qqq", "", "he told me that a stitch in time saves nine and went home", "کار زود درست می‌شود")
+    got = {r.query_id: r for r in Engine(variants, glosses).surface(q).collect()}
+    assert (got["q0"].decision, got["q0"].doc_id, got["q0"].reason) == ("ACCEPT", 0, "score-and-margin-passed")
+    assert got["q1"].decision == "ACCEPT" and got["q1"].doc_id == 2
+    assert (got["q2"].decision, got["q3"].reason) == ("ABSTAIN", "empty-query")
+    assert got["q4"].doc_id == 2 and got["q4"].reason in ("score-and-margin-passed", "surface-evidence-agreement", "local-surface-evidence-agreement")
+    auto = {r.query_id: r for r in Engine(variants, glosses).auto(q).collect()}
+    assert auto["q0"].reason == "technical-out-of-domain-guard" and auto["q3"].reason == "empty-query" and auto["q5"].task in ("MEANING", "CLARIFY")
+    free = {r.query_id: r for r in Engine(variants, glosses).auto(q, F.lit(None).cast("string")).collect()}
+    assert (free["q0"].task, free["q0"].decision) == ("SURFACE", "ACCEPT") and free["q2"].task == "CLARIFY"
+    assert {r.query_id for r in Engine(variants, glosses, Policy(candidates=3)).attest(q).where("status = 'ATTESTED'").collect()} == {"q0"}
+    assert factory("groundphrase.operators.engine:surface_ranking").__name__ == "surface_ranking"
+    for bad in ("nothing", ":x"):
+        with pytest.raises(ValueError):
+            factory(bad)
+    with pytest.raises(ValueError):
+        Policy(candidates=0)
+
+
+def test_contained_both_ways(spark, variants):
+    texts = spark.createDataFrame([("a", "He said: a stitch in time saves nine; the early bird catches the worm!"), ("b", "early bird catches worm"), ("c", None), ("d", "all that glitters all that glitters")], "query_id string, text string")
+    one, two = ({tuple(r) for r in lexical.contained(texts, variants, dictionary=n).collect()} for n in (lexical.DICTIONARY, 0))
+    assert one == two and {(k, f) for k, f, _ in one} == {("a", "f1"), ("a", "f2"), ("b", "f1"), ("d", "f4")}
+
+
+def test_frozen_vectors(spark, tmp_path):
+    from groundphrase.sources import vectors
+
+    (tmp_path / "e").write_bytes(b"one")
+    (tmp_path / "s").write_bytes(b"two")
+    h = vectors.corpus_hash(spark, str(tmp_path / "e"), str(tmp_path / "s"))
+    assert h == hashlib.sha256(b"one\0sources\0two").hexdigest()[:16]
+    m = np.random.default_rng(1).normal(size=(1030, 3)).astype(np.float32)
+    path, fams = str(tmp_path / "m.npy"), [f"f{i}" for i in range(1030)]
+    vectors.write_matrix(path, m, "model", h, fams)
+    got = vectors.read_frozen(spark, path, "model", h, fams).orderBy("row").collect()
+    assert np.array_equal(np.array([r.v for r in got], np.float32), m) and got[7].family_id == "f7"
+    for args in (("other", h, fams), ("model", "0", fams), ("model", h, fams[::-1])):
+        with pytest.raises(ValueError):
+            vectors.read_frozen(spark, path, *args)
+    with open(path, "ab") as f:
+        f.write(b"x")
+    with pytest.raises(ValueError, match="changed"):
+        vectors.read_frozen(spark, path, "model", h, fams)
