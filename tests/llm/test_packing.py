@@ -129,6 +129,14 @@ def test_tokens_of_long_texts():
     assert count("") == 1
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab \n\t\u00a0\u3000éß中▁.,", max_size=40))
+def test_tokens_against_the_library(text):
+    import public_tokenizers
+
+    assert packing.counter(str(public_tokenizers.path("piece_bpe_32k.model")))(text) == tokens(text)
+
+
 def test_too_long_a_piece():
     with pytest.raises(ValueError):
         packing.pack([9], (4, 8))
