@@ -4,6 +4,7 @@ folder, joins that stand one very frequent key, and connected components."""
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -109,6 +110,15 @@ def stored(df: DataFrame, what: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def release(spark: SparkSession, *paths: str) -> None:
+    """Remove tables that nobody reads any more, and let the driver forget finished shuffles: their files lie on the
+    executors' disks until it has collected what refers to them."""
+    for path in paths:
+        remove(spark, path)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: A key is hot if it has at least 1 of HOT_SHARE rows; so there are HOT_SHARE hot keys at most.
 HOT_SHARE = 1000
 

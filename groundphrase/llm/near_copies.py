@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundphrase.llm import simhash
-from groundphrase.llm.common import components, join_counted, map_text, stored
+from groundphrase.llm.common import components, join_counted, map_text, release, stored
 from groundphrase.llm.simhash import BLOCK
 
 WORDS, SIMILARITY_10 = 5, 8  # shingles of five words; tenths
@@ -180,19 +180,23 @@ def groups(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     each = nodes.select("node", "n", F.explode("blocks").alias("block"))
     heads = each.groupBy("block").agg(F.min_by(F.struct("node", "n"), F.xxhash64("node", "block")).alias("head"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("size"))
     heads, _ = stored(heads.where("members > 1"), "heads")
-    shared, _ = stored(join_counted(each, heads.drop("size"), "block", "members").where("head is not null"), "blocks")
-    balls, _ = stored(_ordered(_balls(nodes)), "balls")
+    shared, path_0 = stored(join_counted(each, heads.drop("size"), "block", "members").where("head is not null"), "blocks")
+    balls, path_1 = stored(_ordered(_balls(nodes)), "balls")
+    release(df.sparkSession)
     wanted = shared.select("node").unionByName(balls.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
     texts = with_node(df.select(F.col(text).alias("text"))).join(wanted, "node", "left_semi").dropDuplicates(["node"])
-    sets, _ = stored(_shingled(texts), "shingles")
+    sets, path_2 = stored(_shingled(texts), "shingles")
+    release(df.sparkSession)
     near = shared.where((F.col("node") != F.col("head.node")) & _lengths_allow(F.col("n"), F.col("head.n"))).select(F.col("head.node").alias("a"), F.col("node").alias("b"))
     links, _ = stored(_alike(_ordered(near).unionByName(balls).distinct(), sets), "links")
     part, _ = stored(shared.join(components(links), "node", "left").select("block", "node", F.coalesce("component", "node").alias("part")), "parts")
+    release(df.sparkSession, path_0, path_1)
     # What is connected needs no more comparing, and blocks of one part are done.
     mixed = part.groupBy("block").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x != y").select("block")
     tiles = F.ceil(F.col("size") / TILE).cast("int").alias("tiles")
     mixed, _ = stored(heads.join(mixed, "block").select("block", "members", tiles), "mixed")
     more, _ = stored(_across(join_counted(part, mixed, "block", "members").where("tiles is not null"), sets), "links")
+    release(df.sparkSession, path_2)
     found = components(links.unionByName(more))
     named = nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "copies")
     return join_counted(rows.select("id", "node"), named, "node", "copies").select(F.col("id").alias(id_col), "node", "component")
