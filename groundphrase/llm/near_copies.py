@@ -72,9 +72,13 @@ def with_node(df: DataFrame, text: str = "text", out: str = "node") -> DataFrame
 
 def _sketched(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     def sketch(texts):
-        each = [words(t) for t in texts]
-        sets = [shingles(w) for w in each]
-        return [[node(w) for w in each], [len(s) for s in sets], [simhash.of_hashes(s) for s in sets], [blocks(s) for s in sets]]
+        out = [[], [], [], []]
+        for t in texts:  # the words of one text at a time
+            w = words(t)
+            s = shingles(w)
+            for x, v in zip(out, (node(w), len(s), simhash.of_hashes(s), blocks(s)), strict=True):
+                x.append(v)
+        return out
 
     return map_text(df, text, "node long, n int, fp long, blocks array<long>", lambda: sketch, keep)
 
