@@ -113,7 +113,8 @@ def pack(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS, overhead: float
 
 
 class _Counts(dict):
-    """Token counts of what stands between single spaces; NaN for what has white space at an end."""
+    """Token counts of what stands between single spaces; NaN for what has white space, or the mark that means a space
+    to the model, at an end."""
 
     #: Entries that are kept, and the longest text among them.
     MEMORY, LONGEST = 500_000, 64
@@ -123,7 +124,7 @@ class _Counts(dict):
         self.encode = encode
 
     def __missing__(self, part: str) -> float:
-        n = float("nan") if part.strip() != part or not part else len(self.encode(part))
+        n = float("nan") if not part or part.strip() != part or "▁" in (part[0], part[-1]) else len(self.encode(part))
         if len(part) < self.LONGEST:
             if len(self) >= self.MEMORY:
                 self.clear()
@@ -151,7 +152,7 @@ def counter(model: str) -> Callable[[str], int]:
         at, n = 0, 1
         while not whole and len(text) - at > STRIDE:
             cut = text.find(" ", at + STRIDE)
-            while cut >= 0 and (text[cut - 1].isspace() or text[cut + 1 : cut + 2].strip() == ""):
+            while cut >= 0 and (text[cut - 1].isspace() or text[cut - 1] == "▁" or text[cut + 1 : cut + 2].strip().strip("▁") == ""):
                 cut = text.find(" ", cut + 1)
             if cut < 0:
                 break
