@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("sentencepiece_codec", "quality", "simhash", "media", "warc", "secret_scan", "html_text", "toxicity", "packing", "license_scan", "centroids", "conversation_repair")
+MODULES = ("sentencepiece_codec", "quality", "simhash", "media", "warc", "secret_scan", "html_text", "toxicity", "packing", "license_scan", "centroids", "conversation_repair", "personal_data")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
