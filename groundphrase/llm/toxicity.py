@@ -19,9 +19,8 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from groundphrase.llm.common import map_text, table
+from groundphrase.llm.common import map_text, stored, table
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Words and their first so many letters are features.
@@ -69,26 +68,39 @@ def _patterns(text: str, n: int) -> list[int]:
     return [-1 if n < 10 else 1 if marks * 8 > n else 0 if marks == 0 else -1, -1 if n < 10 else 1 if upper * 2 > len(text) else 0 if upper * 10 < len(text) else -1, 1 if re.search(r"\byou (are|re) (an?|so|such)\b|\bshut up\b", text.lower()) else -1]
 
 
+def _shares(per: dict[int, int], n: int) -> dict[int, int]:
+    """How many of n each class gets: all it has if that fits, else its share, and one at least."""
+    total, one = sum(per.values()), per.get(1, 0)
+    if total <= n:
+        return {y: per.get(y, 0) for y in (0, 1)}
+    toxic = min(one, max(1, round(n * one / total)))
+    if toxic == n and per.get(0, 0) and n > 1:
+        toxic -= 1
+    return {0: n - toxic, 1: toxic}
+
+
+def _taken(df: DataFrame, n: int, *key: str) -> DataFrame:
+    """n rows (y, key...) in order of a hash of the key, by class as _shares says."""
+    per = {r.y: r.n for r in df.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    of = lambda y, k: df.where(F.col("y") == y).orderBy(F.xxhash64(*key), *key).limit(k)
+    zero, one = (of(y, k) for y, k in _shares(per, n).items())
+    return zero.unionByName(one)
+
+
 def sample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", n: int = SAMPLE) -> DataFrame:
-    """(row, y, n_words, feats, insults, patterns) of at most n rows: labelled texts that aren't held out.
+    """(id, y, hash, n_words, feats, insults, patterns) of labelled texts that aren't held out, at most n different ones.
 
-    An id's label is the largest of its labels. Ids come in order of a hash, as many as have n documents at most
-    together; repeated ids and texts count as rows, and an id with more rows than are left ends the sample. Only
-    the ids of this bounded sample are sent to the documents, never their texts to a shuffle. Null ids and labels other than 0 and 1
+    An id's label is the largest of its labels. Up to n ids are looked at in order of a hash, and of their different
+    texts up to n are taken in order of a hash, both classes in proportion and neither without any (from an n of 2
+    on). Copies of a text that is taken come with it, as rows; fit() makes them its weight. Only bounded lists
+    of ids and hashes are sent to the documents, never texts to a shuffle. Null ids and labels other than 0 and 1
     teach nothing; null texts count as empty.
     """
     ids = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & ~is_held_out(F.col(doc_id))).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).cast("int").alias("y"))
-    ids = ids.orderBy(F.xxhash64("id"), "id").limit(n)  # one row at least for each id that counts
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(ids), "id")
-    counts = rows.groupBy("id").agg(F.first("y").alias("y"), F.count(F.lit(1)).alias("rows"))
-    taken, total = [], 0
-    for r in counts.orderBy(F.xxhash64("id"), "id").collect():  # n at most
-        total += r.rows
-        if total > n:
-            break
-        taken.append((r.id, r.y))
-    ids = docs.sparkSession.createDataFrame(taken, T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("y", T.IntegerType())]))
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(ids), "id")
+    ids = _taken(ids.join(docs.select(F.col(doc_id).alias("id")).distinct(), "id", "left_semi"), n, "id")
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h")).join(F.broadcast(ids), "id")
+    each, _ = stored(_taken(rows.select("id", "h", "y").distinct(), n, "id", "h"), "sample")
+    rows = rows.drop("y").join(F.broadcast(each), ["id", "h"])
 
     def make():
         def run(texts: list) -> list:
@@ -109,26 +121,26 @@ def sample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     return map_text(rows, "text", "hash long, n_words int, feats array<struct<f:string,c:int>>, insults int, patterns array<int>", make, ["id", "y"])
 
 
-def _mutual(votes: np.ndarray, p: np.ndarray, a: int, b: int) -> float:
+def _mutual(votes: np.ndarray, p: np.ndarray, weight: np.ndarray, a: int, b: int) -> float:
     """Information that two voters' votes hold on each other, given the class."""
     out = 0.0
-    for w in (p, 1 - p):
+    for w in (p * weight, (1 - p) * weight):
         joint = np.bincount(votes[:, a] * 3 + votes[:, b], weights=w, minlength=9).reshape(3, 3) + 0.1
-        share, joint = w.sum() / len(p), joint / joint.sum()
+        share, joint = w.sum() / weight.sum(), joint / joint.sum()
         out += share * float((joint * np.log(joint / np.outer(joint.sum(1), joint.sum(0)))).sum())
     return out
 
 
-def _tree(votes: np.ndarray, p: np.ndarray) -> list[int]:
+def _tree(votes: np.ndarray, p: np.ndarray, weight: np.ndarray) -> list[int]:
     """For each voter the one that it depends on (-1: none): the spanning tree with the most information."""
     k = votes.shape[1]
-    parent, best = [-1] * k, {j: (_mutual(votes, p, 0, j), 0) for j in range(1, k)}
+    parent, best = [-1] * k, {j: (_mutual(votes, p, weight, 0, j), 0) for j in range(1, k)}
     while best:
         j = max(best, key=lambda x: (best[x][0], -x))
         gain, at = best.pop(j)
         parent[j] = at if gain > LEAST_INFORMATION else -1
         for i in best:
-            g = _mutual(votes, p, j, i)
+            g = _mutual(votes, p, weight, j, i)
             if g > best[i][0]:
                 best[i] = (g, j)
     return parent
@@ -156,32 +168,33 @@ class Voters:
         return [(float(a), float(b)) for a, b in hits]
 
 
-def label_model(votes: np.ndarray, balance: float | None = None, rounds: int = 60) -> tuple[np.ndarray, Voters]:
+def label_model(votes: np.ndarray, balance: float | None = None, rounds: int = 60, weight: np.ndarray | None = None) -> tuple[np.ndarray, Voters]:
     """Posteriors of the toxic class, and the voters' accuracies and correlations, by expectation-maximisation.
 
-    votes: rows by voters, 1 (toxic), 0 (clean) or -1 (abstain); balance: the toxic class's share, if it is known. The
+    votes: rows by voters, 1 (toxic), 0 (clean) or -1 (abstain); balance: the toxic class's share, if it is known; weight: how often each row counts. The
     first posteriors are the shares of toxic votes. A class keeps its name because each voter's prior is to vote right where it votes.
     """
     v = np.where(votes < 0, 0, votes + 1).astype(np.int64)
-    n, k = v.shape
+    k = v.shape[1]
+    weight = np.ones(len(v)) if weight is None else weight
     toxic, clean = (v == 2).sum(1), (v == 1).sum(1)
     p = np.clip((toxic + 0.1) / (toxic + clean + 0.4), 0.02, 0.98)
     model = Voters([-1] * k, [], 0.5)
     for step in range(rounds):
         if step in (1, 5, 15):
-            model.parent = _tree(v, p)
+            model.parent = _tree(v, p, weight)
         tables = []
         for j in range(k):
             at = model.parent[j]
             t = np.zeros((2, 3, 3))
-            for c, w in enumerate((1 - p, p)):
+            for c, w in enumerate(((1 - p) * weight, p * weight)):
                 alone = np.bincount(v[:, j], weights=w, minlength=3) + (PRIOR if c else PRIOR[[0, 2, 1]])
                 t[c] = alone / alone.sum()
                 if at >= 0:  # towards the voter's own rates where a parent's vote is rare
                     joint = np.bincount(v[:, at] * 3 + v[:, j], weights=w, minlength=9).reshape(3, 3) + PARENT_WEIGHT * t[c]
                     t[c] = joint / joint.sum(1, keepdims=True)
             tables.append(t)
-        model = Voters(model.parent, tables, float((p.sum() + 1) / (n + 2)) if balance is None else balance)
+        model = Voters(model.parent, tables, float((p @ weight + 1) / (weight.sum() + 2)) if balance is None else balance)
         new = model.posterior(v)
         done = np.abs(new - p).max() < 1e-5 and step > 16
         p = new
@@ -234,8 +247,7 @@ def fit(rows: DataFrame) -> Model:
         each = rows.groupBy(*key).agg(*(F.first(c).alias(c) for c in ("y", "n_words", "insults", "patterns")), F.count(F.lit(1)).alias("copies"))
         hits = rows.select(*key, F.explode("feats").alias("x")).select(*key, F.col("x.f").alias("f"), F.col("x.c").alias("c")).join(F.broadcast(names), "f")
         hits = hits.distinct().groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("i", "c"))).alias("hits"))
-        each = each.join(hits, key, "left").orderBy(*key).collect()  # SAMPLE at most
-        docs = [r for r in each for _ in range(r.copies)]
+        docs = each.join(hits, key, "left").orderBy(*key).collect()  # SAMPLE at most
     finally:
         rows.unpersist()
     return _train(docs, [r.f for r in best])
@@ -243,32 +255,36 @@ def fit(rows: DataFrame) -> Model:
 
 def _votes(docs: list, names: list[str], row: np.ndarray, col: np.ndarray, val: np.ndarray, insult: np.ndarray) -> np.ndarray:
     """Votes of the author's lexicon, of the mined ones and of the patterns. Lexicons take features in turn, so that
-    each has strong ones; a lexicon votes toxic above what QUIET of the texts labelled clean reach."""
+    each has strong ones; a lexicon votes toxic above what QUIET of the texts labelled clean reach, copies counted."""
+    copies = np.array([r.copies for r in docs], float)
     n, size, clean = len(docs), np.array([r.n_words for r in docs], float), np.array([r.y == 0 for r in docs])
     votes = [np.where(insult > 0, 1, np.where(size >= 30, 0, -1))]
     m = max(1, min(LEXICONS, len(names)))
     for j in range(m if names else 0):
         total = np.bincount(row[col % m == j], weights=val[col % m == j], minlength=n)
-        high = float(np.sort(total[clean])[int(QUIET * clean.sum())]) if clean.any() else 0.0
+        order = np.argsort(total[clean], kind="stable")
+        upto = np.cumsum(copies[clean][order])
+        high = float(total[clean][order][np.searchsorted(upto, int(QUIET * upto[-1]), "right")]) if clean.any() else 0.0
         votes.append(np.where(total > high, 1, np.where((total <= high / 2) & (size >= 30), 0, -1)))
     return np.stack(votes + [np.array([r.patterns[j] for r in docs]) for j in range(3)], 1)
 
 
 def _train(docs: list, names: list[str]) -> Model:
-    n, k = len(docs), len(names)
+    n, k, copies = len(docs), len(names), np.array([r.copies for r in docs], float)
+    total = copies.sum()
     size = np.array([r.n_words for r in docs], float)
     row = np.array([i for i, r in enumerate(docs) for _ in r.hits or ()], np.int64)
     col = np.array([h.i for r in docs for h in r.hits or ()], np.int64)
     val = np.log1p(200.0 * np.array([h.c for r in docs for h in r.hits or ()], float) / (size[row] + 30)) if len(row) else np.zeros(0)
     insult = np.log1p(200.0 * np.array([r.insults for r in docs], float) / (size + 30))
     # Labels vote on no text: they chose the lexicons, and give the classes' balance.
-    p, _ = label_model(_votes(docs, names, row, col, val, insult), (sum(r.y for r in docs) + 1) / (n + 2))
+    p, _ = label_model(_votes(docs, names, row, col, val, insult), (sum(r.y * r.copies for r in docs) + 1) / (total + 2), weight=copies)
     # The linear classifier, on posterior labels: logistic regression with a quadratic penalty, by Adam.
-    w, insults, bias = np.zeros(k), 0.0, math.log((p.sum() + 0.5) / (n - p.sum() + 0.5))
-    mom, sec, lr, penalty = np.zeros(k + 2), np.zeros(k + 2), 0.05, 0.1 / n
+    w, insults, bias = np.zeros(k), 0.0, math.log((p @ copies + 0.5) / (total - p @ copies + 0.5))
+    mom, sec, lr, penalty = np.zeros(k + 2), np.zeros(k + 2), 0.05, 0.1 / total
     for t in range(1, 601):
         z = bias + insults * insult + np.bincount(row, weights=val * w[col], minlength=n)
-        e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - p) / n
+        e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - p) * copies / total
         g = np.r_[np.bincount(col, weights=val * e[row], minlength=k) + penalty * w, e @ insult + penalty * insults, e.sum()]
         mom, sec = 0.9 * mom + 0.1 * g, 0.99 * sec + 0.01 * g * g
         d = lr * (mom / (1 - 0.9**t)) / (np.sqrt(sec / (1 - 0.99**t)) + 1e-8)
@@ -287,6 +303,7 @@ def learned(spark: SparkSession, sf_dir: str) -> Model:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its score; sample() and score() say what becomes of nulls, ties and repeats."""
     got = score(table(spark, sf_dir, "documents"), learned(spark, sf_dir), keep=["doc_id"])
     return got.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

@@ -1,5 +1,6 @@
 import re
 import zlib
+from collections import namedtuple
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -48,17 +49,35 @@ def test_against_brute_force(spark):
     assert model.weights and all(abs(r.score - brute(model, r.text)) < 1e-9 for r in got)
 
 
-def test_a_repeated_id_does_not_break_the_bound(spark):
+def test_a_repeated_id_neither_breaks_the_bound_nor_ends_the_sample(spark):
+    free = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5][:61]
+    toxic = free[0]
+    docs = spark.createDataFrame([(toxic, f"text number {k}") for k in range(30)] + [(i, f"other text {i}") for i in free[1:]], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i == toxic)) for i in free] + [(toxic, 0), (9999, 1)], "doc_id long, toxic int")
+    for n in (2, 5, 13, 40, 89, 90, 200):
+        got = T.sample(docs, labels, n=n).collect()
+        assert len(got) == min(n, 90) and {r.y for r in got} == {0, 1}
+        assert abs(sum(r.y for r in got) - len(got) / 3) <= (1 if n >= 61 else n / 3 + 1)
+
+
+def test_copies_are_weights(spark):
     free = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
     docs = spark.createDataFrame([(free[0], f"text number {k % 3}") for k in range(50)] + [(i, "other text") for i in free[1:]], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in free], "doc_id long, toxic int")
-    for n in (1, 5, 20, 200):
-        got = T.sample(docs, labels, n=n).collect()
-        assert len(got) <= n
+    got = T.sample(docs, labels).collect()
     assert len(got) == 50 + len(free) - 1 and len({r.hash for r in got if r.id == free[0]}) == 3
     assert T.fit(T.sample(docs, labels)).bias
 
 
+def test_weighted_fit_is_that_of_repeated_rows():
+    rng, names = np.random.default_rng(3), [f"f{i}" for i in range(20)]
+    Row = namedtuple("Row", "y n_words insults patterns copies hits")
+    Hit = namedtuple("Hit", "i c")
+    docs = [Row(int(rng.random() < 0.3), int(rng.integers(5, 90)), int(rng.integers(0, 2)), [int(x) for x in rng.integers(-1, 2, 3)], int(rng.integers(1, 5)), [Hit(int(i), int(rng.integers(1, 4))) for i in sorted(rng.choice(20, 4, replace=False))]) for _ in range(120)]
+    a, b = T._train(docs, names), T._train([r._replace(copies=1) for r in docs for _ in range(r.copies)], names)
+    assert abs(a.bias - b.bias) < 1e-3 and a.weights.keys() == b.weights.keys() and all(abs(a.weights[k] - b.weights[k]) < 1e-4 for k in a.weights)
+
+
 def test_held_out_is_by_crc32(spark):
     ids = [0, 1, 7, 123456, -5, None]
     got = spark.createDataFrame([(i,) for i in ids], "doc_id long").select("doc_id", T.is_held_out(F.col("doc_id")).alias("h")).collect()
