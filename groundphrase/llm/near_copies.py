@@ -171,8 +171,12 @@ def _across(open_: DataFrame, sets: DataFrame) -> DataFrame:
     rows = open_.withColumn("tile", F.pmod(F.xxhash64("node"), "tiles")).join(sets, "node")
     tile, _ = stored(rows.groupBy("block", "tile", "tiles").agg(F.collect_list(F.struct("node", "part", "s")).alias("one")), "tiles")
     none = F.lit(None).cast(tile.schema["one"].dataType).alias("two")
-    other = tile.where("tiles > 1").select("block", F.col("tile").alias("tile_b"), F.col("one").alias("two"))
-    pairs = tile.where("tiles > 1").join(other, "block").where("tile < tile_b").select("one", "two").unionByName(tile.select("one", none))
+    # The pairs of a block's tiles are dealt first, each by its own key; then either tile is fetched by its key.
+    here = tile.where("tiles > 1").select("block", F.col("tile").alias("i"), "tiles")
+    dealt = here.where("i < tiles - 1").withColumn("j", F.explode(F.sequence(F.col("i") + 1, F.col("tiles") - 1).cast("array<long>"))).select("block", "i", "j")
+    one = tile.select("block", F.col("tile").alias("i"), "one")
+    two = tile.select("block", F.col("tile").alias("j"), F.col("one").alias("two"))
+    pairs = dealt.join(one, ["block", "i"]).join(two, ["block", "j"]).select("one", "two").unionByName(tile.select("one", none))
     return pairs.mapInArrow(_compared, "a long, b long")
 
 
@@ -180,7 +184,7 @@ def groups(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     """(id, node, component) for every row of df: texts of one component are linked by five-word similarities
     of 0.8 or more. Ids play no part; null texts count as empty, and all wordless texts are alike."""
     rows, _ = stored(_sketched(df.select(F.col(id_col).alias("id"), F.col(text).alias("text")), "text", ["id"]), "sketches")
-    nodes, _ = stored(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("blocks").alias("blocks"), F.count(F.lit(1)).alias("copies")), "nodes")
+    nodes, _ = stored(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("blocks").alias("blocks"), F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")), "nodes")
     each = nodes.select("node", "n", F.explode("blocks").alias("block"))
     heads = each.groupBy("block").agg(F.min_by(F.struct("node", "n"), F.xxhash64("node", "block")).alias("head"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("size"))
     heads, _ = stored(heads.where("members > 1"), "heads")
@@ -188,7 +192,10 @@ def groups(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     balls, path_1 = stored(_ordered(_balls(nodes)), "balls")
     release(df.sparkSession)
     wanted = shared.select("node").unionByName(balls.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
-    texts = with_node(df.select(F.col(text).alias("text"))).join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    # One row of a node is enough: that with its smallest id, so the copies of a text don't meet by their node.
+    wanted = wanted.join(nodes.select("node", "id"), "node")
+    texts = with_node(df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))).alias("t").join(wanted.alias("w"), F.expr("t.node = w.node and t.id <=> w.id"), "left_semi")
+    texts = texts.select("text", "node").dropDuplicates(["node"])
     sets, path_2 = stored(_shingled(texts), "shingles")
     release(df.sparkSession)
     near = shared.where((F.col("node") != F.col("head.node")) & _lengths_allow(F.col("n"), F.col("head.n"))).select(F.col("head.node").alias("a"), F.col("node").alias("b"))

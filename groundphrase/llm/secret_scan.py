@@ -267,7 +267,7 @@ def redact(df: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFra
         return "".join([*parts, t[at:]])
 
     cols = df.columns
-    return map_text(df, text, f"`{text}` string", lambda: lambda texts: [[clean(t) for t in texts]]).select(cols)
+    return map_text(df, text, f"`{text}` string", lambda: lambda texts: [[clean(t) for t in texts]]).select(*(F.col(f"`{c}`") for c in cols))
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,6 +60,15 @@ def test_stages_in_order(spark):
     assert n == {r.doc_id: len(sp.encode(r.text)) + 1 for r in p0}
 
 
+def test_names_with_dots(spark):
+    docs = spark.createDataFrame([(1, 'a token = "4d44c79e8bf7c55759c4958dd60ed83d2ef8cd4e" here', "en", "s", 5, 7), (2, "plain words of a text", "en", "s", 5, 8)], "doc_id long, text string, lang string, source string, n_chars long, `a.b` int")
+    got = {r.doc_id: r for r in pipeline.secrets(spark, docs, SF).collect()}
+    assert got[1]["a.b"] == 7 and got[1].text == "a [secret]\" here" and got[1].n_chars == len(got[1].text) and got[2].text == "plain words of a text"
+    kept = pipeline.near_duplicates(spark, docs, SF)
+    assert kept.columns == docs.columns and kept.count() == 2
+    assert pipeline.quality_rules(spark, docs, SF).columns == docs.columns == pipeline.toxic(spark, docs, SF).columns
+
+
 def test_empty(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in pipeline.STAGES[:4]:
