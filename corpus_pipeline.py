@@ -50,8 +50,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Put a mark in place of every secret; n_chars is that of the new text."""
-    cols = docs.columns
-    return secret_scan.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(cols)
+    clean = secret_scan.redact(docs)
+    return clean.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
