@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundphrase.llm.common import small_batches, table
+from groundphrase.llm.common import small_batches, stored, table
 
 #: (s?(ua)+)? as a deterministic acceptor: state -> role initial -> state.
 GRAMMAR = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}
@@ -157,17 +157,18 @@ def last_mark(text: Column) -> Column:
 
 
 def with_faults(rows: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text, n, fault): equal rows as one with their number, and each one's first fault.
+    """(conv_id, turn, role, text, n, fault): each row's first fault; that it repeats one of its own turn is left to
+    repaired(), where such rows are neighbours.
 
-    A row is a duplicate if its role and text stand at an earlier turn; only texts that do are joined back, by their
-    hash, so the join's other side is as small as repeats are rare.
+    A row is a duplicate if its role and text stand at an earlier turn. Which do is found on hashes of texts alone,
+    added up before they are shuffled, and written; texts move for it only where that table is too large to send.
     """
-    lines = rows.groupBy("conv_id", "turn", "role", "text", (F.col("n") == 0).alias("dropped")).agg(F.sum("n").alias("n")).drop("dropped")
-    lines = lines.withColumn("h", F.unhex(F.sha2("text", 256)))
+    rows = rows.withColumn("h", F.unhex(F.sha2("text", 256)))
     place = F.struct(F.col("turn").isNotNull().alias("known"), "turn")
-    again = lines.where("n > 0").groupBy("conv_id", "role", "h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("turns")).where("turns > 1")
+    again = rows.where("n > 0").groupBy("conv_id", "role", "h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").drop("last")
+    again, _ = stored(again, "repeats")
     on = F.expr("l.conv_id <=> a.conv_id and l.role = a.role and l.h = a.h")
-    both = lines.alias("l").join(again.alias("a"), on, "left").select("l.conv_id", "l.turn", "l.role", "l.text", "l.n", (F.col("a.first") < F.struct(F.col("l.turn").isNotNull().alias("known"), "l.turn")).alias("later"))
+    both = rows.alias("l").join(again.alias("a"), on, "left").select("l.conv_id", "l.turn", "l.role", "l.text", "l.n", (F.col("a.first") < F.struct(F.col("l.turn").isNotNull().alias("known"), "l.turn")).alias("later"))
     mark = last_mark(F.col("text"))
     fault = F.when(mark == "", "blank").when(F.col("later"), "duplicate").when(~mark.isin(".", "!", "?"), "truncated").otherwise("")
     return both.withColumn("fault", fault).drop("later")
@@ -181,7 +182,7 @@ def repaired(rows: DataFrame) -> DataFrame:
     names = ["conv_id", *(f.split()[0] for f in FIELDS.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conv, now, done = None, None, []
+        conv, now, done, last = None, None, [], None
 
         def flush() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], k) for i, k in enumerate(kinds)], names=names)
@@ -193,9 +194,10 @@ def repaired(rows: DataFrame) -> DataFrame:
                 if now is None or c != conv:
                     if now is not None:
                         done.append((conv, *now.result()))
-                    conv, now = c, Repair()
+                    conv, now, last = c, Repair(), None
                 if n:
-                    now.add(turn, role, text, fault, n)
+                    now.add(turn, role, text, "duplicate" if fault != "blank" and last == (turn, role, text) else fault, n)
+                    last = turn, role, text
             if done:
                 yield flush()
         if now is not None:
