@@ -37,6 +37,8 @@ ATTESTATION = (
 #: What surrounds a quoted phrase that is asked for, and one whose being real is asked for (fixed values).
 WRAPPER = r"(?:ضرب\s*[‌ ]?المثل|(?:^|\s)مثل(?:\s|$)|چی\s*بود|چیست|می[‌ ]?گفت|میگه|یادم|جمله|عبارت|گفته)"
 REAL = r"(?:ضرب\s*[‌ ]?المثل|(?:^|\s)مثل(?:\s|$)|واقعی|اصیل|معتبر|وجود\s+دارد|درسته|درست\s+است|هست|است)"
+#: Words that a described meaning leans on (fixed values).
+SCAFFOLD = ("وقتی", "حالتی", "کسی", "معنی", "معنا")
 #: Coarse words, and requests that allow them (fixed values).
 COARSE = ("گه", "گوه", "کون", "پیزی", "ماتحت", "نریده", "رید", "ریده")
 ALLOWS_COARSE = r"(?:رکیک|زشت|فحش|خیلی\s+عامیانه|کوچه\s*بازاری|تند\s+و\s+زننده|بی\s*ادبانه)"
@@ -58,6 +60,11 @@ def explicit(c: Column) -> dict[str, Column]:
     return {"attestation": any_of(c, ATTESTATION), "meaning": any_of(c, MEANING), "surface": any_of(c, SURFACE), "technical": technical(c)}
 
 
+def scaffold(c: Column) -> Column:
+    """A word that a described meaning leans on stands in the raw text; null counts as none."""
+    return F.coalesce(F.lit(False) | F.exists(F.array(*map(F.lit, SCAFFOLD)), lambda w: F.contains(c, w)), F.lit(False))
+
+
 def unsuitable(phrase: Column, request: Column) -> Column:
     """A coarse word stands in the phrase and the request does not ask for such."""
     words = F.regexp_extract_all(phrase, F.lit("[؀-ۿ]+"), F.lit(0))

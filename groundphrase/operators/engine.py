@@ -135,12 +135,17 @@ def decide_surface(requests: DataFrame, variants: DataFrame, ranked: DataFrame,
     return d.select("query_id", "reason", F.when(by_window, F.col("local_doc")).otherwise(F.col("doc_id")).alias("doc_id"), F.when(by_window, F.col("local_score")).otherwise(F.col("top")).alias("score"), "margin", decide.decision(F.col("reason")).alias("decision"))
 
 
+#: What BM25 of words adds to a gloss that trigrams have found (a fixed value).
+GLOSS_BONUS = 0.05
+
+
 def meaning_ranking(requests: DataFrame, glosses: DataFrame) -> DataFrame:
-    """(query_id, doc_id, tfidf, bm25, score, rank): cosine of trigrams over glosses, lifted by BM25 of words."""
+    """(query_id, doc_id, tfidf, bm25, score, rank): glosses that trigrams find, by their cosine, a little lifted where
+    words agree too. Words alone bring no gloss in."""
     t = index.tfidf(requests, index.trigram_index(glosses)).withColumnRenamed("score", "tfidf")
     b = index.bm25(requests, index.token_index(glosses)).select("query_id", "doc_id", F.col("evidence").alias("bm25"))
-    both = t.join(b, ["query_id", "doc_id"], "full_outer").fillna(0.0, ["tfidf", "bm25"])
-    return index.ranked(both.withColumn("score", lexical.rescore(F.col("tfidf"), F.col("bm25"), lexical.WEIGHTS["bm25"])).where("score > 0"))
+    both = t.join(b, ["query_id", "doc_id"], "left").fillna(0.0, ["bm25"])
+    return index.ranked(both.withColumn("score", lexical.rescore(F.col("tfidf"), F.col("bm25"), GLOSS_BONUS)).where("score > 0"))
 
 
 def decide_meaning(requests: DataFrame, glosses: DataFrame, ranked: DataFrame, stop: list[str] | None = None) -> DataFrame:
@@ -156,14 +161,14 @@ def auto(requests: DataFrame, surface: DataFrame, meaning: DataFrame, attested:
     meaning decisions are probes. Attestation is never inferred from similarity.
 
     surface and meaning: (query_id, decision, score, margin); attested: (query_id, status); explicit: a route
-    over `text` (by default its cues), null where it says nothing; scaffold: a cue that a meaning is described.
+    over `text`, null where it says nothing; scaffold: that a meaning is described. By default the cues of both.
     """
     if explicit is None:
         x = cues.explicit(F.col("text"))
         explicit = decide.explicit_route(F.trim(F.coalesce("text", F.lit(""))) == "", x["attestation"], x["surface"], x["meaning"], x["technical"])
     of = lambda df, k: df.select("query_id", *(F.col(c).alias(f"{k}_{c}") for c in ("decision", "score", "margin") if c in df.columns))
     n = F.size(tx.tokens(tx.retrieval(F.col("text"))))
-    d = requests.select("query_id", "text", explicit.alias("explicit"), n.alias("n"), (F.lit(False) if scaffold is None else scaffold).alias("scaffold"))
+    d = requests.select("query_id", "text", explicit.alias("explicit"), n.alias("n"), (cues.scaffold(F.col("text")) if scaffold is None else scaffold).alias("scaffold"))
     d = d.join(of(surface, "s"), "query_id", "left").join(of(meaning, "m"), "query_id", "left").join(attested.select("query_id", "status"), "query_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     probe = decide.probe_route(F.col("n"), zero("s_score"), F.coalesce("s_decision", F.lit("ABSTAIN")), zero("s_margin"), zero("m_score"), F.coalesce("m_decision", F.lit("ABSTAIN")), F.col("scaffold"))

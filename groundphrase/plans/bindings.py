@@ -84,6 +84,29 @@ sources AS (SELECT n_nationkey::BIGINT AS source_id, n_name AS source_name, 'ref
 """
 
 
+#: For each small Latin letter a letter of the requests' own script, none of which is folded or part of a cue.
+SCRIPT = "ابپتثجچحخدذرزژسشصضطظعغفقکگ"
+
+
+def in_script(c):
+    """A Latin text's letters in the requests' own script."""
+    return F.translate(c, SMALL + SMALL.upper(), SCRIPT * 2)
+
+
+def in_script_sql(c: str) -> str:
+    return f"translate({c}, '{SMALL + SMALL.upper()}', '{SCRIPT * 2}')"
+
+
+def words(spark: SparkSession, sf: str) -> DataFrame:
+    """item_id, w: the items' words of two letters or more, in the requests' script and nothing else."""
+    plain = F.regexp_replace(F.lower("text"), "[^a-z ]", "")
+    w = F.filter(F.split(in_script(plain), " "), lambda x: F.length(x) > 1)
+    return table(spark, sf, "benchmark").select("item_id", w.alias("w"))
+
+
+WORDS = f"words AS (SELECT item_id, list_filter(string_split({in_script_sql("regexp_replace(lower(text), '[^a-z ]', '', 'g')")}, ' '), lambda x: length(x) > 1) AS w FROM benchmark)"
+
+
 def norm(c: str) -> str:
     """retrieval() in SQL, for texts without letters that fold."""
     return rf"trim(regexp_replace(lower(regexp_replace(regexp_replace({c}, '\s+', ' ', 'g'), '[^\p{{L}}\p{{N}} ]', '', 'g')), ' +', ' ', 'g'))"

@@ -39,9 +39,8 @@ sdec AS (SELECT *, CASE WHEN reason IN ('score-and-margin-passed', 'surface-evid
 SURF = f"{r.LEX}, {TOPS}"
 
 
-def surface_decisions(spark, sf):
-    q, v = b.requests(spark, sf), b.variants(spark, sf)
-    ranked = r._fused(spark, sf)
+def surface_decisions(q, v):
+    ranked = index.ranked(lexical.fused(q, v))
     tops = lexical.top_two(ranked).join(ranked.where("rank = 1").select("query_id", "tfidf", "coverage", "bm25"), "query_id").join(v.select("doc_id", F.col("text").alias("found")), "doc_id")
     fams = lexical.contained(q, v).groupBy("query_id").agg(F.count_distinct("family_id").alias("families"))
     d = q.join(tops, "query_id", "left").join(fams, "query_id", "left").withColumn("r", tx.retrieval(F.col("text")))
@@ -54,7 +53,7 @@ def surface_decisions(spark, sf):
 
 @query(f"WITH {SURF} SELECT query_id, reason, decision FROM sdec")
 def surface_decision(spark, sf):
-    return surface_decisions(spark, sf).select("query_id", "reason", "decision")
+    return surface_decisions(b.requests(spark, sf), b.variants(spark, sf)).select("query_id", "reason", "decision")
 
 
 MEAN = f"""mt AS (SELECT *, greatest(0.0, tfidf - coalesce(lead(tfidf) OVER (PARTITION BY query_id ORDER BY rank), 0)) AS margin FROM trank), m1 AS (SELECT * FROM mt WHERE rank = 1),
@@ -63,8 +62,7 @@ md AS (SELECT q.query_id, tfidf AS score, CASE WHEN trim(q.text) = '' THEN 'empt
 mdec AS (SELECT *, CASE reason WHEN 'score-and-margin-passed' THEN 'ACCEPT' WHEN 'small-ranking-margin' THEN 'CLARIFY' ELSE 'ABSTAIN' END AS decision FROM md)"""
 
 
-def meaning_decisions(spark, sf):
-    q, g = b.requests(spark, sf), b.glosses(spark, sf)
+def meaning_decisions(q, g):
     ranked = index.ranked(index.tfidf(q, index.trigram_index(g)))
     d = q.join(lexical.top_two(ranked), "query_id", "left").join(g.select("doc_id", F.col("text").alias("gloss")), "doc_id", "left")
     anchored = F.arrays_overlap(tx.tokens(tx.retrieval(F.col("text"))), F.filter(tx.tokens(tx.retrieval(F.col("gloss"))), lambda t: F.length(t) > 1))
@@ -74,7 +72,7 @@ def meaning_decisions(spark, sf):
 
 @query(f"WITH {VIEWS}, {r.GLOSS}, {MEAN} SELECT query_id, reason, decision FROM mdec")
 def meaning_decision(spark, sf):
-    return meaning_decisions(spark, sf).select("query_id", "reason", "decision")
+    return meaning_decisions(b.requests(spark, sf), b.glosses(spark, sf)).select("query_id", "reason", "decision")
 
 
 @query(r"""SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN 'CLARIFY:empty-query' WHEN a THEN 'ATTESTATION:explicit-cue' WHEN s AND NOT m THEN 'SURFACE:explicit-cue' WHEN m AND NOT s THEN 'MEANING:explicit-cue' WHEN s AND m THEN 'CLARIFY:conflicting-explicit-task-cues' WHEN t THEN 'CLARIFY:technical-out-of-domain-guard' END AS route
@@ -146,23 +144,45 @@ def state_violations(spark, sf):
 
 
 GM = re.sub(r"\b(ndocs|dtf|idf|dw|dn|qw|qn|tfidf|trank)\b", r"g_\1", f"{r.GLOSS}, {MEAN}")
-AUTO = r"""rt AS (SELECT q.query_id, CASE WHEN trim(q.text) = '' THEN 'CLARIFY:empty-query' WHEN regexp_matches(q.text, '(?i)\breal\b') THEN 'ATTESTATION:explicit-cue' WHEN s AND NOT m THEN 'SURFACE:explicit-cue' WHEN m AND NOT s THEN 'MEANING:explicit-cue' WHEN s AND m THEN 'CLARIFY:conflicting-explicit-task-cues' WHEN regexp_matches(q.text, '\d') THEN 'CLARIFY:technical-out-of-domain-guard' END AS explicit
-  FROM (SELECT *, regexp_matches(text, '(?i)\b(complete|finish)\b') AS s, regexp_matches(text, '(?i)\b(mean|about)\b') AS m FROM requests) q),
-pr AS (SELECT query_id, explicit, len(list_filter(string_split(sdec.r, ' '), lambda x: x <> '')) AS n, coalesce(sdec.score, 0) AS s, coalesce(mdec.score, 0) AS m, coalesce(margin, 0) AS sm, sdec.decision AS sd, mdec.decision AS md, status FROM rt JOIN sdec USING (query_id) JOIN mdec USING (query_id) JOIN attested USING (query_id)),
+#: What is added to requests in their own script, by the rest of their number modulo 8: the wording of a task, of two,
+#: a meaning's scaffold, or nothing.
+ADDED = {1: ("", " چی بود"), 2: ("", " چی می‌گن"), 3: ("", " چی بود چی می‌گن"), 4: ("«", "» واقعی است"), 5: ("", " وقتی که حالتی"), 6: ("", " code")}
+
+
+def _kind(sql: bool):
+    """A number from 0 to 7 of a request, by lengths."""
+    return "(length(text) + length(query_id)) % 8" if sql else (F.length("text") + F.length("query_id")) % 8
+
+
+def _spoken(spark, sf):
+    """(requests, variants, glosses) in the requests' own script, requests with cues."""
+    q, v, g = (f(spark, sf).withColumn("text", b.in_script(F.col("text"))) for f in (b.requests, b.variants, b.glosses))
+    text = F.col("text")
+    for k, (x, y) in ADDED.items():
+        text = F.when((_kind(False) == k) & (F.trim("text") != ""), F.concat(F.lit(x), F.col("text"), F.lit(y))).otherwise(text)
+    return q.select("query_id", text.alias("text")), v, g
+
+
+_VIEWS = VIEWS
+for _v in ("variants", "glosses", "requests"):
+    _VIEWS = _VIEWS.replace(f"{_v} AS (", f"latin_{_v} AS (")
+_CASES = " ".join(f"WHEN {k} THEN '{x}' || t || '{y}'" for k, (x, y) in ADDED.items())
+SPOKEN = f"""{_VIEWS}, variants AS (SELECT * REPLACE ({b.in_script_sql("text")} AS text) FROM latin_variants), glosses AS (SELECT * REPLACE ({b.in_script_sql("text")} AS text) FROM latin_glosses),
+asked AS (SELECT query_id, {b.in_script_sql("text")} AS t, CASE WHEN trim(text) = '' THEN 0 ELSE {_kind(True)} END AS k FROM latin_requests), requests AS (SELECT query_id, k, CASE k {_CASES} ELSE t END AS text FROM asked)"""
+AUTO = r"""rt AS (SELECT query_id, k = 5 AS scaffold, CASE WHEN trim(text) = '' THEN 'CLARIFY:empty-query' WHEN k = 4 THEN 'ATTESTATION:explicit-cue' WHEN k = 1 THEN 'SURFACE:explicit-cue' WHEN k = 2 THEN 'MEANING:explicit-cue' WHEN k = 3 THEN 'CLARIFY:conflicting-explicit-task-cues' WHEN k = 6 OR regexp_matches(' ' || text || ' ', ' [A-Za-z0-9]+[.,;:!?]* ') THEN 'CLARIFY:technical-out-of-domain-guard' END AS explicit FROM requests),
+pr AS (SELECT query_id, explicit, scaffold, len(list_filter(string_split(sdec.r, ' '), lambda x: x <> '')) AS n, coalesce(sdec.score, 0) AS s, coalesce(mdec.score, 0) AS m, coalesce(margin, 0) AS sm, sdec.decision AS sd, mdec.decision AS md, status FROM rt JOIN sdec USING (query_id) JOIN mdec USING (query_id) JOIN attested USING (query_id)),
 ro AS (SELECT *, coalesce(explicit, CASE WHEN n <= 10 AND s >= 0.75 AND s >= m + 0.15 THEN 'SURFACE:surface-strong-probe' WHEN sd = 'ACCEPT' AND md <> 'ACCEPT' THEN 'SURFACE:surface-only-accept' WHEN md = 'ACCEPT' AND sd <> 'ACCEPT' THEN 'MEANING:meaning-only-accept' WHEN sd = 'ACCEPT' AND md = 'ACCEPT' AND n <= 10 AND s >= 0.6 THEN 'SURFACE:surface-phrase-both-accept' WHEN sd = 'ACCEPT' AND md = 'ACCEPT' THEN 'CLARIFY:both-tasks-accept'
-  WHEN sd = 'CLARIFY' AND md = 'ABSTAIN' THEN 'SURFACE:surface-only-clarify' WHEN md = 'CLARIFY' AND sd = 'ABSTAIN' AND m >= 0.5 AND m >= s + 0.15 THEN 'MEANING:meaning-clarify-probe' WHEN md = 'CLARIFY' AND sd = 'ABSTAIN' AND n <= 6 AND s >= 0.6 AND s >= m + 0.2 THEN 'SURFACE:surface-fragment-over-weak-meaning' WHEN md = 'CLARIFY' AND sd = 'ABSTAIN' THEN 'CLARIFY:weak-meaning-clarify'
+  WHEN sd = 'CLARIFY' AND md = 'ABSTAIN' THEN 'SURFACE:surface-only-clarify' WHEN md = 'CLARIFY' AND sd = 'ABSTAIN' AND (n >= 6 AND scaffold OR m >= 0.5 AND m >= s + 0.15) THEN 'MEANING:meaning-clarify-probe' WHEN md = 'CLARIFY' AND sd = 'ABSTAIN' AND n <= 6 AND s >= 0.6 AND s >= m + 0.2 THEN 'SURFACE:surface-fragment-over-weak-meaning' WHEN md = 'CLARIFY' AND sd = 'ABSTAIN' THEN 'CLARIFY:weak-meaning-clarify'
   WHEN n <= 6 AND s >= 0.55 AND s >= m + 0.15 AND (sm >= 0.08 OR s >= 0.7) THEN 'SURFACE:surface-fragment-probe' ELSE 'CLARIFY:insufficient-task-evidence' END) AS route FROM pr)
 SELECT query_id, string_split(route, ':')[1] AS task, string_split(route, ':')[2] AS reason, CASE string_split(route, ':')[1] WHEN 'ATTESTATION' THEN CASE status WHEN 'ATTESTED' THEN 'ACCEPT' WHEN 'NEEDS_CLARIFICATION' THEN 'CLARIFY' ELSE 'NOT_ATTESTED_IN_CURRENT_CORPUS' END WHEN 'SURFACE' THEN sd WHEN 'MEANING' THEN md ELSE 'CLARIFY' END AS decision FROM ro"""
 
 
-@query(f"WITH {SURF}, {GM}, {r.ATTEST.replace('rq AS', 'arq AS').replace('FROM rq', 'FROM arq')}, {AUTO}".replace("g_tfidf AS score", "g_tfidf AS score"))
+@query(f"WITH {SURF.replace(VIEWS, SPOKEN)}, {GM}, {r.ATTEST.replace('rq AS', 'arq AS').replace('FROM rq', 'FROM arq')}, {AUTO}")
 def auto_dispatch(spark, sf):
-    """Every request through explicit cues (of its own language), both probes, and attestation."""
-    t = F.col("text")
-    explicit = decide.explicit_route(F.trim(t) == "", t.rlike(r"(?i)\breal\b"), t.rlike(r"(?i)\b(complete|finish)\b"), t.rlike(r"(?i)\b(mean|about)\b"), t.rlike(r"\d"))
-    s, m = (df.withColumnRenamed("top", "score") for df in (surface_decisions(spark, sf), meaning_decisions(spark, sf)))
-    q, v = b.requests(spark, sf), b.variants(spark, sf)
-    return engine.auto(q, s, m, attest(q, v), explicit)
+    """Every request, in its own script and with cues, through the wording's own task, both probes and attestation."""
+    q, v, g = _spoken(spark, sf)
+    s, m = surface_decisions(q, v), meaning_decisions(q, g)
+    return engine.auto(q, s.withColumnRenamed("top", "score"), m.withColumnRenamed("top", "score"), attest(q, v))
 
 
 @query()
@@ -173,7 +193,7 @@ def surface_verified(spark, sf):
 
 
 @query(
-    f"WITH {VIEWS}, {r.GLOSS}, {r.BM.replace('FROM variants', 'FROM glosses')}, u AS (SELECT query_id, doc_id, coalesce(tfidf, 0) AS t, coalesce(bm25, 0) AS b FROM tfidf FULL JOIN bme USING (query_id, doc_id)), s AS (SELECT *, least(1.0, t + 0.35 * b * (1 - t)) AS score FROM u), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s WHERE score > 0) SELECT query_id, doc_id, round(score, 6) AS score, rank FROM k WHERE rank <= 3"
+    f"WITH {VIEWS}, {r.GLOSS}, {r.BM.replace('FROM variants', 'FROM glosses')}, u AS (SELECT query_id, doc_id, coalesce(tfidf, 0) AS t, coalesce(bm25, 0) AS b FROM tfidf LEFT JOIN bme USING (query_id, doc_id)), s AS (SELECT *, least(1.0, t + 0.05 * b * (1 - t)) AS score FROM u), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s WHERE score > 0) SELECT query_id, doc_id, round(score, 6) AS score, rank FROM k WHERE rank <= 3"
 )
 def gloss_rescored(spark, sf):
     k = engine.meaning_ranking(b.requests(spark, sf), b.glosses(spark, sf))
