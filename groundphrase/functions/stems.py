@@ -40,7 +40,7 @@ def signature(text: Column) -> Column:
 
 
 #: The extended stemmer's letters, forms and stop words (fixed values).
-WIDE_LETTERS = "[ءآأإؤئابتثجچحخدذرزژسشصضطظعغفقکكگلمنوهةۀهیيى]+"
+WIDE_LETTERS = "[ءآأإؤئابپتثجچحخدذرزژسشصضطظعغفقکكگلمنوهةۀهیيى]+"
 WIDE_COLLOQUIAL = {
     "زبون": "زبان", "دهن": "دهان", "ناخون": "ناخن", "شونه": "شانه", "خودشو": "خود", "خودش": "خود", "نمیشه": "شدن", "میشه": "شدن", "شه": "شدن", "بشه": "شدن", "بشود": "شدن",
     "میکنه": "کردن", "میکنند": "کردن", "میگه": "گفتن", "میگن": "گفتن",

@@ -85,7 +85,7 @@ sources AS (SELECT n_nationkey::BIGINT AS source_id, n_name AS source_name, 'ref
 
 
 #: For each small Latin letter a letter of the requests' own script, none of which is folded or part of a cue.
-SCRIPT = "ابپتثجچحخدذرزژسشصضطظعغفقکگ"
+SCRIPT = "ابپتثجچحخدذرزژسلصضطظعغفقکگ"
 
 
 def in_script(c):
@@ -98,13 +98,13 @@ def in_script_sql(c: str) -> str:
 
 
 def words(spark: SparkSession, sf: str) -> DataFrame:
-    """item_id, w: the items' words of two letters or more, in the requests' script and nothing else."""
+    """item_id, w: the items' words of four letters or more, in the requests' script and nothing else."""
     plain = F.regexp_replace(F.lower("text"), "[^a-z ]", "")
-    w = F.filter(F.split(in_script(plain), " "), lambda x: F.length(x) > 1)
+    w = F.filter(F.split(in_script(plain), " "), lambda x: F.length(x) > 3)
     return table(spark, sf, "benchmark").select("item_id", w.alias("w"))
 
 
-WORDS = f"words AS (SELECT item_id, list_filter(string_split({in_script_sql("regexp_replace(lower(text), '[^a-z ]', '', 'g')")}, ' '), lambda x: length(x) > 1) AS w FROM benchmark)"
+WORDS = f"words AS (SELECT item_id, list_filter(string_split({in_script_sql("regexp_replace(lower(text), '[^a-z ]', '', 'g')")}, ' '), lambda x: length(x) > 3) AS w FROM benchmark)"
 
 
 def norm(c: str) -> str:

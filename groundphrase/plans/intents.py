@@ -29,23 +29,54 @@ def query(sql: str | None = None):
     return add
 
 
-#: (id, mentions of corpus phrases, request)
+#: (number, mentions of corpus phrases, wording), and what it must give: cues, signal, scope, writing with a phrase or a
+#: saying, explicit cues, route, and whether a meaning's scaffold stands in it.
 REQUESTS = (
-    (1, 0, "یه ضرب المثل برای وقتی که کسی زیاد حرف می‌زنه بگو"), (2, 1, "آب از آب تکان نخورد یعنی چی"), (3, 0, "آب از آب تکان نخورد یعنی چی"), (4, 1, "آیا «آب از آب تکان نخورد» دقیقا همین صورت ثبت شده هست؟"),
-    (5, 1, "این مثل که میگه نوش دارو واقعی است یا نه"), (6, 1, "اصلش چی بود، آب که از سر گذشت"), (7, 0, "سه تا ضرب المثل درباره صبر بگو"), (8, 0, "نقش ضرب المثل ها در فرهنگ و ادبیات چیست"),
-    (9, 0, "یک مثل جدید و ساختگی درست کن"), (10, 0, "یک متن بنویس و هیچ ضرب المثل داخلش نیاور"), (11, 0, "به کسی که دیر می‌رسد چی می‌گن"), (12, 0, "هوا امروز خوب است"),
-    (13, 0, ""), (14, 0, "   "), (15, 2, "معنی هر دو رو توضیح بده"), (16, 2, "فقط یکی از این دوتا رو میخوام ولی نمی‌گم کدوم"), (17, 1, "یک پیام دوستانه بنویس و یه ضرب المثل هم داخلش بذار"), (18, 0, "یک نامه آماده کن و آخرش یک گفته بیار"),
-    (19, 0, "كدام مثل برای این حالت مناسب است؟"), (20, 1, "گربه دستش به گوشت نمی‌رسه ضرب المثل هست؟"), (21, 1, "شکل درست این رو بگو"), (22, 0, "برای این موقعیت یه اصطلاح پیشنهاد بده که کنایه باشد"),
-    (23, 0, "چه مثلی داریم برای این معنی"), (24, 0, "یادم رفته ادامه‌اش چی بود"), (25, 0, "این ضرب المثل واقعیه"), (26, 0, "یادم رفته، چه اصطلاحی برای این معنا داریم"), (27, 0, "python code بنویس"), (28, 0, "«نوش دارو پس از مرگ سهراب» واقعی است؟"),
-    (29, 1, "کی به کار می‌ره این عبارت"), (30, 0, "با دو تا کنایه مثال بزن و نمونه بده"), (31, 0, "یه جمله جا افتاده درباره صبر بگو"), (32, 0, "در ترجمه مثل ها چه چیزی مهم است"), (33, 0, "نباشه توی متن هیچ اصطلاح خاصی"), (34, 1, "منظورش چیه این که گفت"),
-    (35, 0, "یه مثل جدید بساز"), (36, 1, "همین ثبت شده است"), (37, 0, "دوتاشون رو معنی کن"),
+    (1, 0, "یه ضرب المثل برای وقتی که کسی زیاد حرف می‌زنه بگو", "noun search context", "SEARCH_BY_MEANING", "", "", "meaning", "MEANING:explicit-cue", True),
+    (2, 1, "آب از آب تکان نخورد یعنی چی", "explain", "EXPLAIN", "after_target", "", "", "", False),
+    (3, 0, "آب از آب تکان نخورد یعنی چی", "explain", "NONE", "after_target", "", "", "", False),
+    (4, 1, "آیا «آب از آب تکان نخورد» دقیقا همین صورت ثبت شده هست؟", "exact restore attest", "ATTEST", "exact_question", "", "", "", False),
+    (5, 1, "این مثل که میگه نوش دارو واقعی است یا نه", "attest noun context", "ATTEST", "", "", "", "", False),
+    (6, 1, "اصلش چی بود، آب که از سر گذشت", "restore context", "RESTORE_SURFACE", "", "", "surface", "SURFACE:explicit-cue", False),
+    (7, 0, "سه تا ضرب المثل درباره صبر بگو", "examples noun search", "RETRIEVE_EXAMPLES", "", "", "", "", False),
+    (8, 0, "نقش ضرب المثل ها در فرهنگ و ادبیات چیست", "meta noun", "FORCE_GENERAL", "", "", "", "", False),
+    (9, 0, "یک مثل جدید و ساختگی درست کن", "fictional noun", "NONE", "", "", "", "", False),
+    (10, 0, "یک متن بنویس و هیچ ضرب المثل داخلش نیاور", "forbids noun", "FORCE_GENERAL", "", "phrase saying", "", "", False),
+    (11, 0, "به کسی که دیر می‌رسد چی می‌گن", "context indirect", "SEARCH_BY_MEANING", "", "", "meaning", "MEANING:explicit-cue", True),
+    (12, 0, "هوا امروز خوب است", "", "NONE", "", "", "", "", False),
+    (13, 0, "", "", "NONE", "", "", "", "CLARIFY:empty-query", False),
+    (14, 0, "   ", "", "NONE", "", "", "", "CLARIFY:empty-query", False),
+    (15, 2, "معنی هر دو رو توضیح بده", "explain context", "EXPLAIN", "all_mentions", "", "", "", True),
+    (16, 2, "فقط یکی از این دوتا رو میخوام ولی نمی‌گم کدوم", "search", "NONE", "one_unknown", "", "", "", False),
+    (17, 1, "یک پیام دوستانه بنویس و یه ضرب المثل هم داخلش بذار", "noun search", "NONE", "", "phrase saying", "meaning", "MEANING:explicit-cue", False),
+    (18, 0, "یک نامه آماده کن و آخرش یک گفته بیار", "search", "NONE", "", "saying", "", "", False),
+    (19, 0, "كدام مثل برای این حالت مناسب است؟", "noun search context", "SEARCH_BY_MEANING", "", "", "meaning", "MEANING:explicit-cue", False),
+    (20, 1, "گربه دستش به گوشت نمی‌رسه ضرب المثل هست؟", "attest noun", "ATTEST", "", "", "", "", False),
+    (21, 1, "شکل درست این رو بگو", "restore search", "RESTORE_SURFACE", "", "", "", "", False),
+    (22, 0, "برای این موقعیت یه اصطلاح پیشنهاد بده که کنایه باشد", "noun search context", "SEARCH_BY_MEANING", "", "", "meaning", "MEANING:explicit-cue", False),
+    (23, 0, "چه مثلی داریم برای این معنی", "noun search context", "SEARCH_BY_MEANING", "", "", "meaning", "MEANING:explicit-cue", True),
+    (24, 0, "یادم رفته ادامه‌اش چی بود", "restore", "NONE", "", "", "surface", "SURFACE:explicit-cue", False),
+    (25, 0, "این ضرب المثل واقعیه", "attest noun", "NONE", "", "", "attestation", "ATTESTATION:explicit-cue", False),
+    (26, 0, "یادم رفته، چه اصطلاحی برای این معنا داریم", "restore noun search context", "SEARCH_BY_MEANING", "", "", "meaning surface", "CLARIFY:conflicting-explicit-task-cues", True),
+    (27, 0, "python code بنویس", "", "NONE", "", "", "technical", "CLARIFY:technical-out-of-domain-guard", False),
+    (28, 0, "«نوش دارو پس از مرگ سهراب» واقعی است؟", "attest", "NONE", "", "", "attestation", "ATTESTATION:explicit-cue", False),
+    (29, 1, "کی به کار می‌ره این عبارت", "explain", "EXPLAIN", "after_target", "", "", "", False),
+    (30, 0, "با دو تا کنایه مثال بزن و نمونه بده", "examples noun", "RETRIEVE_EXAMPLES", "", "", "", "", False),
+    (31, 0, "یه جمله جا افتاده درباره صبر بگو", "search indirect", "SEARCH_BY_MEANING", "", "", "", "", False),
+    (32, 0, "در ترجمه مثل ها چه چیزی مهم است", "meta noun", "FORCE_GENERAL", "", "", "", "", False),
+    (33, 0, "نباشه توی متن هیچ اصطلاح خاصی", "forbids noun", "FORCE_GENERAL", "", "", "", "", False),
+    (34, 1, "منظورش چیه این که گفت", "explain context", "EXPLAIN", "after_target", "", "", "", False),
+    (35, 0, "یه مثل جدید بساز", "fictional noun", "NONE", "", "", "meaning", "MEANING:explicit-cue", False),
+    (36, 1, "همین ثبت شده است", "exact", "ATTEST", "exact_question", "", "", "", False),
+    (37, 0, "دوتاشون رو معنی کن", "context", "NONE", "all_mentions", "", "", "", True),
 )
-#: (id, request) whose wording is to be restored, or isn't.
+#: (number, wording with a place for the item's words, its target with the same or nothing).
 WISHES = (
-    (1, "آب که از سر گذشت چه یه وجب رو عامیانه نوشتم، درستش رو بگو"), (2, "گربه دستش به گوشت نمیرسه رو شنیدم اصلش چیه"), (3, "چطور میشه شکل درستش رو بگو"), (4, "درستش رو بگو"), (5, "این را غلط گفتم صورت درست بگو"),
-    (6, "نوش دارو بعد مرگ سهراب را اشتباه نوشتم؛ صورت ثبت شده‌اش را بده"), (7, "هوا خوب است"), (8, ""), (9, "مرغ همسایه غاز است شکل معیارش چیست"), (10, "کوه به کوه نمی‌رسه رو ناقص یادم مونده . کاملش رو بگو"),
+    (1, "{} آب که از سر گذشت چه یه وجب رو عامیانه نوشتم، درستش رو بگو", "{} آب که از سر گذشت چه یه وجب"), (2, "{} گربه دستش به گوشت نمیرسه رو شنیدم اصلش چیه", "{} گربه دستش به گوشت نمیرسه"), (3, "چطور میشه {} رو اشتباه نوشتم شکل درستش رو بگو", None),
+    (4, "درستش رو بگو {}", None), (5, "{} این را غلط گفتم صورت درست بگو", "{} این"), (6, "، {} نوش دارو بعد مرگ سهراب را اشتباه نوشتم؛ صورت ثبت شده‌اش را بده", "{} نوش دارو بعد مرگ سهراب"), (7, "هوا خوب است {}", None), (8, "", None),
+    (9, "مرغ همسایه غاز است {} شکل معیارش چیست", None), (10, "{} کوه به کوه نمی‌رسه رو ناقص یادم مونده . کاملش رو بگو", "{} کوه به کوه نمی‌رسه"),
 )
-#: (id, phrase, its stems)
+#: (number, phrase, its stems); the item's words follow, which have no endings.
 PHRASES = (
     (1, "زبونش دراز است", "زبان دراز است"), (2, "کتابو خوندم", "کتاب خوند"), (3, "نمیشه که نشه", "شه"), (4, "آب از آب تکان نخورد", "آب آب تکان خورد"), (5, "گیره، گیرها", "گیر گیرها"),
     (6, "دهنشون بسته‌اند", "دهان بست اند"), (7, "میگن شونه خالی کرد", "شان خال"), (8, "عمو جان", "عمو جان"), (9, "زندگیشان را دادند", "زندگ"), (10, "و از به", ""), (11, "جادو و کادو", "جادو کادو"), (12, "", ""),
@@ -53,7 +84,7 @@ PHRASES = (
 
 
 def _text(v) -> str:
-    return "'" + v.replace("'", "''").replace("‌", "' || chr(8204) || '") + "'" if isinstance(v, str) else f"{v}::BIGINT"
+    return "NULL" if v is None else str(v).upper() if isinstance(v, bool) else "'" + v.replace("'", "''").replace("‌", "' || chr(8204) || '") + "'" if isinstance(v, str) else f"{v}::BIGINT"
 
 
 def values(rows, names: str) -> str:
@@ -61,80 +92,68 @@ def values(rows, names: str) -> str:
     return f"(VALUES {', '.join('(' + ', '.join(map(_text, r)) + ')' for r in rows)}) t({names})"
 
 
-def re2(p: str) -> str:
-    """A pattern of whose classes RE2 takes ASCII only, as its Unicode form in a SQL string."""
-    return "'" + p.replace(r"\s", r"[\s\p{Z}]").replace("'", "''").replace("‌", "' || chr(8204) || '") + "'"
+def _asked(spark, sf, rows, name: str, *columns: str):
+    """(item_id, phrase, name, columns...): each item with the wording that its number gives it; phrase: its first words."""
+    t = spark.createDataFrame([r[: 2 + len(columns)] for r in rows], ", ".join(["k long", *(f"{c} {'long' if c == 'mentions' else 'string'}" for c in (*columns, name))]))
+    w = b.words(spark, sf).select("item_id", F.array_join(F.slice("w", 1, 2), " ").alias("phrase"), (F.col("item_id") % len(rows) + 1).alias("k"))
+    return w.join(F.broadcast(t), "k")
 
 
-def any_sql(c: str, patterns) -> str:
-    return "(" + " OR ".join(f"regexp_matches({c}, {re2(p)})" for p in patterns) + ")"
+def _requests(spark, sf):
+    text = F.when(F.trim("wording") == "", F.col("wording")).otherwise(F.concat("phrase", F.lit(" "), "wording"))
+    return _asked(spark, sf, REQUESTS, "wording", "mentions").select("item_id", "mentions", text.alias("text"))
 
 
-PLAIN = "lower(translate(text, chr(8204) || 'يكۀ', ' یکه'))"
-SPACED = "replace(text, chr(8204), ' ')"
-CUED = f"c AS (SELECT id, mentions, text, trim(text) = '' AS blank, {', '.join(f'{any_sql(PLAIN, p)} AS {k}' for k, p in intents.CUES.items())} FROM {values(REQUESTS, 'id, mentions, text')})"
+def _filled(spark, sf, rows):
+    return _asked(spark, sf, rows, "wording").select("item_id", F.replace("wording", F.lit("{}"), F.col("phrase")).alias("text"))
 
 
-def _requests(spark):
-    return spark.createDataFrame(REQUESTS, "id long, mentions long, text string")
+NAMES = "k, mentions, wording, cues, signal, scope, writes, explicit, route, scaffold"
+ASKED = f"WITH {b.WORDS}, asked AS (SELECT item_id, t.* FROM words JOIN {values(REQUESTS, NAMES)} ON k = item_id % {len(REQUESTS)} + 1)"
 
 
-@query(f"WITH {CUED} SELECT id, {', '.join(intents.CUES)} FROM c")
+def said(column: str, names) -> str:
+    """For each name whether it stands in a column of names."""
+    return ", ".join(f"list_contains(string_split({column}, ' '), '{x}') AS {x}" for x in names)
+
+
+@query(f"{ASKED} SELECT item_id, {said('cues', intents.CUES)} FROM asked")
 def intent_cues(spark, sf):
-    return _requests(spark).select("id", *(c.alias(k) for k, c in intents.cues(F.col("text")).items()))
+    return _requests(spark, sf).select("item_id", *(c.alias(k) for k, c in intents.cues(F.col("text")).items()))
 
 
-@query(
-    f"WITH {CUED} SELECT id, CASE WHEN blank OR fictional THEN 'NONE' WHEN forbids THEN 'FORCE_GENERAL' WHEN examples THEN 'RETRIEVE_EXAMPLES' WHEN mentions = 0 AND meta THEN 'FORCE_GENERAL' WHEN mentions > 0 AND exact THEN 'ATTEST' WHEN mentions > 0 AND restore THEN 'RESTORE_SURFACE'"
-    " WHEN mentions > 0 AND attest THEN 'ATTEST' WHEN mentions > 0 AND explain THEN 'EXPLAIN' WHEN noun AND search AND context OR indirect THEN 'SEARCH_BY_MEANING' ELSE 'NONE' END AS signal FROM c"
-)
+@query(f"{ASKED} SELECT item_id, signal FROM asked")
 def request_signal(spark, sf):
-    return _requests(spark).select("id", intents.signal(F.col("text"), F.col("mentions")).alias("signal"))
+    return _requests(spark, sf).select("item_id", intents.signal(F.col("text"), F.col("mentions")).alias("signal"))
 
 
-@query(f"SELECT id, {', '.join(f'{any_sql(SPACED, p)} AS {k}' for k, p in intents.SCOPE.items())} FROM {values(REQUESTS, 'id, mentions, text')}")
+@query(f"{ASKED} SELECT item_id, {said('scope', intents.SCOPE)} FROM asked")
 def scope_cues(spark, sf):
-    return _requests(spark).select("id", *(c.alias(k) for k, c in intents.scope(F.col("text")).items()))
+    return _requests(spark, sf).select("item_id", *(c.alias(k) for k, c in intents.scope(F.col("text")).items()))
 
 
-def _writes(noun: str) -> str:
-    return f"{any_sql(PLAIN, intents.WRITING)} AND {any_sql(PLAIN, [x.format(noun) for x in intents.INSERT])}"
-
-
-@query(f"SELECT id, {_writes(intents.PHRASE)} AS with_phrase, {_writes(intents.PHRASE_OR_SAYING)} AS with_saying FROM {values(REQUESTS, 'id, mentions, text')}")
+@query(f"{ASKED} SELECT item_id, {said('writes', ('phrase', 'saying'))} FROM asked")
 def composition_task(spark, sf):
-    return _requests(spark).select("id", intents.needs_composition(F.col("text")).alias("with_phrase"), intents.needs_composition(F.col("text"), intents.PHRASE_OR_SAYING).alias("with_saying"))
-
+    return _requests(spark, sf).select("item_id", intents.needs_composition(F.col("text")).alias("phrase"), intents.needs_composition(F.col("text"), intents.PHRASE_OR_SAYING).alias("saying"))
 
-ROUTED = f"r AS (SELECT id, text, {any_sql('text', cues.ATTESTATION)} AS a, {any_sql('text', cues.SURFACE)} AS s, {any_sql('text', cues.MEANING)} AS m, regexp_matches(' ' || text || ' ', ' [A-Za-z0-9_+./:-]+ ') AS t FROM {values(REQUESTS, 'id, mentions, text')})"
 
-
-@query(
-    f"WITH {ROUTED} SELECT id, a AS attestation, s AS surface, m AS meaning, t AS technical, CASE WHEN trim(text) = '' THEN 'CLARIFY:empty-query' WHEN a THEN 'ATTESTATION:explicit-cue' WHEN s AND NOT m THEN 'SURFACE:explicit-cue' WHEN m AND NOT s THEN 'MEANING:explicit-cue' WHEN s AND m THEN 'CLARIFY:conflicting-explicit-task-cues' WHEN t THEN 'CLARIFY:technical-out-of-domain-guard' END AS route FROM r"
-)
+@query(f"{ASKED} SELECT item_id, {said('explicit', ('attestation', 'surface', 'meaning', 'technical'))}, nullif(route, '') AS route, scaffold FROM asked")
 def explicit_route_of_requests(spark, sf):
     x = cues.explicit(F.col("text"))
-    r = _requests(spark).select("id", "text", *(c.alias(k) for k, c in x.items()))
+    r = _requests(spark, sf).select("item_id", "text", *(c.alias(k) for k, c in x.items()))
     route = decide.explicit_route(F.trim("text") == "", *(F.col(k) for k in ("attestation", "surface", "meaning", "technical")))
-    return r.select("id", "attestation", "surface", "meaning", "technical", route.alias("route"))
-
+    return r.select("item_id", "attestation", "surface", "meaning", "technical", route.alias("route"), cues.scaffold(F.col("text")).alias("scaffold"))
 
-TRIM = rf"regexp_replace({{}}, '^[{intents.EDGES}]+|[{intents.EDGES}]+$', '', 'g')"
 
-
-@query(
-    f"WITH w AS (SELECT id, text, {TRIM.format('regexp_extract(text, ' + re2('(?s)^(.*?)(?:' + intents.RESTORE_CUE + ')') + ', 1)')} AS prefix, regexp_extract(text, {re2(intents.RESTORE_CUE)}) AS cue FROM {values(WISHES, 'id, text')}),"
-    f" x AS (SELECT *, {TRIM.format('regexp_replace(prefix, ' + re2(intents.NOISE_TAIL) + ', ' + chr(39) * 2 + ')')} AS cleaned FROM w)"
-    f" SELECT id, CASE WHEN cue <> '' AND prefix <> '' AND regexp_matches(prefix || ' ' || cue, {re2(intents.SUPPLIED)}) AND len(regexp_extract_all(cleaned, '{intents.LETTERS}')) >= 3 AND NOT regexp_matches(cleaned, {re2(intents.META_START)}) THEN cleaned END AS target FROM x"
-)
+@query(f"WITH {b.WORDS} SELECT item_id, replace(target, '{{}}', array_to_string(w[1:2], ' ')) AS target FROM words JOIN {values(WISHES, 'k, wording, target')} ON k = item_id % {len(WISHES)} + 1")
 def restore_targets(spark, sf):
-    return spark.createDataFrame(WISHES, "id long, text string").select("id", intents.restore_target(F.col("text")).alias("target"))
+    return _filled(spark, sf, WISHES).select("item_id", intents.restore_target(F.col("text")).alias("target"))
 
 
-@query(f"SELECT id, stems FROM {values(PHRASES, 'id, text, stems')}")
+@query(f"WITH {b.WORDS} SELECT item_id, trim(stems || ' ' || array_to_string(w[1:2], ' ')) AS stems FROM words JOIN {values(PHRASES, 'k, wording, stems')} ON k = item_id % {len(PHRASES)} + 1")
 def wide_stems(spark, sf):
-    p = spark.createDataFrame(PHRASES, "id long, text string, stems string")
-    return p.select("id", F.array_join(stems.wide_signature(F.col("text")), " ").alias("stems"))
+    p = _asked(spark, sf, PHRASES, "wording").select("item_id", F.concat("wording", F.lit(" "), "phrase").alias("text"))
+    return p.select("item_id", F.array_join(stems.wide_signature(F.col("text")), " ").alias("stems"))
 
 
 @query(
@@ -155,14 +174,18 @@ def restore_fuzzy(spark, sf):
 
 
 STOPPED = "[" + ", ".join(_text(w) for w in tx.NON_CONTENT) + "]"
+#: (number, request, gloss); the item's first two words follow the request, its second and third the gloss.
 GLOSSES = ((1, "برای وقتی که کسی زیاد حرف بی فایده می زند", "حرف بی فایده زدن و پرگویی."), (2, "وقتی کار از کار گذشته باشد", "انجام دادن کاری پس از گذشتن فرصت."), (3, "python 3", "حرف بی فایده."), (4, "این چیست", "حرف."), (5, "حرف حرف فایده", "فایده حرف زدن حرف"))
 CONTENT = "list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(translate({}, 'آ', 'ا'), '[^\\p{{L}}\\p{{N}} ]', '', 'g'), ' +', ' ', 'g')), ' '), lambda x: length(x) > 1 AND NOT regexp_full_match(x, '[A-Za-z0-9_+./:-]+') AND NOT list_contains(" + STOPPED.replace("{", "{{").replace("}", "}}") + ", x)))"
 
 
-@query(f"WITH t AS (SELECT id, {CONTENT.format('request')} AS q, {CONTENT.format('gloss')} AS g FROM {values(GLOSSES, 'id, request, gloss')}) SELECT id, array_to_string(list_sort(list_intersect(q, g)), ' ') AS shared, len(list_intersect(q, g)) > 0 AS anchored, round(CASE WHEN len(q) > 0 THEN len(list_intersect(q, g)) / len(q) ELSE 0 END, 6)::DOUBLE AS query_support, round(CASE WHEN len(g) > 0 THEN len(list_intersect(q, g)) / len(g) ELSE 0 END, 6)::DOUBLE AS gloss_support FROM t")
+@query(f"WITH {b.WORDS}, a AS (SELECT item_id, request || ' ' || array_to_string(w[1:2], ' ') AS request, gloss || ' ' || array_to_string(w[2:3], ' ') AS gloss FROM words JOIN {values(GLOSSES, 'k, request, gloss')} ON k = item_id % 5 + 1), t AS (SELECT item_id, {CONTENT.format('request')} AS q, {CONTENT.format('gloss')} AS g FROM a) SELECT item_id, array_to_string(list_sort(list_intersect(q, g)), ' ') AS shared, len(list_intersect(q, g)) > 0 AS anchored, round(CASE WHEN len(q) > 0 THEN len(list_intersect(q, g)) / len(q) ELSE 0 END, 6)::DOUBLE AS query_support, round(CASE WHEN len(g) > 0 THEN len(list_intersect(q, g)) / len(g) ELSE 0 END, 6)::DOUBLE AS gloss_support FROM t")
 def meaning_support(spark, sf):
-    e = spark.createDataFrame(GLOSSES, "id long, request string, gloss string").select("id", tx.meaning_evidence(F.col("request"), F.col("gloss")).alias("e"))
-    return e.select("id", F.array_join("e.shared", " ").alias("shared"), "e.anchored", F.round("e.query_support", 6).alias("query_support"), F.round("e.gloss_support", 6).alias("gloss_support"))
+    g = spark.createDataFrame(GLOSSES, "k long, request string, gloss string")
+    w = b.words(spark, sf).withColumn("k", F.col("item_id") % len(GLOSSES) + 1).join(F.broadcast(g), "k")
+    said_ = lambda c, i: F.concat(c, F.lit(" "), F.array_join(F.slice("w", i, 2), " "))
+    e = w.select("item_id", tx.meaning_evidence(said_("request", 1), said_("gloss", 2)).alias("e"))
+    return e.select("item_id", F.array_join("e.shared", " ").alias("shared"), "e.anchored", F.round("e.query_support", 6).alias("query_support"), F.round("e.gloss_support", 6).alias("gloss_support"))
 
 
 @query("SELECT doc_id, replace(replace(replace(replace(replace('<p title=\"x''y\">' || text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS escaped FROM documents")
