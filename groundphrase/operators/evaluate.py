@@ -28,13 +28,31 @@ def metric_block(cases: DataFrame, category: str, metrics: list[str]) -> DataFra
     return cases.rollup(category).agg(*aggs)
 
 
+def percentiles(df: DataFrame, value: str, qs: tuple[float, ...], by: list[str] | None = None) -> DataFrame:
+    """(by..., p0, p1, ...): interpolated percentiles of a column that isn't null. They come from order statistics
+    over ranges, so no task holds a group's values, however many different ones it has."""
+    ranks = [f for q in qs for f in (lambda n, q=q: F.floor((n - 1) * q), lambda n, q=q: F.ceil((n - 1) * q))]
+    got = store.order_statistics(df, value, ranks, by)
+    at = lambda q: (F.col("n") - 1) * q
+    between = lambda i, q: F.col(f"s{2 * i}") + (F.col(f"s{2 * i + 1}") - F.col(f"s{2 * i}")) * (at(q) - F.floor(at(q)))
+    return got.select(*(by or []), *(between(i, q).alias(f"p{i}") for i, q in enumerate(qs)))
+
+
+def _beside(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """a with b's columns, both having one row for each value of by (nulls alike); without by, one row each."""
+    names = [c for c in b.columns if c not in by]
+    b = b.select(*(F.col(c).alias(f"_{c}") for c in by), *names)
+    on = F.expr(" and ".join(f"x.`{c}` <=> y.`_{c}`" for c in by)) if by else F.lit(True)
+    return a.alias("x").join(b.alias("y"), on).select("x.*", *(f"y.`{c}`" for c in names))
+
+
 def distribution(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """n, mean, median, percentiles (interpolated), min, max and sample deviation (0 for one) of finite values."""
-    v = F.col(value).cast("double")
-    d = df.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf"))))
-    p = F.percentile(v, F.array(F.lit(0.5), *map(F.lit, PERCENTS)))
-    d = d.groupBy(*(by or [])).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), p.alias("p"), F.min(v).alias("min"), F.max(v).alias("max"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("stdev"))
-    return d.select(*(by or []), "n", "mean", F.col("p")[0].alias("median"), *(F.col("p")[i + 1].alias(f"p{int(100 * q)}") for i, q in enumerate(PERCENTS)), "min", "max", "stdev")
+    by, v = by or [], F.col(value).cast("double")
+    d = df.select(*by, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v") & (F.abs("_v") != F.lit(float("inf"))))
+    stats = d.groupBy(*by).agg(F.count("_v").alias("n"), F.avg("_v").alias("mean"), F.min("_v").alias("min"), F.max("_v").alias("max"), F.coalesce(F.stddev_samp("_v"), F.lit(0.0)).alias("stdev"))
+    both = _beside(stats, percentiles(d, "_v", (0.5, *PERCENTS), by), by)
+    return both.select(*by, "n", "mean", F.col("p0").alias("median"), *(F.col(f"p{i + 1}").alias(f"p{int(100 * q)}") for i, q in enumerate(PERCENTS)), "min", "max", "stdev")
 
 
 def paired(base: DataFrame, system: DataFrame, key: str, value: str) -> DataFrame:
@@ -63,9 +81,21 @@ def review(value: Column) -> Column:
     return F.when(v.isin("YES", "Y", "TRUE", "1"), "YES").when(v.isin("NO", "N", "FALSE", "0"), "NO").when(v.isin("NA", "N/A", ""), "NA").otherwise(F.raise_error(F.concat(F.lit("not a review value: "), v)))
 
 
+def seeded(id_col: str, seed: int = 42) -> Column:
+    """A seeded order of rows by their id: whoever sorts by it needs no sorted whole."""
+    return F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")), 256)
+
+
 def balanced_subset(df: DataFrame, category: str, order: Column, n: int, id_col: str) -> DataFrame:
-    """n rows, round-robin over categories, each in the given order. A limit is the feature here."""
-    r = df.withColumn("turn", F.row_number().over(Window.partitionBy(category).orderBy(order, id_col)).cast("long"))
+    """n rows with their turn, round-robin over categories, each in the given order, then by id. A limit is the feature here.
+
+    The n-th place of each category comes from order statistics over ranges, so n rows of a category move at most,
+    and no task sees a whole one.
+    """
+    d = df.withColumn("_place", F.struct(order.alias("o"), F.col(id_col).alias("i")))
+    last = store.order_statistics(d.select(category, "_place"), "_place", [lambda total: F.least(total, F.lit(n)) - 1], [category]).select(F.col(category).alias("_c"), F.col("s0").alias("_last"))
+    some = d.alias("d").join(last.alias("l"), F.expr(f"d.`{category}` <=> l._c and d._place <= l._last")).select("d.*")
+    r = some.withColumn("turn", F.row_number().over(Window.partitionBy(category).orderBy("_place")).cast("long")).drop("_place")
     return r.orderBy("turn", category, id_col).limit(n)
 
 
@@ -127,12 +157,12 @@ def wilcoxon(df: DataFrame, diff: str) -> DataFrame:
 def latency_groups(pairs: DataFrame, by: str) -> DataFrame:
     """For each group (null: UNKNOWN) of paired runs: n, medians of base, system, overhead and ratio, and the
     95th percentiles of base and system, interpolated."""
-    p = lambda c, q: F.percentile(c, F.lit(q))
-    g = pairs.groupBy(F.coalesce(F.col(by).cast("string"), F.lit("UNKNOWN")).alias(by))
-    return g.agg(
-        F.count(F.lit(1)).alias("n"), p("base_value", 0.5).alias("base_median"), p("system_value", 0.5).alias("system_median"), p("overhead", 0.5).alias("overhead_median"), p("ratio", 0.5).alias("ratio_median"),
-        p("base_value", 0.95).alias("base_p95"), p("system_value", 0.95).alias("system_p95"),
-    )
+    names = ["base_value", "system_value", "overhead", "ratio"]
+    d = pairs.select(F.coalesce(F.col(by).cast("string"), F.lit("UNKNOWN")).alias(by), *names)
+    p = percentiles(d.unpivot([by], names, "_name", "_v"), "_v", (0.5, 0.95), [by, "_name"])
+    of = lambda name, c: F.max(F.when(F.col("_name") == f"{name}", F.col(c)))
+    wide = p.groupBy(by).agg(*(of(x, "p0").alias(f"{x.removesuffix('_value')}_median") for x in names), *(of(x, "p1").alias(f"{x.removesuffix('_value')}_p95") for x in names[:2]))
+    return _beside(d.groupBy(by).agg(F.count(F.lit(1)).alias("n")), wide, [by])
 
 
 def gold_rates(runs: DataFrame, category: str = "category") -> DataFrame:
@@ -206,3 +236,66 @@ def binomial_p(wins: int, losses: int) -> float:
     """Exact two-sided probability of a split at least so uneven under even odds."""
     n, k = wins + losses, min(wins, losses)
     return min(1.0, 2 * sum(math.comb(n, i) for i in range(k + 1)) / 2**n) if n else 1.0
+
+
+def log_gamma(x: Column) -> Column:
+    """ln Gamma of a positive column: Stirling's series ten places up, and the product back to it."""
+    y = x + 10
+    series = (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y)
+    product = x
+    for i in range(1, 10):
+        product = product * (x + i)
+    return series - F.log(product)
+
+
+def _lower_tail(n: Column, k: Column) -> Column:
+    """P(X <= k) of n fair coins for a k of half of n at most: the largest term by log_gamma, the others by their ratios,
+    as many as a double can tell (some dozen standard deviations)."""
+    top = log_gamma(n + 1) - log_gamma(k + 1) - log_gamma(n - k + 1) - n * math.log(2)
+    terms = F.greatest(F.lit(0), F.least(k, F.ceil(12 * F.sqrt(n)) + 60).cast("int"))
+
+    def add(a: Column, i: Column) -> Column:
+        term = a["term"] * (k - i) / (n - k + i + 1)
+        return F.struct(term.alias("term"), (a["sum"] + term).alias("sum"))
+
+    steps = F.when(terms > 0, F.sequence(F.lit(0), F.greatest(terms - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    tail = F.aggregate(steps, F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum")), add, lambda a: a["sum"])
+    return F.when(k < 0, 0.0).otherwise(F.exp(top) * tail)
+
+
+def sign_test(wins: Column, losses: Column) -> Column:
+    """The exact two-sided p-value of columns of counts, of any size."""
+    n, k = (wins + losses).cast("double"), F.least(wins, losses).cast("double")
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * _lower_tail(n, k)))
+
+
+def more_wins(wins: Column, losses: Column) -> Column:
+    """The exact one-sided p-value: that fair coins give so many wins or more; null without any."""
+    n, k = (wins + losses).cast("double"), F.least(losses, wins - 1).cast("double")
+    tail = _lower_tail(n, F.greatest(k, F.lit(0.0)))
+    p = F.when(losses < wins, tail).when(wins == 0, 1.0).otherwise(1 - tail)
+    return F.when(n > 0, p)
+
+
+def poisson_bounds(most: int = 12) -> list[float]:
+    """What a uniform number must reach for a Poisson count of 1, 2, ... (mean 1)."""
+    terms = [math.exp(-1) / math.factorial(i) for i in range(most)]
+    return [sum(terms[: i + 1]) for i in range(most)]
+
+
+def bootstrap_means(df: DataFrame, by: str, value: str, id_col: str, replicates: int = 200, seed: int = 42, level: float = 0.95) -> DataFrame:
+    """(by, n, estimate, low, high) of a mean, for groups of any size: a replicate counts each row a Poisson number of
+    times, drawn from a hash of seed, replicate and id. Rows add their counts up where they are, so a group is one row for each
+    replicate when it moves. replicates: a multiple of 4. Nulls don't count."""
+    rows = df.select(by, F.col(value).cast("double").alias("_v"), F.col(id_col).cast("string").alias("_i")).where("_v is not null")
+    each = rows.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(replicates // 4 - 1))))
+    hashed = each.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_b").cast("string"), "_i")))
+    sums = []
+    for j in range(4):
+        u = F.conv(F.substring("_h", 8 * j + 1, 8), 16, 10).cast("double") / float(1 << 32)
+        w = sum((F.when(u >= x, 1).otherwise(0) for x in poisson_bounds()[1:]), F.when(u >= poisson_bounds()[0], 1).otherwise(0))
+        sums += [F.sum(w).alias(f"n{j}"), F.sum(w * F.col("_v")).alias(f"v{j}")]
+    per = hashed.groupBy(by, "_b").agg(*sums)
+    means = per.select(by, F.explode(F.array(*(F.when(F.col(f"n{j}") > 0, F.col(f"v{j}") / F.col(f"n{j}")) for j in range(4)))).alias("m")).where("m is not null")
+    edges = percentiles(means, "m", ((1 - level) / 2, (1 + level) / 2), [by]).withColumnsRenamed({"p0": "low", "p1": "high"})
+    return _beside(rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("estimate")), edges, [by])

@@ -15,14 +15,44 @@ def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
+            ORACLE_SQL[f.__name__] = halves(sql)
         return f
 
     return add
 
 
+#: Of a last place, what goes up: a bit less than half, so that engines agree on halves that doubles only come near.
+HALF = 0.500001
+
+
+def near(c, places: int):
+    return F.floor(c * float(10**places) + HALF) / float(10**places)
+
+
+def near_sql(c: str, places: int) -> str:
+    return f"floor(({c}) * 1e{places} + {HALF}) / 1e{places}"
+
+
+def rnd(c, places: int):
+    return near(F.col(c) if isinstance(c, str) else c, places)
+
+
+def halves(sql: str) -> str:
+    """SQL whose round(x, n) follow near()."""
+    while (at := sql.find(" round(")) >= 0 or (at := sql.find("(round(")) >= 0:
+        depth, end = 0, at + 6
+        while True:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+            if not depth:
+                break
+        x, _, places = sql[at + 7 : end - 1].rpartition(", ")
+        sql = sql[: at + 1] + near_sql(x, int(places)) + sql[end:]
+    return sql
+
+
 def rounded(df, places: int = 6):
-    return df.select(*(F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+    return df.select(*(near(F.col(c), places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
 @query(
@@ -58,7 +88,7 @@ def _paired(spark, sf):
 
 @query(f"WITH {PAIRED} SELECT o_orderkey, round(base_value, 2) AS base_value, round(system_value, 2) AS system_value, round(system_value - base_value, 2) AS overhead, round(system_value / base_value, 4) AS ratio FROM p")
 def paired_latency(spark, sf):
-    return _paired(spark, sf).select("o_orderkey", *(F.round(c, 2).alias(c) for c in ("base_value", "system_value", "overhead")), F.round("ratio", 4).alias("ratio"))
+    return _paired(spark, sf).select("o_orderkey", *(rnd(c, 2).alias(c) for c in ("base_value", "system_value", "overhead")), rnd("ratio", 4).alias("ratio"))
 
 
 DIST = ", ".join(f"round(quantile_cont({{v}}, {q}), 4) AS {n}" for q, n in ((0.5, "median"), (0.75, "p75"), (0.9, "p90"), (0.95, "p95"), (0.99, "p99")))
@@ -73,7 +103,7 @@ def latency_distribution(spark, sf):
 def latency_by_group(spark, sf):
     p = _paired(spark, sf).join(table(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey")
     g = ev.latency_groups(p, "o_orderpriority")
-    return g.select("o_orderpriority", "n", *(F.round(c, 4 if c == "ratio_median" else 3).alias(c) for c in g.columns[2:]))
+    return g.select("o_orderpriority", "n", *(rnd(c, 4 if c == "ratio_median" else 3).alias(c) for c in g.columns[2:]))
 
 
 GOLD = "gold AS (SELECT o_orderpriority AS category, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderstatus = 'F' END AS route, CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey % 3 = o_orderkey % 3 END AS action, CASE WHEN o_orderkey % 4 = 3 THEN NULL WHEN o_orderkey % 4 = 2 THEN o_custkey % 2 = 0 ELSE o_custkey % 2 = 1 OR o_orderkey % 4 = 1 AND o_custkey % 2 = 0 END AS decision, CASE WHEN o_custkey % 4 <> 0 THEN o_totalprice > 100000 END AS family FROM orders)"
@@ -94,7 +124,8 @@ def gold_metrics(spark, sf):
 
 @query("SELECT o_orderstatus, count(*)::BIGINT AS n, round(median(o_totalprice), 4) AS median FROM orders GROUP BY 1")
 def median_by_preference(spark, sf):
-    return table(spark, sf, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.median("o_totalprice"), 4).alias("median"))
+    d = ev.distribution(table(spark, sf, "orders"), "o_totalprice", ["o_orderstatus"])
+    return d.select("o_orderstatus", "n", rnd("median", 4).alias("median"))
 
 
 @query("SELECT event_id, event_type, turn FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS turn FROM events) ORDER BY turn, event_type, event_id LIMIT 30")
@@ -102,6 +133,40 @@ def balanced_subset(spark, sf):
     return ev.balanced_subset(table(spark, sf, "events"), "event_type", F.col("value"), 30, "event_id").select("event_id", "event_type", "turn")
 
 
+@query("SELECT o_orderkey, o_orderpriority, turn FROM (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY sha256('7:' || o_orderkey::VARCHAR), o_orderkey) AS turn FROM orders) ORDER BY turn, o_orderpriority, o_orderkey LIMIT 200")
+def seeded_subset(spark, sf):
+    """Round-robin over categories, each in a seeded order."""
+    return ev.balanced_subset(table(spark, sf, "orders"), "o_orderpriority", ev.seeded("o_orderkey", 7), 200, "o_orderkey").select("o_orderkey", "o_orderpriority", "turn")
+
+
+SPLITS = "s AS (SELECT 'priority ' || o_orderpriority AS part, o_orderstatus AS r FROM orders UNION ALL SELECT 'customer ' || (o_custkey % 97)::VARCHAR, o_orderstatus FROM orders UNION ALL SELECT 'year ' || year(o_orderdate)::VARCHAR, CASE WHEN o_totalprice > 150000 THEN 'F' ELSE 'O' END FROM orders), w AS (SELECT part, count(*) FILTER (r = 'F') AS wins, count(*) FILTER (r = 'O') AS losses FROM s GROUP BY 1)"
+_TERMS = "list_sum(list_transform(range(0, {k} + 1), lambda i: exp(lgamma(wins + losses + 1) - lgamma(i + 1) - lgamma(wins + losses - i + 1) - (wins + losses) * ln(2))))"
+
+
+@query(f"WITH {SPLITS} SELECT part, wins::BIGINT AS wins, losses::BIGINT AS losses, round(CASE WHEN wins + losses = 0 THEN 1 ELSE least(1.0, 2 * {_TERMS.format(k='least(wins, losses)')}) END, 6) AS p_two_sided, round(CASE WHEN wins + losses > 0 THEN coalesce({_TERMS.format(k='losses')}, 0) END, 6) AS p_more FROM w")
+def sign_tests(spark, sf):
+    """Exact binomial p-values of many splits, small and large."""
+    o = table(spark, sf, "orders")
+    one = lambda part, r: o.select(part.alias("part"), r.alias("r"))
+    status = F.col("o_orderstatus")
+    parts = one(F.concat(F.lit("priority "), "o_orderpriority"), status).unionByName(one(F.concat(F.lit("customer "), (F.col("o_custkey") % 97).cast("string")), status))
+    parts = parts.unionByName(one(F.concat(F.lit("year "), F.year("o_orderdate").cast("string")), F.when(F.col("o_totalprice") > 150000, "F").otherwise("O")))
+    w = parts.groupBy("part").agg(F.count_if(F.col("r") == "F").alias("wins"), F.count_if(F.col("r") == "O").alias("losses"))
+    return rounded(w.select("part", "wins", "losses", ev.sign_test(F.col("wins"), F.col("losses")).alias("p_two_sided"), ev.more_wins(F.col("wins"), F.col("losses")).alias("p_more")))
+
+
+_BOUNDS = " + ".join(f"(u >= {x!r})::INT" for x in ev.poisson_bounds())
+
+
+@query(
+    f"WITH h AS (SELECT o_orderpriority, o_totalprice AS v, b, md5('42:' || b::VARCHAR || ':' || o_orderkey::VARCHAR) AS h FROM orders, (SELECT unnest(range(25)) AS b)), u AS (SELECT o_orderpriority, v, b * 4 + j AS r, ('0x' || substr(h, 8 * j + 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM h, (SELECT unnest(range(4)) AS j)),"
+    f" m AS (SELECT o_orderpriority, r, sum(({_BOUNDS}) * v) / sum({_BOUNDS}) AS m FROM u GROUP BY 1, 2), e AS (SELECT o_orderpriority, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY 1) SELECT o_orderpriority, n, round(estimate, 4) AS estimate, round(low, 4) AS low, round(high, 4) AS high FROM e JOIN (SELECT o_orderpriority, count(*)::BIGINT AS n, avg(o_totalprice) AS estimate FROM orders GROUP BY 1) USING (o_orderpriority)"
+)
+def bootstrap_means(spark, sf):
+    """Mean order values with intervals by a Poisson bootstrap of 100 replicates over all rows."""
+    return rounded(ev.bootstrap_means(table(spark, sf, "orders"), "o_orderpriority", "o_totalprice", "o_orderkey", 100), 4)
+
+
 @query("SELECT event_type, count(*)::BIGINT AS n FROM events GROUP BY 1")
 def category_histogram(spark, sf):
     return table(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
@@ -109,8 +174,8 @@ def category_histogram(spark, sf):
 
 @query(f"WITH {PAIRED}, d AS (SELECT round(system_value - base_value, 2) AS d FROM p WHERE round(system_value - base_value, 2) <> 0), r AS (SELECT d, (rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0)::DOUBLE AS r FROM d) SELECT round(coalesce(sum(r) FILTER (d > 0), 0), 1) AS w_plus, round(coalesce(sum(r) FILTER (d < 0), 0), 1) AS w_minus, count(*)::BIGINT AS n FROM r")
 def wilcoxon(spark, sf):
-    d = _paired(spark, sf).select(F.round("overhead", 2).alias("d"))
-    return ev.wilcoxon(d, "d").select(F.round(F.col("w_plus").cast("double"), 1).alias("w_plus"), F.round(F.col("w_minus").cast("double"), 1).alias("w_minus"), "n")
+    d = _paired(spark, sf).select(rnd("overhead", 2).alias("d"))
+    return ev.wilcoxon(d, "d").select(rnd(F.col("w_plus").cast("double"), 1).alias("w_plus"), rnd(F.col("w_minus").cast("double"), 1).alias("w_minus"), "n")
 
 
 @query(
