@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,8 +68,6 @@ def chosen(spans: list[tuple[int, str]]) -> list[tuple[int, int]]:
     """Spans (start, end) without overlaps of places (start, phrase) in a text: longer phrases first, then smaller ones,
     then from the left, as if one phrase after the other was replaced."""
     taken: list[tuple[int, int]] = []
-    from bisect import bisect_left, insort
-
     for _, _, start, end in sorted((-len(w), w, s, s + len(w)) for s, w in spans):
         i = bisect_left(taken, (start, start))
         if (i == len(taken) or taken[i][0] >= end) and (i == 0 or taken[i - 1][1] <= start):
@@ -87,8 +87,6 @@ def redact(texts: DataFrame, phrases: DataFrame, key: str, text: str = "text", m
 
 
 def _replaced(pair, mark: str):
-    import pandas as pd
-
     @F.pandas_udf(T.StringType())
     def run(df: pd.DataFrame) -> pd.Series:
         out = []

@@ -26,16 +26,17 @@ def query(sql: str | None = None):
 
 def tokens_sql(source: str) -> str:
     """Tokens (id, nth, token, raw_start, raw_end, start0, end0) of a table (id, text), by running sums over runs of letters and blanks."""
-    return rf"""runs AS (SELECT id, text, unnest(regexp_extract_all(text, '\s+|[^\s]+')) AS run, unnest(range(len(regexp_extract_all(text, '\s+|[^\s]+')))) AS nth FROM {source}),
-placed AS (SELECT id, text, run, nth, coalesce(sum(length(run)) OVER (PARTITION BY id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM runs),
-words AS (SELECT id, text, nth, {norm('run')} AS token, at + length(regexp_extract(run, '^[^\p{{L}}\p{{N}}]*')) AS raw_start, at + length(run) - length(regexp_extract(run, '[^\p{{L}}\p{{N}}]*$')) AS raw_end FROM placed),
-toks AS (SELECT *, sum(length(token) + 1) OVER (PARTITION BY id ORDER BY nth) - length(token) - 1 AS start0, sum(length(token) + 1) OVER (PARTITION BY id ORDER BY nth) - 1 AS end0 FROM words WHERE token <> '')"""
+    return rf"""runs AS (SELECT id, unnest(r) AS run, unnest(range(len(r))) AS nth FROM (SELECT id, regexp_extract_all(text, '\s+|[^\s]+') AS r FROM {source})),
+placed AS (SELECT id, run, nth, coalesce(sum(length(run)) OVER (PARTITION BY id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM runs),
+words AS (SELECT id, nth, {norm('run')} AS token, pos + length(regexp_extract(run, '^[^\p{{L}}\p{{N}}]*')) AS raw_start, pos + length(run) - length(regexp_extract(run, '[^\p{{L}}\p{{N}}]*$')) AS raw_end FROM placed),
+toks AS MATERIALIZED (SELECT *, (sum(length(token) + 1) OVER w)::BIGINT - length(token) - 1 AS start0, (sum(length(token) + 1) OVER w)::BIGINT - 1 AS end0 FROM words WHERE token <> '' WINDOW w AS (PARTITION BY id ORDER BY nth))"""
 
 
 def _intake_sql(table: str, key: str) -> str:
     return rf"""WITH src AS (SELECT {key} AS id, text FROM {table}), {tokens_sql('src')},
-good AS (SELECT id, count(*) AS n, bool_and({norm('substr(text, raw_start + 1, raw_end - raw_start)')} = token) AS same, sha256(string_agg(raw_start::BIGINT || ':' || raw_end::BIGINT || ':' || start0::BIGINT || ':' || end0::BIGINT || ':' || token, ',' ORDER BY nth)) AS spans FROM toks GROUP BY 1)
-SELECT src.id, {norm('text')} AS normalized, coalesce(n, 0)::BIGINT AS n_tokens, coalesce(same, true) AS slices_agree, coalesce(spans, sha256('')) AS spans FROM src LEFT JOIN good USING (id)"""
+good AS (SELECT id, count(*) AS n, sha256(string_agg(raw_start || ':' || raw_end || ':' || start0 || ':' || end0 || ':' || token, ',' ORDER BY nth)) AS spans FROM toks GROUP BY 1),
+slices AS (SELECT id, bool_and({norm('substr(text, raw_start + 1, raw_end - raw_start)')} = token) AS same FROM toks JOIN src USING (id) GROUP BY 1)
+SELECT src.id, {norm('text')} AS normalized, coalesce(n, 0)::BIGINT AS n_tokens, coalesce(same, true) AS slices_agree, coalesce(spans, sha256('')) AS spans FROM src LEFT JOIN good USING (id) LEFT JOIN slices USING (id)"""
 
 
 def _intake(df, key):
@@ -75,10 +76,14 @@ def surface_leaks(spark, sf):
     return mn.leaks(b.table(spark, sf, "documents"), mn.surfaces(b.variants(spark, sf)), "doc_id")
 
 
+SEQUENCES = """runs_of AS MATERIALIZED (SELECT id, nth, start0, raw_start, list(token) OVER w AS ts, list(raw_end) OVER w AS es FROM toks WINDOW w AS (PARTITION BY id ORDER BY nth ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
+sizes AS (SELECT DISTINCT len(string_split(v, ' ')) AS k FROM nv), pieces AS (SELECT id, start0 AS s, raw_start, es[k] AS raw_end, array_to_string(ts[1:k], ' ') AS v FROM runs_of, sizes WHERE len(ts) >= k),
+spans AS MATERIALIZED (SELECT pieces.*, nv.* EXCLUDE (v) FROM pieces JOIN nv USING (v))"""
+
+
 @query(
-    rf"""WITH {VIEWS}, src AS (SELECT doc_id AS id, text FROM documents), {tokens_sql('src')}, nv AS (SELECT doc_id, family_id, {norm('text')} AS v FROM variants WHERE length({norm('text')}) >= 4),
-nd AS (SELECT id, ' ' || {norm('text')} || ' ' AS r FROM src), hit AS (SELECT id, doc_id, family_id, v, unnest(list_filter(range(1, length(r)), lambda i: substr(r, i, length(v) + 2) = ' ' || v || ' ')) - 1 AS s FROM nd JOIN nv ON contains(r, ' ' || v || ' '))
-SELECT hit.id, hit.doc_id, family_id, s::INTEGER AS "start", (s + length(v))::INTEGER AS "end", a.raw_start::INTEGER AS raw_start, z.raw_end::INTEGER AS raw_end, substr(a.text, (a.raw_start + 1)::BIGINT, (z.raw_end - a.raw_start)::BIGINT) AS raw FROM hit JOIN toks a ON a.id = hit.id AND a.start0 = s JOIN toks z ON z.id = hit.id AND z.end0 = s + length(v)"""
+    rf"""WITH {VIEWS}, src AS (SELECT doc_id AS id, text FROM documents), {tokens_sql('src')}, nv AS (SELECT doc_id, family_id, {norm('text')} AS v FROM variants WHERE length({norm('text')}) >= 4), {SEQUENCES}
+SELECT id, doc_id, family_id, s::INTEGER AS "start", (s + length(v))::INTEGER AS "end", raw_start::INTEGER AS raw_start, raw_end::INTEGER AS raw_end, substr(text, raw_start + 1, raw_end - raw_start) AS raw FROM spans JOIN src USING (id)"""
 )
 def grounded_mentions(spark, sf):
     """Whole-word places of variants in every document, in raw places too."""
@@ -95,9 +100,8 @@ PLANNED = "t AS (SELECT query_id, CASE length(text) % 4 WHEN 0 THEN NULL WHEN 1
 
 
 @query(
-    rf"""WITH {VIEWS}, {PLANNED}, src AS (SELECT query_id AS id, text FROM requests), {tokens_sql('src')}, nv AS (SELECT DISTINCT {norm('text')} AS v FROM variants WHERE length({norm('text')}) >= 4), nd AS (SELECT id, ' ' || {norm('text')} || ' ' AS r FROM src),
-hit AS (SELECT id, v, unnest(list_filter(range(1, length(r)), lambda i: substr(r, i, length(v) + 2) = ' ' || v || ' ')) - 1 AS s FROM nd JOIN nv ON contains(r, ' ' || v || ' ')),
-bound AS (SELECT DISTINCT hit.id, a.raw_start, substr(a.text, (a.raw_start + 1)::BIGINT, (z.raw_end - a.raw_start)::BIGINT) AS raw FROM hit JOIN toks a ON a.id = hit.id AND a.start0 = s JOIN toks z ON z.id = hit.id AND z.end0 = s + length(v)),
+    rf"""WITH {VIEWS}, {PLANNED}, src AS (SELECT query_id AS id, text FROM requests), {tokens_sql('src')}, nv AS (SELECT DISTINCT {norm('text')} AS v FROM variants WHERE length({norm('text')}) >= 4), {SEQUENCES},
+bound AS (SELECT DISTINCT id, raw_start, substr(text, raw_start + 1, raw_end - raw_start) AS raw FROM spans JOIN src USING (id)),
 o AS (SELECT query_id, any_value(target) AS target, count(*) FILTER (contains(target, raw) OR contains(raw, target)) AS n, max(raw) FILTER (contains(target, raw) OR contains(raw, target)) AS only_, arg_min(raw, (raw_start, raw)) AS first_ FROM t LEFT JOIN bound ON id = query_id GROUP BY 1)
 SELECT query_id, CASE WHEN target IS NULL THEN first_ WHEN n = 1 THEN only_ ELSE target END AS target FROM o"""
 )
