@@ -22,12 +22,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, what: str) -> DataFrame:
     """df written to the shared folder and read back: its lineage ends there, and nobody computes it twice."""
-    path = f"{shared_dir(df.sparkSession)}/groundphrase/{what}-{uuid.uuid4().hex}"
-    _made.append((df.sparkSession, path))
+    path = new_path(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def new_path(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder, removed when the application ends."""
+    path = f"{shared_dir(spark)}/groundphrase/{what}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _made:
