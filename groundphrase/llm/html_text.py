@@ -1,13 +1,15 @@
 """Main text of web pages from flat text blocks.
 
 A page becomes a flat list of text blocks. Each is described by its word count and link density, those of its
-neighbours, and what its containers are called; a decision tree, trained here on a small labelled table, tells
-main text from the rest. Nothing else is dropped or cut.
+neighbours, whether it is a heading, and what its nearest telling container is. A decision tree, trained here on a
+small labelled table of pages, tells main text from the rest; words and link densities of the block and its
+neighbours split first, so that no name decides alone. Nothing else is dropped or cut.
 """
 
 from __future__ import annotations
 
 import html
+import random
 import re
 from bisect import bisect_left
 from dataclasses import dataclass
@@ -24,34 +26,40 @@ HINTS = re.compile(r"\b(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements without text of the page.
-UNSEEN = frozenset("script style noscript template title svg math iframe object canvas audio video select textarea button datalist form input head".split())
+UNSEEN = frozenset("script style template title svg iframe object canvas audio video select textarea button datalist form input head".split())
 #: Of these, those that hold text only, up to their own end.
-RAW = frozenset("script style textarea title iframe noscript template".split())
+RAW = frozenset("script style textarea title iframe template".split())
 RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
-#: Starts and ends of the others, and of what may hold such by chance; what a form may not hide.
+#: Starts and ends of the others, and of what may hold such by chance.
 REGION = re.compile(rf"<(/?)({'|'.join(sorted(UNSEEN - RAW - VOID))}|script|style)(?=[\s/>])", re.I)
-HEAD = re.compile(r"<(article|main|h1)\b", re.I)
+#: Text between tags. A form with fewer words holds its fields and their names; one with more is around the page's text.
+BETWEEN = re.compile(r">([^<]+)")
+FORM_WORDS = 40
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An element in the first set ends an open one in the second, up to the nearest other block.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 MAIN_TAGS, SIDE_TAGS = frozenset(("article", "main")), frozenset("nav aside footer menu dialog search".split())
 MAIN_NAMES = frozenset("article content main post entry story body text".split())
-SIDE_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising banner bar breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies copyright discussion disqus footer gdpr header legal login masthead menu modal nav navbar navigation newsletter notice notices pager"
-    " pagination popup popular promo promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags teaser toolbar topbar trending warning widget".split()
+#: Names of containers that aren't main text whatever they hold, and names that say so unless an article stands inside.
+NEVER_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus gdpr newsletter pager pagination popular promo promotion recommended related replies reply respond share sharing social sponsor sponsored subscribe".split()
 )
+SIDE_NAMES = frozenset("banner bar contentinfo copyright discussion footer header legal login masthead menu modal nav navbar navigation notice notices popup search sidebar signup skip tags teaser toolbar topbar trending warning widget".split())
+#: Parts of a name that say what a container has or lacks, not what it is.
+HAVING = frozenset("with without has have no not js is".split())
+#: What the nearest telling container says.
+MAIN, UNKNOWN, SIDE, NEVER = -1, 0, 1, 2
 
 
 @dataclass
 class Block:
-    """A block: its text, words, words in links, heading or not, and what its containers say (main, side)."""
+    """A block: its text, words, words in links, heading or not, and what its container says (MAIN to NEVER)."""
 
     text: str
     words: int
     linked: int
     heading: bool
-    main: bool
-    side: bool
+    container: int
 
 
 class _Scan:
@@ -62,6 +70,7 @@ class _Scan:
         self.none: dict[str, int] = {}  # a string isn't there from this place on
         self.quoted = True  # until a tag is found whose quotes don't end
         self._regions: dict | None = None
+        self._texts: list | None = None
 
     def find(self, what: str, at: int) -> int:
         """str.find; a second search for what is missing costs nothing."""
@@ -121,9 +130,17 @@ class _Scan:
                 elif stacks.get(name):
                     end = self.find(">", at)
                     self._regions[stacks[name].pop()] = self.n if end < 0 else end + 1
-            self._heads = [m.start() for m in HEAD.finditer(self.page)]
         return self._regions.get(start, -1)
 
+    def words_between(self, start: int, end: int) -> int:
+        """Words between tags in a part of the page, by running sums that are made once."""
+        if self._texts is None:
+            self._texts, self._words = [], [0]
+            for m in BETWEEN.finditer(self.page):
+                self._texts.append(m.start())
+                self._words.append(self._words[-1] + len(m[1].split()))
+        return self._words[bisect_left(self._texts, end)] - self._words[bisect_left(self._texts, start)]
+
     def raw_end(self, at: int, tag: str) -> int:
         """The end of raw text: after </tag>, -1 if it is missing."""
         key = "</" + tag
@@ -137,53 +154,70 @@ class _Scan:
 
     def skip(self, start: int, at: int, tag: str) -> int:
         """Where an element without text ends. One that is never closed ends at once, but raw text at the page's
-        end. A form around an article or a first heading is not skipped."""
+        end. A form around more text than fields need is not skipped."""
         if tag in RAW:
             end = self.raw_end(at, tag)
             return self.n if end < 0 else end
         end = self.region_end(start, tag)
-        if end < 0 or tag == "form" and bisect_left(self._heads, at) < bisect_left(self._heads, end):
+        if end < 0 or tag == "form" and self.words_between(at, end) >= FORM_WORDS:
             return at
         return end
 
 
-def _names(attrs: str) -> set[str]:
-    out: set[str] = set()
+def said(tag: str, attrs: str, around: int) -> int:
+    """What a container says of what is in it, inside one that says `around`. Of a name with several parts the last one
+    tells what it is, the first one what it belongs to; a name of what it has tells nothing."""
+    tokens: set[str] = set()
     for m in HINTS.finditer(attrs):
-        out.update(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", m[2] or m[3] or m[4] or "").lower()))
-    return out
+        tokens.update((m[2] or m[3] or m[4] or "").split())
+    never = side = main = False
+    for token in tokens:
+        parts = [x for x in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower()) if x]
+        if not parts or HAVING & set(parts):
+            continue
+        never = never or parts[0] in NEVER_NAMES or parts[-1] in NEVER_NAMES
+        sides = SIDE_NAMES - {"header"} if around == MAIN else SIDE_NAMES
+        if parts[-1] in sides or parts[0] in sides and not MAIN_NAMES & set(parts):
+            side = True
+        elif MAIN_NAMES & set(parts):
+            main = True
+    if around == NEVER or never and not (tag in MAIN_TAGS and main and not {"comment", "comments", "reply"} & {x for t in tokens for x in re.split("[^a-z]+", t.lower())}):
+        return NEVER
+    if tag in MAIN_TAGS:
+        return MAIN
+    if tag in SIDE_TAGS or tag == "header" and around != MAIN or side and not main:
+        return SIDE
+    return SIDE if around == SIDE else MAIN if main else around
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order. References are decoded, white space in a block is one space. Time is
     linear in the page, whatever is broken in it."""
     scan, out = _Scan(page), []
-    stack: list[tuple[str, bool, bool]] = []  # tag, main, side
+    stack: list[tuple[str, int]] = []  # tag, what it says
     opened: dict[str, list[int]] = {}  # places of each open tag in the stack
     walls: list[int] = []  # places of the open blocks
     parts: list[str] = []
-    linked = links = heading = mains = sides = 0
+    linked = links = heading = 0
 
     def end_block() -> None:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(text, len(text.split()), linked, heading > 0, mains > 0, sides > 0))
+            out.append(Block(text, len(text.split()), linked, heading > 0, stack[-1][1] if stack else UNKNOWN))
         parts.clear()
         linked = 0
 
     def pop(k: int) -> None:
         """Close all open elements from the k-th on."""
-        nonlocal links, heading, mains, sides
+        nonlocal links, heading
         while len(stack) > k:
-            tag, main, side = stack.pop()
+            tag, _ = stack.pop()
             opened[tag].pop()
             if tag in BLOCK:
                 walls.pop()
             links -= tag == "a"
             heading -= tag in HEADINGS
-            mains -= main
-            sides -= side
 
     at = 0
     while at < scan.n:
@@ -218,66 +252,85 @@ def blocks(page: str) -> list[Block]:
                     pop(walls[-1])
             if tag in VOID or attrs.rstrip().endswith("/") and tag not in BLOCK:
                 continue
-            names = _names(attrs) if attrs else set()
-            inner = tag not in ("body", "html")
-            main = tag in MAIN_TAGS or inner and bool(names & MAIN_NAMES)
-            side = tag in SIDE_TAGS or tag == "header" and not mains or inner and bool(names & SIDE_NAMES)
+            around = stack[-1][1] if stack else UNKNOWN
             opened.setdefault(tag, []).append(len(stack))
             if tag in BLOCK:
                 walls.append(len(stack))
-            stack.append((tag, main, side))
+            stack.append((tag, around if tag in ("body", "html") else said(tag, attrs, around)))
             links += tag == "a"
             heading += tag in HEADINGS
-            mains += main
-            sides += side
     end_block()
     return out
 
 
+#: What a row of described() holds; the first TEXT of them come from words and links alone.
+FEATURES = ("words", "links", "words before", "links before", "words after", "links after", "heading", "container")
+TEXT = 6
+
+
 def described(bs: list[Block]) -> np.ndarray:
-    """A row for each block: words and link density of it, the one before and the one after; heading, main, side."""
+    """A row for each block: words and link density of it, the one before and the one after; heading, container."""
     if not bs:
-        return np.zeros((0, 9))
+        return np.zeros((0, len(FEATURES)))
     w, d = np.array([[b.words, b.linked / b.words] for b in bs], float).T
     before, after = np.r_[0, w[:-1]], np.r_[w[1:], 0]
     d0, d1 = np.r_[1.0, d[:-1]], np.r_[d[1:], 1.0]
-    return np.c_[w, d, before, d0, after, d1, [[b.heading, b.main, b.side] for b in bs]]
-
-
-#: The labelled table: pages as rows (words, words in links, container, label); containers are combinations of
-#: h (heading), m (main) and s (side); label 1 is main text.
-LABELLED = (
-    ((6, 6, "s", 0), (1, 1, "s", 0), (1, 1, "s", 0), (9, 0, "s", 0), (8, 0, "hm", 1), (40, 0, "m", 1), (1, 0, "m", 1), (90, 3, "m", 1), (3, 0, "hm", 1), (25, 0, "m", 1), (12, 0, "s", 0)),
-    ((1, 1, "s", 0), (1, 1, "s", 0), (14, 0, "s", 0), (4, 0, "hm", 1), (2, 0, "m", 1), (5, 0, "m", 1), (160, 10, "m", 1), (11, 0, "ms", 0), (70, 0, "ms", 0), (9, 1, "s", 0)),
-    ((2, 2, "", 0), (2, 2, "", 0), (3, 3, "", 0), (7, 0, "h", 1), (55, 0, "", 1), (80, 4, "", 1), (35, 0, "", 1), (2, 2, "", 0), (4, 4, "", 0), (6, 1, "", 0)),
-    ((5, 5, "", 0), (3, 3, "", 0), (30, 28, "", 0), (9, 0, "h", 1), (120, 6, "", 1), (18, 0, "", 1), (44, 0, "", 1), (20, 0, "s", 0), (60, 2, "s", 0), (8, 4, "", 0)),
-    ((3, 0, "s", 0), (1, 1, "s", 0), (10, 0, "hm", 1), (1, 0, "m", 1), (1, 1, "m", 1), (30, 12, "m", 1), (6, 0, "m", 1), (15, 15, "ms", 0), (40, 0, "ms", 0), (3, 0, "hms", 0), (200, 9, "ms", 0), (5, 0, "s", 0)),
-    ((400, 5, "m", 1), (1, 0, "m", 1), (350, 0, "s", 0), (30, 0, "s", 0)),
-    ((1, 0, "m", 1),), ((1, 0, "hm", 1), (3, 0, "m", 1)), ((12, 0, "s", 0),), ((60, 0, "", 1),), ((3, 3, "", 0),),
-    ((4, 4, "", 0), (5, 0, "h", 1), (28, 0, "", 1), (5, 0, "", 1), (33, 0, "", 1), (3, 3, "", 0), (10, 2, "", 0)),
-    ((3, 3, "", 0), (4, 0, "", 0), (3, 3, "", 0), (6, 0, "h", 1), (40, 0, "", 1), (4, 0, "", 1), (50, 0, "", 1), (7, 0, "", 0), (3, 3, "", 0), (5, 0, "", 0)),
-    ((2, 2, "", 0), (5, 0, "", 0), (4, 4, "", 0), (9, 0, "h", 1), (30, 0, "", 1), (8, 0, "", 1), (70, 2, "", 1), (4, 0, "", 0), (6, 6, "", 0), (9, 0, "", 0)),
-    ((25, 20, "s", 0), (120, 100, "s", 0), (2, 2, "m", 1), (80, 40, "m", 1), (2, 0, "m", 1), (10, 0, "s", 0), (2, 0, "hs", 0), (20, 0, "s", 0)),
+    return np.c_[w, d, before, d0, after, d1, [[b.heading, b.container] for b in bs]]
+
+
+#: The labelled table: layouts of pages. {m40} stands for some 40 words of main text and {s9} for nine others, {L2} and
+#: {K2} for links of such. Names are left out or mislead in some, as they do on the web.
+LAYOUTS = (
+    "<header><b>{s2}</b>{L1}</header><nav><ul><li>{L1}<li>{L1}<li>{L2}</ul></nav><article><h1>{m8}</h1><p>{m40}</p><p>{m3}</p><p>{m90} {K2}</p><h2>{m3}</h2><p>{m25}</p></article><footer><p>{s12}</p></footer>",
+    "<nav><ul><li>{L1}</li><li>{L1}</li><li>{L2}</li></ul></nav><div class=ad>{s9}</div><article><h1>{m9}</h1><p>{m60}</p><p>{m2}</p><p>{m7}</p><p>{m120}</p></article><footer>{s9}<br>{s3}</footer>",
+    "<nav><ul><li>{L1}</li><li>{L2}</li></ul></nav><div class=ad>{s8}</div><article><h1>{m1}</h1><p>{m1}</p><p>{m4}</p></article><footer>{s8}</footer>",
+    "<div>{L1} {L2} {L1}</div><div><h1>{m7}</h1><p>{m55}</p><p>{m80} {K3}</p><p>{m35}</p><p>{m9}</p><p>{m44}</p></div><div>{L4}</div><div>{L3}</div><div>{s6} {L2}</div>",
+    "<table><tr><td>{L2}<br>{L2}<br>{L1}</td><td><h1>{m6}</h1><p>{m70}</p><p>{m30}</p><p>{m20} {K4}</p></td></tr></table><p>{L2} {L2}</p>",
+    "<div class=page-with-sidebar><div class=content><h1>{m8}</h1><p>{m23}</p><p>{m23}</p><p>{m23} {K2}</p></div><div class=sidebar><h3>{s2}</h3><p>{s30}</p><ul><li>{L4}<li>{L5}</ul></div></div><div>{s5} {L2}</div>",
+    "<div id=top>{L1} {L1} {L1}</div><main><h1>{m8}</h1><p>{m100}</p><p>{m40}</p><div class=comments><h3>{s2}</h3><p>{s40}</p><p>{s60}</p><p>{s8}</p></div></main><footer><p>{s9}</p><p>{L2} {L3}</p></footer>",
+    "<div class=menu><a href=x>{s1}</a></div><section class=post><h1>{m6}</h1><p>{m15} {K15}</p><ul><li>{m6}<li>{m9}<li>{m7} {K2}</ul><blockquote>{m30}</blockquote><table><tr><td>{m2}<td>{m2}</table></section><section class=related><h4>{s2}</h4><p>{L6}</p><p>{s20}</p></section><div class=footer>{s10}</div>",
+    "<div><h2>{L3}</h2></div><div><h1>{m7}</h1><p>{m50}</p><p>{m65}</p></div><div><h4>{L6}</h4><p>{s10} {L2}</p></div><div><h4>{L5}</h4><p>{s12} {L2}</p></div><p>{L3}</p>",
+    "<div class=header><p>{L2} {L2} {L1}</p></div><div class=sidebar><article><h1>{m6}</h1><p>{m44}</p><p>{m31}</p><p>{m12}</p></article></div><div class=cookie-notice><p>{s25}</p>{L2}</div>",
+    "<div class=topbar><p>{s4} {L2}</p></div><div class=entry><p>{m200}</p><p>{m1}</p><p>{m80} {K40}</p><p>{m2}</p></div><div class=widget><h3>{s2}</h3><p>{s22}</p></div><p>{L2} {L4}</p>",
+    "<div>{L2}</div><div>{L2}</div><div><p>{m90}</p><p>{m60}</p></div><div class=comment><p>{s50}</p></div><div class=comment><p>{s9}</p></div><div>{L5}</div>",
+    "<p>{m60}</p>", "<ul><li>{L3}<li>{L2}<li>{L4}</ul>", "<article><p>{m2}</p></article>", "<footer>{s12}</footer>", "<div>{L1} {L1}</div><h1>{m5}</h1><p>{m28}</p><p>{m5}</p><p>{m33}</p><div>{s3} {L3} {L3}</div>",
 )
+SLOT = re.compile(r"\{([msLK])([0-9]+)\}")
+
+
+def filled(layout: str, rng: random.Random) -> str:
+    """A page of a layout: main text in words of the letter m, the rest in words of s, numbers varied."""
+
+    def words(m: re.Match) -> str:
+        n, letter = int(m[2]), "m" if m[1] in "mK" else "s"
+        n = n if n <= 3 and rng.random() < 0.6 else max(1, round(n * rng.uniform(0.4, 1.8)))
+        text = " ".join(letter * rng.randint(1, 9) for _ in range(n))
+        return f'<a href="/x">{text}</a>' if m[1] in "LK" else text
+
+    return SLOT.sub(words, layout)
 
 
-def labelled_rows() -> tuple[np.ndarray, np.ndarray]:
-    x, y = [], []
-    for page in LABELLED:
-        x.append(described([Block("", w, k, "h" in c, "m" in c, "s" in c) for w, k, c, _ in page]))
-        y += [label for *_, label in page]
+def labelled_rows(layouts: tuple[str, ...] = LAYOUTS, pages: int = 25, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of described() and labels of so many pages of each layout."""
+    rng, x, y = random.Random(seed), [], []
+    for layout in layouts:
+        for _ in range(pages):
+            bs = blocks(filled(layout, rng))
+            x.append(described(bs))
+            y += [int(b.text[0] == "m") for b in bs]
     return np.concatenate(x), np.array(y)
 
 
 class Tree:
-    """A binary decision tree by Gini impurity; ties go to the first feature, then the least threshold."""
+    """A binary decision tree by Gini impurity; ties go to the first feature, then the least threshold. The first
+    `plain` levels split by words and links only."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 1):
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 9, least: int = 4, plain: int = 2):
         self.label, self.at = int(2 * y.sum() >= len(y)), None
         if depth == 0 or len(y) < 2 * least or y.min() == y.max():
             return
         best = None
-        for f in range(9):  # words, links and neighbours come first where gains are equal
+        for f in range(TEXT if plain > 0 else x.shape[1]):
             order = np.argsort(x[:, f], kind="stable")
             v, c = x[order, f], np.cumsum(y[order])
             n = np.arange(1, len(y))
@@ -292,7 +345,7 @@ class Tree:
             return
         _, self.at, self.cut = best
         low = x[:, self.at] <= self.cut
-        self.low, self.high = Tree(x[low], y[low], depth - 1, least), Tree(x[~low], y[~low], depth - 1, least)
+        self.low, self.high = Tree(x[low], y[low], depth - 1, least, plain - 1), Tree(x[~low], y[~low], depth - 1, least, plain - 1)
 
     def predict(self, row) -> int:
         t = self
@@ -327,6 +380,7 @@ def extract(df: DataFrame, page: str = "html", text: str = "text", n_chars: str
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page of `pages`; see extract() for nulls, repeats and clashing names, blocks() for broken pages."""
     return extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
 
 
