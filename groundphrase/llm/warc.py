@@ -4,7 +4,8 @@ Writing is a DataFrame job: the record separator of the format is the line separ
 archives go to any file system that Spark writes. Long HTTP blocks are cut into a first record and continuation
 records; bodies have chunked transfer framing. Of equal payloads, one is a response and the others revisit it.
 
-Reading parses each archive in one Arrow pass. Whole records are decoded at once; only segments are shuffled:
+Reading unpacks each archive as a stream in one Arrow pass: what is in memory is the packed file, as it was read,
+and a record at a time. Whole records are decoded at once; only segments are shuffled:
 they are grouped by their origin, ordered by number, checked for gaps and against the total length, joined, and
 then decoded.
 """
@@ -14,6 +15,7 @@ from __future__ import annotations
 import gzip
 import re
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,8 +25,9 @@ from groundphrase.llm.common import join_counted, new_path, small_batches, store
 
 #: Bytes in a segment and in a chunk, about: cuts are between characters.
 SEGMENT, CHUNK = 1 << 16, 1 << 14
-#: Records in one archive file at most.
-RECORDS_PER_FILE = 4000
+#: Records in one archive file at most. A record has a segment at most, so an archive has some 64 MB before compression
+#: however long pages are.
+RECORDS_PER_FILE = 1000
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -126,20 +129,19 @@ def payload_of(block: bytes) -> bytes:
     return dechunk(body) if re.search(rb"(?im)^transfer-encoding:[^\r\n]*\bchunked\b", head) else body
 
 
-def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (lower-case names) and block of each record of an archive."""
-    at = 0
-    while at < len(raw):
-        end = raw.find(b"\r\n\r\n", at)
-        if end < 0 or not raw.startswith(b"WARC/", at):
-            raise ValueError(f"no record at byte {at}")
-        head = dict(x.split(": ", 1) for x in raw[at:end].decode().split("\r\n")[1:])
-        head = {k.lower(): v for k, v in head.items()}
-        n = int(head["content-length"])
-        at = end + 4 + n + 4
-        if raw[at - 4 : at] != b"\r\n\r\n":
-            raise ValueError(f"record before byte {at} is cut short")
-        yield head, raw[end + 4 : at - 4]
+def parse(f: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (lower-case names) and block of each record of an archive, one record at a time."""
+    while line := f.readline():
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no record before byte {f.tell()}")
+        head = {}
+        while (line := f.readline()) not in (b"\r\n", b""):
+            name, _, value = line.decode().rstrip("\r\n").partition(": ")
+            head[name.lower()] = value
+        block = f.read(int(head["content-length"]))
+        if f.read(4) != b"\r\n\r\n":
+            raise ValueError(f"record before byte {f.tell()} is cut short")
+        yield head, block
 
 
 def _page(name: str | None) -> int | None:
@@ -154,7 +156,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for content in b.column(0):
             rows, size = [], 0
-            for head, block in parse(gzip.decompress(content.as_py())):
+            for head, block in parse(gzip.open(pa.BufferReader(content.as_buffer()))):
                 kind, number, name = head["warc-type"], head.get("warc-segment-number"), head["warc-record-id"]
                 if kind not in ("response", "revisit", "continuation"):
                     continue
@@ -224,6 +226,7 @@ def digests(read: DataFrame) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, through archives and back; write_warc() and read_warc() say what becomes of nulls, ties and repeats."""
     path = new_path(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), path)
     return digests(read_warc(spark, path))

@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import io
 from collections import defaultdict
 
 import pytest
@@ -35,7 +36,7 @@ def test_round_trip(spark):
 
 def test_archives_are_well_formed(spark):
     rows = [r.value for r in warc.records(spark.createDataFrame(ROWS, SCHEMA)).collect()]
-    records = [x for v in rows for x in warc.parse(v.encode() + b"\r\n\r\n")]
+    records = [x for v in rows for x in warc.parse(io.BytesIO(v.encode() + b"\r\n\r\n"))]
     assert len(records) == len(rows) > len(ROWS)  # long ones have continuations
     segments = [h for h, _ in records if "warc-segment-number" in h]
     assert any("warc-segment-total-length" in h for h in segments) and all(("warc-segment-origin-id" in h) == (h["warc-type"] == "continuation") for h in segments)
@@ -57,6 +58,20 @@ def test_damage_is_found(spark, tmp_path):
     assert warc.payload_of(b"HTTP/1.1 200 OK\r\n\r\nplain") == b"plain"
 
 
+def test_archives_roll_by_segments(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "RECORDS_PER_FILE", 40)
+    rows = [(i, "u", f"{i} " + "long page " * 20_000, None, 0) for i in range(30)]
+    path = str(tmp_path / "w")
+    warc.write_warc(spark.createDataFrame(rows, SCHEMA).coalesce(1), path)
+    sizes = [len(gzip.open(f).read()) for f in (tmp_path / "w").glob("*.gz")]
+    assert len(sizes) == 3 and max(sizes) <= 40 * (warc.SEGMENT + 1000)  # 4 records a page, whatever it is long
+    with open(next((tmp_path / "w").glob("*.gz")), "rb") as f:
+        stream = warc.parse(gzip.open(f))
+        next(stream)
+        assert f.tell() < 70_000  # no more has been read than the first record needs
+    assert warc.read_warc(spark, path).count() == 30
+
+
 def test_empty(spark):
     path = new_path(spark, "warc")
     warc.write_warc(spark.createDataFrame([], SCHEMA), path)
