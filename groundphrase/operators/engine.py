@@ -65,22 +65,22 @@ def factory(spec: str) -> Callable:
     return got
 
 
-def surface_ranking(requests: DataFrame, variants: DataFrame) -> DataFrame:
+def surface_ranking(requests: DataFrame, variants: DataFrame, indexes: lexical.Indexes | None = None) -> DataFrame:
     """(query_id, doc_id, family_id, tfidf, coverage, bm25, fuzzy, score, rank), one row for each family: exact matches,
     else partial ones, else fused evidence with fuzzy reranking. Only open requests reach the costly steps."""
     sure = lexical.surface(requests, variants)
     sure = store.stored(sure, "exact")
     rest = requests.join(sure.select("query_id").distinct(), "query_id", "left_anti")
-    near = local.fuzzy_rerank(index.ranked(lexical.fused(rest, variants)), rest, variants)
+    near = local.fuzzy_rerank(index.ranked(lexical.fused(rest, variants, indexes=indexes)), rest, variants)
     zero = [F.lit(0.0).alias(c) for c in ("tfidf", "coverage", "bm25", "fuzzy")]
     both = near.select("query_id", "doc_id", "tfidf", "coverage", "bm25", "fuzzy", "score").unionByName(sure.select("query_id", "doc_id", *zero, "score"))
     return lexical.best_of_family(index.ranked(both), variants)
 
 
-def surface_evidence(pairs: DataFrame, requests: DataFrame, variants: DataFrame) -> DataFrame:
+def surface_evidence(pairs: DataFrame, requests: DataFrame, variants: DataFrame, indexes: lexical.Indexes | None = None) -> DataFrame:
     """Add tfidf, coverage, bm25 and fuzzy to pairs (query_id, doc_id), without pruning: 0 where there is none."""
     wanted = pairs.select("query_id", "doc_id").distinct()
-    e = lexical.evidence(requests.join(wanted.select("query_id").distinct(), "query_id", "left_semi"), variants, None, wanted)
+    e = lexical.evidence(requests.join(wanted.select("query_id").distinct(), "query_id", "left_semi"), variants, None, wanted, indexes)
     texts = requests.select("query_id", tx.retrieval(F.col("text")).alias("_q"))
     docs = variants.select("doc_id", tx.retrieval(F.col("text")).alias("_d"))
     out = pairs.join(e, ["query_id", "doc_id"], "left").join(texts, "query_id").join(docs, "doc_id").withColumn("fuzzy", fz.fuzzy_evidence("_q", "_d")).drop("_q", "_d")
@@ -108,12 +108,12 @@ def _local(requests: DataFrame, variants: DataFrame, ranked: DataFrame, p: Polic
     return two.select("query_id", strong.alias("strong_spans"), ok.alias("local_ok"), F.col("x.doc_id").alias("local_doc"), F.col("x.score").alias("local_score"))
 
 
-def decide_surface(requests: DataFrame, variants: DataFrame, ranked: DataFrame, policy: Policy | None = None, use_local: bool = True) -> DataFrame:
+def decide_surface(requests: DataFrame, variants: DataFrame, ranked: DataFrame, policy: Policy | None = None, use_local: bool = True, indexes: lexical.Indexes | None = None) -> DataFrame:
     """(query_id, reason, decision, doc_id, score, margin) of each request over a ranking with evidence."""
     p = policy or Policy()
     ranked = store.stored(ranked, "ranking")
     top = lexical.top_two(ranked).join(variants.select("doc_id", F.col("text").alias("found")), "doc_id")
-    top = surface_evidence(top, requests, variants)
+    top = surface_evidence(top, requests, variants, indexes)
     fams = lexical.contained(requests, variants).groupBy("query_id").agg(F.count_distinct("family_id").alias("families"))
     d = requests.select("query_id", "text").join(top, "query_id", "left").join(fams, "query_id", "left").withColumn("r", tx.retrieval(F.col("text")))
     toks = tx.tokens(F.col("r"))
@@ -184,12 +184,15 @@ class Engine:
     def __init__(self, variants: DataFrame, glosses: DataFrame, policy: Policy | None = None, surface: Retriever = surface_ranking, meaning: Retriever = meaning_ranking):
         self.variants, self.glosses, self.policy = variants, glosses, policy or Policy()
         self.retrievers = {"surface": surface, "meaning": meaning}
+        self.indexes = lexical.Indexes(variants)
 
     def attest(self, requests: DataFrame) -> DataFrame:
         return attest(requests, self.variants)
 
     def surface(self, requests: DataFrame, use_local: bool = True) -> DataFrame:
-        return decide_surface(requests, self.variants, self.retrievers["surface"](requests, self.variants), self.policy, use_local)
+        own = self.retrievers["surface"]
+        ranked = own(requests, self.variants, self.indexes) if own is surface_ranking else own(requests, self.variants)
+        return decide_surface(requests, self.variants, ranked, self.policy, use_local, self.indexes)
 
     def meaning(self, requests: DataFrame) -> DataFrame:
         return decide_meaning(requests, self.glosses, self.retrievers["meaning"](requests, self.glosses))

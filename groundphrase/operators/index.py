@@ -53,15 +53,47 @@ def bigram_index(docs: DataFrame) -> DataFrame:
     return sets.join(df.select("gram", F.log(1 + F.col("n_docs") / (1 + F.col("df"))).alias("idf")), "gram")
 
 
-def coverage(queries: DataFrame, index: DataFrame, n_docs: int, pairs: DataFrame | None = None) -> DataFrame:
-    """(query_id, doc_id, coverage): share of the query's bigram weight that a document holds; unknown bigrams
-    weigh ln(1 + N). Only queries of LEAST_COMPACT letters and pairs that share a bigram have a row."""
+def _weighed_sets(queries: DataFrame, index: DataFrame, n_docs: int) -> DataFrame:
+    """(query_id, items, total): a query's bigrams with their weights, heaviest first, and their sum."""
     q = queries.select("query_id", tx.compact(tx.retrieval(F.col("text"))).alias("c")).where(F.length("c") >= LEAST_COMPACT)
     q = q.select("query_id", F.explode(tx.bigram_set(F.col("c"))).alias("gram"))
     weighed = q.join(index.select("gram", "idf").distinct(), "gram", "left").withColumn("idf", F.coalesce("idf", F.log(F.lit(1.0 + n_docs))))
-    total = weighed.groupBy("query_id").agg(F.sum("idf").alias("total"))
-    got = _met(q, index, "gram", pairs).groupBy("query_id", "doc_id").agg(F.sum("idf").alias("got"))
-    return got.join(total, "query_id").select("query_id", "doc_id", (F.col("got") / F.col("total")).alias("coverage"))
+    items = F.array_sort(F.collect_list(F.struct((-F.col("idf")).alias("minus"), "gram")))
+    return weighed.groupBy("query_id").agg(items.alias("items"), F.sum("idf").alias("total"))
+
+
+def _sets(index: DataFrame) -> DataFrame:
+    return index.groupBy("doc_id").agg(F.collect_list("gram").alias("grams"))
+
+
+def _covered(pairs: DataFrame, q: DataFrame, docs: DataFrame) -> DataFrame:
+    """(query_id, doc_id, coverage) of pairs that share a bigram, from either side's whole set."""
+    both = pairs.join(q, "query_id").join(docs, "doc_id")
+    shared = F.filter("items", lambda x: F.array_contains("grams", x.gram))
+    got = F.aggregate(shared, F.lit(0.0), lambda a, x: a - x.minus)
+    return both.select("query_id", "doc_id", F.size(shared).alias("n"), (got / F.col("total")).alias("coverage")).where("n > 0").drop("n")
+
+
+def coverage(queries: DataFrame, index: DataFrame, n_docs: int, pairs: DataFrame | None = None, least: float = 0.0) -> DataFrame:
+    """(query_id, doc_id, coverage): share of the query's bigram weight that a document holds; unknown bigrams
+    weigh ln(1 + N). Only queries of LEAST_COMPACT letters and pairs that share a bigram have a row.
+
+    pairs (query_id, doc_id): the only ones wanted; each is looked at once, with both sets whole. Without them
+    candidates meet on bigrams. least: what a row must reach; a document that does has one of the query's heaviest
+    bigrams, of which as many are looked up as leave less than that to the rest, so the most frequent ones, which
+    weigh least, bring no candidates.
+    """
+    q = _weighed_sets(queries, index, n_docs)
+    if pairs is not None:
+        return _covered(pairs.select("query_id", "doc_id").distinct(), q, _sets(index)).where(F.col("coverage") >= least)
+    if least <= 0:
+        each = q.select("query_id", "total", F.explode("items").alias("x")).select("query_id", "total", F.col("x.gram").alias("gram"))
+        return each.join(index, "gram").groupBy("query_id", "doc_id").agg((F.sum("idf") / F.first("total")).alias("coverage"))
+    # The weight from the i-th on decides whether the i-th is looked up; a little slack for sums in another order.
+    rest = F.transform(F.sequence(F.lit(1), F.size("items")), lambda i: F.aggregate(F.slice("items", i, F.size("items")), F.lit(0.0), lambda a, x: a - x.minus))
+    heavy = q.select("query_id", F.explode(F.filter(F.arrays_zip(F.col("items.gram").alias("gram"), rest.alias("rest")), lambda x: x.rest >= F.col("total") * (least - 1e-9))).alias("x"))
+    candidates = heavy.select("query_id", F.col("x.gram").alias("gram")).join(index.select("gram", "doc_id"), "gram").select("query_id", "doc_id").distinct()
+    return _covered(candidates, q, _sets(index)).where(F.col("coverage") >= least)
 
 
 def token_index(docs: DataFrame) -> DataFrame:

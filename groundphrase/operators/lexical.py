@@ -124,25 +124,45 @@ def consensus(score: Column, t: Column, c: Column, b: Column, f: Column, n_compa
     return F.when(n_compact >= ix.LEAST_COMPACT, F.greatest(score, *rules)).otherwise(score)
 
 
-def evidence(queries: DataFrame, docs: DataFrame, pool: int | None = POOL, pairs: DataFrame | None = None) -> DataFrame:
+class Indexes:
+    """A corpus's indexes, each made and written once, for all steps that look something up in it."""
+
+    def __init__(self, docs: DataFrame):
+        self.docs, self._made = docs, {}
+
+    def _once(self, name: str, make) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = store.stored(make(self.docs), "index")
+        return self._made[name]
+
+    trigrams = property(lambda self: self._once("trigrams", ix.trigram_index))
+    bigrams = property(lambda self: self._once("bigrams", ix.bigram_index))
+    tokens = property(lambda self: self._once("tokens", ix.token_index))
+
+    @property
+    def n(self) -> int:
+        if "n" not in self._made:
+            self._made["n"] = self.docs.count()
+        return self._made["n"]
+
+
+def evidence(queries: DataFrame, docs: DataFrame, pool: int | None = POOL, pairs: DataFrame | None = None, indexes: Indexes | None = None) -> DataFrame:
     """(query_id, doc_id, tfidf, coverage, bm25): candidates are the best of TF-IDF and of BM25; coverage counts
-    only for documents that TF-IDF found. pairs (query_id, doc_id): the only ones that are wanted. Each index is
-    built once."""
-    n = docs.count()
-    tri, tok, bi = (store.stored(f(docs), "index") for f in (ix.trigram_index, ix.token_index, ix.bigram_index))
-    t = ix.tfidf(queries, tri, pairs).withColumnRenamed("score", "tfidf")
-    b = ix.bm25(queries, tok, pairs).select("query_id", "doc_id", F.col("evidence").alias("bm25")).where("bm25 > 0")
+    only for documents that TF-IDF found, so it is looked at for these alone. pairs (query_id, doc_id): the only ones that are wanted."""
+    ix_ = indexes or Indexes(docs)
+    t = ix.tfidf(queries, ix_.trigrams, pairs).withColumnRenamed("score", "tfidf")
+    b = ix.bm25(queries, ix_.tokens, pairs).select("query_id", "doc_id", F.col("evidence").alias("bm25")).where("bm25 > 0")
     if pool is not None:
-        t, b = ix.ranked(t, "tfidf", pool).drop("rank"), ix.ranked(b, "bm25", pool).drop("rank")
-    c = ix.coverage(queries, bi, n, pairs)
+        t, b = store.stored(ix.ranked(t, "tfidf", pool).drop("rank"), "pool"), ix.ranked(b, "bm25", pool).drop("rank")
+    c = ix.coverage(queries, ix_.bigrams, ix_.n, t if pairs is None else pairs)
     both = t.join(b, ["query_id", "doc_id"], "full_outer").join(c, ["query_id", "doc_id"], "left")
     zero = lambda x: F.coalesce(x, F.lit(0.0)).alias(x)
     return both.select("query_id", "doc_id", zero("tfidf"), F.when(F.col("tfidf").isNull(), 0.0).otherwise(F.coalesce("coverage", F.lit(0.0))).alias("coverage"), zero("bm25"))
 
 
-def fused(queries: DataFrame, docs: DataFrame, pool: int = POOL) -> DataFrame:
+def fused(queries: DataFrame, docs: DataFrame, pool: int = POOL, indexes: Indexes | None = None) -> DataFrame:
     """Evidence with its noisy-or, lifted by consensus (without fuzzy evidence; see fuzzy.rerank)."""
-    e = evidence(queries, docs, pool)
+    e = evidence(queries, docs, pool, indexes=indexes)
     q = queries.select("query_id", tx.retrieval(F.col("text")).alias("r")).select("query_id", F.length(tx.compact(F.col("r"))).alias("n_compact"), F.size(tx.tokens(F.col("r"))).alias("n_tokens"))
     e = e.join(q, "query_id")
     score = noisy_or(tfidf=F.col("tfidf"), coverage=F.col("coverage"), bm25=F.col("bm25"))

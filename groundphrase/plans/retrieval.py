@@ -127,7 +127,7 @@ def tfidf_topk(spark, sf):
 @query(f"WITH {VIEWS}, {TRI}, {COV} SELECT query_id, doc_id, round(coverage, 6) AS coverage FROM cov WHERE coverage >= 0.2")
 def coverage_scores(spark, sf):
     v = b.variants(spark, sf)
-    return index.coverage(b.requests(spark, sf), index.bigram_index(v), v.count()).where("coverage >= 0.2").withColumn("coverage", F.round("coverage", 6))
+    return index.coverage(b.requests(spark, sf), lexical.Indexes(v).bigrams, v.count(), least=0.2).withColumn("coverage", F.round("coverage", 6))
 
 
 @query(f"WITH {VIEWS}, {BM} SELECT query_id, doc_id, round(raw, 6) AS raw, round(bm25, 6) AS evidence, rank FROM brank WHERE rank <= 5")
