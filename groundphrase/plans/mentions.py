@@ -42,7 +42,8 @@ SELECT src.id, {norm('text')} AS normalized, coalesce(n, 0)::BIGINT AS n_tokens,
 def _intake(df, key):
     t = offsets.intake(df.select(F.col(key).alias("id"), "text"))
     spelled = F.transform("tokens", lambda x: F.concat_ws(":", x.raw_start.cast("string"), x.raw_end.cast("string"), x.start.cast("string"), x["end"].cast("string"), x.normalized))
-    agree = F.forall("tokens", lambda x: (F.substring("text", x.raw_start + 1, x.raw_end - x.raw_start) == x.text) & (F.substring("normalized", x.start + 1, x["end"] - x.start) == x.normalized))
+    whole = F.array_join(F.transform("tokens", lambda x: x.normalized), " ") == F.col("normalized")
+    agree = whole & (tx.retrieval(F.array_join(F.transform("tokens", lambda x: x.text), " ")) == F.col("normalized"))
     return t.select("id", "normalized", F.size("tokens").cast("long").alias("n_tokens"), agree.alias("slices_agree"), F.sha2(F.array_join(spelled, ","), 256).alias("spans"))
 
 
