@@ -82,9 +82,9 @@ def quoted_spans(c: Column) -> Column:
 
 
 def single_quoted(c: Column, cue: str, least: int) -> Column:
-    """The only quoted span, if a cue stands in the text and the span has enough letters; else null."""
-    spans = quoted_spans(c)
-    return F.when(c.rlike(cue) & (F.size(spans) == 1) & (F.length(compact(retrieval(F.get(spans, F.lit(0))))) >= least), F.get(spans, F.lit(0)))
+    """The only quoted span with enough letters, if a cue stands in the text; else null. Shorter spans don't count."""
+    spans = F.filter(F.transform(quoted_spans(c), F.trim), lambda x: F.length(compact(retrieval(x))) >= least)
+    return F.when(c.rlike(cue) & (F.size(spans) == 1), F.get(spans, F.lit(0)))
 
 
 def html_escape(c: Column) -> Column:

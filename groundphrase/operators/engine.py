@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from groundphrase.functions import cues
 from groundphrase.functions import fuzzy as fz
 from groundphrase.functions import text as tx
-from groundphrase.operators import decide, index, lexical, local, plan, semantic, store
+from groundphrase.operators import decide, index, lexical, local, plan, semantic, store, verify
 from groundphrase.operators.attest import attest
 
 
@@ -43,7 +43,7 @@ class Retriever(Protocol):
 
 
 class Verifier(Protocol):
-    """pairs (query_id, text, family_id, gloss) in, with a verdict SUPPORTED, NOT_SUPPORTED, UNCERTAIN or null (an error) out."""
+    """pairs (query_id, family_id, text, gloss) in, (query_id, family_id, content) with a JSON answer each out."""
 
     def __call__(self, pairs: DataFrame) -> DataFrame: ...
 
@@ -65,6 +65,16 @@ def factory(spec: str) -> Callable:
     return got
 
 
+#: Letters that a quoted phrase has at least to be taken for what is asked (a fixed value).
+LEAST_QUOTED = 6
+
+
+def unwrapped(requests: DataFrame) -> DataFrame:
+    """Requests with the only phrase that is quoted in a wrapper in place of the whole text."""
+    text = F.coalesce(tx.single_quoted(F.col("text"), f"(?U){cues.WRAPPER}", LEAST_QUOTED), F.col("text"))
+    return requests.withColumn("text", text)
+
+
 def surface_ranking(requests: DataFrame, variants: DataFrame, indexes: lexical.Indexes | None = None) -> DataFrame:
     """(query_id, doc_id, family_id, tfidf, coverage, bm25, fuzzy, score, rank), one row for each family: exact matches,
     else partial ones, else fused evidence with fuzzy reranking. Only open requests reach the costly steps."""
@@ -108,14 +118,16 @@ def _local(requests: DataFrame, variants: DataFrame, ranked: DataFrame, p: Polic
     return two.select("query_id", strong.alias("strong_spans"), ok.alias("local_ok"), F.col("x.doc_id").alias("local_doc"), F.col("x.score").alias("local_score"))
 
 
-def decide_surface(requests: DataFrame, variants: DataFrame, ranked: DataFrame, policy: Policy | None = None, use_local: bool = True, indexes: lexical.Indexes | None = None) -> DataFrame:
-    """(query_id, reason, decision, doc_id, score, margin) of each request over a ranking with evidence."""
+def decide_surface(requests: DataFrame, variants: DataFrame, ranked: DataFrame, policy: Policy | None = None, use_local: bool = True, indexes: lexical.Indexes | None = None, asked: DataFrame | None = None) -> DataFrame:
+    """(query_id, reason, decision, doc_id, score, margin) of each request over a ranking with evidence. asked: the same
+    requests with what was ranked in place of the whole text, where that differs."""
     p = policy or Policy()
     ranked = store.stored(ranked, "ranking")
     top = lexical.top_two(ranked).join(variants.select("doc_id", F.col("text").alias("found")), "doc_id")
-    top = surface_evidence(top, requests, variants, indexes)
+    top = surface_evidence(top, requests if asked is None else asked, variants, indexes)
     fams = lexical.contained(requests, variants).groupBy("query_id").agg(F.count_distinct("family_id").alias("families"))
-    d = requests.select("query_id", "text").join(top, "query_id", "left").join(fams, "query_id", "left").withColumn("r", tx.retrieval(F.col("text")))
+    d = requests.select("query_id", "text").join(top, "query_id", "left").join(fams, "query_id", "left")
+    d = d.withColumn("r", tx.retrieval(F.col("text"))) if asked is None else d.join(asked.select("query_id", tx.retrieval(F.col("text")).alias("r")), "query_id")
     toks = tx.tokens(F.col("r"))
     open_words = F.array_except(F.array_except(toks, tx.tokens(tx.retrieval(F.col("found")))), F.array(*map(F.lit, p.fillers)))
     agree = decide.surface_agreement(F.col("top"), F.col("margin"), F.length(tx.compact(F.col("r"))), F.size(toks), F.col("tfidf"), F.col("coverage"), F.col("bm25"), F.col("fuzzy"), F.size(open_words) == 0)
@@ -190,9 +202,17 @@ class Engine:
         return attest(requests, self.variants)
 
     def surface(self, requests: DataFrame, use_local: bool = True) -> DataFrame:
-        own = self.retrievers["surface"]
-        ranked = own(requests, self.variants, self.indexes) if own is surface_ranking else own(requests, self.variants)
-        return decide_surface(requests, self.variants, ranked, self.policy, use_local, self.indexes)
+        """What stands quoted in a wrapper is looked for alone; else the whole request is."""
+        own, asked = self.retrievers["surface"], unwrapped(requests)
+        ranked = own(asked, self.variants, self.indexes) if own is surface_ranking else own(asked, self.variants)
+        return decide_surface(requests, self.variants, ranked, self.policy, use_local, self.indexes, asked)
+
+    def alternatives(self, requests: DataFrame) -> DataFrame:
+        """(query_id, n_families, alternatives) of requests in which several phrases stand."""
+        return verify.alternatives(lexical.contained(requests, self.variants), k=self.policy.alternatives)
+
+    def verify(self, pairs: DataFrame, verifier: Verifier, verifier_id: str = "semantic-verifier") -> DataFrame:
+        return verify.verify(pairs, verifier, verifier_id)
 
     def meaning(self, requests: DataFrame) -> DataFrame:
         return decide_meaning(requests, self.glosses, self.retrievers["meaning"](requests, self.glosses))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from groundphrase.functions import offsets
 from groundphrase.functions import text as tx
+from groundphrase.operators import engine, lexical
 from groundphrase.operators import mentions as mn
+from groundphrase.operators import verify as vf
 from groundphrase.plans import bindings as b
 from groundphrase.plans.bindings import VIEWS, compact, norm
 
@@ -112,3 +115,56 @@ def grounded_targets(spark, sf):
     kind = F.length("text") % 4
     planned = q.select("query_id", F.when(kind == 1, F.col("text")).when(kind == 2, F.left("text", F.lit(20))).when(kind == 3, "elsewhere").alias("target"))
     return mn.grounded_target(planned, mn.mentions(q, b.variants(spark, sf), "query_id"), "query_id")
+
+
+PAIRS = "pairs AS (SELECT query_id, family_id, text, length(text) % 7 AS k FROM requests, (SELECT family_id, row_number() OVER (ORDER BY family_id) - 1 AS f, count(*) OVER () AS n FROM glosses) WHERE (length(text) + length(query_id)) % n = f)"
+
+
+@query(
+    f"WITH {VIEWS}, {PAIRS} SELECT query_id, family_id, CASE k WHEN 1 THEN 'SUPPORTED' WHEN 2 THEN 'NOT_SUPPORTED' WHEN 0 THEN 'NOT_SUPPORTED' ELSE 'UNCERTAIN' END AS verdict, CASE k WHEN 0 THEN 'v+recommendation-policy' ELSE 'v' END AS verifier_id,"
+    " CASE k WHEN 0 THEN 'unsuitable-register' WHEN 1 THEN 'r' WHEN 2 THEN '' WHEN 3 THEN 'verifier-error:forbidden rank,score' WHEN 4 THEN 'verifier-error:invalid JSON' WHEN 5 THEN 'verifier-error:unknown verdict' ELSE 'verifier-error:no answer' END AS reason FROM pairs"
+)
+def verified_pairs(spark, sf):
+    """Each request with a family, through suitability and a verifier whose answers are broken in several ways."""
+    q, g = b.requests(spark, sf), b.glosses(spark, sf)
+    n = g.count()
+    fams = g.select("family_id", F.col("text").alias("gloss"), (F.dense_rank().over(Window.orderBy("family_id")) - 1).alias("f"))  # the corpus's glosses are numbered
+    k = F.length("text") % 7
+    pairs = q.withColumn("f", (F.length("text") + F.length("query_id")) % n).join(fams, "f").withColumn("phrase", F.when(k == 0, "حرف گه زدن").otherwise("حرف زدن"))
+    answers = {1: '{"verdict": "SUPPORTED", "reason": "r"}', 2: '{"verdict": "NOT_SUPPORTED"}', 3: '{"verdict": "SUPPORTED", "score": 1, "rank": 2}', 4: "{verdict", 5: '{"verdict": "YES"}'}
+
+    def verifier(asked):
+        content = F.lit(None).cast("string")
+        for i, x in answers.items():
+            content = F.when(k == i, x).otherwise(content)
+        return asked.where(k != 6).select("query_id", "family_id", content.alias("content"))
+
+    return vf.verify(pairs, verifier, "v")
+
+
+SEVERAL = "one AS (SELECT item_id, text FROM variants WHERE variant_id LIKE '%-v1'), several AS (SELECT a.item_id, concat_ws(' or ', d.text, a.text, c.text, b.text) AS text FROM one a LEFT JOIN one b ON b.item_id = a.item_id + 1 LEFT JOIN one c ON c.item_id = a.item_id + 2 AND c.item_id % 3 = 0 LEFT JOIN one d ON d.item_id = a.item_id + 3)"
+
+
+@query(
+    f"WITH {VIEWS}, {SEVERAL}, d AS (SELECT item_id, {compact('text')} AS c FROM several), v AS (SELECT DISTINCT family_id, {compact('text')} AS v FROM variants WHERE length({compact('text')}) >= 8), f AS (SELECT item_id, family_id, min(instr(c, v)) AS pos FROM d JOIN v ON contains(c, v) GROUP BY 1, 2)"
+    " SELECT item_id, count(*)::BIGINT AS n_families, array_to_string(list(family_id ORDER BY pos, family_id)[1:3], ',') AS alternatives FROM f GROUP BY 1 HAVING count(*) >= 2"
+)
+def clarify_alternatives(spark, sf):
+    """Requests in which several phrases stand, with the first three."""
+    one = b.variants(spark, sf).where("variant_id like '%-v1'").select("item_id", "text")
+    at = lambda k, name: one.select((F.col("item_id") - k).alias("item_id"), F.col("text").alias(name))
+    third = at(2, "c").where((F.col("item_id") + 2) % 3 == 0)
+    q = one.withColumnRenamed("text", "a").join(at(1, "b"), "item_id", "left").join(third, "item_id", "left").join(at(3, "d"), "item_id", "left")
+    c = lexical.contained(q.select("item_id", F.concat_ws(" or ", "d", "a", "c", "b").alias("text")), b.variants(spark, sf), "item_id")
+    return vf.alternatives(c, "item_id").select("item_id", "n_families", F.array_join("alternatives", ",").alias("alternatives"))
+
+
+@query(
+    f"WITH {VIEWS} SELECT query_id, CASE length(text) % 3 WHEN 0 THEN text WHEN 1 THEN 'یادم رفته «' || text || '» چی بود' ELSE '«' || text || '» و «' || text || '»' END AS whole, CASE WHEN length(text) % 3 = 1 AND length({compact('text')}) >= 6 THEN trim(text) ELSE whole END AS asked FROM requests"
+)
+def unwrapped_requests(spark, sf):
+    """Requests in wrappers, and what of them is looked for."""
+    k, t = F.length("text") % 3, F.col("text")
+    said = F.when(k == 0, t).when(k == 1, F.concat(F.lit("یادم رفته «"), t, F.lit("» چی بود"))).otherwise(F.concat(F.lit("«"), t, F.lit("» و «"), t, F.lit("»")))
+    q = b.requests(spark, sf).select("query_id", said.alias("text"))
+    return engine.unwrapped(q.withColumn("whole", F.col("text"))).select("query_id", "whole", F.col("text").alias("asked"))

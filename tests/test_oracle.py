@@ -5,18 +5,20 @@ import math
 import duckdb
 import pytest
 
-from groundphrase.plans import catalog
+from groundphrase.plans import catalog, evaluation, intents
 
-SF = "/root/testdata/sf0.001"
+SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 @pytest.fixture(scope="module")
-def duck():
-    con = duckdb.connect()
-    for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    return con
+def ducks():
+    out = {}
+    for sf in (SF, LARGER):
+        out[sf] = duckdb.connect()
+        for t in TABLES:
+            out[sf].execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    return out
 
 
 def plain(rows, names):
@@ -25,10 +27,14 @@ def plain(rows, names):
     return sorted(tuple(one(r[i]) for i in order) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
-def test_query(spark, duck, name):
-    df = catalog.QUERIES[name](spark, SF)
-    rel = duck.execute(catalog.ORACLE_SQL[name])
+#: Where more rows bring halves, ties and every wording, at the larger size too.
+CASES = [(SF, n) for n in sorted(catalog.ORACLE_SQL)] + [(LARGER, n) for n in sorted(evaluation.ORACLE_SQL | intents.ORACLE_SQL) if n not in ("html_escaped", "restore_fuzzy", "paired_latency")]
+
+
+@pytest.mark.parametrize(("sf", "name"), CASES, ids=[f"{n}-{sf[-5:]}" for sf, n in CASES])
+def test_query(spark, ducks, sf, name):
+    df = catalog.QUERIES[name](spark, sf)
+    rel = ducks[sf].execute(catalog.ORACLE_SQL[name])
     names = [c[0] for c in rel.description]
     assert sorted(df.columns) == sorted(names)
     assert plain(df.collect(), df.columns) == plain(rel.fetchall(), names)
