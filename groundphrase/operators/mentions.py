@@ -112,15 +112,52 @@ def leaks(texts: DataFrame, phrases: DataFrame, key: str, text: str = "text", di
 def mentions(texts: DataFrame, variants: DataFrame, key: str, text: str = "text", least: int = LEAST_SURFACE, dictionary: int = DICTIONARY) -> DataFrame:
     """(key, doc_id, family_id, start, end, raw_start, raw_end, raw): whole-word places of variants in texts, in
     normalized places and, by the text's map, in raw ones, with the raw words themselves."""
-    t = offsets.intake(texts.select(F.col(key).alias("_key"), F.col(text).alias("text")))
     v = variants.select("doc_id", "family_id", tx.retrieval(tx.composed(F.col("text"))).alias("surface")).where(F.length("surface") >= least)
-    places = occurrences(t.select("_key", "normalized"), v, "_key", "normalized", least=least, dictionary=dictionary)
+    t = texts.select(F.col(key).alias("_key"), F.col(text).alias("text")).where("text is not null")
+    words = v.select("surface").distinct()
+    found = _mentioned(t, words) if _fits(words, "surface", dictionary) else _mentioned_by_join(t, v, least)
+    return found.join(v, "surface").select(F.col("_key").alias(key), "doc_id", "family_id", "start", "end", "raw_start", "raw_end", "raw")
+
+
+def _mentioned(t: DataFrame, words: DataFrame) -> DataFrame:
+    """Whole-word places of phrases by one pass of an automaton over each text's normalized form; nothing is shuffled."""
+    phrases = sorted(r.surface for r in words.collect())  # checked: DICTIONARY letters at most
+    out = f"_key {t.schema['_key'].dataType.simpleString()}, surface string, start int, end int, raw_start int, raw_end int, raw string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for w in phrases:
+            machine.add_word(f" {w} ", w)
+        if phrases:
+            machine.make_automaton()
+        for b in batches:
+            at, rows = [], []
+            for i, raw in enumerate(b.column(1).to_pylist() if phrases else ()):
+                m = offsets.mapped(raw)
+                for last, w in machine.iter(f" {m.text} "):
+                    end = last - 1
+                    start = end - len(w)
+                    a, z = int(m.starts[start]), int(m.ends[end - 1])
+                    at.append(i)
+                    rows.append((w, start, end, a, z, raw[a:z]))
+            cols = [pa.array([r[k] for r in rows], pa.string() if k in (0, 5) else pa.int32()) for k in range(6)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), *cols], names=["_key", "surface", "start", "end", "raw_start", "raw_end", "raw"])
+
+    return t.mapInArrow(run, out)
+
+
+def _mentioned_by_join(t: DataFrame, v: DataFrame, least: int) -> DataFrame:
+    """The same where the phrases are too many for an automaton: places by a join, then maps of the texts that have any."""
+    plain = t.select("_key", tx.retrieval(tx.composed(F.col("text"))).alias("normalized"))
+    places = occurrences(plain, v, "_key", "normalized", least=least, dictionary=0)
+    maps = offsets.intake(t.join(places.select("_key").distinct(), "_key", "left_semi")).drop("tokens", "display", "compact")
     first, last = F.col("start"), F.col("start") + F.length("surface")
-    whole = places.alias("p").join(t.alias("t"), "_key")
+    whole = places.join(maps, "_key")
     edge = lambda at: F.substring(F.concat(F.lit(" "), F.col("normalized"), F.lit(" ")), at, F.lit(1)) == " "
     whole = whole.where(edge(first + 1) & edge(last + 2)).withColumn("_raw", offsets.raw_span(F.col("starts"), F.col("ends"), first, last))
-    whole = whole.select("_key", "surface", "start", last.alias("end"), F.col("_raw.start").alias("raw_start"), F.col("_raw.end").alias("raw_end"), F.substring("text", F.col("_raw.start") + 1, F.col("_raw.end") - F.col("_raw.start")).alias("raw"))
-    return whole.join(v, "surface").select(F.col("_key").alias(key), "doc_id", "family_id", "start", "end", "raw_start", "raw_end", "raw")
+    return whole.select("_key", "surface", "start", last.alias("end"), F.col("_raw.start").alias("raw_start"), F.col("_raw.end").alias("raw_end"), F.substring("text", F.col("_raw.start") + 1, F.col("_raw.end") - F.col("_raw.start")).alias("raw"))
 
 
 def _inside(small: DataFrame, large: DataFrame) -> DataFrame:

@@ -99,13 +99,14 @@ def resumed_cases(spark, sf):
 
 
 def replayed(spark: SparkSession, sf: str, parts: int = 3) -> DataFrame:
-    """Conversations as a stream of files in the order of turns; a turn is a minute, conversations start apart."""
+    """Conversations as a stream of files in the order of turns; a turn is a minute, conversations start apart. What a
+    part holds of a conversation is in one file, and later parts are later files."""
     at = store.new_path(spark, "turns")
     c = b.table(spark, sf, "conversations").withColumn("ts", F.timestamp_seconds(1_700_000_000 + F.col("conv_id") % 1000 * 36 + F.col("turn") * 60))
     c = c.select("conv_id", "ts", "turn", "role", "text")
     for k in range(parts):
-        c.where(F.least(F.floor(F.col("turn") / 3), F.lit(parts - 1)) == k).coalesce(1).write.mode("append").parquet(at)
-    return spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 1).parquet(at)
+        c.where(F.least(F.floor(F.col("turn") / 3), F.lit(parts - 1)) == k).repartition("conv_id").write.mode("append").parquet(at)
+    return spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 4).parquet(at)
 
 
 @query("WITH s AS (SELECT conv_id AS session, turn, text, (count(*) FILTER (trim(text) <> '') OVER w)::BIGINT AS n_queries, (count(*) OVER w)::BIGINT AS n_rows FROM conversations WHERE role = 'user' WINDOW w AS (PARTITION BY conv_id ORDER BY turn, text ROWS UNBOUNDED PRECEDING)) SELECT session, 's' || session || '-' || lpad(n_queries::VARCHAR, 5, '0') AS query_id, text, n_queries, n_rows FROM s WHERE trim(text) <> ''")

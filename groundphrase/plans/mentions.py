@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from groundphrase.functions import offsets
@@ -117,7 +116,7 @@ def grounded_targets(spark, sf):
     return mn.grounded_target(planned, mn.mentions(q, b.variants(spark, sf), "query_id"), "query_id")
 
 
-PAIRS = "pairs AS (SELECT query_id, family_id, text, length(text) % 7 AS k FROM requests, (SELECT family_id, row_number() OVER (ORDER BY family_id) - 1 AS f, count(*) OVER () AS n FROM glosses) WHERE (length(text) + length(query_id)) % n = f)"
+PAIRS = "pairs AS (SELECT query_id, family_id, text, length(text) % 7 AS k FROM requests, (SELECT family_id, doc_id AS f, count(*) OVER () AS n FROM glosses) WHERE (length(text) + length(query_id)) % n = f)"
 
 
 @query(
@@ -128,7 +127,7 @@ def verified_pairs(spark, sf):
     """Each request with a family, through suitability and a verifier whose answers are broken in several ways."""
     q, g = b.requests(spark, sf), b.glosses(spark, sf)
     n = g.count()
-    fams = g.select("family_id", F.col("text").alias("gloss"), (F.dense_rank().over(Window.orderBy("family_id")) - 1).alias("f"))  # the corpus's glosses are numbered
+    fams = g.select("family_id", F.col("text").alias("gloss"), F.col("doc_id").alias("f"))
     k = F.length("text") % 7
     pairs = q.withColumn("f", (F.length("text") + F.length("query_id")) % n).join(fams, "f").withColumn("phrase", F.when(k == 0, "حرف گه زدن").otherwise("حرف زدن"))
     answers = {1: '{"verdict": "SUPPORTED", "reason": "r"}', 2: '{"verdict": "NOT_SUPPORTED"}', 3: '{"verdict": "SUPPORTED", "score": 1, "rank": 2}', 4: "{verdict", 5: '{"verdict": "YES"}'}

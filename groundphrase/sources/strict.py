@@ -77,8 +77,10 @@ def scan(spark: SparkSession, path: str, rules: Rules) -> DataFrame:
     if rules.key is None:
         return out
     key = F.col(rules.key)
-    first = out.where("problem is null").groupBy(key.alias("_key")).agg(F.min(F.struct("file", "line")).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    both = out.join(first, key == F.col("_key"), "left")
+    # Lines without a key are dealt by their place, else they would all meet under null.
+    out = out.withColumn("_salt", F.when(key.isNull(), F.xxhash64("file", "line")).otherwise(F.lit(0)))
+    first = out.where("problem is null").groupBy(key.alias("_key")).agg(F.min(F.struct("file", "line")).alias("_first"), F.count(F.lit(1)).alias("_n"), F.min("_salt").alias("_none")).where("_n > 1")
+    both = out.join(first, (key == F.col("_key")) & (F.col("_salt") == F.col("_none")), "left")
     again = F.col("problem").isNull() & (F.col("_first") < F.struct("file", "line"))
     problem = F.when(again, F.concat(F.lit("repeats line "), F.col("_first.line").cast("string"))).otherwise(F.col("problem"))
     return both.select("file", "line", problem.alias("problem"), *(F.when(~F.coalesce(again, F.lit(False)), F.col(n)).alias(n) for n in rules.kinds()))

@@ -67,5 +67,7 @@ def test_either_inside(spark):
 def test_mentions_in_raw_places(spark):
     t = spark.createDataFrame([(1, "He said: «آبِ  از سَر» and آب از سرد."), (2, "آب از سر، آب از سر"), (3, None)], "id int, text string")
     v = spark.createDataFrame([(7, "f1", "آب از سر"), (8, "f2", "said")], "doc_id int, family_id string, text string")
-    got = sorted((r.id, r.doc_id, r.raw) for r in mn.mentions(t, v, "id").collect())
-    assert got == [(1, 7, "آبِ  از سَر"), (1, 8, "said"), (2, 7, "آب از سر"), (2, 7, "آب از سر")]
+    for dictionary in (1 << 20, 0):  # by an automaton, and by a join
+        rows = mn.mentions(t, v, "id", dictionary=dictionary).collect()
+        assert sorted((r.id, r.doc_id, r.raw) for r in rows) == [(1, 7, "آبِ  از سَر"), (1, 8, "said"), (2, 7, "آب از سر"), (2, 7, "آب از سر")]
+        assert sorted((r.id, r.start, r.end, r.raw_start, r.raw_end) for r in rows if r.id == 2) == [(2, 0, 8, 0, 8), (2, 9, 17, 10, 18)]
