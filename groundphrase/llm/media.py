@@ -312,6 +312,8 @@ def with_samples(df: DataFrame, media: str = "media", payload: str | None = None
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, through an archive and back. A null text is empty and padded like one; equal texts give equal values, repeated
+    rows come back as often as they are there, a null id stays null; an empty table gives an empty result."""
     path = new_path(spark, "media")
     write_archives(table(spark, sf_dir, "documents"), path)
     got = with_samples(read_archives(spark, path))

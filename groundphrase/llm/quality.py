@@ -138,6 +138,8 @@ def judge(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> D
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its counts and verdict. A null text has no words and fails the base rules; a posterior of exactly one half
+    is kept; repeated rows count as rows in the model and come back as often as they are there; an empty table gives an empty result."""
     got = judge(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 

@@ -271,6 +271,9 @@ def redact(df: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFra
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its spans; scan() says what becomes of nulls. Spans that start together go by kind, repeated rows get
+    equal ones, a null id stays null; an empty table gives an empty result. Tokens of fewer than LEAST characters are scored by
+    no automaton: the base patterns alone see them."""
     got = scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
     n = lambda kind: F.size(F.filter("secrets", lambda x: x.kind == kind)).cast("long").alias(f"n_{kind}")
     spelled = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x.kind, x.start.cast("string"), x["end"].cast("string"))), ",")

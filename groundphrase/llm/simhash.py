@@ -82,6 +82,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", r
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprint and component; near_duplicates() says what becomes of nulls, wordless texts, repeats and
+    null ids. A bit that is set in exactly half of the hashes is 0."""
     got = near_duplicates(table(spark, sf_dir, "documents"))
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
