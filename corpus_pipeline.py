@@ -23,12 +23,14 @@ def _released(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents whose base rules hold and whose posterior quality is one half or more."""
+    """Keep the documents whose base rules hold and whose posterior quality is one half or more. Null texts have no words and go;
+    repeated rows stay or go together; an empty table stays empty."""
     return _released(quality.judge(_held(docs)).where("kept"), docs.columns)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that the classifier does not call toxic; it is learned from what reached this stage."""
+    """Keep the documents that the classifier does not call toxic; it is learned from what reached this stage. A score of exactly one
+    half goes; null texts score like empty ones; repeated rows stay or go together; an empty table stays empty."""
     model = toxicity.fit(toxicity.sample(docs, table(spark, sf_dir, "labels")))
     return _released(toxicity.score(_held(docs), model).where("score < 0.5"), docs.columns)
 
@@ -49,13 +51,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Put a mark in place of every secret; n_chars is that of the new text."""
+    """Put a mark in place of every secret; n_chars is that of the new text (null for a null text, which stays null). Repeated rows
+    change alike."""
     clean = secret_scan.redact(docs)
     return clean.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The packed sequences: a row for each piece of a document."""
+    """The packed sequences: a row for each piece of a document. Null texts count as empty, repeated rows are pieces of their own; no
+    document gives no bin."""
     return packing.pack_documents(docs)
 
 
@@ -66,6 +70,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each on what the one before has kept, written and read again between them."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
