@@ -51,3 +51,31 @@ def alternatives(contained: DataFrame, key: str = "query_id", k: int = ALTERNATI
     c = contained.withColumn("_nth", F.row_number().over(w)).withColumn("n_families", n).where(F.col("n_families") >= 2)
     some = F.transform(F.array_sort(F.collect_list(F.when(F.col("_nth") <= k, F.struct("_nth", "family_id")))), lambda x: x.family_id)
     return c.groupBy(key).agg(F.first("n_families").alias("n_families"), some.alias("alternatives"))
+
+
+#: Slots of a drafted answer, and quotation marks that it may not have (fixed values).
+SLOT, QUOTES = r"<FFE_\d+>", "«»“”„‟\"`"
+
+
+def template_problem(template: Column, slots: Column) -> Column:
+    """What a drafted template breaks, or null: it has all the slots that it was given and no others, each once, and quotes
+    nothing. Null templates are empty ones."""
+    t = F.coalesce(template, F.lit(""))
+    used = F.regexp_extract_all(t, F.lit(SLOT), F.lit(0))
+    differ = (F.size(F.array_except(used, slots)) > 0) | (F.size(F.array_except(slots, used)) > 0)
+    return F.when(differ, "missing or unknown slots").when(F.size(used) != F.size(F.array_distinct(used)), "a slot twice").when(F.translate(t, QUOTES, "") != t, "quotes")
+
+
+def template_violations(templates: DataFrame, surfaces: DataFrame, key: str) -> DataFrame:
+    """(key, problem) of templates (key, template, slots) that break a rule, or else hold a stored surface outside a slot."""
+    from groundphrase.operators.mentions import leaks
+
+    own = templates.select(key, template_problem(F.col("template"), F.col("slots")).alias("problem"))
+    held = leaks(templates.select(key, F.col("template").alias("text")), surfaces, key).select(F.col(key).alias("_k")).distinct()
+    both = own.join(held, F.col(key) == F.col("_k"), "left")
+    return both.select(key, F.coalesce("problem", F.when(F.col("_k").isNotNull(), "stored text outside a slot")).alias("problem")).where("problem is not null")
+
+
+def target_problem(target: Column, request: Column) -> Column:
+    """A planned target is copied from its request letter by letter, or there is none."""
+    return F.when(target.isNotNull() & ~F.coalesce(F.contains(request, target), F.lit(False)), "target is not in the request")

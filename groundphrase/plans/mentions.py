@@ -167,3 +167,26 @@ def unwrapped_requests(spark, sf):
     said = F.when(k == 0, t).when(k == 1, F.concat(F.lit("یادم رفته «"), t, F.lit("» چی بود"))).otherwise(F.concat(F.lit("«"), t, F.lit("» و «"), t, F.lit("»")))
     q = b.requests(spark, sf).select("query_id", said.alias("text"))
     return engine.unwrapped(q.withColumn("whole", F.col("text"))).select("query_id", "whole", F.col("text").alias("asked"))
+
+
+DRAFTS = "t AS (SELECT doc_id, doc_id % 6 AS k, CASE doc_id % 6 WHEN 0 THEN text || ' <FFE_1>' WHEN 1 THEN '<FFE_2> ' || text || ' <FFE_1>' WHEN 2 THEN '<FFE_1> ' || text || ' <FFE_1>' WHEN 3 THEN text WHEN 4 THEN '«' || text || '» <FFE_1>' ELSE '<FFE_1> <FFE_2> ' || text END AS t FROM documents)"
+
+
+@query(
+    f"WITH {VIEWS}, {SURFACES}, {DRAFTS}, h AS (SELECT DISTINCT doc_id FROM t JOIN sf ON contains(t, s)), p AS (SELECT doc_id, CASE k WHEN 2 THEN 'a slot twice' WHEN 3 THEN 'missing or unknown slots' WHEN 4 THEN 'quotes' ELSE CASE WHEN length(translate(t, '«»“”„‟\"`', '')) < length(t) THEN 'quotes' WHEN h.doc_id IS NOT NULL THEN 'stored text outside a slot' END END AS problem FROM t LEFT JOIN h USING (doc_id)) SELECT * FROM p WHERE problem IS NOT NULL"
+)
+def template_checks(spark, sf):
+    """Drafts made of every document, with slots right and wrong, against rules and the whole corpus."""
+    k, t = F.col("doc_id") % 6, F.col("text")
+    s = lambda *xs: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in xs))
+    draft = F.when(k == 0, s(t, " <FFE_1>")).when(k == 1, s("<FFE_2> ", t, " <FFE_1>")).when(k == 2, s("<FFE_1> ", t, " <FFE_1>")).when(k == 3, t).when(k == 4, s("«", t, "» <FFE_1>")).otherwise(s("<FFE_1> <FFE_2> ", t))
+    slots = F.when(k.isin(1, 5), F.array(F.lit("<FFE_1>"), F.lit("<FFE_2>"))).otherwise(F.array(F.lit("<FFE_1>")))
+    d = b.table(spark, sf, "documents").select("doc_id", draft.alias("template"), slots.alias("slots"))
+    return vf.template_violations(d, mn.surfaces(b.variants(spark, sf)), "doc_id")
+
+
+@query(f"WITH {VIEWS}, t AS (SELECT query_id, text, CASE length(text) % 4 WHEN 0 THEN NULL WHEN 1 THEN left(text, 7) WHEN 2 THEN upper(text) ELSE text || '!' END AS target FROM requests) SELECT query_id, CASE WHEN target IS NOT NULL AND NOT contains(text, target) THEN 'target is not in the request' END AS problem FROM t")
+def target_checks(spark, sf):
+    k, t = F.length("text") % 4, F.col("text")
+    target = F.when(k == 1, F.left(t, F.lit(7))).when(k == 2, F.upper(t)).when(k == 3, F.concat(t, F.lit("!")))
+    return b.requests(spark, sf).select("query_id", vf.target_problem(target, t).alias("problem"))
