@@ -148,13 +148,13 @@ class Indexes:
 
 def evidence(queries: DataFrame, docs: DataFrame, pool: int | None = POOL, pairs: DataFrame | None = None, indexes: Indexes | None = None) -> DataFrame:
     """(query_id, doc_id, tfidf, coverage, bm25): candidates are the best of TF-IDF and of BM25; coverage counts
-    only for documents that TF-IDF found, so it is looked at for these alone. pairs (query_id, doc_id): the only ones that are wanted."""
+    only for documents that TF-IDF found. pairs (query_id, doc_id): the only ones that are wanted."""
     ix_ = indexes or Indexes(docs)
     t = ix.tfidf(queries, ix_.trigrams, pairs).withColumnRenamed("score", "tfidf")
     b = ix.bm25(queries, ix_.tokens, pairs).select("query_id", "doc_id", F.col("evidence").alias("bm25")).where("bm25 > 0")
     if pool is not None:
-        t, b = store.stored(ix.ranked(t, "tfidf", pool).drop("rank"), "pool"), ix.ranked(b, "bm25", pool).drop("rank")
-    c = ix.coverage(queries, ix_.bigrams, ix_.n, t if pairs is None else pairs)
+        t, b = ix.ranked(t, "tfidf", pool).drop("rank"), ix.ranked(b, "bm25", pool).drop("rank")
+    c = ix.coverage(queries, ix_.bigrams, ix_.n, pairs)
     both = t.join(b, ["query_id", "doc_id"], "full_outer").join(c, ["query_id", "doc_id"], "left")
     zero = lambda x: F.coalesce(x, F.lit(0.0)).alias(x)
     return both.select("query_id", "doc_id", zero("tfidf"), F.when(F.col("tfidf").isNull(), 0.0).otherwise(F.coalesce("coverage", F.lit(0.0))).alias("coverage"), zero("bm25"))
