@@ -241,7 +241,8 @@ def binomial_p(wins: int, losses: int) -> float:
 def log_gamma(x: Column) -> Column:
     """ln Gamma of a positive column: Stirling's series ten places up, and the product back to it."""
     y = x + 10
-    series = (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y)
+    z = 1 / (y * y)
+    series = (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z * (1 / 1680 - z / 1188)))) / y
     product = x
     for i in range(1, 10):
         product = product * (x + i)

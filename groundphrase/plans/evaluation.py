@@ -22,7 +22,7 @@ def query(sql: str | None = None):
 
 
 #: Of a last place, what goes up: a bit less than half, so that engines agree on halves that doubles only come near.
-HALF = 0.500001
+HALF = 0.50001
 
 
 def near(c, places: int):
