@@ -84,6 +84,20 @@ def bm25(queries: DataFrame, index: DataFrame, pairs: DataFrame | None = None) -
     return got.join(known, "query_id").select("query_id", "doc_id", "raw", F.when(F.col("terms") < 2, F.least(e, F.lit(0.15))).otherwise(e).alias("evidence"))
 
 
+def postings(docs: DataFrame, signals: str = "tcb") -> DataFrame:
+    """(item, doc_id, idf, t, norm, c, b): what each trigram (t), bigram (c) and token (b) of a document adds to the sums of a
+    query that holds it, items marked by their signal: to the dot product (for each time the query has it), to what is
+    covered, and to BM25."""
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    made = {"t": lambda: (trigram_index(docs), "gram", {"t": F.col("idf") * F.col("weight"), "norm": F.col("norm")}), "c": lambda: (bigram_index(docs), "gram", {"c": F.col("idf")}), "b": lambda: (token_index(docs), "token", {"b": part})}
+    out = None
+    for s in signals:
+        rows, item, adds = made[s]()
+        rows = rows.select(F.concat(F.lit(s), item).alias("item"), "doc_id", "idf", *(adds.get(c, F.lit(None)).cast("double").alias(c) for c in ("t", "norm", "c", "b")))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def token_families(variants: DataFrame) -> DataFrame:
     """(token, n_families, distinctive, unique)."""
     t = variants.select("family_id", F.explode(tx.tokens(tx.retrieval(F.col("text")))).alias("token"))

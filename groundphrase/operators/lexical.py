@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -130,32 +130,120 @@ class Indexes:
     def __init__(self, docs: DataFrame):
         self.docs, self._made = docs, {}
 
-    def _once(self, name: str, make) -> DataFrame:
+    def _once(self, name: str, make):
         if name not in self._made:
-            self._made[name] = store.stored(make(self.docs), "index")
+            self._made[name] = make(self.docs)
         return self._made[name]
 
-    trigrams = property(lambda self: self._once("trigrams", ix.trigram_index))
-    bigrams = property(lambda self: self._once("bigrams", ix.bigram_index))
-    tokens = property(lambda self: self._once("tokens", ix.token_index))
+    def postings(self, signals: str) -> tuple[DataFrame, int]:
+        """The postings of some signals, and how many there are."""
+
+        def make(docs):
+            p = store.stored(ix.postings(docs, signals), "index")
+            return p, p.count()
+
+        return self._once(signals, make)
 
     @property
     def n(self) -> int:
-        if "n" not in self._made:
-            self._made["n"] = self.docs.count()
-        return self._made["n"]
+        return self._once("n", lambda docs: docs.count())
+
+
+#: Postings in a block of documents, which every task holds, and pairs of a query and a document that one task scores.
+POSTINGS, PAIRS = 1 << 18, 100_000
+
+
+def _items(rows: DataFrame, keys: list[str], signals: str) -> DataFrame:
+    """(keys..., item, tf): trigrams, bigrams and tokens of `text`, marked by their signal."""
+    r = rows.select(*keys, tx.retrieval(F.col("text")).alias("_r")).withColumn("_c", tx.compact(F.col("_r")))
+    none = F.array().cast("array<string>")
+    of = {"t": tx.char_ngrams(F.col("_r")), "c": F.when(F.length("_c") >= ix.LEAST_COMPACT, tx.bigram_set(F.col("_c"))), "b": F.array_distinct(tx.tokens(F.col("_r")))}
+    marked = lambda s: F.transform(F.coalesce(of[s], none), lambda g: F.concat(F.lit(s), g))
+    return r.select(*keys, F.explode(F.concat(*map(marked, signals))).alias("item")).groupBy(*keys, "item").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def _constants(n_docs: int) -> list[Column]:
+    """What a query's scores are divided by, over its items and their idf (null outside the corpus)."""
+    of = lambda s, x: F.sum(F.when(F.substring("item", 1, 1) == s, x))
+    w = F.col("tf") * F.col("idf")
+    return [F.sqrt(of("t", w * w)).alias("_q_norm"), of("c", F.coalesce("idf", F.log(F.lit(1.0 + n_docs)))).alias("_total"), of("b", F.col("idf")).alias("_known")]
+
+
+_SUMS = [F.sum, F.max, F.sum, F.sum, F.count]
+_WHAT = ["_dot", "_norm", "_got", "raw", "_terms"]
+
+
+def _sums() -> list[Column]:
+    return [f(c).alias(name) for f, c, name in zip(_SUMS, (F.col("tf") * F.col("t"), F.col("norm"), F.col("c"), F.col("b"), F.col("b")), _WHAT, strict=True)]
+
+
+def _scores() -> list[Column]:
+    e = F.least(F.lit(1.0), F.col("raw") / F.col("_known"))
+    bm25 = F.when(F.col("_terms") > 0, F.when(F.col("_terms") < 2, F.least(e, F.lit(0.15))).otherwise(e))
+    return [(F.col("_dot") / (F.col("_q_norm") * F.col("_norm"))).alias("tfidf"), (F.col("_got") / F.col("_total")).alias("coverage"), F.when(bm25 > 0, bm25).alias("bm25"), "raw"]
+
+
+def scores(queries: DataFrame, docs: DataFrame, signals: str = "tcb", keep: Callable[[DataFrame], DataFrame] | None = None, indexes: Indexes | None = None) -> DataFrame:
+    """(query_id, doc_id, tfidf, coverage, bm25, raw) of every pair that shares an item; a score is null where it has none.
+
+    signals: t (trigrams' cosine), c (bigrams' coverage), b (BM25). Requests are dealt by their ids once, as texts;
+    documents come to them in blocks of a bounded size, so neither items nor pairs are ever shuffled. keep, if
+    given, is put to the pairs of each block and then to what all blocks have kept (as the best few of a query are).
+    """
+    found = indexes or Indexes(docs)
+    postings, size = found.postings(signals)
+    blocks = max(1, -(-size // POSTINGS))
+    q = queries.select("query_id", "text")
+    parts = -(-q.count() * found.n // (blocks * PAIRS))
+    q = q.repartition(max(int(q.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts), "query_id")
+    items = _items(q, ["query_id"], signals)
+    known = postings.select("item", "idf").distinct()
+    constants = items.join(F.broadcast(known) if blocks == 1 else known, "item", "left").groupBy("query_id").agg(*_constants(found.n))
+    out = None
+    for k in range(blocks):
+        block = postings if blocks == 1 else postings.where(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == k)
+        pairs = items.join(F.broadcast(block), "item").groupBy("query_id", "doc_id").agg(*_sums())
+        pairs = pairs.join(constants, "query_id").select("query_id", "doc_id", *_scores())
+        pairs = pairs if keep is None else keep(pairs)
+        out = pairs if out is None else out.unionByName(pairs)
+    return out if keep is None or blocks == 1 else keep(out)
+
+
+def tfidf(queries: DataFrame, docs: DataFrame, k: int | None = None) -> DataFrame:
+    """(query_id, doc_id, score, rank) by the cosine of trigrams; k: the best of each query."""
+    best = lambda s: ix.ranked(s.drop("rank"), "tfidf", k)
+    s = scores(queries, docs, "t", None if k is None else best)
+    return (best(s) if k is None else s).select("query_id", "doc_id", F.col("tfidf").alias("score"), "rank")
+
+
+def paired(rows: DataFrame, keys: list[str], indexes: Indexes) -> DataFrame:
+    """(keys..., tfidf, coverage, bm25, 0 where there is none) of rows that hold a text and, among their keys, the only
+    document (doc_id) that it meets. Rows stay in their partitions if these go by one of the keys."""
+    postings, size = indexes.postings("tcb")
+    near = F.broadcast if size <= POSTINGS else lambda df: df
+    items = _items(rows, keys, "tcb").join(near(postings.select("item", "idf").distinct()), "item", "left")
+    met = items.join(near(postings.drop("idf")), ["item", "doc_id"], "left")
+    zero = lambda x: F.coalesce(x, F.lit(0.0)).alias(x)
+    got = met.groupBy(*keys).agg(*_constants(indexes.n), *_sums()).select(*keys, *_scores())
+    # Coverage counts only where trigrams or words agree.
+    return got.select(*keys, zero("tfidf"), F.when(F.col("tfidf").isNull(), 0.0).otherwise(F.coalesce("coverage", F.lit(0.0))).alias("coverage"), zero("bm25"))
 
 
 def evidence(queries: DataFrame, docs: DataFrame, pool: int | None = POOL, pairs: DataFrame | None = None, indexes: Indexes | None = None) -> DataFrame:
     """(query_id, doc_id, tfidf, coverage, bm25): candidates are the best of TF-IDF and of BM25; coverage counts
     only for documents that TF-IDF found. pairs (query_id, doc_id): the only ones that are wanted."""
-    ix_ = indexes or Indexes(docs)
-    t = ix.tfidf(queries, ix_.trigrams, pairs).withColumnRenamed("score", "tfidf")
-    b = ix.bm25(queries, ix_.tokens, pairs).select("query_id", "doc_id", F.col("evidence").alias("bm25")).where("bm25 > 0")
-    if pool is not None:
-        t, b = ix.ranked(t, "tfidf", pool).drop("rank"), ix.ranked(b, "bm25", pool).drop("rank")
-    c = ix.coverage(queries, ix_.bigrams, ix_.n, pairs)
-    both = t.join(b, ["query_id", "doc_id"], "full_outer").join(c, ["query_id", "doc_id"], "left")
+    found = indexes or Indexes(docs)
+    if pairs is not None:
+        rows = pairs.select("query_id", "doc_id").distinct().join(queries.select("query_id", "text"), "query_id")
+        return paired(rows, ["query_id", "doc_id"], found).where("tfidf > 0 or bm25 > 0")
+
+    def best(s: DataFrame) -> DataFrame:
+        for name in ("tfidf", "bm25") if pool is not None else ():
+            w = Window.partitionBy("query_id").orderBy(F.round(name, 9).desc(), "doc_id")
+            s = s.withColumn("_nth", F.row_number().over(w)).withColumn(name, F.when(F.col("_nth") <= pool, F.col(name))).drop("_nth")
+        return s.where("tfidf is not null or bm25 is not null")
+
+    both = scores(queries, docs, "tcb", best, found)
     zero = lambda x: F.coalesce(x, F.lit(0.0)).alias(x)
     return both.select("query_id", "doc_id", zero("tfidf"), F.when(F.col("tfidf").isNull(), 0.0).otherwise(F.coalesce("coverage", F.lit(0.0))).alias("coverage"), zero("bm25"))
 
