@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from groundphrase.functions import text as tx
 from groundphrase.operators import dense, index, lexical
-from groundphrase.operators.attest import attest, suggestions
+from groundphrase.operators.attest import SUGGESTIONS, attest, suggestions
 from groundphrase.plans import bindings as b
 from groundphrase.plans.bindings import VIEWS, compact, grams, norm
 
@@ -76,7 +76,7 @@ def attestation_status(spark, sf):
 @query(f"WITH {VIEWS}, {ATTEST}, {TRI} SELECT query_id, doc_id, rank, round(tfidf, 6) AS score FROM trank WHERE rank <= 3 AND query_id IN (SELECT query_id FROM attested WHERE status = 'NOT_ATTESTED') AND query_id IN (SELECT query_id FROM trank WHERE rank = 1 AND tfidf >= 0.45)")
 def attestation_suggestions(spark, sf):
     r, v = b.requests(spark, sf), b.variants(spark, sf)
-    return suggestions(attest(r, v), index.ranked(index.tfidf(r, index.trigram_index(v)))).withColumn("score", F.round("score", 6))
+    return suggestions(attest(r, v), lexical.tfidf(r, v, SUGGESTIONS)).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {VIEWS}, {TRI} SELECT g AS gram, df::BIGINT AS df, round(idf, 6) AS idf FROM idf")
