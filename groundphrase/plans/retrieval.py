@@ -162,7 +162,7 @@ GLOSS = TRI.replace("FROM variants", "FROM glosses")
 
 @query(f"WITH {VIEWS}, {GLOSS} SELECT query_id, doc_id, round(tfidf, 6) AS score, rank FROM trank WHERE rank <= 3")
 def gloss_search(spark, sf):
-    return index.ranked(index.tfidf(b.requests(spark, sf), index.trigram_index(b.glosses(spark, sf))), k=3).select("query_id", "doc_id", six("score"), "rank")
+    return lexical.tfidf(b.requests(spark, sf), b.glosses(spark, sf), 3).select("query_id", "doc_id", six("score"), "rank")
 
 
 @query(
