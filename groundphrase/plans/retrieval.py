@@ -121,7 +121,7 @@ def contained_families(spark, sf):
 
 @query(f"WITH {VIEWS}, {TRI} SELECT query_id, doc_id, round(tfidf, 6) AS score, rank FROM trank WHERE rank <= 5")
 def tfidf_topk(spark, sf):
-    return index.ranked(index.tfidf(b.requests(spark, sf), index.trigram_index(b.variants(spark, sf))), k=5).withColumn("score", F.round("score", 6)).select("query_id", "doc_id", "score", "rank")
+    return lexical.tfidf(b.requests(spark, sf), b.variants(spark, sf), 5).withColumn("score", F.round("score", 6)).select("query_id", "doc_id", "score", "rank")
 
 
 @query(f"WITH {VIEWS}, {TRI}, {COV} SELECT query_id, doc_id, round(coverage, 6) AS coverage FROM cov WHERE coverage >= 0.2")
