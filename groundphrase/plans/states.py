@@ -63,7 +63,7 @@ mdec AS (SELECT *, CASE reason WHEN 'score-and-margin-passed' THEN 'ACCEPT' WHEN
 
 
 def meaning_decisions(q, g):
-    ranked = index.ranked(index.tfidf(q, index.trigram_index(g)))
+    ranked = lexical.tfidf(q, g, 2)
     d = q.join(lexical.top_two(ranked), "query_id", "left").join(g.select("doc_id", F.col("text").alias("gloss")), "doc_id", "left")
     anchored = F.arrays_overlap(tx.tokens(tx.retrieval(F.col("text"))), F.filter(tx.tokens(tx.retrieval(F.col("gloss"))), lambda t: F.length(t) > 1))
     reason = decide.meaning_reason(F.trim("text") == "", F.col("top"), F.col("margin"), anchored)
