@@ -151,13 +151,16 @@ def decide_surface(requests: DataFrame, variants: DataFrame, ranked: DataFrame,
 GLOSS_BONUS = 0.05
 
 
-def meaning_ranking(requests: DataFrame, glosses: DataFrame) -> DataFrame:
+def meaning_ranking(requests: DataFrame, glosses: DataFrame, k: int | None = None) -> DataFrame:
     """(query_id, doc_id, tfidf, bm25, score, rank): glosses that trigrams find, by their cosine, a little lifted where
-    words agree too. Words alone bring no gloss in."""
-    t = index.tfidf(requests, index.trigram_index(glosses)).withColumnRenamed("score", "tfidf")
-    b = index.bm25(requests, index.token_index(glosses)).select("query_id", "doc_id", F.col("evidence").alias("bm25"))
-    both = t.join(b, ["query_id", "doc_id"], "left").fillna(0.0, ["bm25"])
-    return index.ranked(both.withColumn("score", lexical.rescore(F.col("tfidf"), F.col("bm25"), GLOSS_BONUS)).where("score > 0"))
+    words agree too. Words alone bring no gloss in. k: the best of each request."""
+
+    def best(s: DataFrame) -> DataFrame:
+        s = s.where("tfidf is not null").fillna(0.0, ["bm25"]).withColumn("score", lexical.rescore(F.col("tfidf"), F.col("bm25"), GLOSS_BONUS))
+        return index.ranked(s.where("score > 0"), k=k)
+
+    s = lexical.scores(requests, glosses, "tb", None if k is None else best)
+    return (best(s) if k is None else s).select("query_id", "doc_id", "tfidf", "bm25", "score", "rank")
 
 
 def decide_meaning(requests: DataFrame, glosses: DataFrame, ranked: DataFrame, stop: list[str] | None = None) -> DataFrame:

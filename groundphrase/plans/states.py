@@ -196,5 +196,5 @@ def surface_verified(spark, sf):
     f"WITH {VIEWS}, {r.GLOSS}, {r.BM.replace('FROM variants', 'FROM glosses')}, u AS (SELECT query_id, doc_id, coalesce(tfidf, 0) AS t, coalesce(bm25, 0) AS b FROM tfidf LEFT JOIN bme USING (query_id, doc_id)), s AS (SELECT *, least(1.0, t + 0.05 * b * (1 - t)) AS score FROM u), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s WHERE score > 0) SELECT query_id, doc_id, round(score, 6) AS score, rank FROM k WHERE rank <= 3"
 )
 def gloss_rescored(spark, sf):
-    k = engine.meaning_ranking(b.requests(spark, sf), b.glosses(spark, sf))
-    return k.where("rank <= 3").select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    k = engine.meaning_ranking(b.requests(spark, sf), b.glosses(spark, sf), 3)
+    return k.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
