@@ -5,7 +5,7 @@ labelled spans that seeded rules make (none of them real). It reads overlapping
 itself, and all spans of a text are then reconciled at once: of the spans that pass their kind's exact check the
 set without overlaps that is likeliest in sum stays, and none of it touches a base span.
 
-Windows lie around marks: digits, at signs, and words that stand for the sign or for a dot. No kind's exact
+Windows lie around marks: digits, at signs, words that stand for the sign or for a dot, and colons of addresses. No kind's exact
 check passes a span without a mark, so text without marks needs no window; whole texts are scanned for marks.
 """
 
@@ -33,7 +33,9 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 AT = r"(?:@|[(\[{<]\s?(?:at|AT|At|arroba)\s?[)\]}>]|\s(?:at|AT|arroba)\s)"
 DOT = r"(?:\s?\.\s?|\s?[(\[{<]\s?(?:dot|DOT|punto|\.)\s?[)\]}>]\s?|\s(?:dot|DOT|punto)\s)"
-MARK = re.compile(r"[0-9@]|[(\[{<]\s?(?:at|AT|At|arroba)\s?[)\]}>]|\b(?:dot|DOT|punto)\b")
+#: What every span that valid() lets stay holds at least one of: a sign, its spellings (as a bare word only before a host with a
+#: dot), a digit, or three colons of an address without digits.
+MARK = re.compile(rf"[0-9@]|[(\[{{<]\s?(?:at|AT|At|arroba)\s?[)\]}}>]|\b(?:dot|DOT|punto)\b|\s(?:at|AT|arroba)\s\s?[A-Za-z0-9-]++{DOT}[A-Za-z0-9-]|:[A-Fa-f]{{0,4}}:[A-Fa-f]{{0,4}}:")
 SPELLED = re.compile(rf"[A-Za-z0-9_%+-]+(?:(?:\.|{DOT})[A-Za-z0-9_%+-]+)*\s?{AT}\s?[A-Za-z0-9-]+(?:{DOT}[A-Za-z0-9-]+)+")
 NUMBER = re.compile(r"\(?[0-9][0-9 ().\-/]*[0-9]")
 GROUPS = re.compile(r"[0-9](?:[ ./_\- \n]{0,2}[0-9])+")

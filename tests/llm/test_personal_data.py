@@ -145,3 +145,14 @@ def test_query_on_a_table(spark):
         spelled = [f"{k}:{s}:{e}" for s, e, k in b]
         assert r.base_sha256 == hashlib.sha256(",".join(spelled).encode()).hexdigest()
         assert set(spelled) <= set(r.spans.split(",")) | {""} or not spelled
+
+
+def test_every_valid_span_has_a_mark():
+    finder = pd.Finder(None)
+    spans = [(s, "email") for s in ("ana at host.com", "ana AT host . com", "ana arroba host(.)com", "ana at host[.]co", "ana  at  host.com")] + [(s, "ip") for s in ("dead:beef::cafe", "::a:b:c", "a:b:c:d:e:f:a:b", "fe::%x")]
+    for span, kind in spans:
+        text = "word " * 40 + span + " word" * 40
+        at = text.index(span)
+        if pd.valid(kind, span, " ", " "):
+            assert any(a <= at and at + len(span) <= b for a, b in finder.windows(text, [])), span
+    assert sum(pd.valid(k, s, " ", " ") for s, k in spans) >= 7
