@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RRF_K, CHANNEL_K = 60, 20
-#: Query vectors in a block: a block of them meets all documents in one matrix product.
-BLOCK = 256
+#: Query vectors in a block, and documents in one: two blocks meet in one matrix product. What a block of documents keeps for each
+#: query is a small share of it only where it is large.
+BLOCK, DOCUMENTS = 1024, 4096
 
 
 def unit(vector: Column) -> Column:
@@ -21,18 +22,33 @@ def unit(vector: Column) -> Column:
     return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(F.raise_error(F.lit("zero vector"))))
 
 
+def _filled(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[list[pa.RecordBatch]]:
+    """Pieces of batches, `rows` rows together (the last may have fewer), however small the batches are."""
+    parts, n = [], 0
+    for b in batches:
+        at = 0
+        while at < b.num_rows:
+            c = b.slice(at, rows - n)
+            parts.append(c)
+            at, n = at + c.num_rows, n + c.num_rows
+            if n == rows:
+                yield parts
+                parts, n = [], 0
+    if parts:
+        yield parts
+
+
 def _blocks(df: DataFrame, key: str, group: str | None = None, rows: int = BLOCK) -> DataFrame:
     """Rows of unit vectors in blocks: (ids, groups, n, m), m being a matrix of doubles in bytes. Null vectors are out."""
     cols = [F.col(key), (F.lit(None) if group is None else F.col(group)).cast("string")]
     source = df.where(F.col("v").isNotNull() & F.col(key).isNotNull()).select(cols[0].cast("long").alias("i"), cols[1].alias("g"), unit(F.col("v")).alias("v"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, rows):
-                c = b.slice(at, rows)
-                m = np.ascontiguousarray(c.column(2).flatten().to_numpy(zero_copy_only=False), np.float64)
-                one = [pa.array([c.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([c.column(1).to_pylist()], pa.list_(pa.string())), pa.array([c.num_rows], pa.int32()), pa.array([m.tobytes()], pa.binary())]
-                yield pa.RecordBatch.from_arrays(one, names=["ids", "groups", "n", "m"])
+        for parts in _filled(batches, rows):
+            ids, groups = ([x for c in parts for x in c.column(i).to_pylist()] for i in (0, 1))
+            m = b"".join(np.ascontiguousarray(c.column(2).flatten().to_numpy(zero_copy_only=False), np.float64).tobytes() for c in parts)
+            one = [pa.array([ids], pa.list_(pa.int64())), pa.array([groups], pa.list_(pa.string())), pa.array([len(ids)], pa.int32()), pa.array([m], pa.binary())]
+            yield pa.RecordBatch.from_arrays(one, names=["ids", "groups", "n", "m"])
 
     return source.mapInArrow(run, "ids array<long>, groups array<string>, n int, m binary")
 
@@ -41,7 +57,7 @@ def _met(queries: DataFrame, docs: DataFrame, group: str | None, rows: int) -> D
     """Every block of queries beside every block of documents: a stated query set against all rows, in blocks. Neither
     side comes to the driver."""
     q = _blocks(queries, "query_id", rows=rows).select(*(F.col(c).alias(f"q_{c}") for c in ("ids", "n", "m")))
-    return _blocks(docs, "doc_id", group).crossJoin(q).select("q_ids", "q_n", "q_m", "ids", "groups", "n", "m")
+    return _blocks(docs, "doc_id", group, DOCUMENTS).crossJoin(q).select("q_ids", "q_n", "q_m", "ids", "groups", "n", "m")
 
 
 def _similarities(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list, np.ndarray]]:
@@ -65,9 +81,14 @@ def cosine_topk(queries: DataFrame, docs: DataFrame, k: int, n_queries_block: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for q, doc, _, sims in _similarities(batches):
-            order = np.lexsort((np.broadcast_to(doc, sims.shape), -np.round(sims, 9)), axis=1)[:, :k]
-            rows = np.repeat(np.arange(len(q)), order.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(q[rows]), pa.array(doc[order.ravel()]), pa.array(sims[rows, order.ravel()])], names=["query_id", "doc_id", "sim"])
+            # All that may be among the best k once rounded, ties too; only these are put in order.
+            least = np.partition(sims, -min(k, sims.shape[1]), axis=1)[:, -min(k, sims.shape[1])] - 2e-9
+            rows, cols = np.nonzero(sims >= least[:, None])
+            order = np.lexsort((doc[cols], -np.round(sims[rows, cols], 9), rows))
+            rows, cols = rows[order], cols[order]
+            nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
+            rows, cols = rows[nth < k], cols[nth < k]
+            yield pa.RecordBatch.from_arrays([pa.array(q[rows]), pa.array(doc[cols]), pa.array(sims[rows, cols])], names=["query_id", "doc_id", "sim"])
 
     out = _met(queries, docs, None, n_queries_block).mapInArrow(run, "query_id long, doc_id long, sim double")
     w = Window.partitionBy("query_id").orderBy(F.round("sim", 9).desc(), "doc_id")
@@ -81,15 +102,14 @@ def cosine_families(queries: DataFrame, docs: DataFrame, family: str = "family_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for q, doc, groups, sims in _similarities(batches):
             names, at = np.unique(np.array([g if g is not None else "" for g in groups], object).astype(str), return_inverse=True)
-            out = [[], [], [], []]
-            for j, name in enumerate(names):
-                mine = np.flatnonzero(at == j)
-                mine = mine[np.argsort(doc[mine], kind="stable")]
-                best = np.argmax(np.round(sims[:, mine], 9), axis=1)  # the first, so the smallest id
-                for x, v in zip(out, (q, [str(name)] * len(q), sims[np.arange(len(q)), mine[best]], doc[mine[best]]), strict=True):
-                    x.append(v)
-            cols = [np.concatenate(out[0]), [v for x in out[1] for v in x], np.concatenate(out[2]), np.concatenate(out[3])]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], names=["query_id", family, "sim", "view"])
+            by = np.lexsort((doc, at))
+            starts = np.searchsorted(at[by], np.arange(len(names)))
+            s = np.round(sims, 9)[:, by]
+            top = np.repeat(np.maximum.reduceat(s, starts, axis=1), np.diff([*starts, len(by)]), axis=1)
+            first = by[np.minimum.reduceat(np.where(s == top, np.arange(len(by)), len(by)), starts, axis=1)]  # so the smallest id
+            rows = np.repeat(np.arange(len(q)), len(names))
+            cols = [q[rows], pa.array(names.tolist() * len(q), pa.string()), sims[rows, first.ravel()], doc[first.ravel()]]
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in cols], names=["query_id", family, "sim", "view"])
 
     rows = _met(queries, docs.where(F.col(family).isNotNull()), family, n_queries_block).mapInArrow(run, f"query_id long, `{family}` string, sim double, view long")
     best = F.max_by(F.struct("sim", "view"), F.struct(F.round("sim", 9), -F.col("view"))).alias("b")
