@@ -97,9 +97,9 @@ def surface_evidence(pairs: DataFrame, requests: DataFrame, variants: DataFrame,
     return out.fillna(0.0, ["tfidf", "coverage", "bm25", "fuzzy"])
 
 
-def _local(requests: DataFrame, variants: DataFrame, ranked: DataFrame, p: Policy) -> DataFrame:
+def _local(requests: DataFrame, variants: DataFrame, ranked: DataFrame, p: Policy, indexes: lexical.Indexes | None = None) -> DataFrame:
     """(query_id, strong_spans, local_ok, local_doc, local_score): what windows of the open requests say."""
-    a = local.align(ranked, requests, variants, p.candidates).join(variants.select("doc_id", "family_id", F.col("text").alias("found")), "doc_id")
+    a = local.align(ranked, requests, variants, p.candidates, indexes).join(variants.select("doc_id", "family_id", F.col("text").alias("found")), "doc_id")
     w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), F.col("end") - F.col("start"), "doc_id")
     a = a.withColumn("nth", F.row_number().over(w)).where("nth <= 2")
     two = a.groupBy("query_id").agg(*(F.max_by(F.struct("doc_id", "start", "end", "text", "found", "score"), F.col("nth") == k).alias(n) for k, n in ((1, "x"), (2, "y"))), F.count(F.lit(1)).alias("k"))
@@ -138,7 +138,7 @@ def decide_surface(requests: DataFrame, variants: DataFrame, ranked: DataFrame,
         return d.select("query_id", reason.alias("reason"), "doc_id", F.col("top").alias("score"), "margin").withColumn("decision", decide.decision(F.col("reason")))
     d = store.stored(d.withColumn("early", decide.surface_reason(blank, F.col("top"), F.col("margin"), F.col("families"), F.col("agree"), no, no)), "decisions")
     open_ = d.where(F.col("early").isin("small-ranking-margin", "insufficient-surface-evidence")).select("query_id", "text")
-    l = _local(open_, variants, ranked.join(open_.select("query_id"), "query_id", "left_semi"), p)  # noqa: E741
+    l = _local(open_, variants, ranked.join(open_.select("query_id"), "query_id", "left_semi"), p, indexes)  # noqa: E741
     d = d.join(l, "query_id", "left")
     yes = lambda c: F.coalesce(c, F.lit(False))
     reason = decide.surface_reason(blank, F.col("top"), F.col("margin"), F.col("families"), F.col("agree"), yes("strong_spans"), yes("local_ok"))
